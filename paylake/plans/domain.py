@@ -336,12 +336,17 @@ def _cents_to_units(c):
 
 
 def payments_landing(t: Tables) -> DataFrame:
+    return payments_landing_from(t.lineitem)
+
+
+def payments_landing_from(lineitem: DataFrame) -> DataFrame:
     """All-string landing records, one per lineitem, with deterministic defects.
 
     Defects by ``pmod(id, p)``: amount text / negative / too large, missing
-    merchant, latitude out of range, short card number.
+    merchant, latitude out of range, short card number. Works on a batch or
+    a streaming lineitem frame alike.
     """
-    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
+    li = lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
                            "l_quantity", "l_extendedprice", "l_shipdate")
     tid = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     amt = _cents_to_units(F.col("l_extendedprice")).cast("string")
@@ -397,13 +402,17 @@ PAYMENTS_SQL = f"""payments_landing AS (
 
 
 def scored_transactions(t: Tables) -> DataFrame:
+    return scored_transactions_from(t.lineitem)
+
+
+def scored_transactions_from(lineitem: DataFrame) -> DataFrame:
     """Stored transaction table of the ingestion job (typed, scored, stamped).
 
     The probability here is the deterministic rule score of the lineitem
     discount, so reports over it have an SQL oracle; the model-scored
     variant is ``operators.scoring.score_batch``.
     """
-    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
+    li = lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
                            "l_extendedprice", "l_discount", "l_shipdate")
     prob = (F.col("l_discount").cast("decimal(4,2)") * 10).cast("decimal(5,4)")
     return li.select(
