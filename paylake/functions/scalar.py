@@ -73,6 +73,7 @@ def haversine_km(lat, lon, lat2, lon2) -> Column:
 
 # F06 ------------------------------------------------------------------
 def log_amount(amt) -> Column:
+    """log(1 + amt); null where undefined (amt <= -1)."""
     return F.log1p(_c(amt))
 
 
