@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import time
+from decimal import Decimal
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,11 +50,13 @@ def run_dir(spark: SparkSession, tag: str) -> str:
 
 
 def amount_scorer(df: DataFrame) -> DataFrame:
-    """Deterministic stand-in scorer: probability = min(amt / 10,000, 1)."""
-    p = F.least(F.col("amt").cast("string").try_cast("double") / 10000.0, F.lit(1.0))
+    """Deterministic stand-in scorer: probability = min(amt / 10,000, 1), in
+    exact decimal arithmetic (no binary rounding ties)."""
+    p = F.least(F.col("amt").cast("string").try_cast("decimal(12,2)") * F.lit(Decimal("0.0001")),
+                F.lit(Decimal("1")))
     return df.withColumns({"_p": p}).withColumns({
         "fraud_probability": F.round("_p", 4).cast("decimal(5,4)"),
-        "is_fraud_predicted": F.coalesce(F.col("_p") >= 0.5, F.lit(False)),
+        "is_fraud_predicted": F.coalesce(F.col("_p") >= Decimal("0.5"), F.lit(False)),
         "model_version": F.lit("amount-rule")}).drop("_p")
 
 
@@ -73,13 +76,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, scorer: Callable[[Da
     valid, rejected = split_valid(v)
     scored = scorer(valid.drop(*DQ_COLS))
     tx_path = os.path.join(out, "transactions")
-    if os.path.exists(tx_path) or tx_path.startswith(("s3", "hdfs", "gs", "abfs")):
-        try:
-            stored = spark.read.parquet(tx_path).filter(F.col("batch_id") != str(batch_id)).select(key)
-        except Exception:  # first batch: nothing stored yet
-            stored = spark.createDataFrame([], f"{key} string")
-    else:
-        stored = spark.createDataFrame([], f"{key} string")
+    stored = _read_or_empty(spark, tx_path, f"{key} string, batch_id string")
+    stored = stored.filter(F.col("batch_id") != str(batch_id)).select(key)
     # reliable checkpoint (shared folder): the new rows no longer depend on
     # reading the table this batch is about to write
     new = insert_ignore(stored, scored, key).checkpoint(eager=True)
@@ -127,7 +125,14 @@ def collect_stream(df: DataFrame, name: str, spark: SparkSession, output_mode: s
          .option("checkpointLocation", os.path.join(root, "_checkpoint"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    out = os.path.join(root, "out")
-    if not os.path.exists(out):
-        return spark.createDataFrame([], df.schema)
-    return spark.read.parquet(out).drop("batch_id")
+    return _read_or_empty(spark, os.path.join(root, "out"), df.schema).drop("batch_id")
+
+
+def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A parquet table, or an empty frame when nothing was written yet
+    (works on any Hadoop-compatible store, not only local paths)."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
