@@ -23,6 +23,11 @@ BASE_CONF = {
     # hints in this library are only placed on sides whose size is bounded.
     "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot does not JIT-compile methods above 8000 bytes of bytecode; wide
+    # rule projections (data-quality checks over many fields) generate such
+    # methods and then run interpreted, ~3x slower. At this limit Spark falls
+    # back to per-operator code for just those stages.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -15,6 +15,7 @@ import time
 from decimal import Decimal
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,9 +71,18 @@ def fraud_alerts(scored: DataFrame) -> DataFrame:
 
 # T01 / T03 -----------------------------------------------------------
 def ingest_batch(batch: DataFrame, batch_id: int, out: str, scorer: Callable[[DataFrame], DataFrame],
-                 key: str = "trans_num") -> None:
+                 key: str = "trans_num", min_partitions: int | None = None) -> None:
     spark = batch.sparkSession
-    v = validate(batch)
+    # a micro-batch has as many partitions as its source (topic partitions,
+    # files): when that is below the cluster's cores, spread it round-robin
+    # (no key, so no skew) before the per-row validation and scoring work
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if batch.rdd.getNumPartitions() < want:
+        batch = batch.repartition(want)
+    # the batch feeds three writes: validate it once and keep it for the
+    # duration of the batch (recomputed from the replayable source if an
+    # executor holding blocks is lost)
+    v = validate(batch).persist(StorageLevel.MEMORY_AND_DISK)
     valid, rejected = split_valid(v)
     scored = scorer(valid.drop(*DQ_COLS))
     tx_path = os.path.join(out, "transactions")
@@ -85,6 +95,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, scorer: Callable[[Da
     write_batch(to_dead_letter(rejected, "validation_error", "api", created_at="1970-01-01 00:00:00"),
                 os.path.join(out, "dead_letter"), batch_id)
     write_batch(fraud_alerts(new), os.path.join(out, "alerts"), batch_id)
+    v.unpersist()
 
 
 def run_ingest(landing: DataFrame, out: str, scorer: Callable[[DataFrame], DataFrame] = amount_scorer,
