@@ -63,13 +63,16 @@ def scaler_stage(input_col: str = "raw_features", output: str = "features"):
 
 # M03 -----------------------------------------------------------------
 def one_hot_stages(cols=CATEGORICAL):
-    """Null -> 'unknown', then one-hot dropping the alphabetically first
-    category (indexer ordered alphabetDesc + dropLast)."""
+    """Null -> 'unknown' (``fill_categoricals``), then one-hot dropping the
+    alphabetically first category: indexer ordered alphabetDesc puts it
+    last, and dropLast removes it. An "invalid" slot (handleInvalid="keep")
+    would be the one dropped instead, so a category never seen in training
+    is an error here rather than a silent all-zero vector."""
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
     idx = [StringIndexer(inputCol=f"{c}_f", outputCol=f"{c}_idx", stringOrderType="alphabetDesc",
-                         handleInvalid="keep") for c in cols]
+                         handleInvalid="error") for c in cols]
     ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}_oh" for c in cols],
-                        dropLast=True, handleInvalid="keep")
+                        dropLast=True, handleInvalid="error")
     return idx + [ohe]
 
 
