@@ -2,9 +2,10 @@
 
 Broadcast policy: a side is broadcast only when its size is bounded. Either
 the caller knows it is bounded by a fixed domain (countries, currencies,
-rates), or ``bounded_broadcast`` checks Catalyst's size estimate of the
-optimized plan against a cap; above the cap the join stays a shuffle join
-(and AQE may still convert it at runtime from the real shuffle sizes).
+rates), or ``bounded_broadcast`` checks an upper bound of the dimension's
+size (the relations it scans) against a cap; above the cap the join stays a
+shuffle join (and AQE may still convert it at runtime from the real shuffle
+sizes).
 """
 
 from __future__ import annotations
@@ -13,18 +14,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-DEFAULT_BROADCAST_CAP = 256 * 1024 * 1024
+DEFAULT_BROADCAST_CAP = 64 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (no job is run)."""
+    """Upper bound of a dimension's size from the sizes of the relations it
+    reads (no job is run).
+
+    Catalyst's own estimate of a join is the *product* of its inputs, which
+    rules out every dimension assembled from lookups. A dimension here is a
+    key-unique table built by many-to-one lookups and aggregates, whose size
+    is bounded by the sum of what it scans; that sum is what is checked. A
+    leaf without statistics (e.g. a local relation of unknown size) reports
+    Spark's default size, which is far above any cap.
+    """
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        it = leaves.iterator()
+        total = 0
+        while it.hasNext():
+            v = it.next().stats().sizeInBytes()
+            total += v if isinstance(v, int) else int(v.toString())
+        return total
+    except Exception:  # e.g. a Connect session: leave the choice to AQE
         return None
 
 
 def bounded_broadcast(df: DataFrame, cap_bytes: int = DEFAULT_BROADCAST_CAP) -> DataFrame:
+    """Broadcast hint only when the bound is known and under ``cap_bytes``;
+    otherwise the join stays a shuffle join (AQE may still switch it to a
+    broadcast at runtime from the measured shuffle size)."""
     size = estimated_bytes(df)
     if size is not None and size <= cap_bytes:
         return F.broadcast(df)

@@ -147,3 +147,9 @@ register("t09_sliding_counters", """
 SELECT user_id, time_bucket(INTERVAL '15 minutes', ts) - k * INTERVAL 15 MINUTE AS window_start, COUNT(*) AS n
 FROM events, range(4) r(k) GROUP BY ALL""")(
     lambda s, d: I.collect_stream(M.sliding_counters(I.table_stream(s, d, "events"), "user_id", "ts"), "sliding", s, "update"))
+
+# Event stream source (file stream; a Kafka topic is the drop-in) ---------
+register("s06_events_stream", """
+SELECT event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS value FROM events GROUP BY 1""")(
+    lambda s, d: I.collect_stream(I.table_stream(s, d, "events").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value")), "events", s, "complete"))
