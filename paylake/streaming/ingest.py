@@ -1,7 +1,8 @@
 """Minute ingestion as one Structured Streaming plan.
 
-source -> rule columns -> split -> score -> ``foreachBatch`` writing the
-accepted rows, the dead-letter rows, the alerts and a run-log row. Each write
+source -> rule columns -> split -> score -> prediction check ->
+``foreachBatch`` writing the accepted rows, the dead-letter rows (input and
+prediction errors), the alerts and a run-log row. Each write
 lands in the batch's own ``batch_id=`` partition with dynamic overwrite, and
 the keyed insert skips ids already stored by *earlier* batches, so a batch
 replayed after an executor or driver failure (same batch id, from the
@@ -10,6 +11,7 @@ checkpoint) replaces its own output instead of duplicating it.
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import time
 from decimal import Decimal
@@ -20,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylake.functions.scalar import mask_card
-from paylake.operators.quality import split_valid, validate
+from paylake.operators.quality import rule_probability, split_valid, validate
 from paylake.session import checkpoint_root
 from paylake.sources.changes import insert_ignore
-from paylake.sources.sinks import to_dead_letter, write_batch
+from paylake.sources.sinks import log_run, to_dead_letter, write_batch
 
 DQ_COLS = ["schema_errors", "rule_errors", "errors", "data_quality_status"]
 
@@ -71,7 +73,11 @@ def fraud_alerts(scored: DataFrame) -> DataFrame:
 
 # T01 / T03 -----------------------------------------------------------
 def ingest_batch(batch: DataFrame, batch_id: int, out: str, scorer: Callable[[DataFrame], DataFrame],
-                 key: str = "trans_num", min_partitions: int | None = None) -> None:
+                 key: str = "trans_num", min_partitions: int | None = None,
+                 dag_id: str = "stream_ingest") -> None:
+    """One micro-batch: validate, score, check the predictions, keyed insert,
+    dead letters (input and prediction errors), alerts, run-log row."""
+    started = time.time()
     spark = batch.sparkSession
     # a micro-batch has as many partitions as its source (topic partitions,
     # files): when that is below the cluster's cores, spread it round-robin
@@ -79,12 +85,18 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, scorer: Callable[[Da
     want = min_partitions or spark.sparkContext.defaultParallelism
     if batch.rdd.getNumPartitions() < want:
         batch = batch.repartition(want)
-    # the batch feeds three writes: validate it once and keep it for the
+    # the batch feeds several writes: validate it once and keep it for the
     # duration of the batch (recomputed from the replayable source if an
     # executor holding blocks is lost)
     v = validate(batch).persist(StorageLevel.MEMORY_AND_DISK)
     valid, rejected = split_valid(v)
     scored = scorer(valid.drop(*DQ_COLS))
+    # V06 on the model output: a null or out-of-range probability is not
+    # stored as a prediction but sent to the dead-letter sink
+    pmsg = rule_probability("fraud_probability")[0].message
+    scored = scored.withColumn("_pmsg", pmsg)
+    bad_pred = scored.filter(F.col("_pmsg").isNotNull()).withColumn("errors", F.array("_pmsg")).drop("_pmsg")
+    scored = scored.filter(F.col("_pmsg").isNull()).drop("_pmsg")
     tx_path = os.path.join(out, "transactions")
     stored = _read_or_empty(spark, tx_path, f"{key} string, batch_id string")
     stored = stored.filter(F.col("batch_id") != str(batch_id)).select(key)
@@ -92,9 +104,13 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, scorer: Callable[[Da
     # reading the table this batch is about to write
     new = insert_ignore(stored, scored, key).checkpoint(eager=True)
     write_batch(new, tx_path, batch_id)
-    write_batch(to_dead_letter(rejected, "validation_error", "api", created_at="1970-01-01 00:00:00"),
-                os.path.join(out, "dead_letter"), batch_id)
+    dead = to_dead_letter(rejected, "validation_error", "api", created_at="1970-01-01 00:00:00").unionByName(
+        to_dead_letter(bad_pred, "prediction_error", "model", created_at="1970-01-01 00:00:00"))
+    write_batch(dead, os.path.join(out, "dead_letter"), batch_id)
     write_batch(fraud_alerts(new), os.path.join(out, "alerts"), batch_id)
+    run = log_run(v, rejected, dag_id, f"batch_{batch_id}", dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
+                  round(time.time() - started, 2))
+    write_batch(run, os.path.join(out, "pipeline_runs"), batch_id)
     v.unpersist()
 
 
