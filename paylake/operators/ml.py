@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paylake.functions.predicates import coerce_features, lookback
+from paylake.functions.sampling import DEFAULT_BUCKETS, select_smallest, unit_hash
 from paylake.functions.scalar import degree_distance, hour_of_day, log_amount
 from paylake.operators.joins import join_dim
 
@@ -92,45 +93,23 @@ def training_set(fact: DataFrame, dim_customer: DataFrame, dim_merchant: DataFra
     j = join_dim(f, dim_customer.select("customer_sk", "risk_tier", "country_is_high_risk"), "customer_sk")
     j = join_dim(j, dim_merchant.select("merchant_sk", "mcc_category"), "merchant_sk")
     if cap is not None:
-        j = j.orderBy(F.xxhash64("transaction_id", F.lit(seed))).limit(cap)
+        # exact hash-ordered cap without funnelling k rows per task into one
+        j = select_smallest(j, "transaction_id", seed, lambda n: F.lit(cap)).filter("_selected").drop("_selected")
     return j
 
 
 # M05 -----------------------------------------------------------------
 def _unit_hash(id_col: str, seed: int) -> F.Column:
-    """Uniform value in [0, 1) from the MD5 of (id, seed)."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed)))), 1, 13), 16, 10)
-    return h.cast("double") / float(16 ** 13)
+    return unit_hash(id_col, seed)
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, test_frac: float = 0.2, seed: int = SEED,
-                     n_buckets: int = 1024) -> DataFrame:
+                     n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Adds ``is_test``: per class, exactly round(test_frac * n_class) rows
-    with the smallest hash go to test.
-
-    No window over a whole class (one class may be 99 % of the data): rows
-    are hashed into buckets, bucket counts per class give the cutoff bucket,
-    rows below it are test, above it train, and only the cutoff bucket (about
-    1/n_buckets of a class) is ranked.
-    """
-    u = _unit_hash(id_col, seed)
-    x = df.withColumns({"_u": u, "_b": F.floor(u * n_buckets).cast("int")})
-    counts = x.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = W.partitionBy(label).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    tot = W.partitionBy(label)
-    # counts has at most (classes x n_buckets) rows
-    c = counts.withColumns({"_cum": F.sum("_c").over(w), "_n": F.sum("_c").over(tot)})
-    c = c.withColumn("_k", F.round(F.col("_n") * test_frac).cast("long"))
-    c = c.withColumn("_before", F.col("_cum") - F.col("_c"))
-    cut = c.filter((F.col("_before") < F.col("_k")) & (F.col("_cum") >= F.col("_k"))) \
-           .select(label, F.col("_b").alias("_cut"), (F.col("_k") - F.col("_before")).alias("_need"))
-    x = x.join(F.broadcast(cut), label, "left")
-    in_cut = F.coalesce(F.col("_b") == F.col("_cut"), F.lit(False))
-    # only the cutoff bucket's rows are ranked (and shuffled for it)
-    wr = W.partitionBy(label).orderBy("_u", id_col)
-    ranked = x.filter(in_cut).withColumn("is_test", F.row_number().over(wr) <= F.col("_need"))
-    rest = x.filter(~in_cut).withColumn("is_test", F.coalesce(F.col("_b") < F.col("_cut"), F.lit(False)))
-    return ranked.unionByName(rest).drop("_u", "_b", "_cut", "_need")
+    with the smallest seeded hash go to test (``functions.sampling``: no
+    window over a whole class, one class may be 99 % of the data)."""
+    return select_smallest(df, id_col, seed, lambda n: F.round(n * test_frac), by=[label],
+                           n_buckets=n_buckets, out_col="is_test")
 
 
 def fold_column(df: DataFrame, id_col: str, folds: int = CV_FOLDS, seed: int = SEED) -> DataFrame:

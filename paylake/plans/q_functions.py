@@ -69,8 +69,9 @@ SELECT transaction_id, ROUND(ln(1 + CAST(amount_usd AS DOUBLE)), 9) AS log_amt F
     lambda s, d: fact(s, d).select("transaction_id", F.round(SF.log_amount(F.col("amount_usd").cast("double")), 9).alias("log_amt")))
 
 register("f07_rounding", """
-SELECT l_orderkey, l_linenumber, ROUND(CAST(l_extendedprice AS DECIMAL(18,2)) / 7, 0) AS half_up,
-       round_even(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) / 7 AS DECIMAL(38,6)), 0) AS half_even
+SELECT l_orderkey, l_linenumber,
+       CAST(ROUND(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) / 7 AS DECIMAL(38,6)), 0) AS DOUBLE) AS half_up,
+       CAST(round_even(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) / 7 AS DECIMAL(38,6)), 0) AS DOUBLE) AS half_even
 FROM lineitem""")(
     lambda s, d: T(s, d).lineitem.select(
         "l_orderkey", "l_linenumber",
@@ -79,11 +80,11 @@ FROM lineitem""")(
 
 register("f08_nullif_coalesce", """
 SELECT l_returnflag, COUNT(NULLIF(l_linestatus, 'O')) AS n_not_open,
-       COUNT(*) AS n, SUM(COALESCE(NULLIF(l_discount, 0), -1) < 0) AS n_zero_discount
+       COUNT(*) AS n, CAST(SUM(CAST(COALESCE(NULLIF(l_discount, 0), -1) < 0 AS INTEGER)) AS BIGINT) AS n_zero_discount
 FROM lineitem GROUP BY 1""")(
     lambda s, d: T(s, d).lineitem.groupBy("l_returnflag").agg(
         F.count(SF.nullif("l_linestatus", "O")).alias("n_not_open"), F.count(F.lit(1)).alias("n"),
-        F.sum((F.coalesce(SF.nullif("l_discount", 0.0), F.lit(-1.0)) < 0).cast("long")).cast("decimal(38,0)").alias("n_zero_discount")))
+        F.sum((F.coalesce(SF.nullif("l_discount", 0.0), F.lit(-1.0)) < 0).cast("long")).cast("long").alias("n_zero_discount")))
 
 register("f09_clamp", "SELECT event_id, LEAST(GREATEST(value / 50, 0.1), 1.0) AS clamped FROM events")(
     lambda s, d: T(s, d).events.select("event_id", SF.clamp(F.col("value") / 50, 0.1, 1.0).alias("clamped")))
@@ -245,4 +246,8 @@ def _l03(s, d):
     return capped.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("transaction_id").alias("n_ids"))
 
 
-register("l03_cap")(_l03)
+register("l03_cap", D.with_ctes(["fact_transaction", "dim_customer", "dim_merchant"], f"""
+, x AS (SELECT f.transaction_id, row_number() OVER (ORDER BY substr(md5(f.transaction_id || '|42'), 1, 13), f.transaction_id) AS r
+        FROM fact_transaction f LEFT JOIN dim_customer c USING (customer_sk) LEFT JOIN dim_merchant m USING (merchant_sk)
+        WHERE {_window('f.transaction_ts', AS_TX, 365)})
+SELECT COUNT(*) AS n_rows, COUNT(DISTINCT transaction_id) AS n_ids FROM x WHERE r <= 5000""").replace("\n, x AS", ",\nx AS"))(_l03)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paylake.functions.sampling import select_smallest, unit_hash
+
 
 def replay_sample(df: DataFrame, label: str, id_col: str, n: int, ratio: float = 0.3, seed: int = 42,
                   as_of=None, ts_col: str = "trans_date_trans_time") -> DataFrame:
@@ -16,19 +18,18 @@ def replay_sample(df: DataFrame, label: str, id_col: str, n: int, ratio: float =
     the label, re-key ``REPLAY-<epoch ms>-<i>-<first 16 of id>`` and re-stamp
     the event time with ``as_of``.
 
-    Each class is a top-k (``orderBy().limit(k)``): every task keeps its k
-    best rows and only those are merged, so the work is a scan plus k rows
-    per task, whatever the class sizes. The sample (n rows) is the feature.
+    Each class is selected with ``functions.sampling.select_smallest``
+    (bucketed, exact, no single-task merge of per-task top-k lists); only
+    the n sampled rows are numbered, in one ordered pass (n is the requested
+    sample size, the feature).
     """
     n_pos = int(round(n * ratio))
     n_neg = n - n_pos
-    h = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
-    x = df.withColumn("_h", h)
-    pos = x.filter(F.col(label) == 1).orderBy("_h", id_col).limit(n_pos)
-    neg = x.filter(F.col(label) != 1).orderBy("_h", id_col).limit(n_neg)
-    picked = pos.unionByName(neg)
-    # ordering n sampled rows (bounded by the requested size)
-    i = F.row_number().over(W.orderBy(F.col(label).desc(), "_h", id_col)) - 1
+    x = df.withColumn("_pos", (F.col(label) == 1).cast("int"))
+    x = select_smallest(x, id_col, seed, lambda cnt: F.when(F.col("_pos") == 1, F.lit(n_pos)).otherwise(F.lit(n_neg)),
+                        by=["_pos"])
+    picked = x.filter("_selected").drop("_selected").withColumn("_h", unit_hash(id_col, seed))
+    i = F.row_number().over(W.orderBy(F.col("_pos").desc(), "_h", id_col)) - 1
     a = as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(str(as_of))
     ms = F.unix_millis(F.lit(a).cast("timestamp"))
     out = picked.withColumn("_i", i).withColumns({
@@ -39,4 +40,4 @@ def replay_sample(df: DataFrame, label: str, id_col: str, n: int, ratio: float =
     })
     if ts_col in out.columns:
         out = out.withColumn(ts_col, F.lit(a.isoformat(sep=" ", timespec="seconds")))
-    return out.drop("_h", "_i", label)
+    return out.drop("_h", "_i", "_pos", label)
