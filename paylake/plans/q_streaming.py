@@ -105,12 +105,14 @@ SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start,
             WHEN CAST(value / 500 AS DECIMAL(5,4)) < 0.7 THEN 'review' ELSE 'block' END AS decision,
        COUNT(*) AS n, COUNT(*) / 300.0 AS rate_per_s
 FROM events GROUP BY ALL""")(
-    lambda s, d: I.collect_stream(M.request_rate(_alert_stream(s, d), "created_at", "decision"), "rate", s, "update"))
+    lambda s, d: I.collect_stream(M.request_rate(_alert_stream(s, d), "created_at", "decision"), "rate", s, "update",
+                                  ["window_start", "decision"]))
 
 
 # T07 -------------------------------------------------------------------------
 def _t07(s, d):
-    counts = I.collect_stream(M.bucket_counts(_alert_stream(s, d), "created_at", "latency_s"), "latency", s, "update")
+    counts = I.collect_stream(M.bucket_counts(_alert_stream(s, d), "created_at", "latency_s"), "latency", s, "update",
+                              ["window_start", "bucket"])
     return M.bucket_quantiles(counts)
 
 
@@ -146,7 +148,8 @@ FROM g GROUP BY user_id, sid""")(
 register("t09_sliding_counters", """
 SELECT user_id, time_bucket(INTERVAL '15 minutes', ts) - k * INTERVAL 15 MINUTE AS window_start, COUNT(*) AS n
 FROM events, range(4) r(k) GROUP BY ALL""")(
-    lambda s, d: I.collect_stream(M.sliding_counters(I.table_stream(s, d, "events"), "user_id", "ts"), "sliding", s, "update"))
+    lambda s, d: I.collect_stream(M.sliding_counters(I.table_stream(s, d, "events"), "user_id", "ts"), "sliding", s, "update",
+                                  ["user_id", "window_start"]))
 
 # Event stream source (file stream; a Kafka topic is the drop-in) ---------
 register("s06_events_stream", """

@@ -151,16 +151,35 @@ def score_stream(tx: DataFrame, features: DataFrame) -> DataFrame:
     return s.withColumn("decision", decide("score"))
 
 
-def collect_stream(df: DataFrame, name: str, spark: SparkSession, output_mode: str = "append") -> DataFrame:
+def collect_stream(df: DataFrame, name: str, spark: SparkSession, output_mode: str = "append",
+                   keys: list[str] | None = None) -> DataFrame:
     """Run ``df`` to completion (availableNow) into a parquet table in the
-    shared checkpoint folder and return that table as a batch DataFrame."""
+    shared checkpoint folder and return the final result as a batch frame.
+
+    Each micro-batch lands in its own ``batch_id=`` partition. ``append``:
+    the union. ``update``: a key may be re-emitted by later batches, so the
+    latest version per ``keys`` wins (an upsert expressed as a read-side
+    aggregate). ``complete``: every batch holds the whole result; the last
+    one is it."""
     root = run_dir(spark, name)
     q = (df.writeStream.outputMode(output_mode)
          .foreachBatch(lambda b, bid: write_batch(b, os.path.join(root, "out"), bid))
          .option("checkpointLocation", os.path.join(root, "_checkpoint"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return _read_or_empty(spark, os.path.join(root, "out"), df.schema).drop("batch_id")
+    out = _read_or_empty(spark, os.path.join(root, "out"), df.schema)
+    if "batch_id" not in out.columns:
+        return out
+    out = out.withColumn("batch_id", F.col("batch_id").cast("long"))
+    if output_mode == "update":
+        if not keys:
+            raise ValueError("update mode needs the result keys")
+        from paylake.sources.changes import latest_per_key
+        return latest_per_key(out, keys, ["batch_id"]).drop("batch_id")
+    if output_mode == "complete":
+        last = out.agg(F.max("batch_id").alias("_last"))
+        return out.join(F.broadcast(last), out.batch_id == last._last).drop("batch_id", "_last")
+    return out.drop("batch_id")
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
