@@ -250,4 +250,4 @@ register("l03_cap", D.with_ctes(["fact_transaction", "dim_customer", "dim_mercha
 , x AS (SELECT f.transaction_id, row_number() OVER (ORDER BY substr(md5(f.transaction_id || '|42'), 1, 13), f.transaction_id) AS r
         FROM fact_transaction f LEFT JOIN dim_customer c USING (customer_sk) LEFT JOIN dim_merchant m USING (merchant_sk)
         WHERE {_window('f.transaction_ts', AS_TX, 365)})
-SELECT COUNT(*) AS n_rows, COUNT(DISTINCT transaction_id) AS n_ids FROM x WHERE r <= 5000""").replace("\n, x AS", ",\nx AS"))(_l03)
+SELECT COUNT(*) AS n_rows, COUNT(DISTINCT transaction_id) AS n_ids FROM x WHERE r <= 5000"""))(_l03)

@@ -36,7 +36,7 @@ SELECT trans_num, amt,
        CAST(ROUND(LEAST(TRY_CAST(amt AS DECIMAL(12,2)) * 0.0001, 1), 4) AS DECIMAL(5,4)) AS fraud_probability,
        COALESCE(LEAST(TRY_CAST(amt AS DECIMAL(12,2)) * 0.0001, 1) >= 0.5, false) AS is_fraud_predicted,
        'amount-rule' AS model_version
-FROM v WHERE rn = 1""").replace("\n, v AS", ",\nv AS"))(
+FROM v WHERE rn = 1"""))(
     lambda s, d: s.read.parquet(os.path.join(_ingest(s, d), "transactions"))
     .select("trans_num", "amt", "fraud_probability", "is_fraud_predicted", "model_version"))
 
