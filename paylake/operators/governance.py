@@ -87,3 +87,37 @@ def shared_cards(methods: DataFrame, fingerprint: str = "fingerprint", customer:
 # G07 -----------------------------------------------------------------
 def exclude_opt_out(df: DataFrame, opt_outs: DataFrame, key: str = "customer_sk") -> DataFrame:
     return df.join(opt_outs.select(key).distinct(), key, "left_anti")
+
+
+def apply_retention(spark, path: str, as_of, days: int, dry_run: bool = False) -> list[str]:
+    """Physically enforce retention on a lake table laid out
+    ``year=/month=/day=`` (``sources.sinks.write_lake``): partition
+    directories whose day is before ``as_of - days`` are removed.
+
+    Only directory listings and deletes through the table's Hadoop
+    FileSystem (works for HDFS and object stores alike); no row is read, and
+    the listing is bounded by the number of day partitions. Returns the
+    removed (or, with ``dry_run``, the expired) partition paths.
+    """
+    import datetime as dt
+
+    start = window_bounds(as_of, days)[0].date()
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def children(p, prefix):
+        if not fs.exists(p):
+            return []
+        return [(s.getPath(), int(s.getPath().getName().split("=", 1)[1]))
+                for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName().startswith(prefix)]
+
+    removed = []
+    for yp, y in children(root, "year="):
+        for mp, m in children(yp, "month="):
+            for dp, d in children(mp, "day="):
+                if dt.date(y, m, d) < start:
+                    removed.append(dp.toString())
+                    if not dry_run:
+                        fs.delete(dp, True)
+    return removed

@@ -62,3 +62,18 @@ def test_upsert_and_incremental(spark):
     empty = spark.createDataFrame([], "ts timestamp")
     src_t = spark.createDataFrame([], "ts timestamp").unionByName(spark.sql("select timestamp'2020-01-01' ts"))
     assert C.incremental(src_t, empty, "ts").count() == 1
+
+
+def test_apply_retention_drops_expired_partitions(spark):
+    import os
+    from paylake.operators.governance import apply_retention
+    from paylake.sources.readers import read_raw
+    from paylake.sources.sinks import write_lake
+    from paylake.streaming.ingest import run_dir
+    path = os.path.join(run_dir(spark, "test-retention"), "t")
+    df = spark.sql("SELECT id, date_add(DATE'2024-01-01', CAST(id % 40 AS INT)) AS d FROM range(400)")
+    write_lake(df, path, "d")
+    gone = apply_retention(spark, path, "2024-02-09", 30)          # keep 2024-01-10 .. 2024-02-09
+    assert len(gone) == 9
+    left = read_raw(spark, path)
+    assert left.count() == 310 and left.agg(F.min("d")).first()[0].isoformat() == "2024-01-10"
