@@ -97,17 +97,11 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, scorer: Callable[[Da
     scored = scored.withColumn("_pmsg", pmsg)
     bad_pred = scored.filter(F.col("_pmsg").isNotNull()).withColumn("errors", F.array("_pmsg")).drop("_pmsg")
     scored = scored.filter(F.col("_pmsg").isNull()).drop("_pmsg")
-    tx_path = os.path.join(out, "transactions")
-    stored = _read_or_empty(spark, tx_path, f"{key} string, batch_id string")
-    stored = stored.filter(F.col("batch_id") != str(batch_id)).select(key)
-    # keys of this batch already stored: the stored key column is scanned
-    # and filtered against the broadcast batch keys (a micro-batch is bounded
-    # by the source's rate limit), so the key history is never shuffled
-    seen = stored.join(F.broadcast(scored.select(key).distinct()), key, "left_semi")
-    # reliable checkpoint (shared folder): the new rows no longer depend on
-    # reading the table this batch is about to write
-    new = insert_ignore(seen, scored, key).checkpoint(eager=True)
-    write_batch(new, tx_path, batch_id)
+    # keyed insert: keys of this batch already stored are found by scanning
+    # the stored key column against the broadcast batch keys (a micro-batch is
+    # bounded by the source's rate limit), so the key history is never
+    # shuffled; the new rows are checkpointed before the table is written
+    new = keyed_append(scored, os.path.join(out, "transactions"), batch_id, key)
     dead = to_dead_letter(rejected, "validation_error", "api", created_at="1970-01-01 00:00:00").unionByName(
         to_dead_letter(bad_pred, "prediction_error", "model", created_at="1970-01-01 00:00:00"))
     write_batch(dead, os.path.join(out, "dead_letter"), batch_id)
@@ -151,6 +145,38 @@ def score_stream(tx: DataFrame, features: DataFrame) -> DataFrame:
     return s.withColumn("decision", decide("score"))
 
 
+def keyed_append(rows: DataFrame, path: str, batch_id: int, key: str) -> DataFrame:
+    """Append the rows whose ``key`` is not stored yet (first one wins, as a
+    unique index would enforce); replay-safe per batch id. Returns the rows
+    written."""
+    spark = rows.sparkSession
+    stored = _read_or_empty(spark, path, f"{key} string, batch_id string")
+    stored = stored.filter(F.col("batch_id") != str(batch_id)).select(key)
+    seen = stored.join(F.broadcast(rows.select(key).distinct()), key, "left_semi")
+    new = insert_ignore(seen, rows, key).checkpoint(eager=True)
+    write_batch(new, path, batch_id)
+    return new
+
+
+def alerts_batch(batch: DataFrame, batch_id: int, out: str, features: DataFrame,
+                 model_version: str = "rule-based") -> None:
+    """T05 sink: score every request, persist one alert per transaction id."""
+    scored = score_stream(batch, features)
+    alerts = scored.select(
+        "transaction_id", "customer_id", F.col("merchant_id") if "merchant_id" in scored.columns
+        else F.lit(None).cast("string").alias("merchant_id"),
+        "score", "decision", F.lit(model_version).alias("model_version"), "reasons")
+    keyed_append(alerts, os.path.join(out, "fraud_alerts"), batch_id, "transaction_id")
+
+
+def run_scoring(requests: DataFrame, features: DataFrame, out: str, available_now: bool = True):
+    """Start the online-scoring stream (stream-static feature lookup)."""
+    w = (requests.writeStream.foreachBatch(lambda df, bid: alerts_batch(df, bid, out, features))
+         .option("checkpointLocation", os.path.join(out, "_checkpoint")))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
 def collect_stream(df: DataFrame, name: str, spark: SparkSession, output_mode: str = "append",
                    keys: list[str] | None = None) -> DataFrame:
     """Run ``df`` to completion (availableNow) into a parquet table in the

@@ -101,3 +101,16 @@ def test_update_mode_across_micro_batches(spark):
     exp = M.sliding_counters(ev, "user_id", "ts")
     assert got.count() == exp.count()
     assert got.exceptAll(exp.select(*got.columns)).count() == 0
+
+
+def test_alert_sink_first_score_wins(spark):
+    feats = spark.createDataFrame([("c1", (12, 5.0, 0.9, 0.6))],
+                                  "customer_id string, features struct<tx_count_24h:int, tx_amount_sum_24h:double, velocity_score:double, risk_score:double>")
+    req = "transaction_id string, customer_id string, amount_usd double, ip_country string"
+    out = I.run_dir(spark, "test-alerts")
+    I.alerts_batch(spark.createDataFrame([("t1", "c1", 50.0, "FR"), ("t2", "c9", 6000.0, "NG")], req), 0, out, feats)
+    I.alerts_batch(spark.createDataFrame([("t1", "c1", 9999.0, "RU"), ("t3", "c9", 10.0, "FR")], req), 1, out, feats)
+    a = {r.transaction_id: r for r in spark.read.parquet(os.path.join(out, "fraud_alerts")).collect()}
+    assert sorted(a) == ["t1", "t2", "t3"]
+    assert a["t1"].decision == "block" and str(a["t1"].score) == "0.7000"   # first score kept
+    assert a["t2"].reasons == ["high_amount", "very_high_amount", "high_risk_country"]
