@@ -144,21 +144,30 @@ SELECT event_type IS NOT NULL AND event_type IN ({', '.join(repr(e) for e in Q.C
        COUNT(*) AS n_docs
 FROM clickstream GROUP BY 1"""))(_v13)
 
-# S01 + S13: export partitioned, read back a date range ------------------
-def _s01(s, d):
+# S13 write + S01 pruned read -------------------------------------------
+def _lake(s, d):
     path = os.path.join(run_dir(s, "lake"), "transactions")
     fact = D.fact_transaction(T(s, d)).select("transaction_sk", "customer_sk", "amount_usd", "transaction_date")
     SK.write_lake(fact, path, "transaction_date")
-    r = RD.read_raw(s, path, since="2001-01-01", until="2001-06-30")
-    return r.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n_rows"),
-                                          F.sum("amount_usd").cast("decimal(38,2)").alias("amount_usd"))
+    return path
 
 
-register("s01_s13_lake_roundtrip", D.with_ctes(["fact_transaction"], """
+def _per_month(df):
+    return df.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n_rows"),
+                                           F.sum("amount_usd").cast("decimal(38,2)").alias("amount_usd"))
+
+
+_LAKE_SQL = """
 SELECT year(transaction_date) AS year, month(transaction_date) AS month, COUNT(*) AS n_rows,
        CAST(SUM(amount_usd) AS DECIMAL(38,2)) AS amount_usd
-FROM fact_transaction WHERE transaction_date BETWEEN DATE '2001-01-01' AND DATE '2001-06-30'
-GROUP BY 1, 2"""))(_s01)
+FROM fact_transaction {where} GROUP BY 1, 2"""
+
+register("s13_write_lake", D.with_ctes(["fact_transaction"], _LAKE_SQL.format(where="")))(
+    lambda s, d: _per_month(RD.read_raw(s, _lake(s, d))))
+
+register("s01_read_raw", D.with_ctes(["fact_transaction"], _LAKE_SQL.format(
+    where="WHERE transaction_date BETWEEN DATE '2001-01-01' AND DATE '2001-06-30'")))(
+    lambda s, d: _per_month(RD.read_raw(s, _lake(s, d), since="2001-01-01", until="2001-06-30")))
 
 
 # CSV landing with explicit schema ----------------------------------

@@ -51,19 +51,33 @@ def write_batch(df: DataFrame, path: str, batch_id: int | str, fmt: str = "parqu
 
 
 # S13 -----------------------------------------------------------------
+SMALL_WRITE_BYTES = 1024 * 1024 * 1024
+
+
 def write_lake(df: DataFrame, path: str, date_col: str, compression: str = "snappy",
-               mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> None:
+               mode: str = "overwrite", max_records_per_file: int = 5_000_000,
+               small_write_bytes: int = SMALL_WRITE_BYTES) -> None:
     """Partitioned export laid out year/month/day.
 
     Rows are clustered by the partition columns first so each task writes a
-    few large files per day instead of one small file per (task, day). The
-    REBALANCE hint lets AQE split a hot day over several tasks (and merge
-    small ones), so one busy day never lands in a single writer.
+    few large files per day instead of one small file per (task, day).
+    Large inputs use the REBALANCE hint: AQE splits a hot day over several
+    writers by measured size (and merges small ones), so one busy day never
+    lands in a single writer. Inputs whose scanned size is below
+    ``small_write_bytes`` (metadata check, no job) would be coalesced by AQE
+    into one writer creating every day directory alone; they are spread over
+    the cluster's cores by day instead.
     """
+    from paylake.operators.joins import estimated_bytes
+
     d = F.col(date_col)
     out = df.withColumns({"year": F.year(d), "month": F.month(d), "day": F.dayofmonth(d)})
-    (out.hint("rebalance", "year", "month", "day")
-        .sortWithinPartitions("year", "month", "day")
+    size = estimated_bytes(df)
+    if size is not None and size < small_write_bytes:
+        out = out.repartition(df.sparkSession.sparkContext.defaultParallelism * 2, "year", "month", "day")
+    else:
+        out = out.hint("rebalance", "year", "month", "day")
+    (out.sortWithinPartitions("year", "month", "day")
         .write.mode(mode).option("partitionOverwriteMode", "dynamic")
         .option("compression", compression).option("maxRecordsPerFile", max_records_per_file)
         .partitionBy("year", "month", "day").parquet(path))
