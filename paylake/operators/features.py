@@ -73,16 +73,27 @@ def customer_features(fact: DataFrame, merchant_country: DataFrame, disputes: Da
     t = F.col(ts)
     in1h, in24h, in7d, in30d = (t >= _since(as_of, 3600)), (t >= _since(as_of, 86400)), \
         (t >= _since(as_of, 7 * 86400)), (t >= _since(as_of, 30 * 86400))
-    g = f.groupBy("customer_sk").agg(
-        F.count_if(in1h).cast("int").alias("tx_count_1h"),
-        F.count_if(in24h).cast("int").alias("tx_count_24h"),
-        F.count_if(in7d).cast("int").alias("tx_count_7d"),
-        F.coalesce(F.sum(F.when(in24h, F.col("amount_usd"))), F.lit(0)).cast("double").alias("tx_amount_sum_24h"),
-        F.avg(F.when(in30d, F.col("amount_usd").cast("double"))).alias("tx_amount_avg_30d"),
-        F.countDistinct(F.when(in24h, F.col("merchant_sk"))).cast("int").alias("distinct_merchants_24h"),
-        F.countDistinct(F.when(in24h, F.col("country_code"))).cast("int").alias("distinct_countries_24h"),
-        F.avg(F.col("is_high_fraud_risk").cast("double")).alias("risk_score"),
-        F.avg(F.coalesce(F.col("_disputed"), F.lit(0)).cast("double")).alias("chargeback_ratio_90d"))
+    # two levels instead of two COUNT(DISTINCT) next to other aggregates
+    # (which would Expand every row 3x): one row per (customer, merchant) -
+    # a merchant has one country - then plain sums and a single distinct
+    g1 = f.groupBy("customer_sk", "merchant_sk", "country_code").agg(
+        F.count_if(in1h).alias("c1h"), F.count_if(in24h).alias("c24h"), F.count_if(in7d).alias("c7d"),
+        F.sum(F.when(in24h, F.col("amount_usd"))).alias("s24h"),
+        F.sum(F.when(in30d, F.col("amount_usd").cast("double"))).alias("s30d"),
+        F.count_if(in30d).alias("c30d"),
+        F.sum(F.col("is_high_fraud_risk").cast("double")).alias("risk_sum"),
+        F.sum(F.coalesce(F.col("_disputed"), F.lit(0)).cast("double")).alias("disp_sum"),
+        F.count(F.lit(1)).alias("n"))
+    g = g1.groupBy("customer_sk").agg(
+        F.sum("c1h").cast("int").alias("tx_count_1h"),
+        F.sum("c24h").cast("int").alias("tx_count_24h"),
+        F.sum("c7d").cast("int").alias("tx_count_7d"),
+        F.coalesce(F.sum("s24h"), F.lit(0)).cast("double").alias("tx_amount_sum_24h"),
+        (F.sum("s30d") / F.nullif(F.sum("c30d"), F.lit(0))).alias("tx_amount_avg_30d"),
+        F.sum((F.col("c24h") > 0).cast("int")).cast("int").alias("distinct_merchants_24h"),
+        F.countDistinct(F.when(F.col("c24h") > 0, F.col("country_code"))).cast("int").alias("distinct_countries_24h"),
+        (F.sum("risk_sum") / F.sum("n")).alias("risk_score"),
+        (F.sum("disp_sum") / F.sum("n")).alias("chargeback_ratio_90d"))
     g = g.withColumn("velocity_score", F.least(F.col("tx_count_24h") / 20, F.lit(1.0)))
     return g.select(F.col("customer_sk").cast("string").alias("customer_id"), *FEATURE_FIELDS)
 
