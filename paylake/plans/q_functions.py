@@ -108,6 +108,8 @@ register("f13_json", """
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""")(
     lambda s, d: T(s, d).events.select("event_id", SF.json_field("props", "k").cast("int").alias("k")))
 
+# the set per user is bounded by the event-type domain (5 values) and is
+# deduplicated map-side, so a hot user does not grow it
 register("f14_array_ops", """
 SELECT user_id, COUNT(DISTINCT event_type) AS n_types,
        bool_or(event_type = 'purchase') AS has_purchase FROM events GROUP BY 1""")(

@@ -278,6 +278,8 @@ def daily_report(tx: DataFrame, as_of, n_frauds: int = 20) -> DataFrame:
     )).alias("kv")).select("section", "rank", "kv.field", "kv.value")
     cats = top_fraud_categories(tx, as_of)
     from pyspark.sql import Window as W
+    # the two unpartitioned rank windows below run on at most n (10 / 20)
+    # rows: they follow a limit
     cats = cats.withColumn("rank", F.row_number().over(W.orderBy(F.col("fraud_count").desc(), "category")))
     cats = cats.select(F.lit("category").alias("section"), "rank", F.col("category").alias("field"),
                        F.concat_ws("|", F.col("fraud_count").cast("string"), F.col("avg_fraud_amount").cast("string")).alias("value"))
