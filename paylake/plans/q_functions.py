@@ -13,6 +13,7 @@ from paylake.functions import aggregates as A
 from paylake.functions import predicates as P
 from paylake.functions import scalar as SF
 from paylake.plans import domain as D
+from paylake.operators.joins import join_dim
 from paylake.plans.registry import AS_EV, AS_TX, T, _window, register
 
 FACT = ["fact_transaction"]
@@ -192,7 +193,7 @@ SELECT region, CAST(SUM(CASE WHEN status = 'captured' THEN amount_usd ELSE 0 END
        COUNT(*) FILTER (WHERE status = 'refunded') AS n_refunded
 FROM fact_transaction f JOIN (SELECT s_suppkey, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey
                               JOIN region ON n_regionkey = r_regionkey) m ON f.merchant_sk = m.s_suppkey GROUP BY 1"""))(
-    lambda s, d: fact(s, d).join(D.dim_merchant(T(s, d)).select("merchant_sk", "region"), "merchant_sk")
+    lambda s, d: join_dim(fact(s, d), D.dim_merchant(T(s, d)).select("merchant_sk", "region"), "merchant_sk", "inner")
     .groupBy("region").agg(A.sum_if(F.col("status") == "captured", "amount_usd").cast("decimal(38,2)").alias("captured_usd"),
                            A.count_if(F.col("status") == "refunded").alias("n_refunded")))
 register("a06_percentile", "SELECT event_type, ROUND(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")(
@@ -231,7 +232,7 @@ SELECT device_type, AVG(CAST(is_high_fraud_risk AS DOUBLE)) AS label_rate FROM f
 register("l01_sort_nulls", D.with_ctes(["fact_transaction", "dim_customer"], """
 SELECT c.risk_tier, CAST(SUM(f.amount_usd) AS DECIMAL(38,2)) AS volume
 FROM fact_transaction f LEFT JOIN dim_customer c USING (customer_sk) GROUP BY 1 ORDER BY volume DESC NULLS LAST"""))(
-    lambda s, d: fact(s, d).join(D.dim_customer(T(s, d)).select("customer_sk", "risk_tier"), "customer_sk", "left")
+    lambda s, d: join_dim(fact(s, d), D.dim_customer(T(s, d)).select("customer_sk", "risk_tier"), "customer_sk")
     .groupBy("risk_tier").agg(F.sum("amount_usd").cast("decimal(38,2)").alias("volume"))
     .orderBy(F.col("volume").desc_nulls_last(), F.col("risk_tier").asc_nulls_first()))
 register("l02_top_k", D.with_ctes(FACT, """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from paylake.operators import quality as Q
+from paylake.operators.joins import join_dim
 from paylake.plans import domain as D
 from paylake.plans.registry import AS_EV, AS_IN, AS_TX, T, _window, register
 from paylake.sources import changes as C
@@ -93,7 +94,7 @@ def _fact_rules():
 
 def _rules_query(s, d):
     t = T(s, d)
-    f = D.fact_transaction(t).join(D.dim_customer(t).select("customer_sk", "country_code"), "customer_sk", "left")
+    f = join_dim(D.fact_transaction(t), D.dim_customer(t).select("customer_sk", "country_code"), "customer_sk")
     return Q.rule_report(f, _fact_rules())
 
 
