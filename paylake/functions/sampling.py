@@ -46,8 +46,9 @@ def select_smallest(df: DataFrame, id_col: str, seed: int, quota: Callable[[Colu
     groups = c.select(*by, "_n", "_k").distinct()
     cut = c.filter((F.col("_before") < F.col("_k")) & (F.col("_cum") >= F.col("_k"))) \
            .select(*by, F.col("_b").alias("_cut"), (F.col("_k") - F.col("_before")).alias("_need"))
-    info = groups.join(cut, by, "left") if by else groups.withColumn("_j", F.lit(1)).join(
-        cut.withColumn("_j", F.lit(1)), "_j", "left").drop("_j")
+    # groups and cut have one row per group: bounded, broadcast
+    info = groups.join(F.broadcast(cut), by, "left") if by else groups.withColumn("_j", F.lit(1)).join(
+        F.broadcast(cut.withColumn("_j", F.lit(1))), "_j", "left").drop("_j")
     x = x.join(F.broadcast(info), by, "left") if by else x.withColumn("_j", F.lit(1)).join(
         F.broadcast(info.withColumn("_j", F.lit(1))), "_j", "left").drop("_j")
     in_cut = F.coalesce(F.col("_b") == F.col("_cut"), F.lit(False))
