@@ -114,3 +114,16 @@ def test_alert_sink_first_score_wins(spark):
     assert sorted(a) == ["t1", "t2", "t3"]
     assert a["t1"].decision == "block" and str(a["t1"].score) == "0.7000"   # first score kept
     assert a["t2"].reasons == ["high_amount", "very_high_amount", "high_risk_country"]
+
+
+def test_cv_auc_parallel_folds(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    df = spark.range(400).select(F.col("id").cast("string").alias("id"), (F.col("id") % 7).cast("double").alias("x"),
+                                 (F.col("id") % 7 >= 4).cast("int").alias("label"))
+    df = ML.fold_column(df, "id", folds=3)
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"),
+                            RandomForestClassifier(numTrees=5, maxDepth=3, seed=1)])
+    aucs = ML.cv_auc(pipe, df, folds=3)
+    assert len(aucs) == 3 and min(aucs) > 0.99
