@@ -36,19 +36,25 @@ def apply_changes(base: DataFrame, changes: DataFrame, keys, order_col: str,
                   op_col: str = "op", delete_value: str = "d") -> DataFrame:
     """Insert/update/delete log -> current state per key.
 
-    ``base`` rows carry a null change order, so any change of the same key
-    wins (nulls sort lowest inside ``max(struct)``); the newest change per
-    key decides, and a delete removes the key.
+    Only keys that appear in ``changes`` are re-resolved: base rows of other
+    keys pass through an anti-join untouched, so a change batch costs the
+    changed keys, not a re-aggregation of the whole table. For a changed key
+    the base row carries a null change order (nulls sort lowest inside
+    ``max(struct)``), so any change wins; the newest change decides, and a
+    delete removes the key.
     """
     keys = _keys(keys)
     cols = list(base.columns)
-    b = base
-    if order_col not in b.columns:
-        b = b.withColumn(order_col, F.lit(None).cast(changes.schema[order_col].dataType))
-    b = b.withColumn(op_col, F.lit("base"))
-    allr = b.unionByName(changes.select(*b.columns))
+    changed = changes.select(*keys).distinct()
+    untouched = base.join(changed, keys, "left_anti")
+    touched = base.join(changed, keys, "left_semi")
+    if order_col not in touched.columns:
+        touched = touched.withColumn(order_col, F.lit(None).cast(changes.schema[order_col].dataType))
+    touched = touched.withColumn(op_col, F.lit("base"))
+    allr = touched.unionByName(changes.select(*touched.columns))
     latest = latest_per_key(allr, keys, [order_col])
-    return latest.filter(F.col(op_col) != delete_value).select(*cols)
+    resolved = latest.filter(F.col(op_col) != delete_value).select(*cols)
+    return untouched.select(*cols).unionByName(resolved)
 
 
 # S08 -----------------------------------------------------------------
