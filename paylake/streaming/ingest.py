@@ -149,10 +149,21 @@ def keyed_append(rows: DataFrame, path: str, batch_id: int, key: str) -> DataFra
     """Append the rows whose ``key`` is not stored yet (first one wins, as a
     unique index would enforce); replay-safe per batch id. Returns the rows
     written."""
+    from pyspark.errors import AnalysisException
+
     spark = rows.sparkSession
-    stored = _read_or_empty(spark, path, f"{key} string, batch_id string")
-    stored = stored.filter(F.col("batch_id") != str(batch_id)).select(key)
+    try:
+        stored = spark.read.parquet(path).filter(F.col("batch_id") != str(batch_id)).select(key)
+    except AnalysisException:  # nothing stored yet: no read of the target
+        new = insert_ignore(spark.createDataFrame([], f"{key} string"), rows, key)
+        write_batch(new, path, batch_id)
+        return spark.read.parquet(path).filter(F.col("batch_id") == str(batch_id)).drop("batch_id")
+    # keys of this batch already stored: the stored key column is scanned and
+    # filtered against the broadcast batch keys (a micro-batch is bounded by
+    # the source's rate limit), so the key history is never shuffled
     seen = stored.join(F.broadcast(rows.select(key).distinct()), key, "left_semi")
+    # reliable checkpoint (shared folder): the new rows no longer depend on
+    # reading the table this batch is about to write
     new = insert_ignore(seen, rows, key).checkpoint(eager=True)
     write_batch(new, path, batch_id)
     return new
