@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,14 +57,17 @@ def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a
-    shared folder there). Only when it is unset - local tests - a folder is
-    chosen and registered; on a cluster it is always set.
+    shared folder there). Where it is unset, a folder is chosen and
+    registered: ``fallback``, else for a ``local`` master a temporary folder
+    (driver and executors are one process), else - on a cluster - a folder
+    beside the warehouse, which all executors share; never a machine-local one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or fallback
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = fallback or os.path.join("/tmp", f"paylake-ckpt-{uuid.uuid4().hex[:8]}")
+        if re.match(r"local(\[|$)", spark.sparkContext.master):
+            root = os.path.join(tempfile.gettempdir(), f"paylake-ckpt-{uuid.uuid4().hex[:8]}")
+        else:
+            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_paylake_scratch"
         spark.conf.set("spark.checkpoint.dir", root)
     spark.sparkContext.setCheckpointDir(root)
     return root
