@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylake.llm import packing, token_orc
+from paylake.llm import langid, packing, token_orc, toxicity, url_filter
 from paylake.llm.common import Scratch
 from paylake.session import read_table
 
@@ -33,3 +33,18 @@ def op9(spark, sf_dir):
     path = Scratch(spark, "orc").path("ids")
     token_orc.write_ids(read_table(spark, sf_dir, "documents"), path)
     return token_orc.digests(token_orc.read_ids(spark, path))
+
+
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_pu_toxicity")
+def op6(spark, sf_dir):
+    return toxicity.detect(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op7_url_vocabulary", url_filter.sql())
+def op7(spark, sf_dir):
+    return url_filter.filter_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
