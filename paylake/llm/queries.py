@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylake.llm import langid, packing, token_orc, toxicity, url_filter
+from paylake.llm import langid, minhash, packing, token_orc, toxicity, url_filter
 from paylake.llm.common import Scratch
 from paylake.session import read_table
 
@@ -48,3 +48,8 @@ def op6(spark, sf_dir):
 @query("op7_url_vocabulary", url_filter.sql())
 def op7(spark, sf_dir):
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op8_circulant_minhash")
+def op8(spark, sf_dir):
+    return minhash.components(read_table(spark, sf_dir, "documents"))
