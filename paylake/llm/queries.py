@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylake.llm import langid, minhash, packing, token_orc, toxicity, url_filter
+from paylake.llm import cap_filters, langid, minhash, packing, token_orc, toxicity, url_filter
 from paylake.llm.common import Scratch
 from paylake.session import read_table
 
@@ -53,3 +53,8 @@ def op7(spark, sf_dir):
 @query("op8_circulant_minhash")
 def op8(spark, sf_dir):
     return minhash.components(read_table(spark, sf_dir, "documents"))
+
+
+@query("op4_cap_filters")
+def op4(spark, sf_dir):
+    return cap_filters.near_duplicates(read_table(spark, sf_dir, "embeddings"))
