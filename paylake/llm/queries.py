@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylake.llm import cap_filters, langid, minhash, packing, token_orc, toxicity, url_filter
+from paylake.llm import cap_filters, decontaminate, langid, minhash, packing, token_orc, toxicity, url_filter
 from paylake.llm.common import Scratch
 from paylake.session import read_table
 
@@ -58,3 +58,8 @@ def op8(spark, sf_dir):
 @query("op4_cap_filters")
 def op4(spark, sf_dir):
     return cap_filters.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_qgram_decontamination")
+def op2(spark, sf_dir):
+    return decontaminate.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
