@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylake.llm import cap_filters, decontaminate, langid, minhash, packing, token_orc, toxicity, url_filter
+from paylake.llm import cap_filters, decontaminate, langid, minhash, packing, suffix_dedup, token_orc, toxicity, url_filter
 from paylake.llm.common import Scratch
 from paylake.session import read_table
 
@@ -63,3 +63,8 @@ def op4(spark, sf_dir):
 @query("op2_qgram_decontamination")
 def op2(spark, sf_dir):
     return decontaminate.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_induced_suffix_dedup")
+def op10(spark, sf_dir):
+    return suffix_dedup.digests(read_table(spark, sf_dir, "documents"))
