@@ -10,9 +10,10 @@ Signatures are cut into bands; classes that agree in a band meet in a bucket.
 Links are found in two rounds, so that no bucket is expanded into all pairs:
 every member against its bucket's first member, and, once those links have
 merged classes into components, members of different components that still
-share a bucket, in blocks of bounded size. A candidate is dropped early only
+share a bucket, in blocks of bounded size that return only the links that
+merge components. A candidate is dropped early only
 when sizes rule the link out or the signatures agree far less than a link
-would (see ``EARLY``); every link is confirmed on the two full sets.
+would (see ``ERRORS``); every link is confirmed on the two full sets.
 """
 
 from __future__ import annotations
@@ -27,13 +28,16 @@ from pyspark.sql import functions as F
 from paylake.llm.common import Scratch, connected_components, raw_text, ship
 
 SHINGLE = 5
-# 24 bands of 5: a pair at 0.85 misses every band with probability (1 - 0.85^5)^24 < 1e-6
+# 24 bands of 5: a pair at 0.85 misses every band with probability (1 - 0.85^5)^24 < 1e-6, one at 0.8 < 1e-4
 BANDS, ROWS = 24, 5
 UNIVERSE = 1 << 20
+# the usual limit of near-duplicate stages on word shingles
+PIPELINE_PERCENT = 80
 SEED = 20240611
-# signature agreement under which no check is made: at 0.85 it has a mean over 0.85 and a
-# standard error of 0.033 over 120 coordinates, so this is 4.5 of them away
-EARLY = 0.70
+# coordinates of the whole signature (the first ones make the bands), one byte each where it is compared
+COORDINATES = 256
+# no check is made where signatures agree so many standard errors less than a link's do on average
+ERRORS = 4.5
 BLOCK = 1024
 _TABLES: list = []
 
@@ -41,7 +45,7 @@ _TABLES: list = []
 def _tables():
     if not _TABLES:
         rng = np.random.default_rng(SEED)
-        k = BANDS * ROWS
+        k = COORDINATES
         pi = rng.permutation(UNIVERSE).astype(np.uint32)
         pi = np.concatenate([pi, pi[:k]])
         byte = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,23 +117,30 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     h = np.zeros(BANDS, dtype=np.uint64)
-    for x in sig.reshape(BANDS, ROWS).T:
+    for x in sig[:BANDS * ROWS].reshape(BANDS, ROWS).T:
         h = mix(h * np.uint64(5) + x.astype(np.uint64))
     return mix(h + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def early(percent: int) -> float:
+    """Share of equal coordinates under which a link at ``percent`` is ruled out."""
+    p = percent / 100
+    return p - ERRORS * float(np.sqrt(p * (1 - p) / COORDINATES))
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (hash of the whole set, null if empty), keys (band keys), sig (a byte per coordinate)."""
+    """doc_id, n_shingles, set_id (hash of the whole set, null if empty), keys (band keys), sig (a byte per
+    coordinate), tag (32 bits per band key)."""
     ship(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            n, ids, keys, sigs = [], [], [], []
+            n, ids, keys, sigs, tags = [], [], [], [], []
             for raw in b.column(1).to_pylist():
                 s = shingle_set(raw)
                 n.append(len(s))
@@ -138,28 +149,26 @@ def sets(docs: DataFrame) -> DataFrame:
                     ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     keys.append(band_keys(sig))
                     sigs.append((sig & 0xFF).astype(np.uint8).tobytes())
+                    tags.append(keys[-1].astype("<u4").tobytes())
                 else:
-                    for x in (ids, keys, sigs):
+                    for x in (ids, keys, sigs, tags):
                         x.append(None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_id", "keys", "sig"])
+                 pa.array(sigs, pa.binary()), pa.array(tags, pa.binary())],
+                ["doc_id", "n_shingles", "set_id", "keys", "sig", "tag"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text()).mapInArrow(
-        run, "doc_id long, n_shingles long, set_id binary, keys array<long>, sig binary")
-
-
-def _agree(a: bytes, b: bytes) -> float:
-    return float(np.mean(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)))
+        run, "doc_id long, n_shingles long, set_id binary, keys array<long>, sig binary, tag binary")
 
 
 def near(rows: DataFrame, percent: int) -> DataFrame:
     """``rows`` (a, b, na, nb, siga, sigb) whose sizes and signatures leave a link possible: a, b."""
     def run(batches):
-        k = BANDS * ROWS
+        k = COORDINATES
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, k) for c in ("siga", "sigb"))
-            ok = pa.array((x == y).mean(axis=1) >= EARLY)
+            ok = pa.array((x == y).mean(axis=1) >= early(percent))
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
@@ -197,58 +206,99 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def blocks_across(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components within buckets.
-
-    ``members``: key, doc, comp, n, sig. A bucket of more than ``BLOCK`` members
-    is cut into blocks, and every pair of blocks goes to a task of its own.
+def _open_pairs(own, doc, comp, n, sig, tag, percent: int, key: int):
+    """For each row of a block (pair) the rows after it that may link to it and meet it in no earlier band."""
+    one = own.min() == own.max()
+    here = tag == np.uint32(key & 0xFFFFFFFF)
+    for r in range(len(doc)):
+        ok = (comp != comp[r]) & ((doc > doc[r]) if one else (own > own[r]))
+        ok &= np.minimum(n, n[r]) * 100 >= np.maximum(n, n[r]) * percent
+        at = np.flatnonzero(ok)
+        if len(at):
+            at = at[(sig[at] == sig[r]).mean(axis=1) >= early(percent)]
+        if len(at):
+            both = tag[at] == tag[r]
+            at = at[here[at, both.argmax(axis=1)]]
+        if len(at):
+            yield r, at
+
+
+def _groups(batches, width: int):
+    """(key, rows) of consecutive rows with equal first three columns."""
+    key, rows = None, []
+    for t in batches:
+        for r in zip(*(t.column(i).to_pylist() for i in range(width)), strict=True):
+            if r[:3] != key:
+                if rows:
+                    yield key, rows
+                key, rows = r[:3], []
+            rows.append(r[3:])
+    if rows:
+        yield key, rows
+
+
+def _columns(rows):
+    own, doc, comp, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+    sig, tag = (np.frombuffer(b"".join([r[k] for r in rows]), kind).reshape(len(rows), -1) for k, kind in ((4, np.uint8), (5, "<u4")))
+    return own, doc, comp, n, sig, tag
+
+
+def links_across(members: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between different components within buckets, enough to merge all that are linked.
+
+    ``members``: key, doc, comp, n, sig, tag. A bucket of more than ``BLOCK``
+    members is cut into blocks, and every pair of blocks goes to a task of its
+    own. A first pass finds the members that have a candidate, a second one
+    reads their texts. Of a pair that shares several bands only the first counts.
     """
     size = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
     cut = members.join(size, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")) \
         .withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "comp", "n", "sig") \
-        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
-
-    def links(rows):
-        own, doc, comp, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
-        sig = np.frombuffer(b"".join([r[4] for r in rows]), np.uint8).reshape(len(rows), -1)
-        one_block = own.min() == own.max()
-        for r in range(len(rows)):
-            ok = (comp != comp[r]) & (doc > doc[r]) if one_block else (comp != comp[r]) & (own > own[r])
-            ok &= np.minimum(n, n[r]) * 100 >= np.maximum(n, n[r]) * percent
-            at = np.flatnonzero(ok)
-            at = at[(sig[at] == sig[r]).mean(axis=1) >= EARLY] if len(at) else at
-            for b in doc[at].tolist():
-                yield min(int(doc[r]), b), max(int(doc[r]), b)
-
-    def run(batches):
-        group, rows, out = None, [], ([], [])
-
-        def done():
-            if len(rows) > 1 and not (group[1] != group[2] and len({r[0] for r in rows}) < 2):
-                for a, b in links(rows):
-                    out[0].append(a)
-                    out[1].append(b)
-
-        def flush():
-            got = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
-            out[0].clear()
-            out[1].clear()
-            return got
-
-        for t in batches:
-            for r in zip(*(t.column(i).to_pylist() for i in range(8)), strict=True):
-                if r[:3] != group:
-                    done()
-                    group, rows = r[:3], []
-                    if len(out[0]) > 50_000:
-                        yield flush()
-                rows.append(r[3:])
-        done()
-        yield flush()
-
-    return pairs.mapInArrow(run, "a long, b long").distinct()
+    place = ["key", "i", "j"]
+    rows = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "comp", "n", "sig", "tag")
+
+    def find(batches):
+        names = [*place, "own", "doc", "comp", "n", "sig", "tag"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        for key, group in _groups(batches, 9):
+            cols, live = _columns(group), set()
+            for r, at in _open_pairs(*cols, percent, key[0]):
+                live.add(r)
+                live.update(at.tolist())
+            if live:
+                out = [(*key, *group[r]) for r in sorted(live)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    schema = "key long, i int, j int, own int, doc long, comp long, n long, sig binary, tag binary"
+    live = scratch.save(rows.repartition(*place).sortWithinPartitions(*place, "doc").mapInArrow(find, schema), "live")
+    read = live.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select(
+        *place, "own", "doc", "comp", "n", "sig", "tag", "raw").repartition(*place).sortWithinPartitions(*place, "doc")
+
+    def confirm_open(batches):
+        for key, group in _groups(batches, 10):
+            cols, known, root, found = _columns(group), {}, {}, []
+
+            def top(c):
+                while c in root:
+                    c = root[c]
+                return c
+
+            def own_set(r):
+                if r not in known:
+                    known[r] = shingle_set(group[r][6])
+                return known[r]
+
+            for r, at in _open_pairs(*cols, percent, key[0]):
+                for k in at.tolist():
+                    x, y = top(group[r][2]), top(group[k][2])
+                    if x != y and similar(own_set(r), own_set(k), percent):
+                        root[x] = y
+                        found.append((group[r][1], group[k][1]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return read.mapInArrow(confirm_open, "a long, b long")
 
 
 def components(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -265,13 +315,13 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     # a representative's row per class; equal sets have equal signatures and keys
     reps = known.join(classes.select("set_id", "rep"), "set_id").filter("doc_id = rep") \
         .groupBy("set_id").agg(F.first("rep").alias("doc"), F.first("n_shingles").alias("n"),
-                               F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+                               F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("tag").alias("tag"))
     posts = reps.select("doc", F.explode("keys").alias("key"))
     buckets = posts.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
     posts = s.save(posts.join(buckets.select("key", "first"), "key"), "posts")  # only keys that several classes share
-    sigs = s.save(reps.select("doc", "n", "sig").join(posts.select("doc").distinct(), "doc", "left_semi"), "sigs")
+    sigs = s.save(reps.select("doc", "n", "sig", "tag").join(posts.select("doc").distinct(), "doc", "left_semi"), "sigs")
     texts = s.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("raw"))
-                   .join(sigs.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+                   .join(sigs.select(F.col("doc").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
     side = lambda x: sigs.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"))
     star = posts.filter("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
     stars = near(star.join(side("a"), "a").join(side("b"), "b"), percent)
@@ -280,11 +330,8 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     placed = posts.join(merged.withColumnRenamed("node", "doc"), "doc", "left") \
         .select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    members = placed.join(mixed, "key").join(sigs, "doc").select("key", "doc", "comp", "n", "sig")
-    more = s.save(blocks_across(members, percent), "across")
-    # a pair that the first round has refused need not be read again
-    more = more.join(s.spark.read.parquet(s.path("stars")), ["a", "b"], "left_anti")
-    found = s.save(confirm(s.save(more, "open"), texts, percent), "more")
+    members = placed.join(mixed, "key").join(sigs, "doc").select("key", "doc", "comp", "n", "sig", "tag")
+    found = s.save(links_across(members, texts, s, percent), "more")
     own = known.select("doc_id", "set_id").join(classes.select("set_id", "rep"), "set_id")
     copies = own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     # copies join the graph only where a doc_id repeats with different texts; else the class's component is theirs
@@ -293,7 +340,7 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     out = s.save(all_sets.select("doc_id", "n_shingles").join(whole, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept")), "out")
-    s.drop("sets", "posts", "sigs", "texts", "stars", "links", "across", "open", "more")
+    s.drop("sets", "posts", "sigs", "texts", "stars", "links", "live", "more")
     return out
 
 
