@@ -122,9 +122,9 @@ def sql(rules=RULES, strict=STRICT, soft=SOFT, limit: int = LIMIT) -> str:
     hit = "CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){}([^a-z0-9]|$)') THEN {} ELSE 0 END"
     weight = " + ".join(hit.format(t, w) for t, w in weights(strict, soft, limit).items())
     return f"""
-    WITH a AS (SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS at FROM pages),
+    WITH a AS (SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS cut FROM pages),
     b AS (SELECT page_id, translate(u, '{UPPER}', '{LOWER}') AS low,
-                 CASE WHEN at > 0 THEN substr(u, at + 3) ELSE '' END AS rest FROM a),
+                 CASE WHEN cut > 0 THEN substr(u, cut + 3) ELSE '' END AS rest FROM a),
     c AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS h FROM b),
     d AS (SELECT page_id, low, translate(h, '{UPPER}', '{LOWER}') AS host,
                  regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM c),
