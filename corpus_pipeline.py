@@ -1,7 +1,61 @@
-"""placeholder"""
-STAGES = []
+"""From raw documents to packed training sequences: the corpus pipeline.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before
+it kept. ``run`` writes each stage's rows as Parquet under the shared checkpoint
+folder and reads them back, so a lost executor costs a stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from paylake.llm import decontaminate, minhash, packing, suffix_dedup, toxicity
+from paylake.llm.common import Scratch
+from paylake.session import read_table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not call toxic."""
+    return toxicity.drop_toxic(docs, read_table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return minhash.drop_near_duplicates(docs, minhash.PIPELINE_PERCENT)
+
+
+def drop_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of strings that occur earlier."""
+    return suffix_dedup.drop_repeated_text(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and place."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash", drop_near_duplicates),
+    ("suffix_dedup", drop_repeated_text),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+# trained scores, MinHash groups, fuzzy alignment and token ids are beyond SQL; tests/llm compares with brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return None
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: the packed pieces of what is kept."""
+    scratch = Scratch(spark, "pipeline")
+    docs = read_table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"{i}-{name}")
+        if i:
+            scratch.drop(f"{i - 1}-{STAGES[i - 1][0]}")
+    return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylake.llm import cap_filters, decontaminate, langid, minhash, packing, suffix_dedup, token_orc, toxicity, url_filter
+from paylake.llm import cap_filters, decontaminate, fixity, langid, minhash, packing, suffix_dedup, token_orc, toxicity, url_filter
 from paylake.llm.common import Scratch
 from paylake.session import read_table
 
@@ -68,3 +68,8 @@ def op2(spark, sf_dir):
 @query("op10_induced_suffix_dedup")
 def op10(spark, sf_dir):
     return suffix_dedup.digests(read_table(spark, sf_dir, "documents"))
+
+
+@query("op5_merkle_fixity", fixity.sql())
+def op5(spark, sf_dir):
+    return fixity.audit_pages(read_table(spark, sf_dir, "pages"))
