@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paylake.llm.common import Scratch, raw_text, ship
-from paylake.llm.word_tokens import encode_in_groups
+from paylake.llm.word_tokens import encode_each
 
 CAPACITY = 4096
 END_ID = 1
@@ -114,7 +114,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,
         for b in batches:
             rows, n = defaultdict(list), 0
             doc_ids = b.column(0).to_pylist()
-            for doc_id, ids in zip(doc_ids, encode_in_groups(b.column(1).to_pylist(), vocabulary), strict=True):
+            for doc_id, ids in zip(doc_ids, encode_each(b.column(1).to_pylist(), vocabulary), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]

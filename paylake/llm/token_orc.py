@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paylake.llm.common import raw_text, ship
-from paylake.llm.word_tokens import encode_in_groups
+from paylake.llm.word_tokens import encode_each
 
 END_ID = 2
 STRIPE_BYTES = 16 << 20
@@ -39,7 +39,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary: str
         for b in batches:
             doc_ids = b.column(0).to_pylist()
             out, size = ([], [], []), 0
-            for i, ids in enumerate(encode_in_groups(b.column(1).to_pylist(), vocabulary)):
+            for i, ids in enumerate(encode_each(b.column(1).to_pylist(), vocabulary)):
                 ids += end
                 for x, v in zip(out, (doc_ids[i], at, ids), strict=True):
                     x.append(v)
@@ -67,17 +67,14 @@ def write_ids(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary: str
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows with ``start``, the ids of all rows before a row in file order."""
-    rows = spark.read.schema(SCHEMA).orc(path).withColumn(
-        "_file", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long"))
-    files = rows.groupBy("_file").agg(F.sum("n_tokens").alias("_n"))  # a row per file
-    first = files.withColumn("_before", F.sum("_n").over(W.orderBy("_file")) - F.col("_n")).drop("_n")
-    return rows.join(first, "_file").withColumn("start", F.col("_before") + F.col("start_in_file")) \
-        .drop("_file", "_before", "start_in_file")
+    """The files' rows, with the number of the file that each comes from (files are in order of doc_id)."""
+    return spark.read.schema(SCHEMA).orc(path).withColumn(
+        "file", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long"))
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens (of the ids read) and their crc32."""
+    """doc_id, start (ids of all rows before), n_tokens and crc32 of the ids read. Only these digests are joined with the
+    files' totals (a row per file); the ids stay where they are read."""
     ship(rows.sparkSession)
 
     def run(batches):
@@ -86,8 +83,12 @@ def digests(rows: DataFrame) -> DataFrame:
             ends, values = ids.offsets.to_numpy(), ids.values.to_numpy()
             crc = [zlib.crc32(values[s:e].astype("<u4")) for s, e in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("start"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())],
-                ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return rows.select("doc_id", "start", "ids").mapInArrow(
-        run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                [b.column("doc_id"), b.column("file"), b.column("start_in_file"), pa.array(np.diff(ends).astype(np.int64)),
+                 pa.array(crc, pa.int64())], ["doc_id", "file", "start_in_file", "n_tokens", "ids_crc32"])
+
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
+    first = files.select("file", (F.sum("_n").over(W.orderBy("file")) - F.col("_n")).alias("_before"))
+    each = rows.select("doc_id", "file", "start_in_file", "ids").mapInArrow(
+        run, "doc_id long, file long, start_in_file long, n_tokens long, ids_crc32 long")
+    return each.join(first, "file").select(
+        "doc_id", (F.col("_before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")

@@ -8,12 +8,12 @@ added tokens, and tokenizers that keep white space, are encoded whole.
 
 from __future__ import annotations
 
-import re
+import os
+import unicodedata
 
 import numpy as np
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|\Z)")
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -30,84 +30,80 @@ def encoder(path: str | None = None) -> "WordEncoder":
     return _ENCODERS[path]
 
 
+class _Words(dict):
+    """word (UTF-8) -> its ids as little-endian unsigned 32-bit bytes; unknown words are encoded when looked up."""
+
+    def __init__(self, tok, lower: bool):
+        self.tok, self.lower = tok, lower
+        self.model = tok.model
+        # the byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        # the model may be asked directly where it gives what the whole tokenizer does
+        tests = ["word", "anblewh", "\u00e9cole", "stra\u00dfe", "ci\u00f3n\u00f1a"]
+        self.direct = all(self._direct(t) == self._whole(t) for t in tests)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _direct(self, text: str) -> bytes:
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
+            ids = self[word[:-1]] + self[word[-1:]]  # a stop after a letter is a piece of its own
+        elif self.direct and text.isalpha() and max(text) < "\u0250":
+            text = unicodedata.normalize("NFC", text)
+            ids = self._direct(text.lower() if self.lower else text)
+        else:
+            ids = self._whole(text)
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """``encode(texts)``: for each UTF-8 text its ids, as little-endian unsigned 32-bit bytes.
 
-    The word cache is emptied when it passes ``cache_words`` (memory bound);
-    it never changes a result.
+    The words met are kept and dropped when there are more than ``cache_words``
+    (memory bound); that never changes a result.
     """
 
-    def __init__(self, path: str, cache_words: int = 500_000):
-        import os
+    def __init__(self, path: str, cache_words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
         self.cache_words = cache_words
         self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
         self.by_word = ids("a b\n c") == ids("a") + ids("b") + ids("c")
         self.lower = ids("ABC") == ids("abc")
-        size = self.tok.get_vocab_size()
-        last = [(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(size)]
-        self.ends = np.array(last)  # ids that close a word
-
-    def _whole(self, texts: list[bytes]) -> list[bytes]:
-        out = self.tok.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in out]
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Words of letters only are encoded many to a call and parted at the ids that close a word."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [i for i, t in enumerate(texts) if t.isalpha()]
-        groups = [plain[i:i + 200] for i in range(0, len(plain), 200)]
-        joined = self.tok.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
-        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
-        for g, e in zip(groups, joined, strict=True):
-            ids = np.asarray(e.ids, dtype="<u4")
-            cut = np.flatnonzero(self.ends[ids])
-            if len(cut) != len(g):  # a letter that the tokenizer's tables do not know
-                rest += g
+        self.cache = _Words(self.tok, self.lower)
+
+    def _whole(self, text: bytes) -> bytes:
+        ids = self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def encode(self, texts) -> list[bytes]:
+        out, get = [], self.cache.__getitem__
+        for raw in texts:
+            if not self.by_word or any(a in raw for a in self.added):
+                out.append(self._whole(raw))
                 continue
-            raw, at = ids.tobytes(), 0
-            for i, end in zip(g, ((cut + 1) * 4).tolist(), strict=True):
-                self.cache[words[i]] = raw[at:end]
-                at = end
-        self.cache.update(zip([words[i] for i in rest], self._whole([words[i] for i in rest]), strict=True))
-
-    def _words(self, raw: bytes) -> list[bytes]:
-        # A-Z may be lowered first unless a combining mark follows somewhere (it could compose with the letter)
-        if self.lower and b"\xcc" not in raw and b"\xcd" not in raw:
-            # "word." and "word" share an entry: a stop after a letter and before white space is a piece of its own
-            raw = _STOP.sub(rb" \1", raw.lower())
-        return raw.split()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if not self.by_word:
-            return self._whole(texts)
-        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        skip = set(whole)
-        words = [[] if i in skip else self._words(t) for i, t in enumerate(texts)]
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        new = list(set().union(*words).difference(self.cache))
-        if new:
-            self._learn(new)
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, w)) for w in words]
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]) if whole else [], strict=True):
-            out[i] = ids
+            # A-Z may be lowered first unless a combining mark follows somewhere (it could compose with the letter)
+            if self.lower and b"\xcc" not in raw and b"\xcd" not in raw:
+                raw = raw.lower()
+            out.append(b"".join(map(get, raw.split())))
+            if len(self.cache) > self.cache_words:
+                self.cache.clear()
         return out
 
 
-def encode_in_groups(texts: list[bytes], path: str | None = None, group_bytes: int = 1 << 20):
-    """Yields the ids of each text in order, encoding about ``group_bytes`` of text at a time."""
-    enc, part, size = encoder(path), [], 0
+def encode_each(texts: list[bytes], path: str | None = None):
+    """Yields the ids of each text in order."""
+    enc = encoder(path)
     for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= group_bytes:
-            yield from enc.encode(part)
-            part, size = [], 0
-    if part:
-        yield from enc.encode(part)
+        yield enc.encode([t])[0]
