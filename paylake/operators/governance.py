@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylake.functions.predicates import lookback, window_bounds
+from paylake.functions.predicates import window_bounds
 
 # --- fixed values ---------------------------------------------------------
 # Retention (days) of the event collections, archive lifecycle (days -> class)
@@ -28,16 +28,20 @@ def pseudonymise(customers: DataFrame, email: str = "email", drop=("first_name",
 
 
 # G02 -----------------------------------------------------------------
+def _start(df: DataFrame, ts: str, as_of, days: int):
+    ntz = dict(df.dtypes)[ts] == "timestamp_ntz"
+    return F.lit(window_bounds(as_of, days)[0]).cast("timestamp_ntz" if ntz else "timestamp")
+
+
 def retain(df: DataFrame, ts: str, as_of, days: int) -> DataFrame:
-    """Rows still inside the retention period (what an overwrite keeps)."""
-    return lookback(df, ts, as_of, days)
+    """What an overwrite keeps: rows from ``as_of - days`` on, whatever their
+    upper end, and rows without a time. With ``expired`` that is every row."""
+    return df.filter(F.col(ts).isNull() | (F.col(ts) >= _start(df, ts, as_of, days)))
 
 
 def expired(df: DataFrame, ts: str, as_of, days: int) -> DataFrame:
     """Rows past the retention period (what a retention job deletes)."""
-    start = window_bounds(as_of, days)[0]
-    dtype = dict(df.dtypes)[ts]
-    return df.filter(F.col(ts) < F.lit(start).cast("timestamp_ntz" if dtype == "timestamp_ntz" else "timestamp"))
+    return df.filter(F.col(ts) < _start(df, ts, as_of, days))
 
 
 # G03 -----------------------------------------------------------------
@@ -67,6 +71,11 @@ def subject_export(tables: dict[str, tuple[DataFrame, str]], subject: str = "cus
 
 
 # G05 -----------------------------------------------------------------
+def erase_all(tables: dict[str, tuple[DataFrame, str]], deleted_keys: DataFrame, deleted_key: str) -> dict[str, DataFrame]:
+    """Every table without the rows of the deleted subjects: name -> (table, its subject column) in, name -> table out."""
+    return {name: erase(df, deleted_keys, key, deleted_key) for name, (df, key) in tables.items()}
+
+
 def erase(table: DataFrame, deleted_keys: DataFrame, key: str, deleted_key: str | None = None) -> DataFrame:
     dk = deleted_keys.select(F.col(deleted_key or key).alias(key)).distinct()
     return table.join(dk, key, "left_anti")
@@ -74,14 +83,12 @@ def erase(table: DataFrame, deleted_keys: DataFrame, key: str, deleted_key: str
 
 # G06 -----------------------------------------------------------------
 def shared_cards(methods: DataFrame, fingerprint: str = "fingerprint", customer: str = "customer_id") -> DataFrame:
-    """Fingerprints used by more than one customer, with bounded output per
-    fingerprint (counts and the two extreme customer ids, no id list)."""
-    return methods.groupBy(fingerprint).agg(
-        F.countDistinct(customer).alias("n_customers"),
-        F.count(F.lit(1)).alias("n_methods"),
-        F.min(customer).alias("first_customer"),
-        F.max(customer).alias("last_customer"),
-    ).filter(F.col("n_customers") > 1)
+    """Fingerprints used by more than one customer: a row per fingerprint and
+    customer with the customer's methods and the fingerprint's customers. All
+    customers are listed; none is gathered into a list."""
+    pairs = methods.groupBy(fingerprint, customer).agg(F.count(F.lit(1)).alias("n_methods"))
+    shared = pairs.groupBy(fingerprint).agg(F.count(F.lit(1)).alias("n_customers")).filter("n_customers > 1")
+    return pairs.join(shared, fingerprint)
 
 
 # G07 -----------------------------------------------------------------

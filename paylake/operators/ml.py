@@ -30,6 +30,7 @@ CV_FOLDS = 5
 SEED = 42
 GATES = {"recall": 0.5, "precision": 0.15}
 AUC_MIN = 0.85
+AUC_BUCKETS = 4096
 CATEGORICAL = ["device_type", "risk_tier", "mcc_category"]
 NUMERIC = ["amount_usd", "is_3d_secure", "country_is_high_risk"]
 
@@ -49,32 +50,59 @@ def payment_features(df: DataFrame) -> DataFrame:
     })
 
 
-def payment_vector_stage(output: str = "raw_features"):
+# The same engineering as a pipeline stage, so that a saved model takes the seven
+# raw inputs: bad or missing values -> 0, then the six fields under names of their own.
+SERVED = [f"f_{c}" for c in VECTOR_FIELDS]
+_RAW = ", ".join(
+    (f"coalesce(try_cast(cast(`{c}` AS string) AS double), 0D)" if c not in ("city_pop", "unix_time")
+     else f"cast(coalesce(try_cast(cast(`{c}` AS string) AS double), 0D) AS bigint)") + f" AS _r_{c}"
+    for c in MODEL_FEATURES)
+_HOUR = "floor(pmod(_r_unix_time, 86400) / 3600) * (2 * pi()) / 24"
+ENGINEERING_SQL = f"""SELECT *, _r_amt AS f_amt, log1p(_r_amt) AS f_log_amt, cast(_r_city_pop AS double) AS f_city_pop,
+    sqrt(pow(_r_lat - _r_merch_lat, 2) + pow(_r_long - _r_merch_long, 2)) AS f_distance_to_merchant,
+    sin({_HOUR}) AS f_hour_sin, cos({_HOUR}) AS f_hour_cos FROM (SELECT *, {_RAW} FROM __THIS__)"""
+
+
+def engineering_stage():
+    from pyspark.ml.feature import SQLTransformer
+    return SQLTransformer(statement=ENGINEERING_SQL)
+
+
+def payment_vector_stage(output: str = "raw_features", inputs=VECTOR_FIELDS):
     from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=VECTOR_FIELDS, outputCol=output, handleInvalid="keep")
+    return VectorAssembler(inputCols=list(inputs), outputCol=output, handleInvalid="keep")
 
 
 # M02 -----------------------------------------------------------------
-def scaler_stage(input_col: str = "raw_features", output: str = "features"):
-    """Mean 0, unit std. MLlib uses the sample std (n-1) where the source
-    used the population std: an affine difference only."""
-    from pyspark.ml.feature import StandardScaler
-    return StandardScaler(inputCol=input_col, outputCol=output, withMean=True, withStd=True)
+def scaler_stages(n_rows: int, width: int, input_col: str = "raw_features", output: str = "features"):
+    """Mean 0, population deviation 1: MLlib divides by the sample deviation,
+    the second stage by its ratio sqrt((n - 1) / n)."""
+    from pyspark.ml.feature import ElementwiseProduct, StandardScaler
+    from pyspark.ml.linalg import Vectors
+    ratio = math.sqrt(n_rows / (n_rows - 1)) if n_rows > 1 else 1.0
+    return [StandardScaler(inputCol=input_col, outputCol=f"{output}_sample", withMean=True, withStd=True),
+            ElementwiseProduct(inputCol=f"{output}_sample", outputCol=output, scalingVec=Vectors.dense([ratio] * width))]
 
 
 # M03 -----------------------------------------------------------------
-def one_hot_stages(cols=CATEGORICAL):
-    """Null -> 'unknown' (``fill_categoricals``), then one-hot dropping the
-    alphabetically first category: indexer ordered alphabetDesc puts it
-    last, and dropLast removes it. An "invalid" slot (handleInvalid="keep")
-    would be the one dropped instead, so a category never seen in training
-    is an error here rather than a silent all-zero vector."""
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-    idx = [StringIndexer(inputCol=f"{c}_f", outputCol=f"{c}_idx", stringOrderType="alphabetDesc",
-                         handleInvalid="error") for c in cols]
-    ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}_oh" for c in cols],
-                        dropLast=True, handleInvalid="error")
-    return idx + [ohe]
+def categories(df: DataFrame, cols=CATEGORICAL) -> dict[str, list[str]]:
+    """The sorted categories of each column, null as 'unknown': what is fixed at fit time (a model's columns, so few)."""
+    x = fill_categoricals(df, cols)
+    return {c: sorted(r[0] for r in x.select(f"{c}_f").distinct().collect()) for c in cols}
+
+
+def one_hot_fields(cats: dict[str, list[str]]) -> list[str]:
+    return [f"{c}_oh_{i}" for c, v in cats.items() for i in range(1, len(v))]
+
+
+def one_hot_stages(cats: dict[str, list[str]]):
+    """A 0/1 column for each category but the alphabetically first. A
+    category never seen in training gets zeros, as the source's serving does."""
+    from pyspark.ml.feature import SQLTransformer
+    quote = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    cols = [f"CASE WHEN coalesce(cast(`{c}` AS string), 'unknown') = {quote(x)} THEN 1D ELSE 0D END AS `{c}_oh_{i}`"
+            for c, v in cats.items() for i, x in enumerate(v) if i]
+    return [SQLTransformer(statement="SELECT *" + "".join(f", {x}" for x in cols) + " FROM __THIS__")]
 
 
 def fill_categoricals(df: DataFrame, cols=CATEGORICAL) -> DataFrame:
@@ -112,9 +140,19 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_frac: float =
                            n_buckets=n_buckets, out_col="is_test")
 
 
-def fold_column(df: DataFrame, id_col: str, folds: int = CV_FOLDS, seed: int = SEED) -> DataFrame:
-    """Fold id 0..folds-1 from the id hash (stratified in expectation)."""
-    return df.withColumn("fold", F.floor(_unit_hash(id_col, seed) * folds).cast("int"))
+def fold_column(df: DataFrame, id_col: str, folds: int = CV_FOLDS, seed: int = SEED,
+                label: str = "label", n_buckets: int = 4096) -> DataFrame:
+    """Fold id 0..folds-1, stratified: in seeded hash order the rows of a
+    class are dealt round the folds, so each class is spread evenly to one
+    row. Ranks come from hash buckets (a class is never sorted in one task)."""
+    x = df.withColumn("_u", _unit_hash(id_col, seed)).withColumn(
+        "_b", F.least(F.floor(F.col("_u") * n_buckets), F.lit(n_buckets - 1)).cast("int"))
+    counts = x.groupBy(label, "_b").count()
+    # at most classes x buckets rows
+    before = counts.withColumn("_before", F.sum("count").over(W.partitionBy(label).orderBy("_b")) - F.col("count")).drop("count")
+    rank = F.row_number().over(W.partitionBy(label, "_b").orderBy("_u", id_col)) - 1
+    return x.withColumn("_r", rank).join(before, [label, "_b"]).withColumn(
+        "fold", F.pmod(F.col("_r") + F.col("_before"), F.lit(folds)).cast("int")).drop("_u", "_b", "_r", "_before")
 
 
 # M06 / M07 -----------------------------------------------------------
@@ -143,18 +181,19 @@ def boosted_classifier(features_col: str = "features", label: str = "label", max
     return GBTClassifier(**kw)
 
 
-def payment_pipeline(classifier):
+def payment_pipeline(classifier, n_rows: int):
+    """Raw inputs to prediction: what is saved and served is what was trained."""
     from pyspark.ml import Pipeline
-    return Pipeline(stages=[payment_vector_stage(), scaler_stage(), classifier])
+    return Pipeline(stages=[engineering_stage(), payment_vector_stage(inputs=SERVED),
+                            *scaler_stages(n_rows, len(SERVED)), classifier])
 
 
-def tabular_pipeline(classifier):
+def tabular_pipeline(classifier, cats: dict[str, list[str]]):
     """amount/3DS/high-risk numerics + one-hot categoricals."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
-    asm = VectorAssembler(inputCols=NUMERIC + [f"{c}_oh" for c in CATEGORICAL], outputCol="features",
-                          handleInvalid="keep")
-    return Pipeline(stages=one_hot_stages() + [asm, classifier])
+    asm = VectorAssembler(inputCols=NUMERIC + one_hot_fields(cats), outputCol="features", handleInvalid="keep")
+    return Pipeline(stages=[*one_hot_stages(cats), asm, classifier])
 
 
 def prepare_tabular(df: DataFrame) -> DataFrame:
@@ -204,14 +243,18 @@ def metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction
 
 
 def auc_of(scored: DataFrame, score: str = "_s", label: str = "_y") -> DataFrame:
-    """ROC AUC as a distributed rank statistic (Mann-Whitney with ties):
-    positives' rank sum from per-score counts, no global sort of rows.
-    Scores are binned to 1e-6, so the ordered pass runs over at most ~1e6
-    distinct values whatever the row count."""
-    g = scored.groupBy(F.round(F.col(score), 6).alias(score)).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"),
-                                  F.sum((F.col(label) == 0).cast("long")).alias("neg"))
-    w = W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    g = g.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    """ROC AUC as a distributed rank statistic (Mann-Whitney with ties) on
+    the exact scores: negatives below a score are those of the lower buckets
+    of scores (a table of at most ``AUC_BUCKETS`` rows) plus those below it in
+    its own bucket, so no task sorts all scores."""
+    g = scored.groupBy(F.col(score).cast("double").alias(score)).agg(
+        F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg"))
+    g = g.withColumn("_b", F.floor(F.col(score) * AUC_BUCKETS))
+    low = g.groupBy("_b").agg(F.sum("neg").alias("_n"))
+    low = low.select(F.col("_b").alias("_lb"), (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_low"))
+    w = W.partitionBy("_b").orderBy(score).rowsBetween(W.unboundedPreceding, -1)
+    g = g.withColumn("_in", F.coalesce(F.sum("neg").over(w), F.lit(0))).join(low, F.col("_b").eqNullSafe(F.col("_lb")))
+    g = g.withColumn("neg_below", F.col("_low") + F.col("_in"))
     s = g.agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("u"),
               F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     return s.select((F.col("u") / F.nullif(F.col("np") * F.col("nn"), F.lit(0))).alias("auc"))

@@ -55,16 +55,17 @@ def decide(score, lo: float = APPROVE_BELOW, hi: float = REVIEW_BELOW) -> Column
 
 
 # M13 -----------------------------------------------------------------
-def score_batch(df: DataFrame, model, version: str, features: list[str],
+def score_batch(df: DataFrame, model, version: str, inputs: list[str],
                 threshold: float = FRAUD_THRESHOLD) -> DataFrame:
-    """Apply a fitted ``PipelineModel``: unparseable or missing features -> 0,
-    probability rounded to 4 dp, fraud when the *unrounded* probability is
-    >= threshold; a null probability is not fraud and gets version 'error'."""
+    """Apply a fitted ``PipelineModel`` to its raw ``inputs``; the pipeline
+    engineers the features, exactly as in training (unparseable or missing
+    inputs count as 0). Probability rounded to 4 dp, fraud when the
+    *unrounded* probability is >= threshold; a null probability is not fraud
+    and gets version 'error'."""
     from pyspark.ml.functions import vector_to_array
 
-    filled = df.withColumns({f: F.coalesce(F.col(f).cast("string").try_cast("double"), F.lit(0.0))
-                             if f in df.columns else F.lit(0.0) for f in features})
-    scored = model.transform(filled)
+    absent = {f: F.lit(None).cast("string") for f in inputs if f not in df.columns}
+    scored = model.transform(df.withColumns(absent) if absent else df)
     p = vector_to_array(F.col("probability")).getItem(1)
     out = scored.withColumn("_p", p)
     keep = [c for c in df.columns]

@@ -294,8 +294,8 @@ SELECT trans_num, 'validation_error' AS error_type, error_message, 'api' AS sour
 register("s12_log_run", D.with_ctes(["payments_landing", "verdict"], f"""
 SELECT 'stream_ingest' AS dag_id, 'validate' AS task_id, TIMESTAMP '{AS_IN} 00:00:00' AS execution_date,
        CASE WHEN SUM(CASE WHEN n_errors > 0 THEN 1 ELSE 0 END) > 0 THEN 'partial' ELSE 'success' END AS status,
-       CAST(COUNT(*) AS INTEGER) AS records_processed,
-       CAST(SUM(CASE WHEN n_errors > 0 THEN 1 ELSE 0 END) AS INTEGER) AS records_failed,
+       COUNT(*) AS records_processed,
+       CAST(SUM(CASE WHEN n_errors > 0 THEN 1 ELSE 0 END) AS BIGINT) AS records_failed,
        CAST(1.5 AS DECIMAL(10,2)) AS duration_seconds, CAST(NULL AS VARCHAR) AS error_message
 FROM verdict"""))(
     lambda s, d: SK.log_run(D.payments_landing(T(s, d)),

@@ -4,7 +4,8 @@ Plain Parquet has no MERGE, so keyed writes are expressed as set operations
 (anti-join + union) that Catalyst plans as shuffle or broadcast joins. Latest
 row per key is an aggregate (``max`` of a struct ordered by the change
 order), which Spark pre-aggregates map-side: a key holding a third of all
-changes is reduced inside each task before the shuffle, never sorted in one.
+changes is reduced inside each task before the shuffle. Spark plans it as a
+sort aggregate, so each task sorts its own rows, on either side.
 """
 
 from __future__ import annotations
@@ -94,11 +95,14 @@ def insert_ignore(target: DataFrame, batch: DataFrame, key) -> DataFrame:
 
 # S10 -----------------------------------------------------------------
 def upsert(target: DataFrame, updates: DataFrame, key, stamp: Column | None = None,
-           version: str | None = None) -> DataFrame:
+           version: str | None = None, order_col: str | None = None) -> DataFrame:
     """Keyed replace: target rows without an update, plus the updates
-    (stamped with time and version when given)."""
+    (stamped with time and version when given). Of several updates of a key
+    the one with the greatest ``order_col`` stays (ties, or without one: the
+    greatest by the other columns), so keys stay unique."""
     keys = _keys(key)
-    u = updates
+    rest = [c for c in updates.columns if c not in keys]
+    u = latest_per_key(updates, keys, [order_col] if order_col else rest) if rest else updates.distinct()
     if stamp is not None:
         u = u.withColumn("updated_at", stamp)
     if version is not None:

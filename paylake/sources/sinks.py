@@ -26,58 +26,49 @@ def to_dead_letter(rejected: DataFrame, error_type: str = "validation_error", so
 
 
 # S12 -----------------------------------------------------------------
-def log_run(processed: DataFrame, failed: DataFrame, dag_id: str, task_id: str, execution_date,
+def log_run(processed: DataFrame, failed: DataFrame | list[DataFrame], dag_id: str, task_id: str, execution_date,
             duration_seconds: float, error_message: str | None = None) -> DataFrame:
-    """One-row run log from two counts; built as an aggregate, never collected."""
+    """One-row run log from two counts; built as an aggregate, never collected.
+    ``failed`` may be several frames (validation and prediction errors)."""
     p = processed.agg(F.count(F.lit(1)).alias("records_processed"))
-    f = failed.agg(F.count(F.lit(1)).alias("records_failed"))
+    frames = [x.select(F.lit(1).alias("_one")) for x in (failed if isinstance(failed, list) else [failed])]
+    every = frames[0]
+    for x in frames[1:]:
+        every = every.unionAll(x)
+    f = every.agg(F.count(F.lit(1)).alias("records_failed"))
     # two one-row aggregates joined on a constant key
     j = p.withColumn("_k", F.lit(1)).join(f.withColumn("_k", F.lit(1)), "_k").drop("_k")
     return j.select(
         F.lit(dag_id).alias("dag_id"), F.lit(task_id).alias("task_id"),
         F.lit(execution_date).cast("timestamp").alias("execution_date"),
         F.when(F.col("records_failed") > 0, "partial").otherwise("success").alias("status"),
-        F.col("records_processed").cast("int").alias("records_processed"),
-        F.col("records_failed").cast("int").alias("records_failed"),
+        F.col("records_processed").alias("records_processed"),
+        F.col("records_failed").alias("records_failed"),
         F.lit(duration_seconds).cast("decimal(10,2)").alias("duration_seconds"),
         F.lit(error_message).cast("string").alias("error_message"))
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int | str, fmt: str = "parquet") -> None:
-    """Replay-safe append: the batch lands in its own partition, replaced on retry."""
+def write_batch(df: DataFrame, path: str, batch_id: int | str, fmt: str = "parquet", buckets: str | None = None) -> None:
+    """Replay-safe append: the batch lands in its own partition, replaced on
+    retry (below ``buckets`` partitions when the table has them)."""
     (df.withColumn("batch_id", F.lit(str(batch_id)))
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("batch_id").format(fmt).save(path))
+       .partitionBy(*([buckets] if buckets else []), "batch_id").format(fmt).save(path))
 
 
 # S13 -----------------------------------------------------------------
-SMALL_WRITE_BYTES = 1024 * 1024 * 1024
-
-
 def write_lake(df: DataFrame, path: str, date_col: str, compression: str = "snappy",
-               mode: str = "overwrite", max_records_per_file: int = 5_000_000,
-               small_write_bytes: int = SMALL_WRITE_BYTES) -> None:
+               mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> None:
     """Partitioned export laid out year/month/day.
 
     Rows are clustered by the partition columns first so each task writes a
-    few large files per day instead of one small file per (task, day).
-    Large inputs use the REBALANCE hint: AQE splits a hot day over several
-    writers by measured size (and merges small ones), so one busy day never
-    lands in a single writer. Inputs whose scanned size is below
-    ``small_write_bytes`` (metadata check, no job) would be coalesced by AQE
-    into one writer creating every day directory alone; they are spread over
-    the cluster's cores by day instead.
+    few large files per day instead of one small file per (task, day). The
+    REBALANCE hint lets AQE split a hot day over several writers by measured
+    size and merge small ones, at every size of input.
     """
-    from paylake.operators.joins import estimated_bytes
-
     d = F.col(date_col)
     out = df.withColumns({"year": F.year(d), "month": F.month(d), "day": F.dayofmonth(d)})
-    size = estimated_bytes(df)
-    if size is not None and size < small_write_bytes:
-        out = out.repartition(df.sparkSession.sparkContext.defaultParallelism * 2, "year", "month", "day")
-    else:
-        out = out.hint("rebalance", "year", "month", "day")
-    (out.sortWithinPartitions("year", "month", "day")
+    (out.hint("rebalance", "year", "month", "day").sortWithinPartitions("year", "month", "day")
         .write.mode(mode).option("partitionOverwriteMode", "dynamic")
         .option("compression", compression).option("maxRecordsPerFile", max_records_per_file)
         .partitionBy("year", "month", "day").parquet(path))

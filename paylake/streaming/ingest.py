@@ -71,6 +71,10 @@ def fraud_alerts(scored: DataFrame) -> DataFrame:
         F.col("amt").cast("string").alias("amt"), "fraud_probability")
 
 
+# The stored keys of the keyed insert are spread over so many hash buckets.
+KEY_BUCKETS = 64
+
+
 # T01 / T03 -----------------------------------------------------------
 def ingest_batch(batch: DataFrame, batch_id: int, out: str, scorer: Callable[[DataFrame], DataFrame],
                  key: str = "trans_num", min_partitions: int | None = None,
@@ -97,16 +101,15 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, scorer: Callable[[Da
     scored = scored.withColumn("_pmsg", pmsg)
     bad_pred = scored.filter(F.col("_pmsg").isNotNull()).withColumn("errors", F.array("_pmsg")).drop("_pmsg")
     scored = scored.filter(F.col("_pmsg").isNull()).drop("_pmsg")
-    # keyed insert: keys of this batch already stored are found by scanning
-    # the stored key column against the broadcast batch keys (a micro-batch is
-    # bounded by the source's rate limit), so the key history is never
-    # shuffled; the new rows are checkpointed before the table is written
+    # keyed insert: only the key buckets of this batch are read from the
+    # target; the new rows are checkpointed before the table is written
     new = keyed_append(scored, os.path.join(out, "transactions"), batch_id, key)
-    dead = to_dead_letter(rejected, "validation_error", "api", created_at="1970-01-01 00:00:00").unionByName(
-        to_dead_letter(bad_pred, "prediction_error", "model", created_at="1970-01-01 00:00:00"))
+    stamp = dt.datetime.fromtimestamp(started, dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    dead = to_dead_letter(rejected, "validation_error", "api", created_at=stamp).unionByName(
+        to_dead_letter(bad_pred, "prediction_error", "model", created_at=stamp))
     write_batch(dead, os.path.join(out, "dead_letter"), batch_id)
     write_batch(fraud_alerts(new), os.path.join(out, "alerts"), batch_id)
-    run = log_run(v, rejected, dag_id, f"batch_{batch_id}", dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
+    run = log_run(v, [rejected, bad_pred], dag_id, f"batch_{batch_id}", dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
                   round(time.time() - started, 2))
     write_batch(run, os.path.join(out, "pipeline_runs"), batch_id)
     v.unpersist()
@@ -117,8 +120,7 @@ def run_ingest(landing: DataFrame, out: str, scorer: Callable[[DataFrame], DataF
     """Start the ingestion stream; returns the StreamingQuery.
 
     Give the source a rate limit (``maxFilesPerTrigger`` /
-    ``maxOffsetsPerTrigger``): a micro-batch's keys are broadcast in the
-    keyed insert."""
+    ``maxOffsetsPerTrigger``) so that a backlog arrives in batches."""
     w = (landing.writeStream.foreachBatch(lambda df, bid: ingest_batch(df, bid, out, scorer))
          .option("checkpointLocation", os.path.join(out, "_checkpoint")))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
@@ -149,24 +151,29 @@ def keyed_append(rows: DataFrame, path: str, batch_id: int, key: str) -> DataFra
     """Append the rows whose ``key`` is not stored yet (first one wins, as a
     unique index would enforce); replay-safe per batch id. Returns the rows
     written."""
-    from pyspark.errors import AnalysisException
-
     spark = rows.sparkSession
-    try:
-        stored = spark.read.parquet(path).filter(F.col("batch_id") != str(batch_id)).select(key)
-    except AnalysisException:  # nothing stored yet: no read of the target
-        new = insert_ignore(spark.createDataFrame([], f"{key} string"), rows, key)
-        write_batch(new, path, batch_id)
-        return spark.read.parquet(path).filter(F.col("batch_id") == str(batch_id)).drop("batch_id")
-    # keys of this batch already stored: the stored key column is scanned and
-    # filtered against the broadcast batch keys (a micro-batch is bounded by
-    # the source's rate limit), so the key history is never shuffled
-    seen = stored.join(F.broadcast(rows.select(key).distinct()), key, "left_semi")
+    bucket = F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+    rows = rows.withColumn("key_bucket", bucket)
+    if not path_exists(spark, path):  # a first batch; any other failure to read is an error
+        new = insert_ignore(spark.createDataFrame([], f"key_bucket int, {key} string"), rows, ["key_bucket", key])
+    else:
+        # the target is laid out by a hash bucket of the key: only the buckets
+        # that the batch holds are read (partition filter), and batch and
+        # stored keys meet in a shuffle on (bucket, key), no broadcast
+        held = [r[0] for r in rows.select("key_bucket").distinct().collect()]  # at most KEY_BUCKETS numbers
+        stored = spark.read.parquet(path).filter(F.col("key_bucket").isin(held) & (F.col("batch_id") != str(batch_id)))
+        new = insert_ignore(stored.select("key_bucket", key), rows, ["key_bucket", key])
     # reliable checkpoint (shared folder): the new rows no longer depend on
     # reading the table this batch is about to write
-    new = insert_ignore(seen, rows, key).checkpoint(eager=True)
-    write_batch(new, path, batch_id)
-    return new
+    new = new.checkpoint(eager=True)
+    write_batch(new, path, batch_id, buckets="key_bucket")
+    return new.drop("key_bucket")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table's folder is there, on any Hadoop-compatible store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def alerts_batch(batch: DataFrame, batch_id: int, out: str, features: DataFrame,

@@ -79,14 +79,49 @@ def test_apply_retention_drops_expired_partitions(spark):
     assert left.count() == 310 and left.agg(F.min("d")).first()[0].isoformat() == "2024-01-10"
 
 
-def test_write_lake_both_layout_paths_round_trip(spark):
+def test_write_lake_round_trip(spark):
     import os
     from paylake.sources.readers import read_raw
     from paylake.sources.sinks import write_lake
     from paylake.streaming.ingest import run_dir
     df = spark.sql("SELECT id, date_add(DATE'2024-03-01', CAST(id % 12 AS INT)) AS d FROM range(1200)")
-    for threshold in (0, 1 << 40):   # 0 forces the REBALANCE path, huge forces the small-input path
-        path = os.path.join(run_dir(spark, f"test-lake-{threshold}"), "t")
-        write_lake(df, path, "d", small_write_bytes=threshold)
-        back = read_raw(spark, path, since="2024-03-03", until="2024-03-05")
-        assert back.count() == 300 and back.select("d").distinct().count() == 3
+    path = os.path.join(run_dir(spark, "test-lake"), "t")
+    write_lake(df, path, "d")
+    back = read_raw(spark, path, since="2024-03-03", until="2024-03-05")
+    assert back.count() == 300 and back.select("d").distinct().count() == 3
+
+
+def test_retention_keeps_or_expires_every_row(spark):
+    from paylake.operators.governance import expired, retain
+    df = spark.sql("SELECT id, CASE WHEN id % 5 > 0 THEN timestamp'2024-01-01' + make_interval(0, 0, 0, CAST(id AS INT)) END AS ts FROM range(100)")
+    kept, gone = retain(df, "ts", "2024-02-20", 30), expired(df, "ts", "2024-02-20", 30)
+    assert kept.count() + gone.count() == 100 and kept.intersect(gone).count() == 0
+    assert kept.filter("ts is null").count() == 20 and kept.agg(F.max("id")).first()[0] == 99
+
+
+def test_shared_cards_list_every_customer(spark):
+    from paylake.operators.governance import shared_cards
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("a", 3), ("b", 1)], "fingerprint string, customer_id int")
+    assert sorted(tuple(r) for r in shared_cards(df).collect()) == [("a", 1, 1, 3), ("a", 2, 1, 3), ("a", 3, 2, 3)]
+
+
+def test_upsert_keeps_the_latest_update_of_a_key(spark):
+    tgt = spark.createDataFrame([("a", 1, 0), ("b", 1, 0)], "k string, v int, at int")
+    upd = spark.createDataFrame([("b", 7, 1), ("b", 3, 2), ("c", 5, 1)], "k string, v int, at int")
+    assert sorted(tuple(r) for r in C.upsert(tgt, upd, "k", order_col="at").collect()) == [("a", 1, 0), ("b", 3, 2), ("c", 5, 1)]
+
+
+def test_replay_repeats_a_short_class(spark):
+    import pytest
+    from paylake.sources.replay import replay_sample
+    df = spark.sql("SELECT concat('t', id) AS trans_num, CAST(id < 3 AS INT) AS label FROM range(50)")
+    got = replay_sample(df, "label", "trans_num", 40, 0.5, as_of="2024-01-01 00:00:00").collect()
+    assert len(got) == 40 and sum(r.is_fraud_src for r in got) == 20 and len({r.trans_num for r in got}) == 40
+    with pytest.raises(ValueError):
+        replay_sample(df.filter("label = 0"), "label", "trans_num", 10, as_of="2024-01-01 00:00:00")
+
+
+def test_run_log_counts_every_failure(spark):
+    from paylake.sources.sinks import log_run
+    r = log_run(spark.range(5), [spark.range(2), spark.range(1)], "d", "t", "2024-01-01 00:00:00", 1.0)
+    assert dict(r.dtypes)["records_failed"] == "bigint" and r.first().records_failed == 3

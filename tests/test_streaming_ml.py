@@ -66,15 +66,50 @@ def test_payment_vector_shape(spark):
     assert len(v) == 6 and abs(v[0] - 125.5) < 1e-9
 
 
-def test_one_hot_drops_alphabetically_first(spark):
+def test_one_hot_drops_alphabetically_first_and_zeros_the_unseen(spark):
     from pyspark.ml import Pipeline
-    df = spark.createDataFrame([("mobile", "low", "Food"), ("desktop", "high", "Retail"), (None, "low", "Food")],
+    df = spark.createDataFrame([("mobile", "low", "Food"), ("desktop", "high", "It's"), (None, "low", "Food")],
                                "device_type string, risk_tier string, mcc_category string")
-    x = ML.fill_categoricals(df)
-    m = Pipeline(stages=ML.one_hot_stages()).fit(x)
-    labels = m.stages[0].labels  # device_type, alphabetDesc
-    assert labels == ["unknown", "mobile", "desktop"]
-    assert m.transform(x).first().device_type_oh.size == 2
+    cats = ML.categories(df)
+    assert cats["device_type"] == ["desktop", "mobile", "unknown"]
+    fields = ML.one_hot_fields(cats)
+    assert fields == ["device_type_oh_1", "device_type_oh_2", "risk_tier_oh_1", "mcc_category_oh_1"]
+    new = df.unionByName(spark.createDataFrame([("watch", "low", "It's")], df.schema))
+    got = [tuple(r) for r in Pipeline(stages=ML.one_hot_stages(cats)).fit(df).transform(new).select(*fields).collect()]
+    assert got == [(1, 0, 1, 0), (0, 0, 0, 1), (0, 1, 1, 0), (0, 0, 1, 1)]
+
+
+def test_serving_equals_training(spark):
+    """The saved pipeline takes the seven raw inputs; columns that were engineered before change nothing."""
+    import os
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from paylake.operators.scoring import score_batch
+    from paylake.streaming.ingest import run_dir
+    rows = [(str(i), str(10.5 * i) if i % 9 else "abc", "40.1", "-74.0", str(1000 * i), str(1371816893 + 3600 * i), "40.2",
+             None if i % 7 == 0 else "-74.5", int(i % 24 > 12)) for i in range(200)]
+    raw = spark.createDataFrame(rows, "id string, " + ", ".join(f"{c} string" for c in ML.MODEL_FEATURES) + ", label int")
+    model = ML.payment_pipeline(DecisionTreeClassifier(maxDepth=4, seed=1), 200).fit(raw)
+    path = ML.save_model(model, os.path.join(run_dir(spark, "test-model"), "m"))
+    loaded = ML.load_model(path)
+    served = lambda df: {r.id: (r.fraud_probability, r.is_fraud_predicted) for r in score_batch(df, loaded, "v1", ML.MODEL_FEATURES).collect()}
+    a = served(raw.drop("label"))
+    assert a == served(ML.payment_features(raw).drop("label")) and len({p for p, _ in a.values()}) > 1
+    assert len(served(raw.select("id", "amt"))) == 200  # absent inputs count as 0
+    z = model.transform(raw).select("features")
+    from pyspark.ml.functions import vector_to_array
+    dev = z.select(vector_to_array("features")[0].alias("z")).agg(F.stddev_pop("z"), F.avg("z")).first()
+    assert abs(dev[0] - 1) < 1e-9 and abs(dev[1]) < 1e-9
+
+
+def test_folds_are_stratified(spark):
+    df = spark.range(1003).select(F.col("id").cast("string").alias("id"), (F.col("id") % 10 == 0).cast("int").alias("label"))
+    n = {(r.label, r.fold): r["count"] for r in ML.fold_column(df, "id", n_buckets=16).groupBy("label", "fold").count().collect()}
+    assert {n[1, k] for k in range(5)} <= {20, 21} and {n[0, k] for k in range(5)} <= {180, 181}
+
+
+def test_auc_keeps_close_scores_apart(spark):
+    df = spark.createDataFrame([(0.5 + 1e-9, 1), (0.5, 0), (0.2, 1), (0.2 - 1e-9, 0)], "_s double, _y int")
+    assert ML.auc_of(df).first().auc == 0.75
 
 
 def test_auc_and_gate(spark):
