@@ -127,15 +127,15 @@ def to_usd(tx: DataFrame, rates: DataFrame, amount: str = "amount", currency: st
            date_col: str = "transaction_date") -> DataFrame:
     """As-of conversion: the latest rate with effective_date <= transaction day.
 
-    The rate table is bounded (one row per currency pair and day), so it is
-    broadcast; the join is an equi-join on the currency plus a range residual.
+    An equi-join on the currency plus a range residual; the rate table (a row
+    per currency pair and day) is broadcast where its measured size allows it.
     USD passes through at rate 1.
     """
     iv = validity_intervals(rates.filter(F.col("to_currency") == "USD")).select(
         F.col("from_currency").alias("_cur"), "rate", "effective_date", "valid_to")
     cond = ((F.col(currency) == F.col("_cur")) & (F.col(date_col) >= F.col("effective_date"))
             & (F.col("valid_to").isNull() | (F.col(date_col) < F.col("valid_to"))))
-    j = tx.join(F.broadcast(iv), cond, "left")
+    j = tx.join(iv, cond, "left")  # AQE broadcasts it from its measured size
     rate = F.when(F.col(currency) == "USD", F.lit(1).cast("decimal(18,8)")).otherwise(F.col("rate"))
     return (j.withColumn("fx_rate", rate)
              .withColumn("amount_usd_converted", (F.col(amount) * F.col("fx_rate")).cast("decimal(18,2)"))
@@ -144,11 +144,11 @@ def to_usd(tx: DataFrame, rates: DataFrame, amount: str = "amount", currency: st
 
 # J08 ------------------------------------------------------------------
 def enrich_country(df: DataFrame, countries: DataFrame, key: str = "country_code") -> DataFrame:
-    return df.join(F.broadcast(countries), key, "left")
+    return df.join(countries, key, "left")
 
 
 def enrich_mcc(df: DataFrame, mcc: DataFrame, key: str = "mcc_code") -> DataFrame:
-    return df.join(F.broadcast(mcc), key, "left")
+    return df.join(mcc, key, "left")
 
 
 # J09 ------------------------------------------------------------------

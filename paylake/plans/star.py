@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from paylake.functions.aggregates import sum_if
 from paylake.operators.joins import apply_outcomes, join_dim, to_usd
-from paylake.plans.domain import CURRENCIES, Tables
+from paylake.plans.domain import CURRENCIES, DEVICE_TYPES, Tables, pick
 from paylake.sources.changes import latest_per_key
+from paylake.sources.sinks import write_lake
 
 # --- fixed values ---------------------------------------------------------
 # Rates to USD as seeded by the reference (from_currency, rate).
@@ -25,7 +26,6 @@ SEED_RATES_TO_USD = [("EUR", "1.08"), ("GBP", "1.27"), ("JPY", "0.0067"), ("CAD"
 # Our choice: the seeded rates are effective from 1995-01-01; a second set,
 # 5 % higher, from 1998-01-01 exercises the as-of lookup.
 RATE_EPOCHS = [("1995-01-01", Decimal("1")), ("1998-01-01", Decimal("1.05"))]
-DIM_DATE_START = "2024-01-01"
 
 
 # Q15 ------------------------------------------------------------------
@@ -34,45 +34,57 @@ def stg_transactions(t: Tables) -> DataFrame:
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice",
                            "l_discount", "l_linestatus", "l_shipdate")
     o = t.orders.select("o_orderkey", "o_custkey")
+    sk = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     raw = li.join(o, li.l_orderkey == o.o_orderkey).select(
-        F.concat(F.lit("tx_"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")).alias("transaction_id"),
+        sk.alias("transaction_sk"), F.concat(F.lit("tx_"), sk.cast("string")).alias("transaction_id"),
         F.col("o_custkey").alias("customer_sk"),
         F.col("l_suppkey").alias("merchant_sk"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
         F.element_at(F.array(*[F.lit(c) for c in CURRENCIES]), (F.pmod(F.col("l_orderkey"), F.lit(8)) + 1).cast("int")).alias("currency_code"),
         F.when(F.col("l_linestatus") == "F", "captured").otherwise("authorized").alias("status"),
         (F.col("l_discount").cast("decimal(4,2)") * 10).cast("decimal(5,4)").alias("fraud_score"),
+        pick(DEVICE_TYPES, F.pmod(F.col("l_partkey"), F.lit(5))).alias("device_type"),
+        F.pmod(F.col("l_partkey") + F.col("l_linenumber"), F.lit(2)).cast("int").alias("is_3d_secure"),
+        F.col("l_discount").cast("decimal(4,2)").alias("discount"),
         F.col("l_shipdate").alias("created_at"))
-    return latest_per_key(raw, "transaction_id", ["created_at", "amount"])
+    return latest_per_key(raw, ["transaction_sk", "transaction_id"], ["created_at", "amount"])
 
 
 def stg_refunds(t: Tables) -> DataFrame:
+    """Refunds, the latest copy of each id."""
     li = t.lineitem.filter(F.col("l_returnflag") == "R").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_linestatus", "l_shipdate")
-    return li.select(
+    raw = li.select(
         F.concat(F.lit("rf_"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("refund_id"),
         F.concat(F.lit("tx_"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")).alias("transaction_id"),
         (F.col("l_extendedprice").cast("decimal(18,2)") * F.col("l_discount").cast("decimal(4,2)")).cast("decimal(18,2)").alias("amount"),
         F.when(F.col("l_linestatus") == "F", "succeeded").otherwise("pending").alias("status"),
         F.col("l_shipdate").alias("created_at"))
+    return latest_per_key(raw, ["refund_id", "transaction_id"], ["created_at", "amount"])
 
 
 def stg_disputes(t: Tables) -> DataFrame:
+    """Disputes, the latest copy of each id."""
     li = t.lineitem.filter((F.col("l_returnflag") == "A") & (F.col("l_discount") >= 0.095)).select(
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_linestatus", "l_shipdate")
-    return li.select(
+    raw = li.select(
         F.concat(F.lit("dp_"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("dispute_id"),
         F.concat(F.lit("tx_"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")).alias("transaction_id"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
         F.when(F.col("l_linestatus") == "F", "lost").otherwise("under_review").alias("status"),
         F.col("l_shipdate").alias("created_at"))
+    return latest_per_key(raw, ["dispute_id", "transaction_id"], ["created_at", "amount"])
 
 
 def stg_exchange_rates(t: Tables) -> DataFrame:
-    """Rate table (from, to, rate, effective_date). Built from the bounded
-    seed list; its size is (currencies x epochs), independent of the data."""
+    """Rate table (from, to, rate, effective_date), unique by (from, to, date).
+    Built from the bounded seed list; its size is (currencies x epochs),
+    independent of the data. The seed is loaded twice, the second load wins."""
     rows = [(cur, "USD", Decimal(rate) * mult, dt.date.fromisoformat(day))
             for day, mult in RATE_EPOCHS for cur, rate in SEED_RATES_TO_USD]
-    return t.spark.createDataFrame(rows, "from_currency string, to_currency string, rate decimal(18,8), effective_date date")
+    raw = t.spark.createDataFrame([(*r[:2], r[2] + shift, r[3], load) for load, shift in ((1, Decimal("0.5")), (2, Decimal("0"))) for r in rows],
+                                  "from_currency string, to_currency string, rate decimal(18,8), effective_date date, load_no int")
+    return latest_per_key(raw, ["from_currency", "to_currency", "effective_date"], ["load_no"]).drop("load_no") \
+        .select("from_currency", "to_currency", "rate", "effective_date")
 
 
 # Q18 ------------------------------------------------------------------
@@ -91,21 +103,44 @@ def dim_date(dates: DataFrame, date_col: str) -> DataFrame:
 
 
 # Q19 ------------------------------------------------------------------
-def fact_transaction_full(t: Tables) -> DataFrame:
+def fact_transaction_full(t: Tables, since=None) -> DataFrame:
     """One row per transaction: deduped staging, refund/dispute outcomes,
-    as-of FX conversion, high-risk flag, date key."""
-    tx = stg_transactions(t).withColumn("transaction_date", F.col("created_at").cast("date"))
+    as-of FX conversion, high-risk flag, date key. ``since`` restricts it to
+    transactions created after a load mark (the incremental load)."""
+    tx = stg_transactions(t)
+    if since is not None:
+        tx = tx.filter(F.col("created_at") > F.lit(str(since)).cast("timestamp_ntz"))
+    tx = tx.withColumn("transaction_date", F.col("created_at").cast("date"))
     tx = apply_outcomes(tx, stg_refunds(t), stg_disputes(t))
     tx = to_usd(tx, stg_exchange_rates(t), amount="amount")
+    usd = F.col("amount_usd_converted")
     return tx.select(
-        "transaction_id", "customer_sk", "merchant_sk", "currency_code", "amount",
-        F.col("amount_usd_converted").alias("amount_usd"), "fx_rate", "status", "fraud_score",
+        "transaction_sk", "transaction_id", "customer_sk", "merchant_sk", "currency_code", "amount",
+        usd.alias("amount_usd"), "fx_rate", "status", "fraud_score", "device_type", "is_3d_secure",
+        F.when(F.col("status") == "captured", (usd * (F.lit(1) - F.col("discount"))).cast("decimal(18,4)"))
+         .otherwise(F.lit(0).cast("decimal(18,4)")).alias("revenue_usd"),
         F.when(F.col("fraud_score") >= Decimal("0.7"), 1).otherwise(0).alias("is_high_fraud_risk"),
         "refunded_amount", "dispute_lost", "transaction_date",
         (F.year("transaction_date") * 10000 + F.month("transaction_date") * 100
          + F.dayofmonth("transaction_date")).alias("date_sk"))
 
 
+def load_fact(t: Tables, path: str, since=None) -> None:
+    """Write the fact partitioned by day; with ``since`` only the days of
+    transactions created after that mark are rewritten (whole days: the mark
+    is cut to a day, so a rewritten day is complete)."""
+    fact = fact_transaction_full(t)
+    if since is not None:
+        fact = fact.filter(F.col("transaction_date") >= F.lit(str(since)[:10]).cast("date"))
+    write_lake(fact, path, "transaction_date", mode="overwrite")
+
+
+def read_fact(spark, path: str, since=None, until=None) -> DataFrame:
+    """The written fact; date bounds prune its partitions."""
+    from paylake.sources.readers import read_raw
+    return read_raw(spark, path, since=since, until=until).drop("year", "month", "day")
+
+
 # Q20 ------------------------------------------------------------------
 def mart_revenue_daily(fact: DataFrame, dim_merchant: DataFrame) -> DataFrame:
     j = join_dim(fact.select("transaction_date", "merchant_sk", "status", "revenue_usd"),
