@@ -62,15 +62,6 @@ def degree_distance(lat, lon, lat2, lon2) -> Column:
     return F.sqrt(F.pow(_c(lat) - _c(lat2), 2) + F.pow(_c(lon) - _c(lon2), 2))
 
 
-def haversine_km(lat, lon, lat2, lon2) -> Column:
-    r = F.lit(6371.0)
-    p1, p2 = F.radians(_c(lat)), F.radians(_c(lat2))
-    dphi = p2 - p1
-    dl = F.radians(_c(lon2)) - F.radians(_c(lon))
-    a = F.pow(F.sin(dphi / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dl / 2), 2)
-    return 2 * r * F.asin(F.sqrt(a))
-
-
 # F06 ------------------------------------------------------------------
 def log_amount(amt) -> Column:
     """log(1 + amt); null where undefined (amt <= -1)."""

@@ -68,6 +68,9 @@ def customer_features(fact: DataFrame, merchant_country: DataFrame, disputes: Da
     f = lookback(fact, ts, as_of, 90).select("transaction_id", "customer_sk", "merchant_sk", "amount_usd",
                                              "is_high_fraud_risk", ts)
     f = join_dim(f, merchant_country.select("merchant_sk", "country_code"), "merchant_sk")
+    # a dispute of a transaction in the look-back cannot be older than it
+    if "created_at" in disputes.columns:
+        disputes = lookback(disputes, "created_at", as_of, 90, bounded=False)
     d = disputes.select("transaction_id").distinct().withColumn("_disputed", F.lit(1))
     f = f.join(d, "transaction_id", "left")
     t = F.col(ts)

@@ -42,8 +42,10 @@ ACCEPTED_VALUES = {
     "refund_status": ["pending", "succeeded", "failed"],
     "dispute_status": ["needs_response", "under_review", "won", "lost"],
 }
-CLICK_EVENT_TYPES = ["page_view", "product_view", "add_to_cart", "checkout_start",
-                     "checkout_complete", "checkout_abandon", "form_submit"]
+CLICK_EVENT_TYPES = ["page_view", "click", "form_submit", "checkout_start",
+                     "checkout_complete", "checkout_abandon", "payment_method_select"]
+CLICK_REQUIRED = ["event_type", "session_id", "timestamp"]
+ALERT_REQUIRED = ["transaction_id", "score", "created_at"]
 ALERT_DECISIONS = ["approve", "review", "block"]
 
 
@@ -284,7 +286,33 @@ def duplicates(df: DataFrame, key) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_copies")).filter(F.col("n_copies") > 1)
 
 
+def key_report(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(key_name, n_duplicate_keys, n_rows) of every unique key declared."""
+    out = None
+    for name, (df, keys) in tables.items():
+        row = duplicates(df, keys).agg(F.count(F.lit(1)).alias("n_duplicate_keys"),
+                                       F.coalesce(F.sum("n_copies"), F.lit(0)).alias("n_rows")) \
+            .select(F.lit(name).alias("key_name"), "n_duplicate_keys", "n_rows")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 # V13 -----------------------------------------------------------------
+def rule_one_of(col: str, values, name: str) -> Rule:
+    return Rule(f"enum_{name}", F.when(~F.col(col).isin(*values), F.lit(f"{name} not accepted")))
+
+
+def validate_clickstream(docs: DataFrame, json_col: str, schema) -> DataFrame:
+    return validate_document(docs, json_col, schema, CLICK_REQUIRED, [rule_one_of("doc.event_type", CLICK_EVENT_TYPES, "event_type")])
+
+
+def validate_alerts(docs: DataFrame, json_col: str, schema) -> DataFrame:
+    s = F.col("doc.score")
+    return validate_document(docs, json_col, schema, ALERT_REQUIRED, [
+        Rule("range_score", F.when((s < 0) | (s > 1), F.lit("score out of range"))),
+        rule_one_of("doc.decision", ALERT_DECISIONS, "decision")])
+
+
 def validate_document(docs: DataFrame, json_col: str, schema, required: list[str],
                       rules: list[Rule]) -> DataFrame:
     """Parse a JSON document column with an explicit schema and check it.

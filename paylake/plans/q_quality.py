@@ -52,16 +52,25 @@ SELECT trans_num, CASE WHEN n_errors = 0 THEN 'valid' ELSE 'rejected' END AS dat
        n_errors, error_message FROM verdict"""))(
     lambda s, d: Q.verdict(D.payments_landing(T(s, d))))
 
-# V06 on the stored transactions' probability --------------------------
-register("v06_probability_rule", D.with_ctes(["scored_transactions"], f"""
-SELECT CASE WHEN fraud_probability IS NULL THEN 'null'
-            WHEN fraud_probability < 0 OR fraud_probability > 1 THEN 'out_of_range' ELSE 'ok' END AS outcome,
-       COUNT(*) AS n
-FROM scored_transactions GROUP BY 1"""))(
-    lambda s, d: D.scored_transactions(T(s, d)).select(
-        F.when(Q.rule_probability()[0].message.isNull(), "ok")
-         .when(F.col("fraud_probability").isNull(), "null").otherwise("out_of_range").alias("outcome"))
-    .groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))
+# Stored probabilities with bad ones among them
+def _v06(s, d):
+    n = F.col("rn")
+    p = (F.when(n % 23 == 0, F.lit(None)).when(n % 29 == 0, F.lit(1.5)).when(n % 31 == 0, F.lit(-0.25))
+         .when(n % 37 == 0, F.lit(float("nan"))).otherwise(F.col("fraud_probability").cast("double")))
+    x = T(s, d).lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rn"),
+                                (F.col("l_discount").cast("decimal(4,2)") * 10).cast("decimal(5,4)").alias("fraud_probability"))
+    x = x.withColumn("fraud_probability", p)
+    return x.select(F.col("rn").alias("transaction_sk"), F.when(Q.rule_probability()[0].message.isNull(), "ok")
+                    .when(F.col("fraud_probability").isNull(), "null").otherwise("out_of_range").alias("outcome"))
+
+
+register("v06_probability_rule", """
+SELECT l_orderkey * 10 + l_linenumber AS transaction_sk,
+       CASE WHEN (l_orderkey * 10 + l_linenumber) % 23 = 0 THEN 'null'
+            WHEN (l_orderkey * 10 + l_linenumber) % 29 = 0 OR (l_orderkey * 10 + l_linenumber) % 31 = 0
+              OR (l_orderkey * 10 + l_linenumber) % 37 = 0 THEN 'out_of_range'
+            WHEN l_discount * 10 > 1 THEN 'out_of_range' ELSE 'ok' END AS outcome
+FROM lineitem""")(_v06)
 
 # V07 -------------------------------------------------------------------
 register("v07_dq_summary", D.with_ctes(["payments_landing", "verdict"], """
@@ -116,34 +125,120 @@ register("v11_row_count_gate", """
 SELECT 'row_count' AS gate, COUNT(*) AS n_rows, COUNT(*) >= 1000 AS passed FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")(
     lambda s, d: Q.gate_row_count(D.fact_transaction(T(s, d)), 1000))
 
+# All eight value lists and five ranges, each with good and bad values
+def _contract_rows(t):
+    n = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    of = lambda m, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.pmod(n, F.lit(m)) % len(v) + 1).cast("int"))
+    return t.lineitem.select(
+        of(101, "pending", "verified", "rejected", "suspended", "expired").alias("kyc_status"),
+        of(103, "company", "individual", "nonprofit", "government", "trust", None).alias("business_type"),
+        of(107, "active", "suspended", "terminated", "paused").alias("merchant_status"),
+        of(109, "card", "bank_account", "wallet", "crypto", "cash").alias("method_type"),
+        of(113, "pending", "authorized", "captured", "failed", "refunded", "disputed", "void").alias("tx_status"),
+        of(127, "mobile", "desktop", "tablet", "api", "other", "tv", None).alias("device_type"),
+        of(131, "pending", "succeeded", "failed", "disputed").alias("refund_status"),
+        of(137, "needs_response", "under_review", "won", "lost", "open").alias("dispute_status"),
+        ((F.pmod(n, F.lit(140)) - 20) / 100).alias("risk_score"), ((F.pmod(n, F.lit(130)) - 10) / 100).alias("fraud_score"),
+        (F.pmod(n, F.lit(50)) - 5).alias("amount"), (F.pmod(n, F.lit(60)) - 3).alias("refund_amount"),
+        F.pmod(n, F.lit(15)).alias("exp_month"))
+
+
+def _contract_rules():
+    lists = ["kyc_status", "business_type", "merchant_status", "method_type", "tx_status", "device_type", "refund_status", "dispute_status"]
+    return [*[Q.rule_accepted(c, Q.ACCEPTED_VALUES[c]) for c in lists], Q.rule_range("risk_score", 0, 1), Q.rule_range("fraud_score", 0, 1),
+            Q.rule_range("amount", 0, None, lo_open=True), Q.rule_range("refund_amount", 0, None, lo_open=True), Q.rule_range("exp_month", 1, 12)]
+
+
+register("v09_v10_contract_rules", """
+WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS n FROM lineitem),
+f AS (SELECT 'accepted_kyc_status' AS rule_name, n % 101 % 5 = 4 AS bad FROM x
+  UNION ALL SELECT 'accepted_business_type', n % 103 % 6 = 4 FROM x
+  UNION ALL SELECT 'accepted_merchant_status', n % 107 % 4 = 3 FROM x
+  UNION ALL SELECT 'accepted_method_type', n % 109 % 5 = 4 FROM x
+  UNION ALL SELECT 'accepted_tx_status', n % 113 % 7 = 6 FROM x
+  UNION ALL SELECT 'accepted_device_type', n % 127 % 7 = 5 FROM x
+  UNION ALL SELECT 'accepted_refund_status', n % 131 % 4 = 3 FROM x
+  UNION ALL SELECT 'accepted_dispute_status', n % 137 % 5 = 4 FROM x
+  UNION ALL SELECT 'range_risk_score', n % 140 < 20 OR n % 140 > 120 FROM x
+  UNION ALL SELECT 'range_fraud_score', n % 130 < 10 OR n % 130 > 110 FROM x
+  UNION ALL SELECT 'range_amount', n % 50 <= 5 FROM x
+  UNION ALL SELECT 'range_refund_amount', n % 60 <= 3 FROM x
+  UNION ALL SELECT 'range_exp_month', n % 15 < 1 OR n % 15 > 12 FROM x)
+SELECT rule_name, COUNT(*) AS n_checked, CAST(SUM(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) AS n_failed FROM f GROUP BY 1""")(
+    lambda s, d: Q.rule_report(_contract_rows(T(s, d)), _contract_rules()))
+
 # V12 -------------------------------------------------------------------
 register("v12_duplicates", D.with_ctes(["fact_transaction"], """
 SELECT transaction_sk, COUNT(*) AS n_copies FROM fact_transaction GROUP BY transaction_sk HAVING COUNT(*) > 1"""))(
     lambda s, d: Q.duplicates(D.fact_transaction(T(s, d)), "transaction_sk"))
 
-# V13 -------------------------------------------------------------------
+
+# Every declared unique key
+def _keys(s, d):
+    t = T(s, d)
+    return Q.key_report({
+        "email": (t.customer.select(F.concat(F.lit("c"), F.floor(F.col("c_custkey") / 3).cast("string"), F.lit("@example.com")).alias("email")), ["email"]),
+        "trans_num": (D.payments_landing(t), ["trans_num"]),
+        "rate": (t.orders.select(F.col("o_orderpriority").alias("from_currency"), F.col("o_orderstatus").alias("to_currency"),
+                                 F.col("o_orderdate").cast("date").alias("effective_date")), ["from_currency", "to_currency", "effective_date"]),
+        "alert": (t.events.select(F.concat(F.lit("tx_"), F.floor(F.col("event_id") / 2).cast("string")).alias("transaction_id")), ["transaction_id"])})
+
+
+register("v12_declared_keys", """
+WITH k AS (SELECT 'email' AS key_name, CAST(c_custkey // 3 AS VARCHAR) AS k, COUNT(*) AS n FROM customer GROUP BY 2
+  UNION ALL SELECT 'trans_num', CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR), COUNT(*) FROM lineitem GROUP BY 2
+  UNION ALL SELECT 'rate', o_orderpriority || '|' || o_orderstatus || '|' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR), COUNT(*) FROM orders GROUP BY 2
+  UNION ALL SELECT 'alert', CAST(event_id // 2 AS VARCHAR), COUNT(*) FROM events GROUP BY 2)
+SELECT key_name, COUNT(*) FILTER (WHERE n > 1) AS n_duplicate_keys, CAST(COALESCE(SUM(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS n_rows
+FROM k GROUP BY 1""")(_keys)
+
+# Clickstream and alert documents, with missing keys, broken JSON and unknown values among them
 CLICK_DOC_SCHEMA = T_.StructType([
     T_.StructField("event_type", T_.StringType()), T_.StructField("session_id", T_.StringType()),
     T_.StructField("customer_id", T_.StringType()), T_.StructField("timestamp", T_.StringType()),
     T_.StructField("device", T_.StructType([T_.StructField("type", T_.StringType())]))])
+ALERT_DOC_SCHEMA = T_.StructType([
+    T_.StructField("transaction_id", T_.StringType()), T_.StructField("customer_id", T_.StringType()),
+    T_.StructField("score", T_.DoubleType()), T_.StructField("decision", T_.StringType()), T_.StructField("created_at", T_.StringType())])
 
 
 def _v13(s, d):
-    c = D.clickstream(T(s, d))
-    docs = c.select("event_id", F.to_json(F.struct("event_type", "session_id", "customer_id",
-                                                    F.col("timestamp").cast("string").alias("timestamp"),
-                                                    "device")).alias("doc"))
-    rules = [Q.rule_accepted("doc.event_type", Q.CLICK_EVENT_TYPES)]
-    rules[0] = Q.Rule("event_enum", F.when(~F.col("doc.event_type").isin(*Q.CLICK_EVENT_TYPES),
-                                          F.lit("event_type not accepted")))
-    v = Q.validate_document(docs, "doc", CLICK_DOC_SCHEMA, ["event_type", "session_id", "timestamp"], rules)
-    return v.groupBy("valid").agg(F.count(F.lit(1)).alias("n_docs"))
-
-
-register("v13_validate_document", D.with_ctes(["clickstream"], f"""
-SELECT event_type IS NOT NULL AND event_type IN ({', '.join(repr(e) for e in Q.CLICK_EVENT_TYPES)}) AS valid,
-       COUNT(*) AS n_docs
-FROM clickstream GROUP BY 1"""))(_v13)
+    i, c = F.col("event_id"), D.clickstream(T(s, d))
+    kind = F.when(i % 13 == 0, F.lit("add_to_cart")).when(i % 17 == 0, F.lit("payment_method_select")).otherwise(F.col("event_type"))
+    doc = F.to_json(F.struct(kind.alias("event_type"), F.when(i % 7 != 0, F.col("session_id")).alias("session_id"), "customer_id",
+                             F.col("timestamp").cast("string").alias("timestamp"), "device"))
+    docs = c.select("event_id", F.when(i % 11 == 0, F.lit("{broken")).otherwise(doc).alias("doc"))
+    v = Q.validate_clickstream(docs, "doc", CLICK_DOC_SCHEMA)
+    return v.select("event_id", "valid", F.array_join("errors", "; ").alias("errors"))
+
+
+register("v13_validate_document", """
+SELECT event_id, event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 7 <> 0 AND (event_id % 17 = 0 OR event_type IN ('view', 'click', 'purchase', 'error', 'signup')) AS valid,
+       CASE WHEN event_id % 11 = 0 THEN 'missing required key: event_type; missing required key: session_id; missing required key: timestamp'
+            ELSE concat_ws('; ',
+              CASE WHEN event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_type NOT IN ('view', 'click', 'purchase', 'error', 'signup') THEN 'missing required key: event_type' END,
+              CASE WHEN event_id % 7 = 0 THEN 'missing required key: session_id' END,
+              CASE WHEN event_id % 13 = 0 THEN 'event_type not accepted' END) END AS errors
+FROM events""")(_v13)
+
+
+def _v13_alerts(s, d):
+    i = F.col("event_id")
+    doc = F.to_json(F.struct(F.when(i % 6 != 0, F.concat(F.lit("tx_"), i.cast("string"))).alias("transaction_id"),
+                             ((F.pmod(i, F.lit(140)) - 20) / 100).alias("score"),
+                             F.element_at(F.array(F.lit("approve"), F.lit("review"), F.lit("block"), F.lit("hold")), (i % 4 + 1).cast("int")).alias("decision"),
+                             F.when(i % 9 != 0, F.col("ts").cast("string")).alias("created_at")))
+    docs = T(s, d).events.select("event_id", F.when(i % 10 == 0, F.lit("[1, 2")).otherwise(doc).alias("doc"))
+    return Q.validate_alerts(docs, "doc", ALERT_DOC_SCHEMA).select("event_id", "valid", F.array_join("errors", "; ").alias("errors"))
+
+
+register("v13_validate_alerts", """
+SELECT event_id, errors = '' AS valid, errors FROM (
+  SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'missing required key: transaction_id; missing required key: score; missing required key: created_at'
+    ELSE concat_ws('; ', CASE WHEN event_id % 6 = 0 THEN 'missing required key: transaction_id' END,
+                         CASE WHEN event_id % 9 = 0 THEN 'missing required key: created_at' END,
+                         CASE WHEN event_id % 140 < 20 OR event_id % 140 > 120 THEN 'score out of range' END,
+                         CASE WHEN event_id % 4 = 3 THEN 'decision not accepted' END) END AS errors FROM events)""")(_v13_alerts)
 
 # S13 write + S01 pruned read -------------------------------------------
 def _lake(s, d):
@@ -171,14 +266,21 @@ register("s01_read_raw", D.with_ctes(["fact_transaction"], _LAKE_SQL.format(
     lambda s, d: _per_month(RD.read_raw(s, _lake(s, d), since="2001-01-01", until="2001-06-30")))
 
 
-# CSV landing with explicit schema ----------------------------------
+# The labelled 22-column file, written from the landing rows and read with its schema
 def _s02(s, d):
     path = os.path.join(run_dir(s, "csv"), "payments")
-    D.payments_landing(T(s, d)).write.mode("overwrite").option("header", True).csv(path)
+    t = T(s, d)
+    x = D.payments_landing(t).withColumns({
+        "first": F.lit("First"), "last": F.concat(F.lit("O'Name, "), F.col("city")), "gender": F.lit("F"), "street": F.lit('1 "Main" St'),
+        "zip": F.lit("01234"), "job": F.lit(None).cast("string"), "dob": F.lit("1980-01-31"),
+        "is_fraud": F.when(F.col("trans_num").endswith("-7"), "1").otherwise("0")})
+    x.select(*RD.PAYMENT_CSV_COLUMNS).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return RD.read_payments_csv(s, path)
 
 
-register("s02_payments_csv", LANDING + "SELECT * FROM payments_landing")(_s02)
+register("s02_payments_csv", LANDING + """SELECT *, 'First' AS "first", 'O''Name, ' || city AS "last", 'F' AS gender, '1 "Main" St' AS street,
+  '01234' AS zip, CAST(NULL AS VARCHAR) AS job, '1980-01-31' AS dob, CASE WHEN trans_num LIKE '%-7' THEN '1' ELSE '0' END AS is_fraud
+FROM payments_landing""")(_s02)
 
 
 # JSON envelopes ------------------------------------------------------
@@ -247,7 +349,10 @@ WHERE transaction_ts > (SELECT COALESCE(MAX(transaction_ts), TIMESTAMP '1900-01-
 def _s09(s, d):
     t = T(s, d)
     landing = D.payments_landing(t).select("trans_num", "amt", "category")
-    stored = landing.filter(F.col("trans_num") < "T2")  # rows already in the table
+    stored = landing.filter(F.lit(False)).unionAll(  # rows already in the table
+        T(s, d).lineitem.filter("l_linenumber <= 3").select(
+            F.concat(F.lit("T"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("trans_num"),
+            F.lit("1").alias("amt"), F.lit("x").alias("category")))
     return C.insert_ignore(stored, landing, "trans_num")
 
 
@@ -255,7 +360,7 @@ register("s09_insert_ignore", D.with_ctes(["payments_landing"], """
 , b AS (SELECT trans_num, amt, category,
                row_number() OVER (PARTITION BY trans_num ORDER BY amt, category) AS rn FROM payments_landing)
 SELECT trans_num, amt, category FROM b
-WHERE rn = 1 AND trans_num NOT IN (SELECT trans_num FROM payments_landing WHERE trans_num < 'T2')"""))(_s09)
+WHERE rn = 1 AND trans_num NOT IN (SELECT 'T' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) FROM lineitem WHERE l_linenumber <= 3)"""))(_s09)
 
 
 # Keyed upsert of feature documents -------------------------------------

@@ -40,6 +40,17 @@ FROM v WHERE rn = 1"""))(
     lambda s, d: s.read.parquet(os.path.join(_ingest(s, d), "transactions"))
     .select("trans_num", "amt", "fraud_probability", "is_fraud_predicted", "model_version"))
 
+# T01 with the trained model as scorer: loaded from where it was saved
+def _t01_model(s, d):
+    from paylake.plans.q_models import payment_model
+    model, version, _ = payment_model(s, d)
+    out = I.run_dir(s, "ingest-model")
+    I.run_ingest(D.payments_landing_from(I.table_stream(s, d, "lineitem")), out, I.model_scorer(model, version)).awaitTermination()
+    return s.read.parquet(os.path.join(out, "transactions")).select("trans_num", "fraud_probability", "is_fraud_predicted", "model_version")
+
+
+register("t01_stream_ingest_model")(_t01_model)
+
 # T03 -------------------------------------------------------------------------
 register("t03_dead_letter_branch", D.with_ctes(["payments_landing", "verdict"], """
 SELECT trans_num, error_message FROM verdict WHERE n_errors > 0"""))(
@@ -109,6 +120,14 @@ FROM events GROUP BY ALL""")(
                                   ["window_start", "decision"]))
 
 
+register("t06_request_rate_overall", """
+SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, COUNT(*) AS n, COUNT(*) / 300.0 AS rate_per_s FROM events GROUP BY ALL""")(
+    lambda s, d: I.collect_stream(M.request_rate(_alert_stream(s, d), "created_at"), "rate-all", s, "update", ["window_start"]))
+register("t06_request_rate_sliding", """
+SELECT time_bucket(INTERVAL '1 minute', ts) - k * INTERVAL 1 MINUTE AS window_start, COUNT(*) AS n, COUNT(*) / 300.0 AS rate_per_s
+FROM events, range(5) r(k) GROUP BY ALL""")(
+    lambda s, d: I.collect_stream(M.request_rate(_alert_stream(s, d), "created_at", slide="1 minute"), "rate-slide", s, "update", ["window_start"]))
+
 # T07 -------------------------------------------------------------------------
 def _t07(s, d):
     counts = I.collect_stream(M.bucket_counts(_alert_stream(s, d), "created_at", "latency_s"), "latency", s, "update",

@@ -85,7 +85,10 @@ def cohort_retention(dim_customer: DataFrame, fact: DataFrame, as_of, months: in
     cohorts = lookback(dim_customer, "customer_since", as_of, months, unit="month").select(
         "customer_sk", F.trunc("customer_since", "MM").alias("cohort_month"))
     hi = window_bounds(as_of, 0)[1]
+    # no cohort starts before this month, and only activity from the cohort's month on counts: prunes all years before
+    first = window_bounds(as_of, months, "month")[0].replace(day=1)
     activity = (fact.filter((F.col("status") == "captured")
+                            & (F.col("transaction_ts") >= F.lit(first).cast("timestamp_ntz"))
                             & (F.col("transaction_ts") < F.lit(hi).cast("timestamp_ntz")))
                     .select("customer_sk", F.trunc("transaction_date", "MM").alias("tx_month"))
                     .distinct())

@@ -16,9 +16,6 @@ PAYMENT_CSV_COLUMNS = [
     "lat", "long", "city_pop", "job", "dob", "trans_num",
     "unix_time", "merch_lat", "merch_long", "is_fraud",
 ]
-# Columns of the derived landing table (see plans.domain.payments_landing).
-LANDING_COLUMNS = ["trans_num", "trans_date_trans_time", "cc_num", "merchant", "category", "amt", "lat", "long",
-                   "merch_lat", "merch_long", "city_pop", "unix_time", "city", "state"]
 
 CLICKSTREAM_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -52,10 +49,10 @@ def read_raw(spark: SparkSession, path: str, since=None, until=None, schema: T.S
 
 
 # S02 -----------------------------------------------------------------
-def read_payments_csv(spark: SparkSession, path: str, columns=LANDING_COLUMNS) -> DataFrame:
-    """All-string schema in header order; no inference pass over the data."""
+def read_payments_csv(spark: SparkSession, path: str, columns=PAYMENT_CSV_COLUMNS) -> DataFrame:
+    """All-string schema in header order, label included; no inference pass over the data."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
 
 
 # S03 -----------------------------------------------------------------

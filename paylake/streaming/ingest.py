@@ -78,11 +78,19 @@ KEY_BUCKETS = 64
 # T01 / T03 -----------------------------------------------------------
 def ingest_batch(batch: DataFrame, batch_id: int, out: str, scorer: Callable[[DataFrame], DataFrame],
                  key: str = "trans_num", min_partitions: int | None = None,
-                 dag_id: str = "stream_ingest") -> None:
-    """One micro-batch: validate, score, check the predictions, keyed insert,
-    dead letters (input and prediction errors), alerts, run-log row."""
+                 dag_id: str = "stream_ingest", event_time: str | None = None, delay_seconds: int = 600) -> None:
+    """One micro-batch: part off late rows, validate, score, check the
+    predictions, keyed insert, dead letters (late rows, input and prediction
+    errors), alerts, run-log row.
+
+    With ``event_time``, a row more than ``delay_seconds`` behind the latest
+    event time of earlier batches is late: it goes to the dead letters before
+    any stateful step, not silently away."""
     started = time.time()
     spark = batch.sparkSession
+    late = None
+    if event_time:
+        batch, late = split_late(batch, batch_id, os.path.join(out, "_event_time"), event_time, delay_seconds)
     # a micro-batch has as many partitions as its source (topic partitions,
     # files): when that is below the cluster's cores, spread it round-robin
     # (no key, so no skew) before the per-row validation and scoring work
@@ -107,26 +115,55 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, scorer: Callable[[Da
     stamp = dt.datetime.fromtimestamp(started, dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     dead = to_dead_letter(rejected, "validation_error", "api", created_at=stamp).unionByName(
         to_dead_letter(bad_pred, "prediction_error", "model", created_at=stamp))
+    if late is not None:
+        late = late.withColumn("errors", F.array(F.lit("late event")))
+        dead = dead.unionByName(to_dead_letter(late, "late_event", "api", created_at=stamp))
     write_batch(dead, os.path.join(out, "dead_letter"), batch_id)
     write_batch(fraud_alerts(new), os.path.join(out, "alerts"), batch_id)
-    run = log_run(v, [rejected, bad_pred], dag_id, f"batch_{batch_id}", dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
+    failed = [rejected, bad_pred] + ([late] if late is not None else [])
+    run = log_run(v if late is None else v.select(key).unionAll(late.select(key)), failed, dag_id, f"batch_{batch_id}", dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
                   round(time.time() - started, 2))
     write_batch(run, os.path.join(out, "pipeline_runs"), batch_id)
     v.unpersist()
 
 
 def run_ingest(landing: DataFrame, out: str, scorer: Callable[[DataFrame], DataFrame] = amount_scorer,
-               available_now: bool = True, processing_time: str = "1 minute"):
+               available_now: bool = True, processing_time: str = "1 minute",
+               event_time: str | None = None, delay_seconds: int = 600):
     """Start the ingestion stream; returns the StreamingQuery.
 
     Give the source a rate limit (``maxFilesPerTrigger`` /
     ``maxOffsetsPerTrigger``) so that a backlog arrives in batches."""
-    w = (landing.writeStream.foreachBatch(lambda df, bid: ingest_batch(df, bid, out, scorer))
+    w = (landing.writeStream.foreachBatch(lambda df, bid: ingest_batch(df, bid, out, scorer, event_time=event_time, delay_seconds=delay_seconds))
          .option("checkpointLocation", os.path.join(out, "_checkpoint")))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
 
 
+def split_late(batch: DataFrame, batch_id: int, marks: str, event_time: str,
+               delay_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """(rows in time, late rows). ``marks`` holds the latest event time of
+    each batch; a replayed batch is judged by the batches before it, so the
+    split is the same. A row without a readable time is never late."""
+    spark = batch.sparkSession
+    ts = F.col(event_time).cast("string").try_cast("timestamp")
+    mark = None
+    if path_exists(spark, marks):
+        mark = spark.read.parquet(marks).filter(F.col("batch_id").cast("long") < batch_id).agg(F.max("mark")).first()[0]
+    write_batch(batch.agg(F.max(ts).alias("mark")), marks, batch_id)
+    if mark is None:
+        return batch, batch.filter(F.lit(False))
+    late = F.coalesce(ts < F.lit(mark) - F.expr(f"INTERVAL {int(delay_seconds)} SECONDS"), F.lit(False))
+    return batch.filter(~late), batch.filter(late)
+
+
+def model_scorer(model, version: str) -> Callable[[DataFrame], DataFrame]:
+    """The trained pipeline as the stream's scorer (it takes the raw payment inputs)."""
+    from paylake.operators.ml import MODEL_FEATURES
+    from paylake.operators.scoring import score_batch
+    return lambda df: score_batch(df, model, version, MODEL_FEATURES)
+
+
 # T02 -----------------------------------------------------------------
 def dedup_stream(stream: DataFrame, key: str, ts: str, delay: str = "10 minutes") -> DataFrame:
     """Drop repeats of ``key`` seen within the watermark delay (bounded state);

@@ -162,3 +162,36 @@ def test_cv_auc_parallel_folds(spark):
                             RandomForestClassifier(numTrees=5, maxDepth=3, seed=1)])
     aucs = ML.cv_auc(pipe, df, folds=3)
     assert len(aucs) == 3 and min(aucs) > 0.99
+
+
+def test_late_rows_go_to_the_dead_letters(spark):
+    """Three batches: rows behind the latest event time of earlier batches are parted off, a replay parts off the same."""
+    cols = ["trans_num", "trans_date_trans_time", "cc_num", "merchant", "category", "amt", "lat", "long", "merch_lat", "merch_long",
+            "city_pop", "unix_time", "city", "state"]
+    row = lambda i, at: (f"L{i}", at, "4" * 16, "m", "c", "10.0", "1", "1", "1", "1", "5", "1371816893", "x", "CA")
+    day = "2024-01-01 "
+    batches = [[row(1, day + "10:00:00"), row(2, day + "10:30:00")],
+               [row(3, day + "10:25:00"), row(4, day + "10:15:00"), row(5, day + "11:00:00")],
+               [row(6, day + "10:40:00"), row(7, "not a time"), row(8, day + "11:30:00")]]
+    out = I.run_dir(spark, "test-late")
+    for b in (0, 1, 1, 2):
+        I.ingest_batch(spark.createDataFrame(batches[b], cols), b, out, I.amount_scorer, event_time="trans_date_trans_time")
+    dead = spark.read.parquet(os.path.join(out, "dead_letter"))
+    late = dead.filter("error_type = 'late_event'").select(F.get_json_object("raw_data", "$.trans_num")).collect()
+    assert sorted(r[0] for r in late) == ["L4", "L6"]
+    assert {r.trans_num for r in spark.read.parquet(os.path.join(out, "transactions")).collect()} == {"L1", "L2", "L3", "L5", "L7", "L8"}
+    runs = {r.task_id: (r.records_processed, r.records_failed) for r in spark.read.parquet(os.path.join(out, "pipeline_runs")).collect()}
+    assert runs["batch_1"] == (3, 1) and runs["batch_2"] == (3, 1)
+    assert dead.filter("year(created_at) < 2020").count() == 0
+
+
+def test_keyed_insert_reads_only_the_buckets_of_the_batch(spark):
+    rows = spark.createDataFrame([(f"k{i}", i) for i in range(300)], "k string, v int")
+    path = os.path.join(I.run_dir(spark, "test-keyed"), "t")
+    I.keyed_append(rows, path, 0, "k")
+    again = spark.createDataFrame([("k5", 99), ("new", 1)], "k string, v int")
+    assert [tuple(r) for r in I.keyed_append(again, path, 1, "k").collect()] == [("new", 1)]
+    got = spark.read.parquet(path)
+    assert got.count() == 301 and got.select("key_bucket").distinct().count() > 20
+    plan = got.filter("key_bucket in (3)")._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "key_bucket" in plan
