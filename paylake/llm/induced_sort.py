@@ -195,20 +195,25 @@ def by_symbol(t: np.ndarray, k: int, pos: np.ndarray, lcp: np.ndarray):
 
 
 def sort_names(s: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a text over a large alphabet, by doubling the sorted prefix."""
+    """Order of the suffixes of a text over a large alphabet: the sorted prefix grows threefold each round
+    (twofold where three ranks don't fit into 63 bits)."""
     n, step = len(s), 1
     rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
     while True:
-        ahead = np.full(n, -1, dtype=np.int64)
-        ahead[:max(0, n - step)] = rank[step:]
-        key = rank * (n + 1) + ahead + 1
+        base = int(rank.max()) + 2
+        key, parts = rank, 3 if base ** 3 < 1 << 63 else 2
+        for k in range(1, parts):
+            ahead = np.zeros(n, dtype=np.int64)
+            ahead[:max(0, n - k * step)] = rank[k * step:] + 1
+            key = key * base + ahead
         order = np.argsort(key)
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = new
+        key = key[order]
+        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
         if new[-1] == n - 1:
             return order
-        step *= 2
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = new
+        step *= parts
 
 
 class Prefixes:

@@ -90,15 +90,19 @@ def _merged(start: np.ndarray, length: np.ndarray):
 
 
 def _gone(doc, place, n):
-    """Rows that say which bytes go: the hash is 0, n the negative length."""
+    """Rows that say which bytes go: the hash is 0, n the negative length. Windows that touch in a text are joined."""
     order = np.lexsort((place, doc))
-    doc, place, n = doc[order], place[order], n[order]
-    rows = []
-    for d in np.split(np.arange(len(doc)), np.flatnonzero(doc[1:] != doc[:-1]) + 1) if len(doc) else []:
-        s, size = _merged(place[d], n[d].astype(np.int64) + LENGTH - 1)
-        rows.append((mix(doc[d[:1]].view(np.uint64)).view(np.int64).repeat(len(s)), np.zeros(len(s), np.int64),
-                     doc[d[:1]].repeat(len(s)), s, -size))
-    return [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 5
+    doc, place, size = doc[order], place[order], n[order].astype(np.int64) + LENGTH - 1
+    if not len(doc):
+        return [np.zeros(0, np.int64)] * 5
+    text = place >> PLACE_BITS
+    other = np.concatenate([[False], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])
+    line = (np.cumsum(other) << (PLACE_BITS + 1)) + (place & ((1 << PLACE_BITS) - 1))  # texts one after the other
+    end = np.maximum.accumulate(line + size)
+    new = np.concatenate([[True], line[1:] > end[:-1]]) | other
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(doc) - 1)
+    doc, place = doc[new], place[new]
+    return [mix(doc.view(np.uint64)).view(np.int64), np.zeros(len(doc), np.int64), doc, place, line[new] - end[last]]
 
 
 def _batch(cols):
