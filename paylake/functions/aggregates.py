@@ -8,6 +8,7 @@ crosses the shuffle.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paylake.functions.scalar import _c
@@ -63,6 +64,34 @@ def pctl(col, q: float = 0.95) -> Column:
     return F.percentile(_c(col).cast("double"), F.lit(q))
 
 
+def pctl_by(df, by: list[str], col: str, q: float, out: str, buckets: int = 4096):
+    """Exact continuous percentile per group without a buffer of its values:
+    counts per value, then per equal-width bucket of values (at most
+    ``buckets`` rows a group) to find the buckets of the two ranks around q,
+    and only their values are ranked. Nulls don't count; a group of nulls gives null."""
+    v = df.select(*by, _c(col).cast("double").alias("_v")).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ends = v.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_c"))).alias("_n"))
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
+    key = lambda x: x.withColumnsRenamed({b: f"_k_{b}" for b in by})
+    at = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * buckets
+    x = v.filter("_v is not null").join(key(ends), same).withColumn("_b", F.coalesce(F.least(F.floor(at), F.lit(buckets - 1)), F.lit(0))) \
+        .drop(*[f"_k_{b}" for b in by])
+    w = W.partitionBy(*by).orderBy("_b")
+    sums = x.groupBy(*by, "_b", "_n").agg(F.sum("_c").alias("_m")).withColumn("_before", F.sum("_m").over(w) - F.col("_m"))
+    rank = F.lit(q) * (F.col("_n") - 1)
+    lo, hi = F.floor(rank), F.ceil(rank)
+    hit = sums.filter((F.col("_before") <= hi) & (F.col("_before") + F.col("_m") > lo)).select(*by, F.col("_b").alias("_hb"), "_before")
+    near = x.join(key(hit), same & (F.col("_b") == F.col("_hb"))).drop(*[f"_k_{b}" for b in by])
+    w = W.partitionBy(*by, "_b").orderBy("_v")
+    near = near.withColumn("_from", F.col("_before") + F.sum("_c").over(w) - F.col("_c"))
+    pick = lambda r: F.max(F.when((F.col("_from") <= r) & (F.col("_from") + F.col("_c") > r), F.col("_v")))
+    found = near.groupBy(*by).agg(pick(lo).alias("_a"), pick(hi).alias("_z"), F.max(rank - lo).alias("_f")) \
+        .select(*by, (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")).alias(out))
+    return ends.select(*by).join(key(found), same, "left").select(*by, out)
+
+
 def pctl_approx(col, q: float = 0.95, accuracy: int = 10000) -> Column:
     """Bounded-memory percentile for skewed groups (opt-in)."""
     return F.percentile_approx(_c(col).cast("double"), q, accuracy)

@@ -108,7 +108,8 @@ def sha256_hex(x) -> Column:
 
 # F11 ------------------------------------------------------------------
 def bucket(x, n: int) -> Column:
-    return F.pmod(F.xxhash64(_c(x)), F.lit(n))
+    """0 .. n-1 from the first 32 bits of the value's MD5."""
+    return F.pmod(F.conv(F.substring(F.md5(_c(x).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(n))
 
 
 def pick(values: list, idx) -> Column:

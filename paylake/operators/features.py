@@ -116,19 +116,31 @@ def merchant_features(fact: DataFrame, as_of, ts: str = "transaction_ts") -> Dat
 
 
 # W02 -----------------------------------------------------------------
+TRAILING_WINDOWS = {"1h": 3600, "24h": 86400, "7d": 7 * 86400, "30d": 30 * 86400, "90d": 90 * 86400}
+
+
 def trailing(df: DataFrame, key: str, ts: str, seconds: int, value: str, exclude_current: bool = True) -> DataFrame:
     """Point-in-time trailing count and sum per key over ``seconds`` before each
     row (excluding the row itself for leakage-free training rows).
 
-    Range frame over epoch seconds, partitioned by key. A key holding a large
-    share of rows is sorted within its partition; with AQE skew handling the
-    exchange is split, but the frame itself needs all rows of the key in
-    order, which is inherent to a per-key running window.
-    """
+    A key's rows are cut into time buckets of the window's length; each row
+    goes to its own bucket and, as context, to the next one, so a frame never
+    leaves its bucket and a key with a third of all rows is spread over as
+    many tasks as its history has buckets. Rows without a key or time keep a
+    frame of their own kind (null key, null time)."""
     sec = F.unix_timestamp(F.col(ts).cast("timestamp"))
     hi = -1 if exclude_current else 0
-    w = W.partitionBy(key).orderBy(sec).rangeBetween(-seconds, hi)
-    return df.withColumns({
-        f"{value}_count_{seconds}s": F.count(F.col(value)).over(w),
-        f"{value}_sum_{seconds}s": F.coalesce(F.sum(F.col(value)).over(w), F.lit(0)),
-    })
+    x = df.withColumn("_sec", sec).withColumn("_own", F.floor(F.col("_sec") / seconds))
+    x = x.withColumn("_b", F.explode(F.when(F.col("_own").isNull(), F.array(F.lit(None).cast("long")))
+                                     .otherwise(F.array(F.col("_own"), F.col("_own") + 1))))
+    w = W.partitionBy(key, "_b").orderBy("_sec").rangeBetween(-seconds, hi)
+    x = x.withColumns({f"{value}_count_{seconds}s": F.count(F.col(value)).over(w),
+                       f"{value}_sum_{seconds}s": F.coalesce(F.sum(F.col(value)).over(w), F.lit(0.0))})
+    return x.filter(F.col("_own").isNull() | (F.col("_b") == F.col("_own"))).drop("_sec", "_own", "_b")
+
+
+def trailing_all(df: DataFrame, key: str, ts: str, value: str, windows=None) -> DataFrame:
+    """All trailing windows of the feature contract, 1 h to 90 d."""
+    for seconds in (windows or TRAILING_WINDOWS).values():
+        df = trailing(df, key, ts, seconds, value)
+    return df

@@ -13,7 +13,7 @@ from paylake.functions import predicates as P
 from paylake.functions import scalar as SF
 from paylake.plans import domain as D
 from paylake.operators.joins import join_dim
-from paylake.plans.registry import AS_TX, T, _window, register
+from paylake.plans.base import AS_TX, T, _window, register
 
 FACT = ["fact_transaction"]
 
@@ -100,6 +100,12 @@ FROM fact_transaction GROUP BY ALL"""))(
                                     SF.pick(D.CURRENCIES, F.pmod("merchant_sk", F.lit(8))).alias("home_currency"))
     .agg(F.count(F.lit(1)).alias("n")))
 
+register("f11_bucket", D.with_ctes(FACT, """
+SELECT CAST(('0x' || substr(md5(CAST(merchant_sk AS VARCHAR)), 1, 8)) AS BIGINT) % 16 AS bucket, COUNT(DISTINCT merchant_sk) AS n_merchants, COUNT(*) AS n
+FROM fact_transaction GROUP BY 1"""))(
+    lambda s, d: fact(s, d).groupBy(SF.bucket("merchant_sk", 16).alias("bucket"), "merchant_sk").agg(F.count(F.lit(1)).alias("_n"))
+    .groupBy("bucket").agg(F.count(F.lit(1)).alias("n_merchants"), F.sum("_n").alias("n")))
+
 register("f12_mask_card", D.with_ctes(["payments_landing"], """
 SELECT trans_num, '***' || right(cc_num, 4) AS card FROM payments_landing"""))(
     lambda s, d: D.payments_landing(T(s, d)).select("trans_num", SF.mask_card("cc_num").alias("card")))
@@ -108,6 +114,10 @@ register("f13_json", """
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""")(
     lambda s, d: T(s, d).events.select("event_id", SF.json_field("props", "k").cast("int").alias("k")))
 
+register("f13_json_object", """
+SELECT event_id, '{"event_id":' || CAST(event_id AS VARCHAR) || ',"event_type":"' || event_type || '"}' AS doc FROM events""")(
+    lambda s, d: T(s, d).events.select("event_id", SF.json_object("event_id", "event_type").alias("doc")))
+
 # the set per user is bounded by the event-type domain (5 values) and is
 # deduplicated map-side, so a hot user does not grow it
 register("f14_array_ops", """
@@ -163,6 +173,16 @@ register("p09_risky_open", D.with_ctes(FACT, """
 SELECT status, COUNT(*) AS n FROM fact_transaction WHERE fraud_score > 0.5 GROUP BY 1"""))(
     lambda s, d: P.risky(fact(s, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n")))
 
+register("p09_open_statuses", """
+SELECT status, COUNT(*) AS n FROM (
+  SELECT CASE (l_orderkey * 10 + l_linenumber) % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'authorized' WHEN 2 THEN 'captured'
+              WHEN 3 THEN 'failed' WHEN 4 THEN 'refunded' ELSE 'disputed' END AS status FROM lineitem)
+WHERE status IN ('pending', 'failed', 'disputed') GROUP BY 1""")(
+    lambda s, d: P.open_statuses(T(s, d).lineitem.select(
+        SF.pick(["pending", "authorized", "captured", "failed", "refunded", "disputed"],
+                F.pmod(F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.lit(6))).alias("status")))
+    .groupBy("status").agg(F.count(F.lit(1)).alias("n")))
+
 register("p10_live", """
 SELECT COUNT(*) AS n_live FROM customer WHERE NOT (c_acctbal < 0)""")(
     lambda s, d: P.live(T(s, d).customer.withColumn("deleted_at", F.when(F.col("c_acctbal") < 0, F.lit("2001-01-01").cast("date"))))
@@ -196,7 +216,7 @@ FROM fact_transaction f JOIN (SELECT s_suppkey, r_name AS region FROM supplier J
     .groupBy("region").agg(A.sum_if(F.col("status") == "captured", "amount_usd").cast("decimal(38,2)").alias("captured_usd"),
                            A.count_if(F.col("status") == "refunded").alias("n_refunded")))
 register("a06_percentile", "SELECT event_type, ROUND(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")(
-    lambda s, d: T(s, d).events.groupBy("event_type").agg(F.round(A.pctl("value", 0.95), 6).alias("p95")))
+    lambda s, d: A.pctl_by(T(s, d).events, ["event_type"], "value", 0.95, "p95").withColumn("p95", F.round("p95", 6)))
 register("a07_set_flags", """
 SELECT user_id, COUNT(DISTINCT event_type) AS set_size, MAX(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS has_error
 FROM events GROUP BY 1""")(

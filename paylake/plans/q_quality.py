@@ -10,7 +10,7 @@ from pyspark.sql import types as T_
 from paylake.operators import quality as Q
 from paylake.operators.joins import join_dim
 from paylake.plans import domain as D
-from paylake.plans.registry import AS_IN, AS_TX, T, _window, register
+from paylake.plans.base import AS_IN, AS_TX, T, _window, register
 from paylake.sources import changes as C
 from paylake.sources import readers as RD
 from paylake.sources import sinks as SK

@@ -7,10 +7,10 @@ import os
 from pyspark.sql import functions as F
 
 from paylake.operators import joins as J
-from paylake.operators.features import trailing
+from paylake.operators.features import trailing, trailing_all
 from paylake.plans import domain as D
 from paylake.plans import star as S
-from paylake.plans.registry import AS_TX, T, _window, register
+from paylake.plans.base import AS_TX, T, _window, register
 from paylake.streaming.ingest import run_dir
 
 CUR_LIST = D._sql_list(D.CURRENCIES)
@@ -118,13 +118,6 @@ register("q19_fact_transaction", D.with_ctes(STAR, FACT_FULL_SQL + STAR_FACT))(l
 STAR_SQL = FACT_FULL_SQL + ", star AS (" + STAR_FACT + ")"
 
 
-def _star(s, d):
-    """The fact, written by day and read back: what every report on the star reads."""
-    path = os.path.join(run_dir(s, "star"), "fact")
-    S.load_fact(T(s, d), path)
-    return S.read_fact(s, path)
-
-
 def _incremental(s, d):
     """A full load, then one of the days from a mark on over it: the same rows as one load."""
     path = os.path.join(run_dir(s, "star-inc"), "fact")
@@ -145,7 +138,7 @@ SELECT f.transaction_date, m.region, COUNT(*) AS n_transactions,
        ROUND(100.0::DOUBLE * SUM(CASE WHEN f.status = 'captured' THEN 1 ELSE 0 END) / COUNT(*), 2) AS success_rate_pct
 FROM star f LEFT JOIN dim_merchant m ON f.merchant_sk = m.merchant_sk
 GROUP BY f.transaction_date, m.region"""))(
-    lambda s, d: S.mart_revenue_daily(_star(s, d), D.dim_merchant(T(s, d))))
+    lambda s, d: S.mart_revenue_daily(S.fact_transaction_full(T(s, d)), D.dim_merchant(T(s, d))))
 
 register("q21_mart_fraud_analysis", D.with_ctes(STAR + ["dim_customer", "dim_merchant"], STAR_SQL + """
 SELECT f.transaction_date, c.risk_tier, m.mcc_category, COUNT(*) AS n_transactions,
@@ -155,7 +148,7 @@ SELECT f.transaction_date, c.risk_tier, m.mcc_category, COUNT(*) AS n_transactio
 FROM star f LEFT JOIN dim_customer c ON f.customer_sk = c.customer_sk
             LEFT JOIN dim_merchant m ON f.merchant_sk = m.merchant_sk
 GROUP BY ALL"""))(
-    lambda s, d: S.mart_fraud_analysis(_star(s, d), D.dim_customer(T(s, d)), D.dim_merchant(T(s, d))))
+    lambda s, d: S.mart_fraud_analysis(S.fact_transaction_full(T(s, d)), D.dim_customer(T(s, d)), D.dim_merchant(T(s, d))))
 
 # J01 / J02 ---------------------------------------------------------------------------
 register("j01_fact_dim_left", D.with_ctes(["fact_transaction", "dim_merchant"], """
@@ -261,6 +254,13 @@ SELECT event_id,
 FROM (SELECT *, CAST(epoch(CAST(ts AS TIMESTAMPTZ)) AS BIGINT) AS sec FROM events)
 WINDOW w AS (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING)""")(_w02)
 
+_W = [("1h", 3600), ("24h", 86400), ("7d", 604800), ("30d", 2592000), ("90d", 7776000)]
+register("w02_trailing_windows", "SELECT event_id, " + ", ".join(
+    f"COUNT(value) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN {n} PRECEDING AND 1 PRECEDING) AS n_{k}" for k, n in _W) + """
+FROM (SELECT *, CAST(epoch(CAST(ts AS TIMESTAMPTZ)) AS BIGINT) AS sec FROM events)""")(
+    lambda s, d: trailing_all(T(s, d).events.select("event_id", "user_id", "ts", "value"), "user_id", "ts", "value")
+    .select("event_id", *[F.col(f"value_count_{n}s").alias(f"n_{k}") for k, n in _W]))
+
 # Validity intervals of a keyed, dated series from the data ----------------------------------
 register("w03_validity_intervals", """
 SELECT o_orderpriority, effective_date,

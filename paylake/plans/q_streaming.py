@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from paylake.operators.features import as_feature_document, customer_features_reference
 from paylake.plans import domain as D
 from paylake.plans.q_models import IP_COUNTRIES, XDEPS, _extract
-from paylake.plans.registry import AS_TX, T, register
+from paylake.plans import q_quality  # noqa: F401  (its SQL parts are used here)
+from paylake.plans.base import AS_TX, T, register
 from paylake.streaming import ingest as I
 from paylake.streaming import monitors as M
 
