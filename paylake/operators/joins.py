@@ -2,9 +2,9 @@
 
 Broadcast policy: a side is broadcast only when its size is bounded. Either
 the caller knows it is bounded by a fixed domain (countries, currencies,
-rates), or ``bounded_broadcast`` checks an upper bound of the dimension's
-size (the relations it scans) against a cap; above the cap the join stays a
-shuffle join (and AQE may still convert it at runtime from the real shuffle
+rates), or ``bounded_broadcast`` finds that the files it scans are under a
+cap that leaves a wide margin for decompression; above the cap the join stays
+a shuffle join (and AQE may still convert it at runtime from the real shuffle
 sizes).
 """
 
@@ -14,18 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-DEFAULT_BROADCAST_CAP = 64 * 1024 * 1024
+# of compressed files: even at a tenfold growth in memory well under Spark's broadcast limits
+DEFAULT_BROADCAST_CAP = 8 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Upper bound of a dimension's size from the sizes of the relations it
-    reads (no job is run).
+    """Compressed size of the relations that a dimension reads (no job is run).
 
     Catalyst's own estimate of a join is the *product* of its inputs, which
     rules out every dimension assembled from lookups. A dimension here is a
-    key-unique table built by many-to-one lookups and aggregates, whose size
-    is bounded by the sum of what it scans; that sum is what is checked. A
-    leaf without statistics (e.g. a local relation of unknown size) reports
+    key-unique table built by many-to-one lookups and aggregates, so it has no
+    more rows than what it scans; the sum of the scanned files is what is
+    checked (not a bound in memory: hence the small cap). A leaf without statistics (e.g. a local relation of unknown size) reports
     Spark's default size, which is far above any cap.
     """
     try:

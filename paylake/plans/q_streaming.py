@@ -74,7 +74,8 @@ FROM scored_transactions WHERE is_fraud_predicted"""))(
 # T05 -------------------------------------------------------------------------
 def _t05(s, d):
     t = T(s, d)
-    docs = as_feature_document(customer_features_reference(_extract(t)), f"{AS_TX} 00:00:00", "v1")
+    docs = I.stored_once(as_feature_document(customer_features_reference(_extract(t)), f"{AS_TX} 00:00:00", "v1"),
+                         os.path.join(I.run_dir(s, "features"), "customer"))
     li = I.table_stream(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     o = t.orders.select("o_orderkey", "o_custkey")
     sk = F.col("l_orderkey") * 10 + F.col("l_linenumber")
@@ -171,6 +172,20 @@ FROM events, range(4) r(k) GROUP BY ALL""")(
     lambda s, d: I.collect_stream(M.sliding_counters(I.table_stream(s, d, "events"), "user_id", "ts"), "sliding", s, "update",
                                   ["user_id", "window_start"]))
 
+# The counter of each user's latest window goes into the feature document
+def _t09_upsert(s, d):
+    counters = I.collect_stream(M.sliding_counters(I.table_stream(s, d, "events"), "user_id", "ts"), "sliding-docs", s, "update",
+                                ["user_id", "window_start"])
+    docs = T(s, d).customer.filter("c_custkey <= 40").select(F.col("c_custkey").cast("long").alias("user_id"), F.lit(-1).cast("long").alias("tx_count_1h"))
+    return M.update_features(docs, counters, "user_id", "tx_count_1h")
+
+
+register("t09_feature_upsert", """
+WITH w AS (SELECT user_id, time_bucket(INTERVAL '15 minutes', ts) AS window_start, COUNT(*) AS n FROM events GROUP BY ALL),
+last AS (SELECT user_id, n FROM w QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY window_start DESC) = 1)
+SELECT user_id, n AS tx_count_1h FROM last
+UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey <= 40 AND c_custkey NOT IN (SELECT user_id FROM last)""")(_t09_upsert)
+
 # Event stream source (file stream; a Kafka topic is the drop-in) ---------
 register("s06_events_stream", """
 SELECT event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS value FROM events GROUP BY 1""")(

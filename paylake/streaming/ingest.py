@@ -225,13 +225,23 @@ def alerts_batch(batch: DataFrame, batch_id: int, out: str, features: DataFrame,
 
 
 def run_scoring(requests: DataFrame, features: DataFrame, out: str, available_now: bool = True):
-    """Start the online-scoring stream (stream-static feature lookup)."""
+    """Start the online-scoring stream (stream-static feature lookup). The
+    feature documents are written once and looked up there, not recomputed in
+    every micro-batch."""
+    features = stored_once(features, os.path.join(out, "_features"))
     w = (requests.writeStream.foreachBatch(lambda df, bid: alerts_batch(df, bid, out, features))
          .option("checkpointLocation", os.path.join(out, "_checkpoint")))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+def stored_once(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a written table (written when the folder is not there yet)."""
+    if not path_exists(df.sparkSession, os.path.join(path, "_SUCCESS")):
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def collect_stream(df: DataFrame, name: str, spark: SparkSession, output_mode: str = "append",
                    keys: list[str] | None = None) -> DataFrame:
     """Run ``df`` to completion (availableNow) into a parquet table in the

@@ -85,3 +85,11 @@ def sliding_counters(stream: DataFrame, key: str, ts: str, window: str = "1 hour
     s = _wm(stream, ts, delay)
     g = s.groupBy(F.col(key), F.window(ts, window, slide).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return g.select(key, F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+def update_features(docs: DataFrame, counters: DataFrame, key: str, field: str) -> DataFrame:
+    """Feature documents with ``field`` replaced by the count of each key's
+    latest window; keys without counters keep their document."""
+    from paylake.sources.changes import latest_per_key, upsert
+    last = latest_per_key(counters, key, ["window_start"]).select(key, F.col("n").alias(field))
+    return upsert(docs, last, key)
