@@ -89,14 +89,15 @@ def rule_required(df: DataFrame, fields=REQUIRED_FIELDS) -> list[Rule]:
 
 
 # V02 -----------------------------------------------------------------
-def rule_amount(col: str = "amt", hi: float = AMOUNT_MAX) -> list[Rule]:
-    """Non-numeric, <= 0, > hi (hi itself passes). Null is skipped.
+def rule_amount(col: str = "amt", hi: float = AMOUNT_MAX, typed: str | None = None) -> list[Rule]:
+    """Non-numeric, <= 0, > hi (hi itself passes). Null is skipped. ``typed``
+    names a column that already holds the number.
 
     NaN passes the reference check silently (all comparisons false); here it
     is rejected as non-numeric.
     """
     raw = F.col(col)
-    v = _num(raw)
+    v = F.col(typed) if typed else _num(raw)
     bad = raw.isNotNull() & (v.isNull() | F.isnan(v))
     return [
         Rule("amount_numeric", F.when(bad, _fmt(MSG_AMOUNT_NOT_NUMERIC, value=raw))),
@@ -106,13 +107,13 @@ def rule_amount(col: str = "amt", hi: float = AMOUNT_MAX) -> list[Rule]:
 
 
 # V03 -----------------------------------------------------------------
-def rule_coordinates(df: DataFrame | None = None, bounds=COORDINATE_BOUNDS) -> list[Rule]:
+def rule_coordinates(df: DataFrame | None = None, bounds=COORDINATE_BOUNDS, typed: dict[str, str] | None = None) -> list[Rule]:
     out = []
     for field, lo, hi in bounds:
         if df is not None and field not in df.columns:
             continue
         raw = F.col(field)
-        v = _num(raw)
+        v = F.col(typed[field]) if typed and field in typed else _num(raw)
         msg = (F.when(raw.isNull(), None)
                .when(v.isNull(), _fmt(MSG_COORD_NOT_NUMERIC, field, raw))
                .when(F.isnan(v) | ~v.between(lo, hi), _fmt(MSG_COORD_OUT_OF_RANGE, field, raw)))
@@ -131,11 +132,18 @@ def schema_rules(df: DataFrame) -> list[Rule]:
     return rule_required(df)
 
 
-def business_rules(df: DataFrame) -> list[Rule]:
+NUMERIC_FIELDS = ["amt", *[f for f, _, _ in COORDINATE_BOUNDS]]
+
+
+def typed_fields(df: DataFrame) -> dict[str, str]:
+    return {c: f"_num_{c}" for c in NUMERIC_FIELDS if c in df.columns}
+
+
+def business_rules(df: DataFrame, typed: dict[str, str] | None = None) -> list[Rule]:
     rules = []
     if "amt" in df.columns:
-        rules += rule_amount("amt")
-    rules += rule_coordinates(df)
+        rules += rule_amount("amt", typed=(typed or {}).get("amt"))
+    rules += rule_coordinates(df, typed=typed)
     if "cc_num" in df.columns:
         rules += rule_min_length("cc_num")
     return rules
@@ -163,11 +171,14 @@ def validate(df: DataFrame) -> DataFrame:
     """Adds ``schema_errors``, ``rule_errors``, ``errors`` (schema first) and
     ``data_quality_status`` valid/rejected.
 
-    The two joined message strings are produced once in their own
+    Numbers are parsed once, in a projection of typed columns that the rules
+    read; the two joined message strings are produced once in their own
     projection; everything after reads them (Catalyst does not inline a
     non-trivial expression into several consumers)."""
-    m = df.withColumns({"_schema_msg": messages_of(schema_rules(df)),
-                        "_rule_msg": messages_of(business_rules(df))})
+    typed = typed_fields(df)
+    x = df.withColumns({t: _num(F.col(c)) for c, t in typed.items()}) if typed else df
+    m = x.withColumns({"_schema_msg": messages_of(schema_rules(df)),
+                       "_rule_msg": messages_of(business_rules(df, typed))})
     out = m.withColumns({
         "schema_errors": split_messages(F.col("_schema_msg")),
         "rule_errors": split_messages(F.col("_rule_msg")),
