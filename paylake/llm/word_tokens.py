@@ -36,6 +36,7 @@ class _Words(dict):
     def __init__(self, tok, lower: bool):
         self.tok, self.lower = tok, lower
         self.model = tok.model
+        self.old: dict[bytes, bytes] = {}
         # the byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
@@ -52,27 +53,40 @@ class _Words(dict):
             text = text.encode().decode("latin-1").translate(self.alphabet)
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
 
+    def turn_over(self) -> None:
+        """Start anew, with the words met so far at hand until the next time."""
+        self.old = dict(self)
+        self.clear()
+
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
-            ids = self[word[:-1]] + self[word[-1:]]  # a stop after a letter is a piece of its own
-        elif self.direct and text.isalpha() and max(text) < "\u0250":
-            text = unicodedata.normalize("NFC", text)
-            ids = self._direct(text.lower() if self.lower else text)
-        else:
-            ids = self._whole(text)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._new(word)
         self[word] = ids
         return ids
 
+    def _new(self, word: bytes) -> bytes:
+        if word.isalpha() and self.direct:  # of bytes: a-z and A-Z only
+            text = word.decode()
+            found = self.model.tokenize(text.lower() if self.lower else text)
+            return found[0].id.to_bytes(4, "little") if len(found) == 1 else b"".join([t.id.to_bytes(4, "little") for t in found])
+        if len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
+            return self[word[:-1]] + self[word[-1:]]  # a stop after a letter is a piece of its own
+        text = word.decode("utf-8", "replace")
+        if self.direct and text.isalpha() and max(text) < "\u0250":
+            text = unicodedata.normalize("NFC", text)
+            return self._direct(text.lower() if self.lower else text)
+        return self._whole(text)
+
 
 class WordEncoder:
     """``encode(texts)``: for each UTF-8 text its ids, as little-endian unsigned 32-bit bytes.
 
-    The words met are kept and dropped when there are more than ``cache_words``
+    About ``cache_words`` words are kept, those not met for long are dropped
     (memory bound); that never changes a result.
     """
 
-    def __init__(self, path: str, cache_words: int = 600_000):
+    def __init__(self, path: str, cache_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -97,8 +111,8 @@ class WordEncoder:
             if self.lower and b"\xcc" not in raw and b"\xcd" not in raw:
                 raw = raw.lower()
             out.append(b"".join(map(get, raw.split())))
-            if len(self.cache) > self.cache_words:
-                self.cache.clear()
+            if 2 * len(self.cache) > self.cache_words:
+                self.cache.turn_over()
         return out
 
 
