@@ -26,7 +26,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of strings that occur earlier."""
-    return suffix_dedup.drop_repeated_text(docs)
+    # smaller shards than on its own: the workers have served other stages before
+    return suffix_dedup.drop_repeated_text(docs, shard_bytes=3 << 19)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylake.llm.common import Scratch, connected_components, ship
+from paylake.llm.common import Scratch, connected_components, ship, tidy
 
 MIN_COS = 0.93
 TAU = 3.5  # cap height in standard deviations of a random direction's product
@@ -135,7 +135,7 @@ def filters(classes: DataFrame, min_cos: float) -> DataFrame:
                         ["label", "dim", "filter", "rep"])
 
     kind = classes.schema["label"].dataType.simpleString()
-    return classes.select("label", "rep", "embedding").mapInArrow(run, f"label {kind}, dim int, filter long, rep long")
+    return classes.select("label", "rep", "embedding").mapInArrow(tidy(run), f"label {kind}, dim int, filter long, rep long")
 
 
 def links(classes: DataFrame, scratch: Scratch, min_cos: float) -> DataFrame:
@@ -179,7 +179,7 @@ def links(classes: DataFrame, scratch: Scratch, min_cos: float) -> DataFrame:
                 group.append(r[5:])
         yield from done()
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def near_duplicates(embeddings: DataFrame, min_cos: float = MIN_COS) -> DataFrame:

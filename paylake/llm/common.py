@@ -34,6 +34,28 @@ def ship(spark: SparkSession) -> None:
     sc._paylake_shipped = True
 
 
+def release() -> None:
+    """Give memory that this worker has freed back to the system (workers live on between tasks)."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A task's function that gives its memory back at the end."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return wrapped
+
+
 class Scratch:
     """Tables written under the shared checkpoint folder.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylake.llm.common import raw_text, ship
+from paylake.llm.common import raw_text, ship, tidy
 
 Q, STEP = 8, 4
 ERROR = 0.08
@@ -232,7 +232,7 @@ def find(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
                                                  ["doc_id", "item_id", "edits", "start", "end"])
 
-        part = src.mapInArrow(run, "doc_id long, item_id long, edits long, start long, end long")
+        part = src.mapInArrow(tidy(run), "doc_id long, item_id long, edits long, start long, end long")
         out = part if out is None else out.unionAll(part)
     # an item lies in one block: a row per document and item already
     return out
@@ -262,5 +262,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERRO
                     keep[[first + m[0] for m in index.matches(group)]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(tidy(run), schema)
     return docs

@@ -31,8 +31,8 @@ class Queue:
 
     def push(self, pos: np.ndarray, lcp: np.ndarray) -> None:
         if len(pos):
-            self.parts.append((pos.astype(np.int64), lcp.astype(np.int32)))
-            self.store.grown(len(pos) * 12)
+            self.parts.append((pos.astype(np.int32), lcp.astype(np.int32)))
+            self.store.grown(len(pos) * 8)
 
     def spill(self) -> None:
         if not self.parts:
@@ -51,13 +51,13 @@ class Queue:
         if self.spilled:
             self.file.seek(0)
             for n in self.spilled:
-                yield np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(4 * n), np.int32)
+                yield np.frombuffer(self.file.read(4 * n), np.int32), np.frombuffer(self.file.read(4 * n), np.int32)
             self.spilled = []
             self.file.truncate(0)
             self.file.seek(0)
         parts, self.parts = self.parts, []
         for p in parts:
-            self.store.held -= len(p[0]) * 12
+            self.store.held -= len(p[0]) * 8
             yield p
 
 
@@ -155,7 +155,7 @@ class Induction:
         for c in range(k - 1, -1, -1):
             smaller, fresh, last_s = [], True, -1
             if c == 0:
-                smaller.append((np.array([len(t) - 1]), np.zeros(1, np.int32)))
+                smaller.append((np.array([len(t) - 1], np.int32), np.zeros(1, np.int32)))
             while c:
                 parts = list(right.queues[c].take())
                 if not parts:
@@ -167,9 +167,9 @@ class Induction:
                     last_s = int(pos[-1])
                     smaller.append((pos, lcp))
                     self._pass((pos, lcp), right, True, least)
-            s_pos, s_lcp = (np.concatenate([x[i] for x in smaller]) if smaller else np.zeros(0, np.int64) for i in (0, 1))
+            s_pos, s_lcp = (np.concatenate([x[i] for x in smaller]) if smaller else np.zeros(0, np.int32) for i in (0, 1))
             held = list(kept.queues[c].take())
-            l_pos, l_lcp = (np.concatenate([x[i] for x in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
+            l_pos, l_lcp = (np.concatenate([x[i] for x in held]) if held else np.zeros(0, np.int32) for i in (0, 1))
             # upwards, an entry's value is with the smaller one before it; downwards with the larger one
             if len(l_pos):
                 down = np.append(l_lcp[1:], 0)[::-1].astype(np.int32)
@@ -247,18 +247,18 @@ SMALL_ALPHABET = 1024
 def sort_suffixes(symbols: np.ndarray, limit: int, memory: int = 96 << 20, folder: str | None = None):
     """(positions, lcp) of all suffixes in order; common prefixes are right up to ``limit``.
 
-    ``symbols``: integers from 1; a suffix that is a prefix of another is the smaller one.
+    ``symbols``: integers from 1, under 2^31 of them; a suffix that is a prefix of another is the smaller one.
     """
-    t = np.append(symbols, 0).astype(np.int32)
+    t = np.append(symbols, 0).astype(np.int32, copy=False)
     k = int(t.max()) + 1
     if k > SMALL_ALPHABET:  # the text of names of a recursion
         order = np.append(len(t) - 1, sort_names(t[:-1]))
         lcp = np.zeros(len(order), dtype=np.int32)
         return order, lcp
     stype = s_types(t)
-    seeds = np.flatnonzero(stype & ~np.concatenate([[True], stype[:-1]]))
+    seeds = np.flatnonzero(stype & ~np.concatenate([[True], stype[:-1]])).astype(np.int32)
     if not len(seeds):
-        seeds = np.array([len(t) - 1])
+        seeds = np.array([len(t) - 1], np.int32)
     prefix = Prefixes(t)
     work = Induction(t, k, stype, memory, folder)
     # name the seeds' substrings (each up to the next seed): an induction from seeds in any order sorts them
@@ -280,7 +280,10 @@ def sort_suffixes(symbols: np.ndarray, limit: int, memory: int = 96 << 20, folde
     lcp = np.zeros(len(order), dtype=np.int32)
     if limit:
         lcp[1:] = prefix.common(order[:-1], order[1:], limit)
-    out = work.run(*by_symbol(t, k, order, lcp))
+    del prefix, named, names, which, length, h, new
+    parts = by_symbol(t, k, order, lcp)
+    del order, lcp, t
+    out = work.run(*parts)
     pos = np.concatenate([p for p, _ in out])
     lcp = np.concatenate([x for _, x in out])
     return pos, lcp

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylake.llm.common import crc32_of_id, ship
+from paylake.llm.common import crc32_of_id, ship, tidy
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -119,7 +119,7 @@ def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
         idx = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(df[idx])], ["bucket", "n"])
 
-    rows = train.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = train.select("text").mapInArrow(tidy(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(BUCKETS + 1, dtype=np.int64)
     for i, n in rows:
         df[i] = n
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
                         np.array([y for *_, y in held], dtype=np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((w.astype(np.float32), t))])], ["model"])
 
-    w, t = pickle.loads(sample.repartition(1).mapInArrow(train_task, "model binary").first()[0])
+    w, t = pickle.loads(sample.repartition(1).mapInArrow(tidy(train_task), "model binary").first()[0])
     return {"langs": langs, "weights": w, "idf": idf.astype(np.float32), "temperature": t}
 
 
@@ -192,7 +192,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 [b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, lang_pred string, score double")
+        tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylake.llm.common import Scratch, connected_components, raw_text, ship
+from paylake.llm.common import Scratch, connected_components, raw_text, ship, tidy
 
 SHINGLE = 5
 # 24 bands of 5: a pair at 0.85 misses every band with probability (1 - 0.85^5)^24 < 1e-6, one at 0.8 < 1e-4
@@ -73,11 +73,14 @@ _POWERS: list = []
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base mod 2^64 and of its inverse, ``n`` at least."""
-    if not _POWERS or len(_POWERS[0][0]) < n:
-        base = 0x9E3779B97F4A7C15
-        n = max(n, 1 << 16)
-        _POWERS[:] = [(_powers(base, n), _powers(pow(base, -1, 1 << 64), n))]
-    return _POWERS[0]
+    if _POWERS and len(_POWERS[0][0]) >= n:
+        return _POWERS[0]
+    base = 0x9E3779B97F4A7C15
+    size = max(n, 1 << 16)
+    found = _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
+    if size <= 1 << 18:  # longer ones are not kept
+        _POWERS[:] = [found]
+    return found
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
@@ -159,7 +162,7 @@ def sets(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_shingles", "set_id", "keys", "sig", "tag"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text()).mapInArrow(
-        run, "doc_id long, n_shingles long, set_id binary, keys array<long>, sig binary, tag binary")
+        tidy(run), "doc_id long, n_shingles long, set_id binary, keys array<long>, sig binary, tag binary")
 
 
 def near(rows: DataFrame, percent: int) -> DataFrame:
@@ -172,7 +175,7 @@ def near(rows: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    return rows.filter(fits).select("a", "b", "siga", "sigb").mapInArrow(run, "a long, b long")
+    return rows.filter(fits).select("a", "b", "siga", "sigb").mapInArrow(tidy(run), "a long, b long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -203,7 +206,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     out[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def _open_pairs(own, doc, comp, n, sig, tag, percent: int, key: int):
@@ -271,7 +274,7 @@ def links_across(members: DataFrame, texts: DataFrame, scratch: Scratch, percent
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     schema = "key long, i int, j int, own int, doc long, comp long, n long, sig binary, tag binary"
-    live = scratch.save(rows.repartition(*place).sortWithinPartitions(*place, "doc").mapInArrow(find, schema), "live")
+    live = scratch.save(rows.repartition(*place).sortWithinPartitions(*place, "doc").mapInArrow(tidy(find), schema), "live")
     read = live.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select(
         *place, "own", "doc", "comp", "n", "sig", "tag", "raw").repartition(*place).sortWithinPartitions(*place, "doc")
 
@@ -298,7 +301,7 @@ def links_across(members: DataFrame, texts: DataFrame, scratch: Scratch, percent
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    return read.mapInArrow(confirm_open, "a long, b long")
+    return read.mapInArrow(tidy(confirm_open), "a long, b long")
 
 
 def components(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paylake.llm.common import Scratch, raw_text, ship
+from paylake.llm.common import Scratch, raw_text, ship, tidy
 from paylake.llm.word_tokens import encode_each
 
 CAPACITY = 4096
@@ -139,7 +139,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,
         return pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in kinds.items()], list(kinds))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), raw_text()).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), raw_text()).mapInArrow(tidy(run), schema)
 
 
 def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -178,7 +178,7 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), f"{schema}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylake.llm.common import Scratch, raw_text, ship
+from paylake.llm.common import Scratch, raw_text, release, ship, tidy
 from paylake.llm.induced_sort import sort_suffixes
 from paylake.llm.minhash import mix, powers
 
@@ -37,7 +37,7 @@ LENGTH = 100
 GRAM = 24
 CHUNK = 1 << 17
 MERGE_ROWS = 400_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 4 << 20  # of text sorted at once; a smaller shard needs less memory and some more time
 HOT = 20_000
 NO_ID = -(1 << 63)
 PLACE_BITS = 31  # a place in a document; the bits above it tell texts with one doc_id apart
@@ -178,7 +178,7 @@ def _compare(batches):
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", "hash", "doc", "place").mapInArrow(_compare, ROW)
+    return rows.repartition("key").sortWithinPartitions("key", "hash", "doc", "place").mapInArrow(tidy(_compare), ROW)
 
 
 def _sort_shards(texts: DataFrame, shards: int, memory: int) -> DataFrame:
@@ -189,7 +189,8 @@ def _sort_shards(texts: DataFrame, shards: int, memory: int) -> DataFrame:
         text = np.frombuffer(b"\0".join([r[4] for r in rows]), np.uint8).astype(np.int32) + 2
         text[start[1:] - 1] = 1  # between stretches
         pos, lcp = sort_suffixes(text, LENGTH, memory)
-        group = np.cumsum(lcp < LENGTH)
+        group = np.cumsum(lcp < LENGTH, dtype=np.int32)
+        del lcp, text
         many = np.bincount(group)[group] > 1
         pos, group = pos[many], group[many]
         own = np.searchsorted(start, pos, side="right") - 1
@@ -209,13 +210,14 @@ def _sort_shards(texts: DataFrame, shards: int, memory: int) -> DataFrame:
                 if s != shard:
                     if rows:
                         yield _batch(clean(rows))
+                        release()
                     shard, rows = s, []
                 rows.append(r)
         if rows:
             yield _batch(clean(rows))
 
     return texts.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key", "doc", "place", "n", "raw") \
-        .repartition("shard").sortWithinPartitions("shard", "key", "doc", "place").mapInArrow(run, ROW)
+        .repartition("shard").sortWithinPartitions("shard", "key", "doc", "place").mapInArrow(tidy(run), ROW)
 
 
 def _keyed(docs: DataFrame, several: bool, extra: tuple = ()) -> DataFrame:
@@ -232,7 +234,7 @@ def _keyed(docs: DataFrame, several: bool, extra: tuple = ()) -> DataFrame:
         for b in batches:
             yield b.set_column(at, "raw", pa.array([z.compress(x) for x in b.column(at).to_pylist()], pa.binary()))
 
-    return src.mapInArrow(run, src.schema)
+    return src.mapInArrow(tidy(run), src.schema)
 
 
 def _unpack(z: bytes) -> bytes:
@@ -263,10 +265,11 @@ def _fetch(docs: DataFrame, places: DataFrame, several: bool) -> DataFrame:
                                              ["key", "doc", "place", "n", "raw"])
 
     return packed.join(per_doc.hint("merge"), ["doc", "tag"]).select("doc", "raw", "at").mapInArrow(
-        run, "key long, doc long, place long, n int, raw binary")
+        tidy(run), "key long, doc long, place long, n int, raw binary")
 
 
-def removals(docs: DataFrame, scratch: Scratch, several: bool, memory: int = 96 << 20) -> DataFrame:
+def removals(docs: DataFrame, scratch: Scratch, several: bool, shard_bytes: int | None = None,
+             memory: int = 96 << 20) -> DataFrame:
     """(doc, tag, spans): for each document with bytes to remove their places (start, end), joined and in order."""
     ship(docs.sparkSession)
     tag = F.shiftleft(F.pmod(F.crc32(raw_text()), F.lit(1 << 31)), PLACE_BITS) if several else F.lit(0).cast("long")
@@ -280,13 +283,13 @@ def removals(docs: DataFrame, scratch: Scratch, several: bool, memory: int = 96
                 yield from zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
         yield from _emit(pieces(), GRAM)
 
-    found = scratch.save(_grouped(src.mapInArrow(scan, ROW)), "found")
+    found = scratch.save(_grouped(src.mapInArrow(tidy(scan), ROW)), "found")
     open_rows = found.filter("n > 0")
     texts = scratch.save(_fetch(docs, open_rows, several), "stretches")
     size = texts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("raw")).alias("bytes"))
     hot = scratch.save(size.filter(F.col("m") > HOT).select("key"), "hot")
     total = texts.agg(F.sum(F.length("raw") + 1)).first()[0] or 0
-    shards = max(1, math.ceil(total / SHARD_BYTES))
+    shards = max(1, math.ceil(total / (shard_bytes or SHARD_BYTES)))
     parts = [found.filter("n < 0"), _sort_shards(texts.join(hot, "key", "left_anti"), shards, memory)]
     if not hot.isEmpty():
         def cut(batches):
@@ -295,7 +298,7 @@ def removals(docs: DataFrame, scratch: Scratch, several: bool, memory: int = 96
                     yield from zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
             yield from _emit(pieces(), LENGTH)
 
-        windows = texts.join(hot, "key", "left_semi").select("doc", "place", "raw").mapInArrow(cut, ROW)
+        windows = texts.join(hot, "key", "left_semi").select("doc", "place", "raw").mapInArrow(tidy(cut), ROW)
         parts.append(_grouped(windows).filter("n < 0"))
     every = parts[0]
     for p in parts[1:]:
@@ -324,10 +327,10 @@ def repeated_ids(docs: DataFrame) -> bool:
     return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
 
 
-def _with_spans(docs: DataFrame, extra: tuple = ()) -> DataFrame:
+def _with_spans(docs: DataFrame, extra: tuple = (), shard_bytes: int | None = None) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffix")
     several = repeated_ids(docs)
-    spans = removals(docs, scratch, several)
+    spans = removals(docs, scratch, several, shard_bytes)
     return _keyed(docs, several, extra).join(spans.hint("merge"), ["doc", "tag"], "left")
 
 
@@ -351,17 +354,17 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.string()], strict=True)], names)
 
     return _with_spans(docs).select("doc", "raw", "spans").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def drop_repeated_text(docs: DataFrame) -> DataFrame:
+def drop_repeated_text(docs: DataFrame, shard_bytes: int | None = None) -> DataFrame:
     """``docs`` with the repeated bytes cut from ``text`` (characters cut in half go whole; a null
     stays null) and ``n_chars``, where there is one, counted anew."""
     names = docs.columns
     had = docs.withColumn("_null", F.col("text").isNull())
     rest = [c for c in names if c != "text"]
     extra = F.struct(*[F.col(f"`{c}`") for c in rest], "_null").alias("_rest")
-    x = _with_spans(had, (extra,)).select("raw", "spans", "_rest")
+    x = _with_spans(had, (extra,), shard_bytes).select("raw", "spans", "_rest")
 
     def run(batches):
         for b in batches:
@@ -372,7 +375,7 @@ def drop_repeated_text(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column("_rest")], ["text", "_rest"])
 
     schema = x.select(F.lit("").alias("text"), "_rest").schema
-    y = x.mapInArrow(run, schema)
+    y = x.mapInArrow(tidy(run), schema)
     text = F.when(~F.col("_rest._null"), F.col("text"))
     cols = {c: text if c == "text" else F.col(f"_rest.`{c}`") for c in names}
     if "n_chars" in cols:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paylake.llm.common import raw_text, ship
+from paylake.llm.common import raw_text, ship, tidy
 from paylake.llm.word_tokens import encode_each
 
 END_ID = 2
@@ -60,7 +60,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary: str
              pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "start_in_file", "n_tokens", "ids"])
 
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("raw"))
-    x.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "raw").mapInArrow(run, SCHEMA) \
+    x.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "raw").mapInArrow(tidy(run), SCHEMA) \
         .write.format("orc").option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id") \
         .option("orc.create.index", "true").option("orc.row.index.stride", str(INDEX_ROWS)) \
         .option("orc.stripe.size", str(STRIPE_BYTES)).save(path)
@@ -89,6 +89,6 @@ def digests(rows: DataFrame) -> DataFrame:
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
     first = files.select("file", (F.sum("_n").over(W.orderBy("file")) - F.col("_n")).alias("_before"))
     each = rows.select("doc_id", "file", "start_in_file", "ids").mapInArrow(
-        run, "doc_id long, file long, start_in_file long, n_tokens long, ids_crc32 long")
+        tidy(run), "doc_id long, file long, start_in_file long, n_tokens long, ids_crc32 long")
     return each.join(first, "file").select(
         "doc_id", (F.col("_before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylake.llm.common import crc32_of_id, ship
+from paylake.llm.common import crc32_of_id, ship, tidy
 
 POSITIVES, UNLABELLED = 2500, 7500
 PREFIXES = (3, 4, 5)
 MAX_FEATURES = 300
 THRESHOLD = 0.3
 STEPS, RATE, DECAY, GAMMA = 600, 0.05, 1e-4, 0.5
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
             model = {"ids": ids, "weights": w, "bias": bias}
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], ["model"])
 
-    return pickle.loads(sample.repartition(1).mapInArrow(train_task, "model binary").first()[0])
+    return pickle.loads(sample.repartition(1).mapInArrow(tidy(train_task), "model binary").first()[0])
 
 
 def scorer(model: dict):
@@ -193,7 +193,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             yield b.append_column("_score", pa.array([score(t) for t in b.column(text).to_pylist()], pa.float64()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, _score double")
+    return docs.mapInArrow(tidy(run), f"{schema}, _score double")
 
 
 def fold_held() -> object:

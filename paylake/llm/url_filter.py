@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylake.llm.common import ship
+from paylake.llm.common import ship, tidy
 
 # A small vocabulary; callers pass their own.
 STRICT = ("porn", "xxx", "hentai", "casino", "viagra", "warez", "malware", "phishing", "escorts", "torrent")
@@ -109,7 +109,7 @@ def filter_urls(pages: DataFrame, rules=RULES, terms: dict[str, int] | None = No
                  pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.string()))],
                 ["page_id", "host", "path", "rule", "verdict", "weight", "terms"])
 
-    return src.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, "
+    return src.mapInArrow(tidy(run), "page_id long, host string, path string, rule string, verdict string, "
                                "weight long, terms array<string>")
 
 
