@@ -1,9 +1,13 @@
 """Benchmark decontamination by the q-gram lemma, verified by banded alignment.
 
 Texts are compared in bytes, A-Z lower-cased, each run of white space as one
-space. A benchmark item is cut into segments of at most ``SEGMENT`` bytes; a
-segment of n bytes matches where it aligns, whole, to a stretch of the document
-with at most k = floor(ERROR * n) edits. Of the document's q-grams every
+space. A benchmark item is cut into segments of at most ``SEGMENT`` bytes, and
+into passages of ``PASSAGE`` bytes that overlap by half, so a document that
+holds a part of an item is found too; a segment or passage of n bytes matches
+where it aligns, whole, to a stretch of the document with at most
+k = floor(ERROR * n) edits, an item of under ``MIN_SEGMENT`` bytes where it
+occurs as it is. Items too short for a sampled q-gram (under ``SHORT`` bytes)
+are looked up as numbers at every place of the document. Of the document's q-grams every
 ``STEP``-th is looked up: such a stretch holds floor((n - k - Q + 1) / STEP) of
 them at least, an edit spoils Q / STEP at most, and the others occur in the
 segment, within k diagonals of each other. So hits are counted in overlapping
@@ -25,8 +29,10 @@ from paylake.llm.common import raw_text, ship, tidy
 Q, STEP = 8, 4
 ERROR = 0.08
 SEGMENT = 400
-MIN_SEGMENT = 40
-BLOCK_BYTES = 16 << 20
+PASSAGE = 100
+MIN_SEGMENT = 40  # shorter items have no budget of edits
+SHORT = Q + STEP - 1  # from here on one sampled q-gram at least lies within an item
+BLOCK_BYTES = 8 << 20
 GROUP_BYTES = 1 << 19
 ROUGH = 1 << 18
 _WEIGHT = np.uint64(0x9E3779B97F4A7C15)
@@ -50,19 +56,24 @@ def positions(raw: bytes) -> np.ndarray:
 
 
 def budget(n: int, error: float = ERROR) -> int:
-    return math.floor(error * n)
+    return math.floor(error * n) if n >= MIN_SEGMENT else 0
+
+
+def windows(t: bytes, size: int) -> list[bytes]:
+    """``t`` whole if it is no longer than ``size``, else windows of that size that overlap by half or more
+    (without a space at an end)."""
+    if len(t) <= size:
+        return [t]
+    n = math.ceil((len(t) - size / 2) / (size / 2))
+    return [t[s:s + size].strip() for s in np.linspace(0, len(t) - size, n).astype(int).tolist()]
 
 
 def segments(item: bytes) -> list[bytes]:
-    """The normalised item, whole if short, else overlapping segments of equal length."""
+    """Of the normalised item the segments (itself, if it is short) and the passages."""
     t = normalise(item)
-    if len(t) < MIN_SEGMENT:
+    if not t:
         return []
-    n = max(1, math.ceil((len(t) - SEGMENT / 2) / (SEGMENT / 2)) if len(t) > SEGMENT else 1)
-    if n == 1:
-        return [t]
-    at = np.linspace(0, len(t) - SEGMENT, n).astype(int)
-    return [t[s:s + SEGMENT] for s in at.tolist()]
+    return list(dict.fromkeys([*windows(t, SEGMENT), *windows(t, PASSAGE)]))
 
 
 def grams(b: bytes, step: int = 1) -> np.ndarray:
@@ -80,6 +91,8 @@ def align(pattern: bytes, text: bytes, k: int) -> tuple[int, int, int] | None:
     at = text.find(pattern)
     if at >= 0:
         return 0, at, at + len(pattern)
+    if not k:
+        return None
 
     def last_row(p, t, free: bool):
         t = np.frombuffer(t, dtype=np.uint8)
@@ -105,10 +118,52 @@ def align(pattern: bytes, text: bytes, k: int) -> tuple[int, int, int] | None:
     return best, end - long, end
 
 
+class Short:
+    """Items (item id, bytes) of under ``SHORT`` bytes, found where they occur as they are."""
+
+    def __init__(self, parts: list[tuple[int, bytes]]):
+        self.by_length = []
+        for n in sorted({len(p) for _, p in parts}):
+            own = [(i, p) for i, p in parts if len(p) == n]
+            key = np.concatenate([self._keys(p, n) for _, p in own])
+            order = np.argsort(key, kind="stable")
+            self.by_length.append((n, *np.unique(key[order], return_index=True, return_counts=True), [own[k] for k in order]))
+
+    @staticmethod
+    def _keys(b: bytes, n: int) -> np.ndarray:
+        """A number for the ``n`` bytes at each place; that of up to 8 bytes is the bytes themselves."""
+        if n >= Q:
+            g = grams(b)
+            return g[:max(0, len(b) - n + 1)] * _WEIGHT + g[n - Q:] if n > Q else g
+        g = grams(b + bytes(Q - 1))[:max(0, len(b) - n + 1)]
+        return g & np.uint64((1 << 8 * n) - 1)
+
+    def matches(self, whole: bytes, starts: np.ndarray):
+        """(text, item id, 0, start, end): the first place of each item in each text of ``whole``."""
+        for n, known, first, count, own in self.by_length:
+            key = self._keys(whole, n)
+            slot = np.searchsorted(known, key)
+            slot[slot == len(known)] = 0
+            at = np.flatnonzero(known[slot] == key)
+            text = np.searchsorted(starts, at, side="right") - 1
+            inside = at + n < starts[text + 1]  # none runs over the byte between two texts
+            at, text = at[inside], text[inside]
+            pair, place = np.unique(text * len(known) + slot[at], return_index=True)
+            for x, s in zip(pair.tolist(), at[place].tolist(), strict=True):
+                i, k = divmod(x, len(known))
+                s -= int(starts[i])
+                for item, p in own[first[k]:first[k] + count[k]]:
+                    a = s if n <= Q else whole.find(p, int(starts[i]) + s, int(starts[i + 1]) - 1) - int(starts[i])
+                    if a >= 0:
+                        yield i, item, 0, a, a + n
+
+
 class Index:
     """The q-grams of a block of segments (item id, bytes)."""
 
     def __init__(self, parts: list[tuple[int, bytes]], error: float = ERROR):
+        self.short = Short([x for x in parts if len(x[1]) < SHORT])
+        parts = [x for x in parts if len(x[1]) >= SHORT]
         self.parts = parts
         self.k = np.array([budget(len(p), error) for _, p in parts], dtype=np.int64)
         stretch = np.array([len(p) for _, p in parts], dtype=np.int64) - self.k
@@ -134,6 +189,8 @@ class Index:
         wide and start every ``band``, which no segment's budget exceeds."""
         g = grams(text, STEP)
         at = np.flatnonzero(self.filter[self._slot(g)])
+        if not len(at):
+            return []
         slot = np.searchsorted(self.known, g[at])
         slot[slot == len(self.known)] = 0
         ok = self.known[slot] == g[at]
@@ -170,7 +227,8 @@ class Index:
         """(text, item id, edits, start, end): the best match of every segment that matches, in normalised bytes."""
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
         whole = b"\0".join(texts)
-        best: dict = {}
+        # the fewest edits, then the first start, then the longest stretch
+        best = {(i, item): (e, s, -end) for i, item, e, s, end in self.short.matches(whole, starts)}
         for part, diagonal in self.candidates(whole):
             item, p = self.parts[part]
             k = int(self.k[part])
@@ -181,11 +239,11 @@ class Index:
                 near = texts[i][s:max(0, hi - int(starts[i]))]
                 found = align(p, near, k) if self.holds(part, near) else None
                 if found:
-                    found = (found[0], s + found[1], s + found[2])
+                    found = (found[0], s + found[1], -s - found[2])
                     best[i, item] = min(best.get((i, item), found), found)
                 i += 1
-        for (i, item), found in sorted(best.items()):
-            yield (i, item, *found)
+        for (i, item), (e, s, end) in sorted(best.items()):
+            yield i, item, e, s, -end
 
 
 def blocks(benchmark: DataFrame):
@@ -200,11 +258,12 @@ def blocks(benchmark: DataFrame):
 
 
 def find(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
-    """doc_id, item_id, edits, start, end: where documents hold a benchmark item (or a segment of a long one).
+    """doc_id, item_id, edits, start, end: where documents hold a benchmark item (or a segment or passage of it).
 
-    A row per document and item, the best match; start and end are byte places
-    in the document's text. Null and empty texts and items match nothing, nor do
-    items of under ``MIN_SEGMENT`` bytes. Rows that repeat are reported as often
+    A row per document and item, the best match: that of the segment or passage
+    with the fewest edits; start and end are byte places in the document's text.
+    Null and empty texts and items match nothing; items of under ``MIN_SEGMENT``
+    bytes match without edits only. Rows that repeat are reported as often
     as they occur; a null doc_id is reported as null.
     """
     spark = docs.sparkSession
@@ -239,7 +298,7 @@ def find(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFra
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item; columns as they were."""
+    """``docs`` without the rows whose text holds a benchmark item or a passage of one; columns as they were."""
     spark = docs.sparkSession
     ship(spark)
     text = docs.columns.index("text")

@@ -75,6 +75,29 @@ def test_decontamination_awkward_rows(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 2
 
 
+def test_parts_of_items_and_short_items_are_found(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(n))
+    whole, long = text(56), text(300)
+    short = {3: "why is grass green?", 4: "7 x 8?", 5: "is it so", 6: "is it so?", 7: "is it so? y", 8: "\u00df?", 9: "What is the boiling point of lead?",
+             10: "why is grass green?", 11: "is it so? n"}
+    docs = {1: text(20) + whole[60:360] + text(20), 2: text(20) + long[630:900].upper() + text(20), 3: "x" * 50 + " Why  is\ngrass green? " + text(9),
+            4: "7 x 8?", 5: "z IS it so? y", 6: text(40), 7: "is it", 8: " so?", 9: "\u00df? " + text(3) + "what is the boiling  point of lead?!",
+            10: "what is the boiling point of leat?", 11: None, 12: "is it so? Z is it so? n"}
+    items = {1: whole, 2: long, **short}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(2)
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = decontaminate.find(d, b).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    norm = {i: decontaminate.normalise((t or "").encode()) for i, t in docs.items()}
+    want = {(1, 1), (2, 2)} | {(i, j) for i, t in norm.items() for j, p in short.items() if decontaminate.normalise(p.encode()) in t}
+    assert got == want and len(rows) == len(want) and all(r.edits == 0 for r in rows) and (12, 11) in want and (12, 7) not in want
+    for r in rows:
+        part = decontaminate.normalise(docs[r.doc_id].encode()[r.start:r.end])
+        assert part in [decontaminate.normalise(p) for p in decontaminate.segments(items[r.item_id].encode())]
+    assert {r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()} == {6, 7, 8, 10, 11}
+
+
 def test_positions_follow_normalised_bytes():
     for raw in (b"", b"  ", b"a", b" a  b\n\nc ", b"\tx\t", b"ab"):
         n, at = decontaminate.normalise(raw), decontaminate.positions(raw)
