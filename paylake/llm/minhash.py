@@ -364,8 +364,22 @@ def _with_copies(own: DataFrame, copies: DataFrame, linked: DataFrame, s: Scratc
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One document of each group stays, that with the smallest id; columns as they were.
-    Of rows that repeat a doc_id one stays; rows without an id all stay."""
-    kept = components(docs, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """One document of each group stays, that with the smallest id (one without an id only if none has any);
+    columns as they were. Rows that repeat a doc_id are documents of their own, as are rows without an id;
+    of rows with equal id (or none) and text one stays."""
+    doc = F.col("doc_id").cast("long")
+    if docs.groupBy(doc.alias("d")).count().filter("count > 1 or d is null").isEmpty():
+        kept = components(docs, percent).filter("kept").select(F.col("doc_id").alias("_id"))
+        return docs.join(kept, doc == F.col("_id"), "left_semi")
+    s = Scratch(docs.sparkSession, "rows")
+    rows = s.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = components(rows.select(F.col("_row").alias("doc_id"), "text"), percent)
+    ids = rows.select("_row", doc.alias("d"), F.md5(raw_text()).alias("h"))
+    # rows without words are linked with nothing: there only equal rows are a group
+    blank = F.col("n_shingles") == 0
+    group = [F.when(~blank, F.col("component_id")), F.when(blank, F.col("d")), F.when(blank, F.col("h"))]
+    best = ids.join(found, F.col("_row") == F.col("doc_id")) \
+        .groupBy(*[g.alias(f"g{i}") for i, g in enumerate(group)]) \
+        .agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d", "h", "_row")).alias("best"))
+    kept = s.save(best.select(F.col("best._row").alias("_row")), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -84,6 +84,20 @@ def test_a_doc_id_with_two_texts_joins_their_groups(spark):
     assert got == {9: 3, 3: 3, 4: 3, 5: 5}
 
 
+def test_rows_with_repeated_or_no_ids_are_compared_one_by_one(spark):
+    a, b, c, d = (" ".join(f"{c}{i}" for i in range(60)) for c in "abcd")
+    near = lambda t: t + " more"
+    rows = [(9, a), (9, b), (3, near(a)), (9, c), (9, c), (None, d), (None, near(d)), (None, near(b)), (None, "x"), (None, "x"),
+            (None, "y"), (8, ""), (8, ""), (7, ""), (None, None), (None, " ")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    kept = minhash.drop_near_duplicates(docs, 80)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert kept.columns == docs.columns
+    assert [x for x in got if x[1] not in (d, near(d))] == sorted(
+        [(3, near(a)), (9, b), (9, c), (None, "x"), (None, "y"), (8, ""), (7, ""), (None, None), (None, " ")], key=str)
+    assert len(got) == 10
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     for share in (0.3, 0.6, 0.9):
