@@ -40,7 +40,6 @@ MERGE_ROWS = 400_000
 SHARD_BYTES = 4 << 20  # of text sorted at once; a smaller shard needs less memory and some more time
 HOT = 20_000
 NO_ID = -(1 << 63)
-PLACE_BITS = 31  # a place in a document; the bits above it tell texts with one doc_id apart
 _BYTES: list[np.ndarray] = []
 ROW = "key long, hash long, doc long, place long, n int"
 
@@ -95,9 +94,8 @@ def _gone(doc, place, n):
     doc, place, size = doc[order], place[order], n[order].astype(np.int64) + LENGTH - 1
     if not len(doc):
         return [np.zeros(0, np.int64)] * 5
-    text = place >> PLACE_BITS
-    other = np.concatenate([[False], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])
-    line = (np.cumsum(other) << (PLACE_BITS + 1)) + (place & ((1 << PLACE_BITS) - 1))  # texts one after the other
+    other = np.concatenate([[False], doc[1:] != doc[:-1]])
+    line = (np.cumsum(other) << 32) + place  # texts one after the other
     end = np.maximum.accumulate(line + size)
     new = np.concatenate([[True], line[1:] > end[:-1]]) | other
     last = np.append(np.flatnonzero(new)[1:] - 1, len(doc) - 1)
@@ -220,17 +218,30 @@ def _sort_shards(texts: DataFrame, shards: int, memory: int) -> DataFrame:
         .repartition("shard").sortWithinPartitions("shard", "key", "doc", "place").mapInArrow(tidy(run), ROW)
 
 
-def _keyed(docs: DataFrame, several: bool, extra: tuple = ()) -> DataFrame:
-    """doc, tag (apart from 0 only where a doc_id repeats) and the compressed bytes of each text."""
+def _numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """``docs`` with ``_doc``, a number that orders texts by doc_id, then by a 128-bit hash of the text. Where no
+    doc_id repeats it is the doc_id; else the different texts are numbered. A null doc_id counts as the smallest.
+    The second result is whether numbers may repeat (equal rows have one)."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    if docs.groupBy(doc.alias("d")).count().filter("count > 1").isEmpty():
+        return docs.withColumn("_doc", doc), False
+    key = {"_null_id": F.col("doc_id").isNull(), "_id": doc, "_hash": F.md5(raw_text())}
+    keyed = docs.withColumns(key)
+    order = [F.desc("_null_id"), F.asc("_id"), F.asc("_hash")]
+    ids = scratch.save(keyed.select(*key).distinct().orderBy(*order).withColumn("_doc", F.monotonically_increasing_id()), "ids")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return scratch.save(keyed.join(ids.hint("merge"), list(key)).select(*own, "_doc"), "numbered"), True
+
+
+def _keyed(docs: DataFrame, extra: tuple = ()) -> DataFrame:
+    """doc (its number) and the compressed bytes of each text."""
     ship(docs.sparkSession)
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-                      (F.shiftleft(F.pmod(F.crc32(raw_text()), F.lit(1 << 31)), PLACE_BITS) if several else F.lit(0).cast("long"))
-                      .alias("tag"), raw_text().alias("raw"), *extra)
+    src = docs.select(F.col("_doc").alias("doc"), raw_text().alias("raw"), *extra)
 
     def run(batches):
         import zstandard
         z = zstandard.ZstdCompressor(level=1)
-        at = 2
+        at = 1
         for b in batches:
             yield b.set_column(at, "raw", pa.array([z.compress(x) for x in b.column(at).to_pylist()], pa.binary()))
 
@@ -244,11 +255,10 @@ def _unpack(z: bytes) -> bytes:
 
 def _fetch(docs: DataFrame, places: DataFrame, several: bool) -> DataFrame:
     """``places`` (key, hash, doc, place, n) with the bytes of their stretches, as raw."""
-    packed = _keyed(docs, several)
+    packed = _keyed(docs)
     if several:
-        packed = packed.dropDuplicates(["doc", "tag"])
-    places = places.withColumn("tag", F.shiftleft(F.shiftright("place", PLACE_BITS), PLACE_BITS))
-    per_doc = places.groupBy("doc", "tag").agg(F.sort_array(F.collect_list(F.struct("place", "n", "key"))).alias("at"))
+        packed = packed.dropDuplicates(["doc"])
+    per_doc = places.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("place", "n", "key"))).alias("at"))
     # a list is no longer than its document
 
     def run(batches):
@@ -257,25 +267,25 @@ def _fetch(docs: DataFrame, places: DataFrame, several: bool) -> DataFrame:
             for doc, raw, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = _unpack(raw)
                 for x in at:
-                    s = x["place"] & ((1 << PLACE_BITS) - 1)
+                    s = x["place"]
                     out.append((x["key"], doc, x["place"], x["n"], raw[s:s + x["n"] + LENGTH - 1]))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
                                              ["key", "doc", "place", "n", "raw"])
 
-    return packed.join(per_doc.hint("merge"), ["doc", "tag"]).select("doc", "raw", "at").mapInArrow(
+    return packed.join(per_doc.hint("merge"), "doc").select("doc", "raw", "at").mapInArrow(
         tidy(run), "key long, doc long, place long, n int, raw binary")
 
 
 def removals(docs: DataFrame, scratch: Scratch, several: bool, shard_bytes: int | None = None,
              memory: int = 96 << 20) -> DataFrame:
-    """(doc, tag, spans): for each document with bytes to remove their places (start, end), joined and in order."""
+    """(doc, spans): for each numbered text with bytes to remove their places (start, end), joined and in order.
+    ``several``: equal rows may repeat a number."""
     ship(docs.sparkSession)
-    tag = F.shiftleft(F.pmod(F.crc32(raw_text()), F.lit(1 << 31)), PLACE_BITS) if several else F.lit(0).cast("long")
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), tag.alias("tag"), raw_text().alias("raw"))
+    src = docs.select(F.col("_doc").alias("doc"), F.lit(0).cast("long").alias("base"), raw_text().alias("raw"))
     if several:
-        src = src.dropDuplicates(["doc", "tag"])
+        src = src.dropDuplicates(["doc"])
 
     def scan(batches):
         def pieces():
@@ -303,9 +313,8 @@ def removals(docs: DataFrame, scratch: Scratch, several: bool, shard_bytes: int
     every = parts[0]
     for p in parts[1:]:
         every = every.unionAll(p)
-    spans = every.select("doc", F.shiftleft(F.shiftright("place", PLACE_BITS), PLACE_BITS).alias("tag"),
-                         F.expr(f"place & {(1 << PLACE_BITS) - 1}").alias("start"), (-F.col("n")).alias("size"))
-    out = scratch.save(spans.groupBy("doc", "tag").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("spans")), "spans")
+    spans = every.select("doc", F.col("place").alias("start"), (-F.col("n")).alias("size"))
+    out = scratch.save(spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("spans")), "spans")
     scratch.drop("found", "stretches", "hot")
     return out
 
@@ -323,15 +332,11 @@ def _kept(raw: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
     return b"".join([raw[a:b] for a, b in zip(at, [*start.tolist(), len(raw)], strict=True)])
 
 
-def repeated_ids(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-
-
 def _with_spans(docs: DataFrame, extra: tuple = (), shard_bytes: int | None = None) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffix")
-    several = repeated_ids(docs)
-    spans = removals(docs, scratch, several, shard_bytes)
-    return _keyed(docs, several, extra).join(spans.hint("merge"), ["doc", "tag"], "left")
+    numbered, several = _numbered(docs, scratch)
+    spans = removals(numbered, scratch, several, shard_bytes)
+    return _keyed(numbered, extra).join(spans.hint("merge"), "doc", "left")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -339,21 +344,22 @@ def digests(docs: DataFrame) -> DataFrame:
 
     A null text is empty. Rows that repeat a doc_id and its text are one
     document, with the same result each; texts that share a doc_id are ordered
-    by their checksum. A null doc_id counts as the smallest.
+    by a 128-bit hash. A null doc_id counts as the smallest.
     """
     def run(batches):
         for b in batches:
             out = []
-            for doc, raw, spans in zip(*(b.column(c).to_pylist() for c in ("doc", "raw", "spans")), strict=True):
+            for doc, raw, spans in zip(*(b.column(c).to_pylist() for c in ("doc_id", "raw", "spans")), strict=True):
                 raw = _unpack(raw)
                 start, end = _spans(spans)
-                out.append((None if doc == NO_ID else doc, len(raw), int((end - start).sum()), len(start),
+                out.append((doc, len(raw), int((end - start).sum()), len(start),
                             hashlib.sha256(_kept(raw, start, end)).hexdigest()))
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.string()], strict=True)], names)
 
-    return _with_spans(docs).select("doc", "raw", "spans").mapInArrow(
+    extra = F.col("doc_id").cast("long").alias("doc_id")
+    return _with_spans(docs, (extra,)).select("doc_id", "raw", "spans").mapInArrow(
         tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

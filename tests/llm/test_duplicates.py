@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -247,6 +248,20 @@ def test_repeats_in_texts_that_share_a_doc_id(spark):
     assert sorted(r.n_removed for r in first) in ([0, 0, 110], [0, 110, 110])
 
 
+@pytest.mark.parametrize("doc_id", [1, None, -(1 << 63)])
+def test_texts_with_one_doc_id_and_equal_checksums(spark, doc_id):
+    import zlib
+    y, z = "".join(chr(97 + i * i % 23) for i in range(70)) * 2, "other words " * 20
+    a, b = "plumless" + y + z, "buckeroo" + y + z
+    assert zlib.crc32(a.encode()) == zlib.crc32(b.encode())
+    docs = spark.createDataFrame([(doc_id, a), (doc_id, b), (doc_id, b), (7, "x" * 30)], "doc_id long, text string").repartition(3)
+    rows = suffix_dedup.digests(docs).collect()
+    got = {(r.doc_id, r.n_bytes, r.kept_sha256): r.n_removed for r in rows}
+    order = sorted((a, b), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    want = {(doc_id, len(a), v[3]): v[1] for v in brute.repeated({i: t.encode() for i, t in enumerate(order)}).values()}
+    assert got == want | {(7, 30, hashlib.sha256(b"x" * 30).hexdigest()): 0} and len(rows) == 4 and len(want) == 2
+
+
 def test_pipeline_stages(spark, sf, texts):
     """Each stage against its own operator or brute force on what the stage before kept."""
     from paylake.llm import decontaminate, toxicity
