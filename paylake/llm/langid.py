@@ -3,8 +3,9 @@ character n-grams, trained with follow-the-regularised-leader (FTRL-proximal,
 L1 and L2 penalties), scores calibrated by a temperature.
 
 Document frequencies cover every training row; the weights are fitted on a
-bounded sample, at most ``SAMPLE_ROWS`` rows shared out evenly over the
-languages; predictions read whole texts.
+sample of about ``SAMPLE_ROWS`` rows shared out evenly over the languages (eight
+a language at least, so every language is learned), over the buckets that the
+sample touches; predictions read whole texts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from paylake.llm.common import crc32_of_id, ship, tidy
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SAMPLE_ROWS = 3000
-MAX_LANGS = 256
 CHUNK = 1 << 18
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.002, 0.01, 4
 _LETTER: list[np.ndarray] = []
@@ -75,9 +75,9 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], k: int, seed: int = 7) -> np.ndarray:
-    """Weights (BUCKETS + 1, k)."""
-    z, n = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], m: int, k: int, seed: int = 7) -> np.ndarray:
+    """Weights (m, k) of rows over m features."""
+    z, n = np.zeros((m, k)), np.zeros((m, k))
 
     def weight(zi, ni):
         return np.where(np.abs(zi) <= L1, 0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
@@ -129,17 +129,16 @@ def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     """Model of ``docs`` (doc_id, text, lang): languages, weights, idf and temperature.
 
-    Rows without text or lang teach nothing. The ``MAX_LANGS`` most frequent
-    languages are learned. The sample is chosen by a hash of the row, so
+    Rows without text or lang teach nothing; every language is learned. The sample is chosen by a hash of the row, so
     repeated rows count once.
     """
     spark = docs.sparkSession
     ship(spark)
     train = docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = train.groupBy("lang").count().collect()
     langs = sorted(r[0] for r in counts)
     if not langs:
-        return {"langs": [], "weights": np.zeros((BUCKETS + 1, 0)), "idf": np.ones(BUCKETS), "temperature": 1.0}
+        return {"langs": [], "weights": np.zeros((1, 0)), "slot": np.zeros(BUCKETS + 1, np.int32), "idf": np.ones(BUCKETS), "temperature": 1.0}
     df, n = document_frequencies(train)
     idf = np.log((1 + n) / (1 + df)) + 1
     each = max(8, sample_rows // len(langs))
@@ -159,13 +158,18 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
         rows.sort(key=lambda r: r[0])
         held = [r[1:] for i, r in enumerate(rows) if i % 5 == 0]
         used = [r[1:] for i, r in enumerate(rows) if i % 5] or held
-        w = ftrl(used, len(langs))
-        t = temperature(np.array([v @ w[idx] for idx, v, _ in held]).reshape(len(held), len(langs)),
+        taught = {y for *_, y in used}
+        used += [r for r in held if r[2] not in taught]  # a language of few rows is not only held out
+        touched = np.unique(np.concatenate([np.zeros(0, np.int32), *(idx for idx, *_ in used)]))
+        slot = np.full(BUCKETS + 1, len(touched), dtype=np.int32)  # the last row of the weights is 0
+        slot[touched] = np.arange(len(touched))
+        w = ftrl([(slot[idx], v, y) for idx, v, y in used], len(touched) + 1, len(langs))
+        t = temperature(np.array([v @ w[slot[idx]] for idx, v, _ in held]).reshape(len(held), len(langs)),
                         np.array([y for *_, y in held], dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((w.astype(np.float32), t))])], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((w.astype(np.float32), slot, t))])], ["model"])
 
-    w, t = pickle.loads(sample.repartition(1).mapInArrow(tidy(train_task), "model binary").first()[0])
-    return {"langs": langs, "weights": w, "idf": idf.astype(np.float32), "temperature": t}
+    w, slot, t = pickle.loads(sample.repartition(1).mapInArrow(tidy(train_task), "model binary").first()[0])
+    return {"langs": langs, "weights": w, "slot": slot, "idf": idf.astype(np.float32), "temperature": t}
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
@@ -182,7 +186,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 c = codes(t or "")
                 if len(c) and m["langs"]:
                     idx, v = features(ngram_counts(c), m["idf"])
-                    p = softmax(v @ m["weights"][idx] / m["temperature"])
+                    p = softmax(v @ m["weights"][m["slot"][idx]] / m["temperature"])
                     langs.append(m["langs"][int(p.argmax())])
                     scores.append(float(p.max()))
                 else:

@@ -35,6 +35,16 @@ def test_language_awkward_rows(spark, odd, empty):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_every_language_of_many_is_learned(spark):
+    words = {f"l{k:03}": chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k) for k in range(300)}
+    rows = [(i * 300 + k, " ".join([w] * (3 + i)), lang) for k, (lang, w) in enumerate(words.items()) for i in range(2 if k < 290 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model["langs"] == sorted(words)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert len({got[i] for i, *_ in rows}) > 285 and np.mean([got[i] == lang for i, _, lang in rows]) > 0.95
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(0)
     logits = rng.normal(size=(4000, 3))
