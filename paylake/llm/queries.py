@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylake.llm import cap_filters, decontaminate, fixity, langid, minhash, packing, suffix_dedup, token_orc, toxicity, url_filter
+from paylake.llm import (cap_filters, decontaminate, fixity, langid, minhash, packing, sharding, source_divergence, suffix_dedup, token_orc, toxicity,
+                         turn_repair, url_filter)
 from paylake.llm.common import Scratch
 from paylake.session import read_table
 
@@ -73,3 +74,18 @@ def op10(spark, sf_dir):
 @query("op5_merkle_fixity", fixity.sql())
 def op5(spark, sf_dir):
     return fixity.audit_pages(read_table(spark, sf_dir, "pages"))
+
+
+@query("op11_persistent_audit", turn_repair.sql())
+def op11(spark, sf_dir):
+    return turn_repair.repair(turn_repair.damage(read_table(spark, sf_dir, "conversations"))).drop("starts_system")
+
+
+@query("op12_best_fit_shards")
+def op12(spark, sf_dir):
+    return sharding.by_bytes(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_source_divergence", source_divergence.sql())
+def op13(spark, sf_dir):
+    return source_divergence.audit(read_table(spark, sf_dir, "documents"))
