@@ -188,28 +188,29 @@ def near_duplicates(embeddings: DataFrame, min_cos: float = MIN_COS) -> DataFram
     A vector that is null, empty, zero or holds a null or non-finite component,
     and a row without label or vec_id, links with nothing; only vectors with
     as many components are compared. Equal vectors are linked without being
-    paired. Rows that repeat a vec_id count as vectors of their own, but share
-    the links of that id. Other columns are ignored.
+    paired. Rows that repeat a vec_id are vectors of their own, each with its own
+    links; a component's id is the least vec_id among all its vectors. Other columns are ignored.
     """
     s = Scratch(embeddings.sparkSession, "caps")
     e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label",
                           F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = e.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull()
-                      & F.coalesce(finite & F.exists("embedding", lambda x: x != 0.0), F.lit(False)))
-    classes = s.save(usable.groupBy("label", "embedding").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    ok = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0.0), F.lit(False))
+    usable, rest = e.filter(ok), e.filter(~ok)
+    # a class has a number of its own: a vec_id may occur in several classes
+    classes = s.save(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+                     .withColumn("rep", F.monotonically_increasing_id()), "classes")
     found = s.save(links(classes, s, min_cos), "links")
     both = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    members = classes.groupBy("rep").agg(F.sum("n").alias("n"))
-    degree = both.join(members.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
-    component = connected_components(found, s).withColumnRenamed("node", "rep")
-    known = classes.select("label", "embedding", "rep", "n").join(degree, "rep", "left").join(component, "rep", "left")
+    degree = both.join(classes.select(F.col("rep").alias("b"), "n"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
+    component = connected_components(found, s).withColumnRenamed("node", "rep").join(classes.select("rep", "least"), "rep")
+    ends = component.groupBy("component").agg(F.min("least").alias("reach"))
+    reach = component.select("rep", "component").join(ends, "component").select("rep", "reach")
+    known = classes.join(degree, "rep", "left").join(reach, "rep", "left")
     linked = usable.join(known, ["label", "embedding"]).select(
         "vec_id", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"))
-    rest = e.join(usable.select("vec_id").distinct(), "vec_id", "left_anti").select(
-        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = s.save(linked.unionAll(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "out")
+        F.coalesce("reach", "least").alias("component_id"))
+    alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = s.save(linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "out")
     s.drop("classes", "posts", "links")
     return out

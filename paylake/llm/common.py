@@ -82,6 +82,14 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def with_own_columns(docs: DataFrame, run) -> DataFrame:
+    """``run`` over ``docs`` with the columns it does not know under names that clash with none of
+    its own; its result has the columns of ``docs`` under their names again."""
+    known = {"doc_id", "text", "n_chars"}
+    inner = [c if c in known else f"extra_{i}" for i, c in enumerate(docs.columns)]
+    return run(docs.toDF(*inner)).select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)])
+
+
 def raw_text(col: str = "text"):
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(col).cast("binary"), F.lit(b"").cast("binary"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylake.llm.common import raw_text, ship, tidy
+from paylake.llm.common import Scratch, raw_text, ship, tidy, with_own_columns
 
 Q, STEP = 8, 4
 ERROR = 0.08
@@ -32,7 +32,7 @@ SEGMENT = 400
 PASSAGE = 100
 MIN_SEGMENT = 40  # shorter items have no budget of edits
 SHORT = Q + STEP - 1  # from here on one sampled q-gram at least lies within an item
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20  # an index of so many bytes takes some 400 MB
 GROUP_BYTES = 1 << 19
 ROUGH = 1 << 18
 _WEIGHT = np.uint64(0x9E3779B97F4A7C15)
@@ -94,30 +94,38 @@ def align(pattern: bytes, text: bytes, k: int) -> tuple[int, int, int] | None:
     if not k:
         return None
 
-    def last_row(p, t, free: bool):
-        t = np.frombuffer(t, dtype=np.uint8)
-        steps = np.arange(len(t) + 1)
-        row = np.zeros(len(t) + 1, dtype=np.int64) if free else steps.copy()
-        for i, c in enumerate(p):
-            new = np.empty_like(row)
-            new[0] = row[0] + 1
-            new[1:] = np.minimum(row[:-1] + (t != c), row[1:] + 1)
-            row = np.minimum.accumulate(new - steps) + steps
-            if not free and i >= k + len(t):
-                break
-        return row
-
-    row = last_row(pattern, text, True)
-    end = int(row.argmin())
-    best = int(row[end])
+    end_costs = _banded(pattern, text, k, len(text) - len(pattern) + k, True)
+    end = int(end_costs.argmin())
+    best = int(end_costs[end])
     if best > k:
         return None
     back = text[max(0, end - len(pattern) - best):end][::-1]
-    row = last_row(pattern[::-1], back, False)
-    long = int(np.flatnonzero(row == best)[-1])
+    long = int(np.flatnonzero(_banded(pattern[::-1], back, best, best, False) == best)[-1])
     return best, end - long, end
 
 
+def _banded(pattern: bytes, text: bytes, below: int, above: int, free: bool) -> np.ndarray:
+    """The edits from the whole pattern to a stretch of ``text`` that ends at each place (and, unless
+    ``free``, begins at 0), over alignments that stay on diagonals -below to above; others count as many."""
+    m, n, width, many = len(pattern), len(text), below + above + 1, 1 << 30
+    if width <= 0:
+        return np.full(n + 1, many)
+    padded = np.full(n + m + width + 1, 256, dtype=np.int16)  # place j of the text is at j + below
+    padded[below:below + n] = np.frombuffer(text, dtype=np.uint8)[:len(padded) - below]
+    steps = np.arange(width)
+    row = np.full(width + 1, many)  # cell d: the diagonal d - below; one more beyond the band
+    row[below:width] = 0 if free else steps[:width - below]
+    for i, c in enumerate(pattern):
+        new = np.minimum(row[:-1] + (padded[i:i + width] != c), row[1:] + 1)
+        new[:max(0, below - i - 1)] = many  # before the text
+        row[:-1] = np.minimum.accumulate(new - steps) + steps
+    out = np.full(n + 1, many)
+    first = m - below  # the place that the band's first cell ends at
+    at = np.arange(max(first, 0), min(first + width - 1, n) + 1)
+    out[at] = np.minimum(row[at - first], many)
+    return out
+
+
 class Short:
     """Items (item id, bytes) of under ``SHORT`` bytes, found where they occur as they are."""
 
@@ -298,12 +306,20 @@ def find(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFra
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item or a passage of one; columns as they were."""
+    """``docs`` without the rows whose text holds a benchmark item or a passage of one; columns as they
+    were. Null and empty texts stay, repeated rows are judged alike."""
+    return with_own_columns(docs, lambda d: _without_items(d, benchmark, error))
+
+
+def _without_items(docs: DataFrame, benchmark: DataFrame, error: float) -> DataFrame:
     spark = docs.sparkSession
-    ship(spark)
+    scratch = Scratch(spark, "clean")
     text = docs.columns.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    for parts in blocks(benchmark):
+    for i, parts in enumerate(blocks(benchmark)):
+        if i:  # a block a pass, so that a task holds one index
+            docs = scratch.save(docs, f"{i}")
+            scratch.drop(f"{i - 1}")
         shared = spark.sparkContext.broadcast(parts)
 
         def run(batches, shared=shared):

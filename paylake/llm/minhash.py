@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylake.llm.common import Scratch, connected_components, raw_text, ship, tidy
+from paylake.llm.common import Scratch, connected_components, raw_text, ship, tidy, with_own_columns
 
 SHINGLE = 5
 # 24 bands of 5: a pair at 0.85 misses every band with probability (1 - 0.85^5)^24 < 1e-6, one at 0.8 < 1e-4
@@ -367,6 +367,10 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One document of each group stays, that with the smallest id (one without an id only if none has any);
     columns as they were. Rows that repeat a doc_id are documents of their own, as are rows without an id;
     of rows with equal id (or none) and text one stays."""
+    return with_own_columns(docs, lambda d: _first_of_groups(d, percent))
+
+
+def _first_of_groups(docs: DataFrame, percent: int) -> DataFrame:
     doc = F.col("doc_id").cast("long")
     if docs.groupBy(doc.alias("d")).count().filter("count > 1 or d is null").isEmpty():
         kept = components(docs, percent).filter("kept").select(F.col("doc_id").alias("_id"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylake.llm.common import Scratch, raw_text, release, ship, tidy
+from paylake.llm.common import Scratch, raw_text, release, ship, tidy, with_own_columns
 from paylake.llm.induced_sort import sort_suffixes
 from paylake.llm.minhash import mix, powers
 
@@ -366,6 +366,10 @@ def digests(docs: DataFrame) -> DataFrame:
 def drop_repeated_text(docs: DataFrame, shard_bytes: int | None = None) -> DataFrame:
     """``docs`` with the repeated bytes cut from ``text`` (characters cut in half go whole; a null
     stays null) and ``n_chars``, where there is one, counted anew."""
+    return with_own_columns(docs, lambda d: _without_repeats(d, shard_bytes))
+
+
+def _without_repeats(docs: DataFrame, shard_bytes: int | None) -> DataFrame:
     names = docs.columns
     had = docs.withColumn("_null", F.col("text").isNull())
     rest = [c for c in names if c != "text"]

@@ -22,11 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylake.llm.common import crc32_of_id, ship, tidy
+from paylake.llm.common import crc32_of_id, ship, tidy, with_own_columns
 
 POSITIVES, UNLABELLED = 2500, 7500
 PREFIXES = (3, 4, 5)
-MAX_FEATURES = 300
 THRESHOLD = 0.3
 STEPS, RATE, DECAY, GAMMA = 600, 0.05, 1e-4, 0.5
 CACHE_WORDS = 200_000
@@ -55,7 +54,7 @@ def text_features(text: str, cache: dict) -> np.ndarray:
 
 
 def choose(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> np.ndarray:
-    """Features that toxic texts hold much more often than the others can (at most ``MAX_FEATURES``)."""
+    """Features that toxic texts hold much more often than the others can: all with enough support and lift."""
     ids, n_pos = np.unique(np.concatenate(pos), return_counts=True)
     ids, n_pos = (x[n_pos >= max(2, len(pos) // 200)] for x in (ids, n_pos))
     n_unl = np.zeros(len(ids))
@@ -69,9 +68,7 @@ def choose(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> np.nda
     rate = np.maximum(0, n_pos - 2 * np.sqrt(n_pos)) / len(pos)
     other = (np.maximum(0, seen) + 2 * np.sqrt(np.maximum(0, seen)) + 1) / ((1 - prior) * max(1, len(unl)))
     lift = np.log((rate + 1e-6) / other)
-    good = np.flatnonzero(lift > np.log(2))
-    good = good[np.argsort(-(rate * lift)[good], kind="stable")[:MAX_FEATURES]]
-    return np.sort(ids[good])
+    return ids[lift > np.log(2)]
 
 
 def active(features: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -115,7 +112,7 @@ def match_prior(g: np.ndarray, prior: float) -> float:
 
 def class_prior(labels: DataFrame) -> float:
     n, k = labels.filter("toxic is not null").agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    return float(np.clip((k or 0) / n if n else 0.05, 0.005, 0.5))
+    return float(np.clip((k or 0) / n if n else 0.05, 0.005, 0.995))
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict:
@@ -209,6 +206,7 @@ def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the model calls toxic; columns as they were."""
-    model = fit(docs.filter(~fold_held()), labels.filter(~fold_held()))
-    return predict(docs, model).filter(F.col("_score") < THRESHOLD).select(*docs.columns)
+    """``docs`` without the rows that the model calls toxic (a null text counts as empty, repeated
+    rows are judged alike); columns as they were."""
+    model = fit(docs.select("doc_id", "text").filter(~fold_held()), labels.filter(~fold_held()))
+    return with_own_columns(docs, lambda d: predict(d, model).filter(F.col("_score") < THRESHOLD).select(*d.columns))

@@ -44,6 +44,8 @@ class _Words(dict):
         # the model may be asked directly where it gives what the whole tokenizer does
         tests = ["word", "anblewh", "\u00e9cole", "stra\u00dfe", "ci\u00f3n\u00f1a"]
         self.direct = all(self._direct(t) == self._whole(t) for t in tests)
+        # and a last full stop or comma looked up alone where the tokenizer always parts it from a letter
+        self.stops = all(self._whole(t + c) == self._whole(t) + self._whole(c) for t in ("word", "anblewh", "a", "xqz") for c in ".,")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -70,12 +72,13 @@ class _Words(dict):
             text = word.decode()
             found = self.model.tokenize(text.lower() if self.lower else text)
             return found[0].id.to_bytes(4, "little") if len(found) == 1 else b"".join([t.id.to_bytes(4, "little") for t in found])
-        if len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
-            return self[word[:-1]] + self[word[-1:]]  # a stop after a letter is a piece of its own
+        if self.stops and len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
+            return self[word[:-1]] + self[word[-1:]]
         text = word.decode("utf-8", "replace")
-        if self.direct and text.isalpha() and max(text) < "\u0250":
-            text = unicodedata.normalize("NFC", text)
-            return self._direct(text.lower() if self.lower else text)
+        plain = unicodedata.normalize("NFC", text.lower() if self.lower else text)
+        # of what the model is given: lower-casing may bring marks that the tokenizer parts from letters
+        if self.direct and text.isalpha() and plain.isalpha() and max(text + plain) < "\u0250":
+            return self._direct(plain)
         return self._whole(text)
 
 

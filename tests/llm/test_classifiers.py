@@ -126,3 +126,22 @@ def test_urls_match_sql_and_awkward_rows(spark):
     by = {r.page_id: r for r in url_filter.filter_urls(pages).collect() if r.page_id}
     assert by[10].verdict == "block" and by[11].verdict == "allow" and by[12].verdict == "block" and by[13].verdict == "allow"
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_wide_toxic_vocabulary_is_learned(spark):
+    """1,500 toxic words, a few to a text: no cap on what is learned."""
+    rng = np.random.default_rng(3)
+    word = lambda k, c: c + "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 7)) + str(k)[:0]
+    bad, good = [word(k, "q") for k in range(1500)], [word(k, "m") for k in range(4000)]
+    rows, labels = [], []
+    for i in range(6000):
+        toxic = i % 5 == 0
+        w = list(rng.choice(good, 30)) + (list(rng.choice(bad, 6)) if toxic else [])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    got = toxicity.detect(spark.createDataFrame(rows, "doc_id long, text string"),
+                          spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    y = {i: t for i, t in labels}
+    held = [r for r in got if r.held_out]
+    assert np.mean([r.predicted for r in held if y[r.doc_id]]) >= 0.7
+    assert np.mean([r.predicted for r in held if not y[r.doc_id]]) <= 0.01

@@ -173,6 +173,14 @@ def test_embeddings_awkward_rows(spark):
     assert cap_filters.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_repeated_ids_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, None, 1), (2, [0.0, 1.0], 1), (2, [0.0, 0.0], 1), (3, [1.0, 1.0], None),
+            (5, [1.0, 0.0], 2), (5, [0.0, 1.0], 3), (6, [1.0, 0.0], 2), (7, [0.0, 1.0], 3), (4, [0.0, 1.0], 3), (5, [1.0, 0.01], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in cap_filters.near_duplicates(df).collect())
+    assert got == [(1, 0, 1), (1, 0, 1), (2, 0, 2), (2, 0, 2), (3, 0, 3), (4, 2, 4), (5, 2, 4), (5, 2, 5), (5, 2, 5), (6, 2, 5), (7, 2, 4)]
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_induced_sort_against_plain_sort(seed, tmp_path):
     rng = random.Random(seed)
@@ -298,3 +306,16 @@ def test_pipeline_stages_take_awkward_rows(spark, odd, empty, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             docs = Scratch(spark, "odd").save(stage(spark, docs, str(tmp_path)), name)
         assert "sequence_id" in docs.columns
+
+
+def test_stages_take_any_column_names(spark, sf):
+    """Names that the stages use inside, with repeated and null ids."""
+    import corpus_pipeline as P
+    names = ["_row", "_id", "_doc", "_score", "_null", "_hash", "_rest", "_null_id", "h", "d", "best", "extra_0", "sig"]
+    rows = [(i if i % 5 else None, f"a short text of number {i // 2} with some more words in it " * 3, "en", "s", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long") \
+        .selectExpr("*", *[f"'{n}' as {n}" for n in names])
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.select(names).collect()} <= {tuple(names)}, name

@@ -49,6 +49,14 @@ def test_word_encoder_equals_the_library(tokenizer, texts):
         assert got == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_every_code_point_equals_the_library(tokenizer):
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4000):
+        text = " ".join(f"{chr(c)} a{chr(c)}b {chr(c)}x." for c in points[at:at + 4000])
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert encoder().encode([text.encode()])[0] == want, hex(points[at])
+
+
 def expected_pieces(rows, tokenizer, end):
     for doc_id, text in rows:
         yield doc_id, [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
