@@ -27,7 +27,8 @@ from paylake.llm.common import Scratch, raw_text, ship, tidy
 MIN_DF = 3
 SCALE = 1_000_000_000
 TOP_TERMS = 200
-HELD = 300_000  # entries of partial sums that a task holds before it hands them on
+HELD = 600_000  # entries of partial sums that a task holds before it hands them on
+ONE_DOC = 1 << 40  # an entry holds documents and occurrences in one number; a task's texts hold fewer terms than this
 CHUNK = 1 << 18  # pair evaluations at a time
 
 _TERM = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -49,18 +50,15 @@ def count_terms(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
-        sums, groups = defaultdict(lambda: (Counter(), Counter())), set()
-        size = 0
+        sums, groups, size = defaultdict(dict), set(), 0
         for b in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 groups.add((lang, source))
-                df, tf = sums[lang, source]
-                vector = Counter(terms(text))
-                size -= len(df)
-                df.update(vector.keys())
-                for t, n in vector.items():
-                    tf[t] += n
-                size += len(df)
+                held = sums[lang, source]
+                get, before = held.get, len(held)
+                for t, n in Counter(terms(text)).items():  # the document's vector
+                    held[t] = get(t, 0) + ONE_DOC + n
+                size += len(held) - before
                 if size > HELD:
                     yield out(sums)
                     sums.clear()
@@ -69,12 +67,12 @@ def count_terms(docs: DataFrame) -> DataFrame:
 
     def out(sums, groups=()):
         cols = [[], [], [], [], []]
-        for (lang, source), (df, tf) in sums.items():
-            cols[0] += [lang] * len(tf)
-            cols[1] += [source] * len(tf)
-            cols[2] += tf.keys()
-            cols[3] += [df[t] for t in tf]
-            cols[4] += tf.values()
+        for (lang, source), held in sums.items():
+            cols[0] += [lang] * len(held)
+            cols[1] += [source] * len(held)
+            cols[2] += held
+            cols[3] += [v >> 40 for v in held.values()]
+            cols[4] += [v & ONE_DOC - 1 for v in held.values()]
         for lang, source in groups:
             for c, v in zip(cols, (lang, source, None, 0, 0), strict=True):
                 c.append(v)
