@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from paylake.functions.scalar import mask_card
 from paylake.operators.quality import rule_probability, split_valid, validate
 from paylake.session import checkpoint_root
-from paylake.sources.changes import insert_ignore
+from paylake.sources.keyed_store import KeyedStore
 from paylake.sources.sinks import log_run, to_dead_letter, write_batch
 
 DQ_COLS = ["schema_errors", "rule_errors", "errors", "data_quality_status"]
@@ -71,8 +71,9 @@ def fraud_alerts(scored: DataFrame) -> DataFrame:
         F.col("amt").cast("string").alias("amt"), "fraud_probability")
 
 
-# The stored keys of the keyed insert are spread over so many hash buckets.
-KEY_BUCKETS = 64
+# The stored keys of the keyed insert are spread over so many hash buckets at first.
+KEY_BUCKETS = 16
+COMPACT_EVERY = 16
 
 
 # T01 / T03 -----------------------------------------------------------
@@ -109,8 +110,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, scorer: Callable[[Da
     scored = scored.withColumn("_pmsg", pmsg)
     bad_pred = scored.filter(F.col("_pmsg").isNotNull()).withColumn("errors", F.array("_pmsg")).drop("_pmsg")
     scored = scored.filter(F.col("_pmsg").isNull()).drop("_pmsg")
-    # keyed insert: only the key buckets of this batch are read from the
-    # target; the new rows are checkpointed before the table is written
+    # keyed insert: of the stored keys only those files are read that may hold one of the batch
     new = keyed_append(scored, os.path.join(out, "transactions"), batch_id, key)
     stamp = dt.datetime.fromtimestamp(started, dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     dead = to_dead_letter(rejected, "validation_error", "api", created_at=stamp).unionByName(
@@ -184,27 +184,20 @@ def score_stream(tx: DataFrame, features: DataFrame) -> DataFrame:
     return s.withColumn("decision", decide("score"))
 
 
-def keyed_append(rows: DataFrame, path: str, batch_id: int, key: str) -> DataFrame:
-    """Append the rows whose ``key`` is not stored yet (first one wins, as a
-    unique index would enforce); replay-safe per batch id. Returns the rows
-    written."""
-    spark = rows.sparkSession
-    bucket = F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
-    rows = rows.withColumn("key_bucket", bucket)
-    if not path_exists(spark, path):  # a first batch; any other failure to read is an error
-        new = insert_ignore(spark.createDataFrame([], f"key_bucket int, {key} string"), rows, ["key_bucket", key])
-    else:
-        # the target is laid out by a hash bucket of the key: only the buckets
-        # that the batch holds are read (partition filter), and batch and
-        # stored keys meet in a shuffle on (bucket, key), no broadcast
-        held = [r[0] for r in rows.select("key_bucket").distinct().collect()]  # at most KEY_BUCKETS numbers
-        stored = spark.read.parquet(path).filter(F.col("key_bucket").isin(held) & (F.col("batch_id") != str(batch_id)))
-        new = insert_ignore(stored.select("key_bucket", key), rows, ["key_bucket", key])
-    # reliable checkpoint (shared folder): the new rows no longer depend on
-    # reading the table this batch is about to write
-    new = new.checkpoint(eager=True)
-    write_batch(new, path, batch_id, buckets="key_bucket")
-    return new.drop("key_bucket")
+def keyed_append(rows: DataFrame, path: str, batch_id: int, key: str, buckets: int = KEY_BUCKETS) -> DataFrame:
+    """Store the rows whose ``key`` is not stored yet (first one wins, as a unique index would
+    enforce); replay-safe per batch id. Returns the rows stored. Every ``COMPACT_EVERY`` batches
+    the store's files are merged."""
+    store = KeyedStore(rows.sparkSession, path, key, buckets)
+    if batch_id and batch_id % COMPACT_EVERY == 0:
+        store.compact()
+        store.vacuum()
+    return store.insert(rows, batch_id)
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a keyed store, whichever its key."""
+    return KeyedStore(spark, path, "").read()
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -18,11 +18,11 @@ def test_ingest_batch_replay_is_idempotent(spark):
     landing = D.payments_landing(t)
     out = I.run_dir(spark, "test-ingest")
     I.ingest_batch(landing, 0, out, I.amount_scorer)
-    n0 = spark.read.parquet(os.path.join(out, "transactions")).count()
+    n0 = I.read_store(spark, os.path.join(out, "transactions")).count()
     I.ingest_batch(landing, 0, out, I.amount_scorer)           # retried batch 0
-    n1 = spark.read.parquet(os.path.join(out, "transactions")).count()
+    n1 = I.read_store(spark, os.path.join(out, "transactions")).count()
     I.ingest_batch(landing, 1, out, I.amount_scorer)           # same rows again in batch 1
-    tx = spark.read.parquet(os.path.join(out, "transactions"))
+    tx = I.read_store(spark, os.path.join(out, "transactions"))
     assert n0 == n1 == tx.count() == tx.select("trans_num").distinct().count()
     dl = spark.read.parquet(os.path.join(out, "dead_letter"))
     assert dl.filter("batch_id = '0'").count() == dl.filter("batch_id = '1'").count() > 0
@@ -32,7 +32,7 @@ def test_stream_ingest_end_to_end(spark):
     landing = D.payments_landing_from(I.table_stream(spark, SF, "lineitem"))
     out = I.run_dir(spark, "test-stream")
     I.run_ingest(landing, out).awaitTermination()
-    tx = spark.read.parquet(os.path.join(out, "transactions"))
+    tx = I.read_store(spark, os.path.join(out, "transactions"))
     batch = D.payments_landing(D.Tables(spark, SF))
     from paylake.operators.quality import validate
     n_valid_keys = validate(batch).filter("data_quality_status = 'valid'").select("trans_num").distinct().count()
@@ -145,7 +145,7 @@ def test_alert_sink_first_score_wins(spark):
     out = I.run_dir(spark, "test-alerts")
     I.alerts_batch(spark.createDataFrame([("t1", "c1", 50.0, "FR"), ("t2", "c9", 6000.0, "NG")], req), 0, out, feats)
     I.alerts_batch(spark.createDataFrame([("t1", "c1", 9999.0, "RU"), ("t3", "c9", 10.0, "FR")], req), 1, out, feats)
-    a = {r.transaction_id: r for r in spark.read.parquet(os.path.join(out, "fraud_alerts")).collect()}
+    a = {r.transaction_id: r for r in I.read_store(spark, os.path.join(out, "fraud_alerts")).collect()}
     assert sorted(a) == ["t1", "t2", "t3"]
     assert a["t1"].decision == "block" and str(a["t1"].score) == "0.7000"   # first score kept
     assert a["t2"].reasons == ["high_amount", "very_high_amount", "high_risk_country"]
@@ -179,19 +179,56 @@ def test_late_rows_go_to_the_dead_letters(spark):
     dead = spark.read.parquet(os.path.join(out, "dead_letter"))
     late = dead.filter("error_type = 'late_event'").select(F.get_json_object("raw_data", "$.trans_num")).collect()
     assert sorted(r[0] for r in late) == ["L4", "L6"]
-    assert {r.trans_num for r in spark.read.parquet(os.path.join(out, "transactions")).collect()} == {"L1", "L2", "L3", "L5", "L7", "L8"}
+    assert {r.trans_num for r in I.read_store(spark, os.path.join(out, "transactions")).collect()} == {"L1", "L2", "L3", "L5", "L7", "L8"}
     runs = {r.task_id: (r.records_processed, r.records_failed) for r in spark.read.parquet(os.path.join(out, "pipeline_runs")).collect()}
     assert runs["batch_1"] == (3, 1) and runs["batch_2"] == (3, 1)
     assert dead.filter("year(created_at) < 2020").count() == 0
 
 
-def test_keyed_insert_reads_only_the_buckets_of_the_batch(spark):
-    rows = spark.createDataFrame([(f"k{i}", i) for i in range(300)], "k string, v int")
-    path = os.path.join(I.run_dir(spark, "test-keyed"), "t")
-    I.keyed_append(rows, path, 0, "k")
-    again = spark.createDataFrame([("k5", 99), ("new", 1)], "k string, v int")
-    assert [tuple(r) for r in I.keyed_append(again, path, 1, "k").collect()] == [("new", 1)]
-    got = spark.read.parquet(path)
-    assert got.count() == 301 and got.select("key_bucket").distinct().count() > 20
-    plan = got.filter("key_bucket in (3)")._jdf.queryExecution().toString()
-    assert "PartitionFilters" in plan and "key_bucket" in plan
+def test_keyed_store_files_replay_and_compaction(spark):
+    """One file a bucket and batch, two after compaction; a repeated batch changes nothing; the first row of a key stays."""
+    from paylake.sources.keyed_store import KeyedStore
+    store = KeyedStore(spark, os.path.join(I.run_dir(spark, "test-store"), "t"), "k", buckets=8)
+    rows = lambda lo, hi, v: spark.range(lo, hi).selectExpr("concat('k', id) k", f"{v} v")
+    assert store.insert(rows(0, 1000, 0), 0).count() == 1000
+    assert store.insert(rows(900, 1500, 1), 1).count() == 500
+    before = store.files_per_bucket()
+    assert store.insert(rows(900, 1500, 1), 1).count() == 500 and store.files_per_bucket() == before == dict.fromkeys(range(8), 2)
+    store.insert(rows(1490, 1600, 2), 2)
+    assert max(store.files_per_bucket().values()) == 3
+    store.compact()
+    store.vacuum()
+    assert max(store.files_per_bucket().values()) == 2
+    assert store.insert(rows(1490, 1600, 2), 2).count() == 100, "the last batch can be repeated after a compaction"
+    got = {r.v: r["count"] for r in store.read().groupBy("v").count().collect()}
+    assert got == {0: 1000, 1: 500, 2: 100} and store.read().select("k").distinct().count() == 1600
+
+
+def test_keyed_store_bloom_filters_skip_files(spark):
+    from paylake.sources.keyed_store import KeyedStore
+    store = KeyedStore(spark, os.path.join(I.run_dir(spark, "test-bloom"), "t"), "k", buckets=4)
+    rows = lambda *ids: spark.createDataFrame([(f"k{i}",) for i in ids], "k string")
+    store.insert(rows(*range(5000)), 0)
+    store.insert(rows(*range(6000, 6010)), 1)
+    _, state = store.state()
+    new = [f for f in state["files"] if f["batch"] == "1"]
+    older = {**state, "files": [f for f in state["files"] if f["batch"] == "0"]}
+    assert len(new) > 1 and store._may_hold(new, older) == []  # keys not stored: no file is read
+    store.insert(rows(17, 7000), 2)
+    _, state = store.state()
+    hit = store._may_hold(store._write(rows(17).selectExpr("k", "xxhash64(k) _hash", "cast(pmod(xxhash64(k), 4) as int) _bucket"), 4, None), state)
+    assert [f["batch"] for f in hit] == ["0"]
+
+
+def test_keyed_store_splits_full_buckets_and_loses_no_race(spark):
+    import pytest
+    from paylake.sources.keyed_store import KeyedStore
+    from paylake.sources.manifest import LostRace, Manifest
+    store = KeyedStore(spark, os.path.join(I.run_dir(spark, "test-split"), "t"), "k", buckets=2, rows_per_bucket=100)
+    for b in range(3):
+        store.insert(spark.range(100 * b, 100 * b + 200).selectExpr("concat('k', id) k", f"{b} v"), b)
+    store.compact()
+    assert store.state()[1]["buckets"] == 4 and store.read().count() == 400
+    assert store.insert(spark.range(0, 401).selectExpr("concat('k', id) k", "9 v"), 3).count() == 1
+    with pytest.raises(LostRace):
+        Manifest(spark, store.root).commit(1, {})
