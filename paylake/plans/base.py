@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paylake.plans import domain as D
+from paylake.plans import star_sql  # noqa: F401  (its table expressions)
 
 Builder = Callable[[SparkSession, str], DataFrame]
 

@@ -6,9 +6,8 @@ written as SQL for the DuckDB oracle. Each Spark builder below has an SQL
 twin (``*_SQL``) with identical semantics; ``with_ctes`` assembles them.
 
 All derivations are narrow projections of a single scan except:
-* ``fact_transaction``: lineitem JOIN orders on the order key (the only big
-  join; both sides are scanned once with pruned columns, and at scale the
-  written fact is partitioned by date so reports never redo it);
+* ``recorded_transactions``: lineitem JOIN orders on the order key (the only
+  big join; reports never redo it, ``fact_transaction`` is the written fact);
 * ``dim_customer``: first order date per customer (partial aggregate).
 """
 
@@ -95,7 +94,17 @@ class Tables:
 # ------------------------------------------------------------------------
 # fact_transaction
 # ------------------------------------------------------------------------
-def fact_transaction(t: Tables) -> DataFrame:
+def fact_transaction(t: Tables, as_of: str | None = None, days: int | None = None) -> DataFrame:
+    """The written star fact (``plans.star``); ``as_of`` and ``days`` bound the days, and so the folders, that are read."""
+    import datetime as dt
+
+    from paylake.plans.star import fact
+    since = dt.date.fromisoformat(as_of) - dt.timedelta(days=days) if as_of and days else None
+    return fact(t, since, as_of)
+
+
+def recorded_transactions(t: Tables) -> DataFrame:
+    """Transactions as recorded, copies included: what the checks of raw data look at."""
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
                            "l_extendedprice", "l_discount", "l_returnflag",
                            "l_linestatus", "l_shipdate")
@@ -126,7 +135,7 @@ def fact_transaction(t: Tables) -> DataFrame:
     )
 
 
-FACT_SQL = f"""fact_transaction AS (
+RECORDED_SQL = f"""recorded_transactions AS (
   SELECT l_orderkey * 10 + l_linenumber AS transaction_sk,
          'tx_' || CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS transaction_id,
          o_custkey AS customer_sk,
@@ -446,7 +455,7 @@ SCORED_SQL = f"""scored_transactions AS (
 
 
 CTES = {
-    "fact_transaction": FACT_SQL,
+    "recorded_transactions": RECORDED_SQL,
     "dim_merchant": DIM_MERCHANT_SQL,
     "dim_customer": DIM_CUSTOMER_SQL,
     "clickstream": CLICKSTREAM_SQL,
@@ -458,5 +467,20 @@ CTES = {
 }
 
 
+# table expression -> those it reads from
+NEEDS: dict[str, list[str]] = {}
+
+
 def with_ctes(names, body: str) -> str:
-    return "WITH " + ",\n".join(CTES[n] for n in names) + "\n" + body
+    """``body`` after the named table expressions and all that they read from, each once."""
+    order: list[str] = []
+
+    def add(name):
+        for n in NEEDS.get(name, []):
+            add(n)
+        if name not in order:
+            order.append(name)
+
+    for n in names:
+        add(n)
+    return "WITH " + ",\n".join(CTES[n] for n in order) + "\n" + body

@@ -123,7 +123,7 @@ SELECT rule_name, n_checked, n_failed FROM (
 
 register("v11_row_count_gate", """
 SELECT 'row_count' AS gate, COUNT(*) AS n_rows, COUNT(*) >= 1000 AS passed FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")(
-    lambda s, d: Q.gate_row_count(D.fact_transaction(T(s, d)), 1000))
+    lambda s, d: Q.gate_row_count(D.recorded_transactions(T(s, d)), 1000))
 
 # All eight value lists and five ranges, each with good and bad values
 def _contract_rows(t):
@@ -168,9 +168,9 @@ SELECT rule_name, COUNT(*) AS n_checked, CAST(SUM(CASE WHEN bad THEN 1 ELSE 0 EN
     lambda s, d: Q.rule_report(_contract_rows(T(s, d)), _contract_rules()))
 
 # V12 -------------------------------------------------------------------
-register("v12_duplicates", D.with_ctes(["fact_transaction"], """
-SELECT transaction_sk, COUNT(*) AS n_copies FROM fact_transaction GROUP BY transaction_sk HAVING COUNT(*) > 1"""))(
-    lambda s, d: Q.duplicates(D.fact_transaction(T(s, d)), "transaction_sk"))
+register("v12_duplicates", D.with_ctes(["recorded_transactions"], """
+SELECT transaction_sk, COUNT(*) AS n_copies FROM recorded_transactions GROUP BY transaction_sk HAVING COUNT(*) > 1"""))(
+    lambda s, d: Q.duplicates(D.recorded_transactions(T(s, d)), "transaction_sk"))
 
 
 # Every declared unique key

@@ -13,45 +13,6 @@ from paylake.plans import star as S
 from paylake.plans.base import AS_TX, T, _window, register
 from paylake.streaming.ingest import run_dir
 
-CUR_LIST = D._sql_list(D.CURRENCIES)
-RATES_SQL = "rates AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{c}', 'USD', CAST({r} * {m} AS DECIMAL(18,8)), DATE '{day}')"
-    for day, m in S.RATE_EPOCHS for c, r in S.SEED_RATES_TO_USD) + ") v(from_currency, to_currency, rate, effective_date))"
-STG_SQL = f"""stg AS (
-  SELECT * FROM (
-    SELECT l_orderkey * 10 + l_linenumber AS transaction_sk, 'tx_' || CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS transaction_id,
-           o_custkey AS customer_sk, l_suppkey AS merchant_sk,
-           CAST(l_extendedprice AS DECIMAL(18,2)) AS amount,
-           {CUR_LIST}[l_orderkey % 8 + 1] AS currency_code,
-           CASE WHEN l_linestatus = 'F' THEN 'captured' ELSE 'authorized' END AS status,
-           CAST(CAST(l_discount AS DECIMAL(4,2)) * 10 AS DECIMAL(5,4)) AS fraud_score,
-           {D._sql_list(D.DEVICE_TYPES)}[l_partkey % 5 + 1] AS device_type, CAST((l_partkey + l_linenumber) % 2 AS INTEGER) AS is_3d_secure,
-           CAST(l_discount AS DECIMAL(4,2)) AS discount, l_shipdate AS created_at
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-  QUALIFY row_number() OVER (PARTITION BY transaction_id
-          ORDER BY created_at DESC, amount DESC, customer_sk DESC, merchant_sk DESC, currency_code DESC,
-                   status DESC, fraud_score DESC, device_type DESC, is_3d_secure DESC, discount DESC) = 1)"""
-STG_REFUNDS_SQL = """stg_refunds AS (
-  SELECT * FROM (
-    SELECT 'rf_' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS refund_id,
-           'tx_' || CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS transaction_id,
-           CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(18,2)) AS amount,
-           CASE WHEN l_linestatus = 'F' THEN 'succeeded' ELSE 'pending' END AS status, l_shipdate AS created_at
-    FROM lineitem WHERE l_returnflag = 'R')
-  QUALIFY row_number() OVER (PARTITION BY refund_id ORDER BY created_at DESC, amount DESC, status DESC) = 1)"""
-STG_DISPUTES_SQL = """stg_disputes AS (
-  SELECT * FROM (
-    SELECT 'dp_' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS dispute_id,
-           'tx_' || CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS transaction_id, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount,
-           CASE WHEN l_linestatus = 'F' THEN 'lost' ELSE 'under_review' END AS status, l_shipdate AS created_at
-    FROM lineitem WHERE l_returnflag = 'A' AND l_discount >= 0.095)
-  QUALIFY row_number() OVER (PARTITION BY dispute_id ORDER BY created_at DESC, amount DESC, status DESC) = 1)"""
-D.CTES["stg"] = STG_SQL
-D.CTES["rates"] = RATES_SQL
-D.CTES["stg_refunds"] = STG_REFUNDS_SQL
-D.CTES["stg_disputes"] = STG_DISPUTES_SQL
-STAR = ["stg", "stg_refunds", "stg_disputes", "rates"]
-
 # Q15 ----------------------------------------------------------------------
 register("q15_stg_transactions", D.with_ctes(["stg"], "SELECT * FROM stg"))(
     lambda s, d: S.stg_transactions(T(s, d)))
@@ -85,62 +46,44 @@ FROM (SELECT unnest(generate_series(CAST(MIN(l_shipdate) AS DATE), CAST(MAX(l_sh
       FROM lineitem)""")(lambda s, d: S.dim_date(T(s, d).lineitem, "l_shipdate"))
 
 # Q19 (with J06 outcomes, J07 as-of FX) -----------------------------------------------
-FACT_FULL_SQL = f"""
-, rf AS (SELECT transaction_id, MAX(CASE WHEN status = 'succeeded' THEN 1 ELSE 0 END) AS refunded,
-                SUM(CASE WHEN status = 'succeeded' THEN amount END) AS refunded_amount
-         FROM stg_refunds GROUP BY 1),
-dp AS (SELECT transaction_id, COUNT(*) AS n_disputes, MAX(CASE WHEN status = 'lost' THEN 1 ELSE 0 END) AS dispute_lost
-       FROM stg_disputes GROUP BY 1),
-iv AS (SELECT from_currency, rate, effective_date,
-              lead(effective_date) OVER (PARTITION BY from_currency, to_currency ORDER BY effective_date) AS valid_to
-       FROM rates WHERE to_currency = 'USD'),
-full_fact AS (
-  SELECT s.transaction_sk, s.transaction_id, s.customer_sk, s.merchant_sk, s.currency_code, s.amount, s.device_type, s.is_3d_secure, s.discount,
-         CASE WHEN s.currency_code = 'USD' THEN CAST(1 AS DECIMAL(18,8)) ELSE iv.rate END AS fx_rate,
-         CASE WHEN dp.n_disputes > 0 THEN 'disputed' WHEN rf.refunded = 1 THEN 'refunded' ELSE s.status END AS status,
-         s.fraud_score, CAST(s.created_at AS DATE) AS transaction_date,
-         COALESCE(rf.refunded_amount, CAST(0 AS DECIMAL(18,2))) AS refunded_amount,
-         COALESCE(dp.dispute_lost, 0) AS dispute_lost
-  FROM stg s LEFT JOIN rf ON s.transaction_id = rf.transaction_id
-             LEFT JOIN dp ON s.transaction_id = dp.transaction_id
-             LEFT JOIN iv ON s.currency_code = iv.from_currency AND CAST(s.created_at AS DATE) >= iv.effective_date
-                          AND (iv.valid_to IS NULL OR CAST(s.created_at AS DATE) < iv.valid_to))"""
-STAR_FACT = """
-SELECT transaction_sk, transaction_id, customer_sk, merchant_sk, currency_code, amount,
-       CAST(amount * fx_rate AS DECIMAL(18,2)) AS amount_usd, fx_rate, status, fraud_score, device_type, is_3d_secure,
-       CASE WHEN status = 'captured' THEN CAST(CAST(amount * fx_rate AS DECIMAL(18,2)) * (1 - discount) AS DECIMAL(18,4))
-            ELSE CAST(0 AS DECIMAL(18,4)) END AS revenue_usd,
-       CASE WHEN fraud_score >= 0.7 THEN 1 ELSE 0 END AS is_high_fraud_risk,
-       refunded_amount, dispute_lost, transaction_date,
-       CAST(year(transaction_date) * 10000 + month(transaction_date) * 100 + day(transaction_date) AS INTEGER) AS date_sk
-FROM full_fact"""
-register("q19_fact_transaction", D.with_ctes(STAR, FACT_FULL_SQL + STAR_FACT))(lambda s, d: S.fact_transaction_full(T(s, d)))
-STAR_SQL = FACT_FULL_SQL + ", star AS (" + STAR_FACT + ")"
-
-
-def _incremental(s, d):
-    """A full load, then one of the days from a mark on over it: the same rows as one load."""
-    path = os.path.join(run_dir(s, "star-inc"), "fact")
-    S.load_fact(T(s, d), path)
-    S.load_fact(T(s, d), path, since="2001-01-01")
-    return S.read_fact(s, path, since="2000-07-01", until="2001-06-30").groupBy("transaction_date").agg(
-        F.count(F.lit(1)).alias("n_tx"), F.sum("amount_usd").cast("decimal(38,2)").alias("amount_usd"))
-
-
-register("q19_incremental_load", D.with_ctes(STAR, STAR_SQL + """
-SELECT transaction_date, COUNT(*) AS n_tx, CAST(SUM(amount_usd) AS DECIMAL(38,2)) AS amount_usd FROM star
-WHERE transaction_date BETWEEN DATE '2000-07-01' AND DATE '2001-06-30' GROUP BY 1"""))(_incremental)
+register("q19_fact_transaction", D.with_ctes(["star"], "SELECT * FROM star"))(lambda s, d: S.fact_transaction_full(T(s, d)))
+
+
+# The tables as three loads see them: one row in ten comes with the second load (copies of old
+# transactions and new ones), some refunds and disputes and the rates from 1998 on with the third.
+def _loads(t):
+    li = t.lineitem
+    no = F.when(F.col("l_partkey") % 10 == 0, 2).otherwise(1)
+    late = lambda n: F.when(F.col("l_suppkey") % n == 0, 3).otherwise(1).alias("loaded_at")
+    parts = [S.recorded_transactions(li.filter(no == k), t.orders).withColumn("loaded_at", F.lit(k)) for k in (1, 2)]
+    rates = S.stg_exchange_rates(t).withColumn("loaded_at", F.when(F.col("effective_date") >= "1998-01-01", 3).otherwise(1))
+    return parts[0].unionAll(parts[1]), S.raw_refunds(li, late(7)), S.raw_disputes(li, late(5)), rates
+
+
+def incremental_fact(s, d):
+    """A first load, then two merges over it; every row is what one load of all gives."""
+    raw = _loads(T(s, d))
+    upto = lambda k: [x.filter(F.col("loaded_at") <= k) for x in raw]
+    table = S.FactTable(s, os.path.join(run_dir(s, "star-inc"), "fact"))
+    tx, refunds, disputes, rates = upto(1)
+    table.load(S.build_fact(S.latest_transactions(tx.drop("loaded_at")), S.latest_events(refunds), S.latest_events(disputes), rates))
+    for k in (2, 3):
+        table.merge(*upto(k), since=k - 1)
+    return table
+
+
+register("q19_incremental_load", D.with_ctes(["star"], "SELECT * FROM star"))(lambda s, d: incremental_fact(s, d).read().select(*S.FACT_COLUMNS))
 
 # Q20 / Q21 -----------------------------------------------------------------------
-register("q20_mart_revenue_daily", D.with_ctes(STAR + ["dim_merchant"], STAR_SQL + """
+register("q20_mart_revenue_daily", D.with_ctes(["star", "dim_merchant"], """
 SELECT f.transaction_date, m.region, COUNT(*) AS n_transactions,
        CAST(SUM(f.revenue_usd) AS DECIMAL(38,4)) AS revenue_usd,
        ROUND(100.0::DOUBLE * SUM(CASE WHEN f.status = 'captured' THEN 1 ELSE 0 END) / COUNT(*), 2) AS success_rate_pct
 FROM star f LEFT JOIN dim_merchant m ON f.merchant_sk = m.merchant_sk
 GROUP BY f.transaction_date, m.region"""))(
-    lambda s, d: S.mart_revenue_daily(S.fact_transaction_full(T(s, d)), D.dim_merchant(T(s, d))))
+    lambda s, d: S.mart_revenue_daily(S.fact(T(s, d)), D.dim_merchant(T(s, d))))
 
-register("q21_mart_fraud_analysis", D.with_ctes(STAR + ["dim_customer", "dim_merchant"], STAR_SQL + """
+register("q21_mart_fraud_analysis", D.with_ctes(["star", "dim_customer", "dim_merchant"], """
 SELECT f.transaction_date, c.risk_tier, m.mcc_category, COUNT(*) AS n_transactions,
        CAST(SUM(f.is_high_fraud_risk) AS BIGINT) AS n_high_risk,
        ROUND(100.0::DOUBLE * SUM(f.is_high_fraud_risk) / COUNT(*), 2) AS fraud_rate_pct,
@@ -148,7 +91,7 @@ SELECT f.transaction_date, c.risk_tier, m.mcc_category, COUNT(*) AS n_transactio
 FROM star f LEFT JOIN dim_customer c ON f.customer_sk = c.customer_sk
             LEFT JOIN dim_merchant m ON f.merchant_sk = m.merchant_sk
 GROUP BY ALL"""))(
-    lambda s, d: S.mart_fraud_analysis(S.fact_transaction_full(T(s, d)), D.dim_customer(T(s, d)), D.dim_merchant(T(s, d))))
+    lambda s, d: S.mart_fraud_analysis(S.fact(T(s, d)), D.dim_customer(T(s, d)), D.dim_merchant(T(s, d))))
 
 # J01 / J02 ---------------------------------------------------------------------------
 register("j01_fact_dim_left", D.with_ctes(["fact_transaction", "dim_merchant"], """
@@ -189,7 +132,7 @@ FROM fact_transaction f LEFT JOIN feat ON CAST(f.customer_sk AS VARCHAR) = feat.
 GROUP BY ALL"""))(_j04)
 
 # J05 anti-join lives in S09; J06 -------------------------------------------------------------
-register("j06_apply_outcomes", D.with_ctes(STAR, FACT_FULL_SQL + """
+register("j06_apply_outcomes", D.with_ctes(["full_fact"], """
 SELECT status, COUNT(*) AS n_tx, CAST(SUM(refunded_amount) AS DECIMAL(38,2)) AS refunded_amount
 FROM full_fact GROUP BY status"""))(
     lambda s, d: J.apply_outcomes(S.stg_transactions(T(s, d)), S.stg_refunds(T(s, d)), S.stg_disputes(T(s, d)))
@@ -197,7 +140,7 @@ FROM full_fact GROUP BY status"""))(
                            F.sum("refunded_amount").cast("decimal(38,2)").alias("refunded_amount")))
 
 # J07 ------------------------------------------------------------------------------------------
-register("j07_to_usd", D.with_ctes(STAR, FACT_FULL_SQL + """
+register("j07_to_usd", D.with_ctes(["full_fact"], """
 SELECT currency_code, fx_rate, COUNT(*) AS n_tx, CAST(SUM(CAST(amount * fx_rate AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS amount_usd
 FROM full_fact GROUP BY ALL"""))(
     lambda s, d: J.to_usd(S.stg_transactions(T(s, d)).withColumn("transaction_date", F.col("created_at").cast("date")),

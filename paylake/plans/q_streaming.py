@@ -93,10 +93,10 @@ def _t05(s, d):
 def _t05_sql():
     from paylake.plans.q_models import _conds, _score
     from paylake.operators.scoring import RULES
-    return D.with_ctes(XDEPS + ["x01"], f"""
+    return D.with_ctes(XDEPS + ["x01", "recorded_transactions"], f"""
 , sc AS (SELECT f.transaction_id, CAST(LEAST(GREATEST({_score}, 0), 1) AS DECIMAL(5,4)) AS score,
                 concat_ws(',', {', '.join(f"CASE WHEN {c} THEN '{n}' END" for c, (n, _, _) in zip(_conds, RULES))}) AS reasons
-         FROM fact_transaction f LEFT JOIN x01 x ON CAST(f.customer_sk AS VARCHAR) = x.customer_id)
+         FROM recorded_transactions f LEFT JOIN x01 x ON CAST(f.customer_sk AS VARCHAR) = x.customer_id)
 SELECT transaction_id, score, reasons,
        CASE WHEN score < 0.3 THEN 'approve' WHEN score < 0.7 THEN 'review' ELSE 'block' END AS decision FROM sc""")
 
@@ -107,9 +107,7 @@ register("t05_score_stream", _t05_sql())(_t05)
 # T06 -------------------------------------------------------------------------
 def _alert_stream(s, d):
     e = I.table_stream(s, d, "events")
-    score = (F.col("value") / 500).cast("decimal(5,4)")
-    return e.select(F.col("ts").alias("created_at"),
-                    F.when(score < 0.3, "approve").when(score < 0.7, "review").otherwise("block").alias("decision"),
+    return e.select(F.col("ts").alias("created_at"), _decision(),
                     (F.col("value") / 100).alias("latency_s"), "user_id")
 
 
@@ -227,13 +225,14 @@ def _monitored(s, d, name, columns, start):
     return in_batches(s, name, _arriving(s, d).select("event_id", "ts", "user_id", "batch", *columns), "batch", N_BATCHES, start)
 
 
-_DECISION = F.when((F.col("value") / 500).cast("decimal(5,4)") < 0.3, "approve") \
-    .when((F.col("value") / 500).cast("decimal(5,4)") < 0.7, "review").otherwise("block").alias("decision")
+def _decision():
+    score = (F.col("value") / 500).cast("decimal(5,4)")
+    return F.when(score < 0.3, "approve").when(score < 0.7, "review").otherwise("block").alias("decision")
 
 
 def _t06_batches(s, d):
     keys = ["window_start", "decision"]
-    out = _monitored(s, d, "rate-batches", [_DECISION], lambda st, out: K.run_counts(st, out, "ts", keys, K.rate_counts("ts", "decision")))
+    out = _monitored(s, d, "rate-batches", [_decision()], lambda st, out: K.run_counts(st, out, "ts", keys, K.rate_counts("ts", "decision")))
     return K.rates(K.counts(s, out, keys).read())
 
 

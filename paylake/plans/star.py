@@ -1,23 +1,28 @@
 """Staging models and the star schema.
 
-Staging frames are lazy views; the fact is meant to be *written* partitioned
-by date (``sources.sinks.write_lake``) and re-read by the reports, so the big
-lineitem x orders join runs once per load, not once per report.
+Staging frames are lazy views; the fact is written in periods (``FactTable``)
+and read by the reports and marts, so the big lineitem x orders join runs once
+per load, not once per report. Later loads rewrite the periods they change.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import json
+import uuid
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paylake.functions.aggregates import sum_if
-from paylake.operators.joins import apply_outcomes, join_dim, to_usd
+from paylake.operators.joins import apply_outcomes, join_dim, to_usd, validity_intervals
 from paylake.plans.domain import CURRENCIES, DEVICE_TYPES, Tables, pick
+from paylake.session import checkpoint_root
 from paylake.sources.changes import latest_per_key
-from paylake.sources.sinks import write_lake
+from paylake.sources.manifest import Manifest
 
 # --- fixed values ---------------------------------------------------------
 # Rates to USD as seeded by the reference (from_currency, rate).
@@ -29,50 +34,88 @@ RATE_EPOCHS = [("1995-01-01", Decimal("1")), ("1998-01-01", Decimal("1.05"))]
 
 
 # Q15 ------------------------------------------------------------------
-def stg_transactions(t: Tables) -> DataFrame:
-    """Typed, renamed, de-duplicated transactions (latest copy per id)."""
-    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice",
-                           "l_discount", "l_linestatus", "l_shipdate")
-    o = t.orders.select("o_orderkey", "o_custkey")
-    sk = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    raw = li.join(o, li.l_orderkey == o.o_orderkey).select(
-        sk.alias("transaction_sk"), F.concat(F.lit("tx_"), sk.cast("string")).alias("transaction_id"),
-        F.col("o_custkey").alias("customer_sk"),
-        F.col("l_suppkey").alias("merchant_sk"),
+def _tx_key() -> Column:
+    return F.col("l_orderkey") * 10 + F.col("l_linenumber")
+
+
+def _tx_id(key: str = "transaction_sk") -> Column:
+    return F.concat(F.lit("tx_"), F.col(key).cast("string"))
+
+
+def _id(prefix: str) -> Column:
+    """Refund and dispute ids: the order key and the line of the number that is their transaction's key."""
+    sk = F.col("transaction_sk")
+    return F.concat(F.lit(prefix), F.expr("transaction_sk div 10").cast("string"), F.lit("_"), (sk % 10).cast("string"))
+
+
+def _recorded(lineitem: DataFrame) -> DataFrame:
+    """Transactions as recorded, copies included, without their customer."""
+    return lineitem.select(
+        _tx_key().alias("transaction_sk"), F.col("l_orderkey").alias("order_sk"), F.col("l_suppkey").alias("merchant_sk"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
         F.element_at(F.array(*[F.lit(c) for c in CURRENCIES]), (F.pmod(F.col("l_orderkey"), F.lit(8)) + 1).cast("int")).alias("currency_code"),
         F.when(F.col("l_linestatus") == "F", "captured").otherwise("authorized").alias("status"),
         (F.col("l_discount").cast("decimal(4,2)") * 10).cast("decimal(5,4)").alias("fraud_score"),
         pick(DEVICE_TYPES, F.pmod(F.col("l_partkey"), F.lit(5))).alias("device_type"),
         F.pmod(F.col("l_partkey") + F.col("l_linenumber"), F.lit(2)).cast("int").alias("is_3d_secure"),
-        F.col("l_discount").cast("decimal(4,2)").alias("discount"),
-        F.col("l_shipdate").alias("created_at"))
-    return latest_per_key(raw, ["transaction_sk", "transaction_id"], ["created_at", "amount"])
+        F.col("l_discount").cast("decimal(4,2)").alias("discount"), F.col("l_shipdate").alias("created_at"))
 
 
-def stg_refunds(t: Tables) -> DataFrame:
-    """Refunds, the latest copy of each id."""
-    li = t.lineitem.filter(F.col("l_returnflag") == "R").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_linestatus", "l_shipdate")
-    raw = li.select(
-        F.concat(F.lit("rf_"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("refund_id"),
-        F.concat(F.lit("tx_"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")).alias("transaction_id"),
+TX_COLUMNS = ["transaction_sk", "transaction_id", "customer_sk", "merchant_sk", "amount", "currency_code", "status", "fraud_score",
+              "device_type", "is_3d_secure", "discount", "created_at"]
+
+
+def _with_customer(tx: DataFrame, orders: DataFrame) -> DataFrame:
+    o = orders.select(F.col("o_orderkey").alias("order_sk"), F.col("o_custkey").alias("customer_sk"))
+    return tx.join(o, "order_sk").withColumn("transaction_id", _tx_id()).select(*TX_COLUMNS)
+
+
+def recorded_transactions(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """Transactions as recorded, copies included."""
+    return _with_customer(_recorded(lineitem), orders)
+
+
+def latest_transactions(tx: DataFrame) -> DataFrame:
+    return latest_per_key(tx, ["transaction_sk"], ["created_at", "amount"])
+
+
+def stg_transactions(t: Tables) -> DataFrame:
+    """Typed, renamed, de-duplicated transactions (latest copy per id); copies go before the join with the orders."""
+    return _with_customer(latest_transactions(_recorded(t.lineitem)), t.orders)
+
+
+def raw_refunds(lineitem: DataFrame, *more: Column) -> DataFrame:
+    li = lineitem.filter(F.col("l_returnflag") == "R")
+    return li.select(
+        _tx_key().alias("transaction_sk"),
         (F.col("l_extendedprice").cast("decimal(18,2)") * F.col("l_discount").cast("decimal(4,2)")).cast("decimal(18,2)").alias("amount"),
         F.when(F.col("l_linestatus") == "F", "succeeded").otherwise("pending").alias("status"),
-        F.col("l_shipdate").alias("created_at"))
-    return latest_per_key(raw, ["refund_id", "transaction_id"], ["created_at", "amount"])
+        F.col("l_shipdate").alias("created_at"), *more)
+
+
+def raw_disputes(lineitem: DataFrame, *more: Column) -> DataFrame:
+    li = lineitem.filter((F.col("l_returnflag") == "A") & (F.col("l_discount") >= 0.095))
+    return li.select(
+        _tx_key().alias("transaction_sk"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
+        F.when(F.col("l_linestatus") == "F", "lost").otherwise("under_review").alias("status"),
+        F.col("l_shipdate").alias("created_at"), *more)
+
+
+def latest_events(events: DataFrame) -> DataFrame:
+    """Refunds or disputes, the latest copy of each; here a transaction has one of a kind, so its key is theirs."""
+    return latest_per_key(events.select("transaction_sk", "amount", "status", "created_at"), ["transaction_sk"], ["created_at", "amount"])
+
+
+def stg_refunds(t: Tables) -> DataFrame:
+    """Refunds, the latest copy of each id."""
+    return latest_events(raw_refunds(t.lineitem)).select(
+        _id("rf_").alias("refund_id"), _tx_id().alias("transaction_id"), "amount", "status", "created_at")
 
 
 def stg_disputes(t: Tables) -> DataFrame:
     """Disputes, the latest copy of each id."""
-    li = t.lineitem.filter((F.col("l_returnflag") == "A") & (F.col("l_discount") >= 0.095)).select(
-        "l_orderkey", "l_linenumber", "l_extendedprice", "l_linestatus", "l_shipdate")
-    raw = li.select(
-        F.concat(F.lit("dp_"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("dispute_id"),
-        F.concat(F.lit("tx_"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")).alias("transaction_id"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
-        F.when(F.col("l_linestatus") == "F", "lost").otherwise("under_review").alias("status"),
-        F.col("l_shipdate").alias("created_at"))
-    return latest_per_key(raw, ["dispute_id", "transaction_id"], ["created_at", "amount"])
+    return latest_events(raw_disputes(t.lineitem)).select(
+        _id("dp_").alias("dispute_id"), _tx_id().alias("transaction_id"), "amount", "status", "created_at")
 
 
 def stg_exchange_rates(t: Tables) -> DataFrame:
@@ -103,16 +146,18 @@ def dim_date(dates: DataFrame, date_col: str) -> DataFrame:
 
 
 # Q19 ------------------------------------------------------------------
-def fact_transaction_full(t: Tables, since=None) -> DataFrame:
-    """One row per transaction: deduped staging, refund/dispute outcomes,
-    as-of FX conversion, high-risk flag, date key. ``since`` restricts it to
-    transactions created after a load mark (the incremental load)."""
-    tx = stg_transactions(t)
-    if since is not None:
-        tx = tx.filter(F.col("created_at") > F.lit(str(since)).cast("timestamp_ntz"))
-    tx = tx.withColumn("transaction_date", F.col("created_at").cast("date"))
-    tx = apply_outcomes(tx, stg_refunds(t), stg_disputes(t))
-    tx = to_usd(tx, stg_exchange_rates(t), amount="amount")
+FACT_COLUMNS = ["transaction_sk", "transaction_id", "customer_sk", "merchant_sk", "currency_code", "amount", "amount_usd", "fx_rate",
+                "status", "fraud_score", "device_type", "is_3d_secure", "revenue_usd", "is_high_fraud_risk", "refunded_amount",
+                "dispute_lost", "transaction_date", "date_sk"]
+
+
+def build_fact(tx: DataFrame, refunds: DataFrame, disputes: DataFrame, rates: DataFrame) -> DataFrame:
+    """One row per transaction from staged (latest) rows: refund and dispute outcomes, as-of
+    conversion, high-risk flag, date key; besides ``FACT_COLUMNS`` what a later load needs of
+    the transaction as it was recorded."""
+    tx = tx.withColumn("transaction_date", F.col("created_at").cast("date")).withColumn("recorded_status", F.col("status"))
+    tx = apply_outcomes(tx, refunds, disputes, key="transaction_sk")
+    tx = to_usd(tx, rates, amount="amount")
     usd = F.col("amount_usd_converted")
     return tx.select(
         "transaction_sk", "transaction_id", "customer_sk", "merchant_sk", "currency_code", "amount",
@@ -122,23 +167,127 @@ def fact_transaction_full(t: Tables, since=None) -> DataFrame:
         F.when(F.col("fraud_score") >= Decimal("0.7"), 1).otherwise(0).alias("is_high_fraud_risk"),
         "refunded_amount", "dispute_lost", "transaction_date",
         (F.year("transaction_date") * 10000 + F.month("transaction_date") * 100
-         + F.dayofmonth("transaction_date")).alias("date_sk"))
+         + F.dayofmonth("transaction_date")).alias("date_sk"),
+        "recorded_status", "discount", "created_at")
+
+
+def fact_transaction_all(t: Tables) -> DataFrame:
+    return build_fact(stg_transactions(t), latest_events(raw_refunds(t.lineitem)), latest_events(raw_disputes(t.lineitem)), stg_exchange_rates(t))
+
+
+def fact_transaction_full(t: Tables) -> DataFrame:
+    """The fact of a whole load."""
+    return fact_transaction_all(t).select(*FACT_COLUMNS)
+
+
+def recorded(fact: DataFrame) -> DataFrame:
+    """The transactions as they were recorded, from fact rows."""
+    return fact.withColumn("status", F.col("recorded_status")).select(*TX_COLUMNS)
+
+
+class FactTable:
+    """The written fact: a folder a period (month or day of the transaction), named by a manifest.
+
+    ``merge`` takes what was loaded since a mark, finds the transactions that it changes and the
+    periods that hold them, rewrites those periods beside the old ones and swaps them in one
+    commit. Readers go on with the version they opened.
+    """
+
+    def __init__(self, spark, root: str, grain: str = "month"):
+        self.spark, self.root, self.grain = spark, root.rstrip("/"), grain
+        self.manifest = Manifest(spark, root)
+
+    def _period(self) -> Column:
+        return F.date_format(F.trunc("transaction_date", "MM") if self.grain == "month" else F.col("transaction_date"), "yyyy-MM-dd")
+
+    def periods(self) -> dict[str, str]:
+        """Period -> folder, a number bounded by the days that the data span."""
+        return (self.manifest.read()[1] or {"periods": {}})["periods"]
+
+    def _write(self, fact: DataFrame) -> dict[str, str]:
+        name = f"data/{uuid.uuid4().hex}"
+        fact.withColumn("period", self._period()).hint("rebalance", "period").sortWithinPartitions("period", "transaction_date") \
+            .write.partitionBy("period").parquet(f"{self.root}/{name}")
+        found = (n for n in self.manifest.folders(f"{self.root}/{name}") if n.startswith("period="))
+        return {n[len("period="):]: f"{name}/{n}" for n in found}
+
+    def load(self, fact: DataFrame) -> None:
+        """Replace the whole table."""
+        seen, _ = self.manifest.read()
+        self.manifest.commit(seen, {"periods": self._write(fact), "schema": fact.schema.json()})
+
+    def read(self, since=None, until=None, only: list[str] | None = None) -> DataFrame:
+        """Rows of the days from ``since`` to ``until``; only folders of their periods are opened."""
+        _, state = self.manifest.read()
+        low = str(since)[:7 if self.grain == "month" else 10] if since else ""
+        keep = [f for p, f in sorted(state["periods"].items())
+                if p >= low and (not until or p <= str(until)[:10]) and (only is None or p in only)]
+        schema = T.StructType.fromJson(json.loads(state["schema"]))
+        if not keep:
+            return self.spark.createDataFrame([], schema)
+        df = self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in keep])
+        if since:
+            df = df.filter(F.col("transaction_date") >= F.lit(str(since)[:10]).cast("date"))
+        if until:
+            df = df.filter(F.col("transaction_date") <= F.lit(str(until)[:10]).cast("date"))
+        return df
+
+    def merge(self, tx: DataFrame, refunds: DataFrame, disputes: DataFrame, rates: DataFrame, since, loaded: str = "loaded_at") -> list[str]:
+        """Bring the fact up to date with the rows loaded after ``since``; returns the periods rewritten.
+
+        Of the transactions only rows after the mark are read (the fact holds the latest earlier
+        copy), of refunds and disputes those of changed transactions, of the fact one column of
+        all periods and all columns of the changed ones.
+        """
+        seen, state = self.manifest.read()
+        new = lambda df: df.filter(F.col(loaded) > F.lit(since))
+        ids = new(tx).select("transaction_sk").unionAll(new(refunds).select("transaction_sk")).unionAll(new(disputes).select("transaction_sk"))
+        changed_rates = validity_intervals(rates).filter(F.col(loaded) > F.lit(since)).select(
+            F.col("from_currency").alias("currency_code"), F.col("effective_date").alias("_from"), F.col("valid_to").alias("_to"))
+        first = changed_rates.agg(F.min("_from")).first()[0]
+        if first is not None:  # a new rate changes what it holds for; until then the one before it held
+            hit = self.read(since=first).select("transaction_sk", "currency_code", "transaction_date").join(changed_rates, "currency_code") \
+                .filter((F.col("transaction_date") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("transaction_date") < F.col("_to"))))
+            ids = ids.unionAll(hit.select("transaction_sk"))
+        scratch = f"{checkpoint_root(self.spark).rstrip('/')}/paylake-merge-{uuid.uuid4().hex}"
+        ids.distinct().write.parquet(f"{scratch}/ids")
+        ids = self.spark.read.parquet(f"{scratch}/ids")
+        old = self.read().select("transaction_sk", self._period().alias("period")).join(ids, "transaction_sk", "left_semi") \
+            .select("period").distinct().collect()  # at most one a period
+        touched = self.read(only=[r[0] for r in old])
+        before = recorded(touched.join(ids, "transaction_sk", "left_semi"))
+        staged = latest_transactions(new(tx).select(*TX_COLUMNS).unionByName(before))
+        mine = lambda df: latest_events(df.join(ids, "transaction_sk", "left_semi"))
+        fresh = build_fact(staged, mine(refunds), mine(disputes), rates)
+        fresh.write.parquet(f"{scratch}/fresh")
+        fresh = self.spark.read.schema(fresh.schema).parquet(f"{scratch}/fresh")
+        rewritten = sorted({r[0] for r in old} | {r[0] for r in fresh.select(self._period()).distinct().collect()})
+        kept = self.read(only=rewritten).join(ids, "transaction_sk", "left_anti")
+        written = self._write(kept.select(*fresh.columns).unionAll(fresh)) if rewritten else {}
+        state["periods"] = {p: f for p, f in state["periods"].items() if p not in rewritten} | written
+        self.manifest.commit(seen, state)
+        self.manifest.delete(scratch)
+        return rewritten
 
 
-def load_fact(t: Tables, path: str, since=None) -> None:
-    """Write the fact partitioned by day; with ``since`` only the days of
-    transactions created after that mark are rewritten (whole days: the mark
-    is cut to a day, so a rewritten day is complete)."""
-    fact = fact_transaction_full(t)
-    if since is not None:
-        fact = fact.filter(F.col("transaction_date") >= F.lit(str(since)[:10]).cast("date"))
-    write_lake(fact, path, "transaction_date", mode="overwrite")
+def stored_fact(t: Tables) -> FactTable:
+    """The fact of these tables, written on first use in this session; the tables' files tell whether it is current."""
+    files = sorted(f for name in ("lineitem", "orders") for f in getattr(t, name).inputFiles())
+    stamps = []
+    for f in files:
+        p = t.spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = p.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(p)
+        stamps.append((f, status.getLen(), status.getModificationTime()))
+    mark = hashlib.sha256(repr(stamps).encode()).hexdigest()[:16]
+    table = FactTable(t.spark, f"{checkpoint_root(t.spark).rstrip('/')}/paylake-star-{t.spark.sparkContext.applicationId}-{mark}")
+    if not table.periods():
+        table.load(fact_transaction_all(t))
+    return table
 
 
-def read_fact(spark, path: str, since=None, until=None) -> DataFrame:
-    """The written fact; date bounds prune its partitions."""
-    from paylake.sources.readers import read_raw
-    return read_raw(spark, path, since=since, until=until).drop("year", "month", "day")
+def fact(t: Tables, since=None, until=None) -> DataFrame:
+    """The written fact with the columns that the reports use."""
+    return stored_fact(t).read(since, until).withColumn("transaction_ts", F.col("created_at"))
 
 
 # Q20 ------------------------------------------------------------------
