@@ -6,6 +6,8 @@ aggregates relative to an explicit ``as_of`` - no per-row Python.
 
 from __future__ import annotations
 
+import math
+
 import datetime as dt
 
 from pyspark.sql import DataFrame
@@ -140,7 +142,57 @@ def trailing(df: DataFrame, key: str, ts: str, seconds: int, value: str, exclude
 
 
 def trailing_all(df: DataFrame, key: str, ts: str, value: str, windows=None) -> DataFrame:
-    """All trailing windows of the feature contract, 1 h to 90 d."""
-    for seconds in (windows or TRAILING_WINDOWS).values():
-        df = trailing(df, key, ts, seconds, value)
-    return df
+    """All trailing windows of the feature contract, 1 h to 90 d, by prefix sums: for each window
+    the values that are not null and their sum over the ``seconds`` before each row, the row's own
+    second excluded.
+
+    A key's time is cut into slices that divide every window. What lies in whole slices is a
+    difference of cumulative sums over the (key, slice) totals; what is left are the rows at the
+    two edges. The far edge lies as far into its slice as the row into its own, so each row is
+    sent, slim, to the slices for which it can be at an edge, and one running sum by the place in
+    the slice serves all windows: rows are shuffled once, by (key, slice), and a key with half of
+    them is spread over its slices. Sums are exact for integers and decimals; other values are
+    added as decimals of 9 places. A row without a time has nothing before it; rows without a key
+    belong together."""
+    windows = windows or TRAILING_WINDOWS
+    size = math.gcd(*windows.values())
+    kind = df.schema[value].dataType.simpleString()
+    exact = "decimal(38,9)" if kind in ("double", "float", "string") else "decimal(38,0)" if not kind.startswith("decimal") else \
+        f"decimal(38,{kind[8:-1].split(',')[1]})"
+    out_type = kind if kind.startswith("decimal") else "double"
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    # the key in a struct: null keys are equal there, so window and join share one exchange
+    x = df.select(F.struct(F.col(key)).alias("_k"), F.unix_timestamp(F.col(ts).cast("timestamp")).alias("_t"),
+                  F.col(value).cast(exact).alias("_v"), row.alias("_row"))
+    none = x.filter("_t IS NULL")
+    x = x.filter("_t IS NOT NULL").withColumn("_q", F.col("_t") - 1)
+    one = F.when(F.col("_v").isNotNull(), 1).otherwise(0).cast("long")
+    zero = F.lit(0).cast(exact)
+
+    # whole slices: totals, and the slices that rows ask from though nothing lies there
+    slices = x.select("_k", F.explode(F.array(
+        F.struct(F.floor(F.col("_t") / size).alias("s"), one.alias("n"), F.coalesce("_v", zero).alias("v")),
+        F.struct(F.floor(F.col("_q") / size).alias("s"), F.lit(0).cast("long").alias("n"), zero.alias("v")))).alias("p")) \
+        .groupBy("_k", F.col("p.s").alias("_s")).agg(F.sum("p.n").alias("n"), F.sum("p.v").cast(exact).alias("v"))
+    upto = lambda c, k: F.coalesce(F.sum(c).over(  # noqa: E731  (unbounded frames: each total is added once)
+        W.partitionBy("_k").orderBy("_s").rangeBetween(W.unboundedPreceding, -k)), F.lit(0))
+    whole = slices.select("_k", "_s", *[
+        (upto(c, 1) - upto(c, n // size + 1)).alias(f"_{c}{n}") for n in windows.values() for c in ("n", "v")])
+
+    # edges: role 0 is the row's own slice, role n the one that many seconds before
+    far = [F.struct((F.floor(F.col("_t") / size) + n // size).alias("s"), F.pmod("_t", F.lit(size)).alias("o"), F.lit(n).alias("r")) for n in windows.values()]
+    own = F.struct(F.floor(F.col("_t") / size).alias("s"), F.pmod("_t", F.lit(size)).alias("o"), F.lit(0).alias("r"))
+    ask = F.struct(F.floor(F.col("_q") / size).alias("s"), F.pmod("_q", F.lit(size)).alias("o"), F.lit(-1).alias("r"))
+    sent = x.withColumn("p", F.explode(F.array(ask, own, *far))).select(
+        "_k", F.col("p.s").alias("_s"), F.col("p.o").alias("_o"), F.col("p.r").alias("_r"), one.alias("_one"), "_v",
+        F.when(F.col("p.r") == -1, F.col("_row")).alias("_row"))
+    place = W.partitionBy("_k", "_s").orderBy("_o").rangeBetween(W.unboundedPreceding, W.currentRow)
+    role = lambda c, r: F.coalesce(F.sum(F.when(F.col("_r") == r, F.col(c))).over(place), F.lit(0))
+    edges = sent.select("_k", "_s", "_r", "_row", *[
+        (role(c, 0) - role(c, n)).alias(f"_e{c}{n}") for n in windows.values() for c in ("_one", "_v")]).filter("_r = -1")
+    joined = edges.join(whole, ["_k", "_s"])
+    names = [(f"{value}_count_{n}s", f"{value}_sum_{n}s", n) for n in windows.values()]
+    done = joined.select("_row.*", *[c for cn, sn, n in names for c in (
+        (F.col(f"_n{n}") + F.col(f"_e_one{n}")).cast("long").alias(cn), (F.col(f"_v{n}") + F.col(f"_e_v{n}")).cast(out_type).alias(sn))])
+    return done.unionByName(none.select("_row.*", *[c for cn, sn, _ in names for c in (
+        F.lit(0).cast("long").alias(cn), F.lit(0).cast(out_type).alias(sn))]))

@@ -123,23 +123,35 @@ def validity_intervals(rates: DataFrame, keys=("from_currency", "to_currency"),
 
 
 # J07 ------------------------------------------------------------------
+def rate_calendar(rates: DataFrame, to_currency: str = "USD") -> tuple[DataFrame, DataFrame]:
+    """((currency, day, rate) for every day from a currency's first rate to the last day of any
+    rate, that last day as one row). Its size is currencies x days of the rates' history,
+    whatever the number of transactions; of rates of one day any one counts."""
+    own = rates.filter(F.col("to_currency") == to_currency)
+    last = own.agg(F.max("effective_date").alias("last"))
+    iv = validity_intervals(own).join(last.withColumn("to_currency", F.lit(to_currency)), "to_currency")
+    until = F.coalesce(F.date_sub("valid_to", 1), F.col("last"))
+    days = iv.filter(F.col("effective_date") <= until) \
+        .select(F.col("from_currency").alias("_cur"), F.explode(F.sequence("effective_date", until)).alias("_day"), "rate")
+    return days, last
+
+
 def to_usd(tx: DataFrame, rates: DataFrame, amount: str = "amount", currency: str = "currency_code",
            date_col: str = "transaction_date") -> DataFrame:
     """As-of conversion: the latest rate with effective_date <= transaction day.
 
-    An equi-join on the currency plus a range residual; the rate table (a row
-    per currency pair and day) is broadcast where its measured size allows it.
-    USD passes through at rate 1.
+    An equi-join on (currency, day) with the rates of every day; days after the last rate meet
+    that of the last day. So a long history of daily rates is one lookup a row, and a shuffle, if
+    the calendar is too large to broadcast, spreads a currency over its days. USD passes through
+    at rate 1; a day before the first rate has none.
     """
-    iv = validity_intervals(rates.filter(F.col("to_currency") == "USD")).select(
-        F.col("from_currency").alias("_cur"), "rate", "effective_date", "valid_to")
-    cond = ((F.col(currency) == F.col("_cur")) & (F.col(date_col) >= F.col("effective_date"))
-            & (F.col("valid_to").isNull() | (F.col(date_col) < F.col("valid_to"))))
-    j = tx.join(iv, cond, "left")  # AQE broadcasts it from its measured size
+    days, last = rate_calendar(rates)
+    end = F.coalesce(last.scalar(), F.lit("9999-12-31").cast("date"))
+    j = tx.withColumn("_on", F.least(F.col(date_col), end)).join(days, (F.col(currency) == F.col("_cur")) & (F.col("_on") == F.col("_day")), "left")
     rate = F.when(F.col(currency) == "USD", F.lit(1).cast("decimal(18,8)")).otherwise(F.col("rate"))
     return (j.withColumn("fx_rate", rate)
              .withColumn("amount_usd_converted", (F.col(amount) * F.col("fx_rate")).cast("decimal(18,2)"))
-             .drop("_cur", "rate", "effective_date", "valid_to"))
+             .drop("_cur", "_day", "_on", "rate"))
 
 
 # J08 ------------------------------------------------------------------

@@ -298,3 +298,44 @@ def registry_row(spark, name: str, version: str, uri: str, auc: float | None, ca
     return spark.createDataFrame(
         [(name, version, canary_pct, uri, auc, deployed_at)],
         "name string, current_version string, canary_pct int, model_uri string, auc double, deployed_at timestamp")
+
+
+class ModelRegistry:
+    """The versions of each model, append-only: a registration is a commit that fails if another
+    job registered in between (``LostRace``), so none is lost unseen. The last row of a name is
+    its current version; scorers load by name."""
+
+    def __init__(self, spark, root: str):
+        from paylake.sources.manifest import Manifest
+        self.spark, self.manifest = spark, Manifest(spark, root)
+
+    def rows(self) -> list[dict]:
+        return (self.manifest.read()[1] or {"models": []})["models"]
+
+    def register(self, name: str, version: str, uri: str, metrics: dict | None = None, canary_pct: int = 5, deployed_at=None,
+                 seen: int | None = None) -> int:
+        """Append a version; ``seen`` is the registry's number that the decision was based on (else the newest)."""
+        last, state = self.manifest.read()
+        models = (state or {"models": []})["models"]
+        row = {"name": name, "version": version, "uri": uri, "metrics": metrics or {}, "canary_pct": canary_pct,
+               "deployed_at": None if deployed_at is None else str(deployed_at)}
+        return self.manifest.commit(last if seen is None else seen, {"models": [*models, row]})
+
+    def current(self, name: str) -> dict | None:
+        return next((r for r in reversed(self.rows()) if r["name"] == name), None)
+
+    def load(self, name: str):
+        """(model, version) of the current version."""
+        row = self.current(name)
+        if row is None:
+            raise LookupError(f"no model is registered as {name}")
+        return load_model(row["uri"]), row["version"]
+
+    def table(self) -> DataFrame:
+        """Every registration: name, place, version, uri, canary_pct, deployed_at, metrics, whether it is current."""
+        rows = self.rows()
+        last = {r["name"]: i for i, r in enumerate(rows)}
+        return self.spark.createDataFrame(
+            [(r["name"], i, r["version"], r["uri"], r["canary_pct"], r["deployed_at"], {k: float(v) for k, v in r["metrics"].items()},
+              last[r["name"]] == i) for i, r in enumerate(rows)],
+            "name string, place int, version string, model_uri string, canary_pct int, deployed_at string, metrics map<string,double>, is_current boolean")

@@ -13,6 +13,7 @@ All derivations are narrow projections of a single scan except:
 
 from __future__ import annotations
 
+import hashlib
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,6 +91,15 @@ class Tables:
             raise AttributeError(name)
         return read_table(self.spark, self.sf_dir, name)
 
+    def stamp(self, *names: str) -> str:
+        """This application and the state of the tables' files: the name of what is derived from them."""
+        marks = []
+        for f in sorted(f for n in names for f in getattr(self, n).inputFiles()):
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f)
+            status = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(p)
+            marks.append((f, status.getLen(), status.getModificationTime()))
+        return f"{self.spark.sparkContext.applicationId}-{hashlib.sha256(repr(marks).encode()).hexdigest()[:16]}"
+
 
 # ------------------------------------------------------------------------
 # fact_transaction

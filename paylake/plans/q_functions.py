@@ -273,3 +273,35 @@ register("l03_cap", D.with_ctes(["fact_transaction", "dim_customer", "dim_mercha
         FROM fact_transaction f LEFT JOIN dim_customer c USING (customer_sk) LEFT JOIN dim_merchant m USING (merchant_sk)
         WHERE {_window('f.transaction_ts', AS_TX, 365)})
 SELECT COUNT(*) AS n_rows, COUNT(DISTINCT transaction_id) AS n_ids FROM x WHERE r <= 5000"""))(_l03)
+
+
+def _l03_rows(s, d):
+    from paylake.operators.ml import training_set
+    t = T(s, d)
+    return training_set(D.fact_transaction(t, AS_TX, 365), D.dim_customer(t), D.dim_merchant(t), AS_TX, days=365, cap=5000).select("transaction_id")
+
+
+# which rows the cap keeps
+register("l03_cap_rows", D.with_ctes(["fact_transaction"], f"""
+SELECT transaction_id FROM fact_transaction WHERE {_window('transaction_ts', AS_TX, 365)}
+QUALIFY row_number() OVER (ORDER BY substr(md5(transaction_id || '|42'), 1, 13), transaction_id) <= 5000"""))(_l03_rows)
+
+
+# P09 on a layout made for it: rare statuses sorted together, read back by status
+def _p09_layout(s, d):
+    from paylake.sources.sinks import write_skipping
+    from paylake.streaming.ingest import run_dir
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    status = SF.pick(["pending", "authorized", "captured", "failed", "refunded", "disputed"], F.pmod(key, F.lit(6)))
+    path = run_dir(s, "skipping") + "/transactions"
+    write_skipping(T(s, d).lineitem.select(status.alias("status"), key.alias("transaction_sk"), F.col("l_extendedprice").alias("amount")), path,
+                   ["status", "transaction_sk"], bloom={"transaction_sk": 1_000_000})
+    return P.open_statuses(s.read.parquet(path)).groupBy("status").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("transaction_sk").alias("keys"))
+
+
+register("p09_skipping_layout", """
+SELECT status, COUNT(*) AS n, CAST(SUM(k) AS BIGINT) AS keys FROM (
+  SELECT l_orderkey * 10 + l_linenumber AS k, CASE (l_orderkey * 10 + l_linenumber) % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'authorized' WHEN 2 THEN 'captured'
+              WHEN 3 THEN 'failed' WHEN 4 THEN 'refunded' ELSE 'disputed' END AS status FROM lineitem)
+WHERE status IN ('pending', 'failed', 'disputed') GROUP BY 1""")(_p09_layout)

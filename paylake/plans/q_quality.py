@@ -309,6 +309,44 @@ register("s05_read_documents", D.with_ctes(["clickstream"], """
 SELECT COALESCE(device_type, 'unknown') AS device_type, event_type, COUNT(*) AS n_events FROM clickstream GROUP BY ALL"""))(_s05)
 
 
+# All declared fields of the three collections
+def _s05_clickstream(s, d):
+    path = os.path.join(run_dir(s, "docs"), "clickstream-all")
+    e = T(s, d).events
+    page = F.concat(F.lit("/p/"), (F.col("event_id") % 7).cast("string"))
+    merchant = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("m"), (F.col("event_id") % 11).cast("string")))
+    geo = F.struct(F.concat(F.lit("c"), (F.col("user_id") % 5).cast("string")).alias("country"), F.lit("x").alias("city"),
+                   F.sha2(F.col("user_id").cast("string"), 256).alias("ip_hash"))
+    D.clickstream(T(s, d)).join(e.select("event_id", page.alias("page_url"), merchant.alias("merchant_id"), geo.alias("geo")), "event_id") \
+        .withColumn("timestamp", F.col("timestamp").cast("string")).write.mode("overwrite").json(path)
+    docs = RD.read_documents(s, path, RD.CLICKSTREAM_SCHEMA)
+    return docs.select("event_id", "merchant_id", "page_url", F.col("geo.country").alias("country"), F.col("geo.ip_hash").alias("ip_hash"),
+                       F.col("device.type").alias("device_type"))
+
+
+register("s05_read_clickstream_fields", D.with_ctes(["clickstream"], """
+SELECT c.event_id, CASE WHEN c.event_id % 3 <> 0 THEN 'm' || CAST(c.event_id % 11 AS VARCHAR) END AS merchant_id,
+       '/p/' || CAST(c.event_id % 7 AS VARCHAR) AS page_url, 'c' || CAST(e.user_id % 5 AS VARCHAR) AS country,
+       sha256(CAST(e.user_id AS VARCHAR)) AS ip_hash, c.device_type
+FROM clickstream c JOIN events e ON c.event_id = e.event_id"""))(_s05_clickstream)
+
+
+def _s05_alerts(s, d):
+    path = os.path.join(run_dir(s, "docs"), "alerts")
+    a = D.fraud_alerts(T(s, d))
+    reasons = F.when(F.col("score") >= 0.1, F.array(F.lit("high_amount"), F.col("decision"))).otherwise(F.array().cast("array<string>"))
+    a.withColumns({"model_version": F.lit("rule-based"), "features_snapshot": F.create_map(F.lit("score"), F.col("score").cast("double")),
+                   "reasons": reasons, "created_at": F.col("created_at").cast("string")}).write.mode("overwrite").json(path)
+    docs = RD.read_documents(s, path, RD.ALERT_SCHEMA)
+    return docs.select("transaction_id", "customer_id", "merchant_id", "score", "decision", "model_version",
+                       F.col("features_snapshot")["score"].alias("snapshot"), F.array_join("reasons", ",").alias("reasons"))
+
+
+register("s05_read_alerts", D.with_ctes(["fraud_alerts"], """
+SELECT transaction_id, customer_id, merchant_id, CAST(score AS DOUBLE) AS score, decision, 'rule-based' AS model_version,
+       CAST(score AS DOUBLE) AS snapshot, CASE WHEN score >= 0.1 THEN 'high_amount,' || decision ELSE '' END AS reasons FROM fraud_alerts"""))(_s05_alerts)
+
+
 # Change feed -> current state ----------------------------------------
 def _changes(t):
     """Order changes: status updates at ship time, deletions of returned orders."""

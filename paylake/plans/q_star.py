@@ -204,6 +204,13 @@ FROM (SELECT *, CAST(epoch(CAST(ts AS TIMESTAMPTZ)) AS BIGINT) AS sec FROM event
     lambda s, d: trailing_all(T(s, d).events.select("event_id", "user_id", "ts", "value"), "user_id", "ts", "value")
     .select("event_id", *[F.col(f"value_count_{n}s").alias(f"n_{k}") for k, n in _W]))
 
+# the sums of all windows as well (values as decimals, so both sides add exactly)
+register("w02_trailing_sums", "SELECT event_id, " + ", ".join(
+    f"COALESCE(SUM(v) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN {n} PRECEDING AND 1 PRECEDING), 0)::DECIMAL(38,4) AS s_{k}" for k, n in _W) + """
+FROM (SELECT *, CAST(value AS DECIMAL(18,4)) AS v, CAST(epoch(CAST(ts AS TIMESTAMPTZ)) AS BIGINT) AS sec FROM events)""")(
+    lambda s, d: trailing_all(T(s, d).events.select("event_id", "user_id", "ts", F.col("value").cast("decimal(18,4)").alias("value")), "user_id", "ts", "value")
+    .select("event_id", *[F.col(f"value_sum_{n}s").cast("decimal(38,4)").alias(f"s_{k}") for k, n in _W]))
+
 # Validity intervals of a keyed, dated series from the data ----------------------------------
 register("w03_validity_intervals", """
 SELECT o_orderpriority, effective_date,

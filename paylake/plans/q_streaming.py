@@ -45,7 +45,7 @@ FROM v WHERE rn = 1"""))(
 # T01 with the trained model as scorer: loaded from where it was saved
 def _t01_model(s, d):
     from paylake.plans.q_models import payment_model
-    model, version, _ = payment_model(s, d)
+    model, version = payment_model(s, d)
     out = I.run_dir(s, "ingest-model")
     I.run_ingest(D.payments_landing_from(I.table_stream(s, d, "lineitem")), out, I.model_scorer(model, version)).awaitTermination()
     return I.read_store(s, os.path.join(out, "transactions")).select("trans_num", "fraud_probability", "is_fraud_predicted", "model_version")
@@ -334,3 +334,36 @@ def _t02_batches(s, d):
 register("t02_dedup_batches", _TX_SQL + """SELECT tx, amount, 'late' AS state FROM j WHERE late
 UNION ALL SELECT tx, amount, 'stored' FROM (
   SELECT * FROM j WHERE NOT late QUALIFY row_number() OVER (PARTITION BY tx ORDER BY batch, ts, amount) = 1)""")(_t02_batches)
+
+
+# T05's alert sink over batches: the first score of a transaction stays
+def _t05_alerts(s, d):
+    t = T(s, d)
+    docs = as_feature_document(customer_features_reference(_extract(t)), f"{AS_TX} 00:00:00", "v1")
+    features = I.stored_once(docs, os.path.join(I.run_dir(s, "alert-features"), "customer"))
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_suppkey")
+    o = t.orders.select("o_orderkey", "o_custkey")
+    sk = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    requests = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.concat(F.lit("tx_"), sk.cast("string")).alias("transaction_id"), F.col("o_custkey").cast("string").alias("customer_id"),
+        F.col("l_suppkey").cast("string").alias("merchant_id"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount_usd"),
+        F.element_at(F.array(*[F.lit(c) for c in IP_COUNTRIES]), (F.pmod(sk, F.lit(10)) + 1).cast("int")).alias("ip_country"),
+        F.pmod("l_suppkey", F.lit(3)).alias("batch"))
+    out = in_batches(s, "alert-store", requests, "batch", 3, lambda st, out: I.run_scoring(st, features, out))
+    return I.read_store(s, os.path.join(out, "fraud_alerts")).select("transaction_id", "customer_id", "merchant_id", "score", "decision",
+                                                                     F.array_join("reasons", ",").alias("reasons"))
+
+
+def _t05_alerts_sql():
+    from paylake.plans.q_models import _conds, _score
+    from paylake.operators.scoring import RULES
+    return D.with_ctes(XDEPS + ["x01", "recorded_transactions"], f"""
+, sc AS (SELECT f.transaction_id, CAST(f.customer_sk AS VARCHAR) AS customer_id, CAST(f.merchant_sk AS VARCHAR) AS merchant_id, f.merchant_sk % 3 AS batch,
+                CAST(LEAST(GREATEST({_score}, 0), 1) AS DECIMAL(5,4)) AS score,
+                concat_ws(',', {', '.join(f"CASE WHEN {c} THEN '{n}' END" for c, (n, _, _) in zip(_conds, RULES))}) AS reasons
+         FROM recorded_transactions f LEFT JOIN x01 x ON CAST(f.customer_sk AS VARCHAR) = x.customer_id)
+SELECT transaction_id, customer_id, merchant_id, score, CASE WHEN score < 0.3 THEN 'approve' WHEN score < 0.7 THEN 'review' ELSE 'block' END AS decision, reasons
+FROM sc QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY batch, customer_id, merchant_id, score) = 1""")
+
+
+register("t05_alert_store", _t05_alerts_sql())(_t05_alerts)

@@ -205,20 +205,34 @@ def top_alerted_customers(alerts: DataFrame, as_of, days: int = 30, n: int = 50)
 def daily_summary(tx: DataFrame, as_of) -> DataFrame:
     """Rows ingested on ``as_of``, grouped by transaction day, newest group."""
     t = on_day(tx, "ingested_at", as_of)
+    return _summary(t.select(F.to_date("trans_date_trans_time").alias("transaction_date"), F.lit(1).alias("n"),
+                             F.col("amt").alias("amount"), "is_fraud_predicted"))
+
+
+def daily_summary_of(sums: DataFrame) -> DataFrame:
+    """``daily_summary`` from the sums of one ingestion day (``sources.scored_store``)."""
+    return _summary(sums.select("transaction_date", "n", "amount", "is_fraud_predicted"))
+
+
+def _summary(t: DataFrame) -> DataFrame:
     fraud = F.col("is_fraud_predicted")
-    out = t.groupBy(F.to_date("trans_date_trans_time").alias("transaction_date")).agg(
-        F.count(F.lit(1)).alias("total_transactions"),
-        sum_if(fraud).cast("long").alias("total_frauds"),
-        F.round(F.lit(100.0) * sum_if(fraud) / F.count(F.lit(1)), 2).alias("fraud_rate_pct"),
-        F.round(F.sum("amt"), 2).cast("decimal(38,2)").alias("total_amount"),
-        F.round(sum_if(fraud, F.col("amt")), 2).cast("decimal(38,2)").alias("fraud_amount"))
+    n, frauds = F.sum("n"), sum_if(fraud, F.col("n"))
+    out = t.groupBy("transaction_date").agg(
+        n.cast("long").alias("total_transactions"), frauds.cast("long").alias("total_frauds"),
+        F.round(F.lit(100.0) * frauds / n, 2).alias("fraud_rate_pct"),
+        F.round(F.sum("amount"), 2).cast("decimal(38,2)").alias("total_amount"),
+        F.round(sum_if(fraud, F.col("amount")), 2).cast("decimal(38,2)").alias("fraud_amount"))
     return out.orderBy(F.col("transaction_date").desc()).limit(1)
 
 
 def daily_summary_or_default(tx: DataFrame, as_of) -> DataFrame:
     """Always one row: zeros when nothing was ingested that day."""
-    s = daily_summary(tx, as_of).withColumn("_k", F.lit(1))
-    spine = tx.sparkSession.range(1).select(F.lit(1).alias("_k"))
+    return summary_or_default(daily_summary(tx, as_of))
+
+
+def summary_or_default(summary: DataFrame) -> DataFrame:
+    s = summary.withColumn("_k", F.lit(1))
+    spine = summary.sparkSession.range(1).select(F.lit(1).alias("_k"))
     j = spine.join(s, "_k", "left")
     return j.select(
         "transaction_date",
@@ -239,10 +253,16 @@ def daily_frauds(tx: DataFrame, as_of) -> DataFrame:
 
 # Q11 ------------------------------------------------------------------
 def top_fraud_categories(tx: DataFrame, as_of, n: int = 10) -> DataFrame:
-    t = on_day(tx, "ingested_at", as_of).filter(F.col("is_fraud_predicted"))
-    out = t.groupBy("category").agg(
-        F.count(F.lit(1)).alias("fraud_count"),
-        round_avg("amt", 2).cast("decimal(18,2)").alias("avg_fraud_amount"))
+    t = on_day(tx, "ingested_at", as_of)
+    return top_categories_of(t.select("category", "is_fraud_predicted", F.lit(1).cast("long").alias("n"), F.col("amt").alias("amount"),
+                                      F.when(F.col("amt").isNotNull(), 1).otherwise(0).cast("long").alias("n_amount")), n)
+
+
+def top_categories_of(sums: DataFrame, n: int = 10) -> DataFrame:
+    """``top_fraud_categories`` from the sums of one ingestion day."""
+    out = sums.filter(F.col("is_fraud_predicted")).groupBy("category").agg(
+        F.sum("n").cast("long").alias("fraud_count"),
+        F.round((F.sum("amount") / F.nullif(F.sum("n_amount"), F.lit(0))).cast("decimal(18,6)"), 2).cast("decimal(18,2)").alias("avg_fraud_amount"))
     return out.orderBy(F.col("fraud_count").desc(), "category").limit(n)
 
 
@@ -271,7 +291,15 @@ def freshness(df: DataFrame, table_name: str, load_col: str, as_of, max_age_hour
 # Q14 ------------------------------------------------------------------
 def daily_report(tx: DataFrame, as_of, n_frauds: int = 20) -> DataFrame:
     """KPIs + top categories + first frauds (masked card) as one tidy table."""
-    s = daily_summary(tx, as_of)
+    return _report(daily_summary(tx, as_of), top_fraud_categories(tx, as_of), daily_frauds(tx, as_of).limit(n_frauds))
+
+
+def daily_report_of(sums: DataFrame, rows: DataFrame, as_of, n_frauds: int = 20) -> DataFrame:
+    """``daily_report`` from one day's sums and rows: the rows are read once, for the list of frauds."""
+    return _report(daily_summary_of(sums), top_categories_of(sums), daily_frauds(rows, as_of).limit(n_frauds))
+
+
+def _report(s: DataFrame, cats: DataFrame, fr: DataFrame) -> DataFrame:
     kpis = s.select(F.lit("summary").alias("section"), F.lit(1).alias("rank"), F.explode(F.array(
         F.struct(F.lit("total_transactions").alias("field"), F.col("total_transactions").cast("string").alias("value")),
         F.struct(F.lit("total_frauds").alias("field"), F.col("total_frauds").cast("string").alias("value")),
@@ -279,14 +307,12 @@ def daily_report(tx: DataFrame, as_of, n_frauds: int = 20) -> DataFrame:
         F.struct(F.lit("total_amount").alias("field"), F.col("total_amount").cast("string").alias("value")),
         F.struct(F.lit("fraud_amount").alias("field"), F.col("fraud_amount").cast("string").alias("value")),
     )).alias("kv")).select("section", "rank", "kv.field", "kv.value")
-    cats = top_fraud_categories(tx, as_of)
     from pyspark.sql import Window as W
     # the two unpartitioned rank windows below run on at most n (10 / 20)
     # rows: they follow a limit
     cats = cats.withColumn("rank", F.row_number().over(W.orderBy(F.col("fraud_count").desc(), "category")))
     cats = cats.select(F.lit("category").alias("section"), "rank", F.col("category").alias("field"),
                        F.concat_ws("|", F.col("fraud_count").cast("string"), F.col("avg_fraud_amount").cast("string")).alias("value"))
-    fr = daily_frauds(tx, as_of).limit(n_frauds)
     fr = fr.withColumn("rank", F.row_number().over(W.orderBy(F.col("fraud_probability").desc_nulls_first(), "trans_num")))
     fr = fr.select(F.lit("fraud").alias("section"), "rank", F.col("trans_num").alias("field"),
                    F.concat_ws("|", F.col("trans_date_trans_time").cast("string"), mask_card("cc_num"),
@@ -308,8 +334,19 @@ def search_feedback(docs: DataFrame, labels: DataFrame, terms=SEARCH_TERMS) -> D
     """
     toks = F.split(F.lower(F.col("text")), r"[^\p{L}]+")
     d = docs.select("doc_id", "lang", F.arrays_overlap(toks, F.array(*[F.lit(t) for t in terms])).alias("hit"))
-    lab = labels.select("doc_id", "quality", "toxic")
-    j = d.join(lab, "doc_id", "left")
+    return _by_sentiment(d, labels)
+
+
+def search_feedback_index(index, docs: DataFrame, labels: DataFrame, terms=SEARCH_TERMS) -> DataFrame:
+    """``search_feedback`` from an inverted index (``sources.text_index``): postings of the terms
+    only, no text; the sentiment is joined last."""
+    hits = index.any_of(list(terms)).withColumn("_hit", F.lit(True))
+    d = docs.select("doc_id", "lang").join(hits, "doc_id", "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return _by_sentiment(d, labels)
+
+
+def _by_sentiment(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    j = docs.join(labels.select("doc_id", "quality", "toxic"), "doc_id", "left")
     sentiment = (F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive")
                  .otherwise("neutral"))
     return j.groupBy("lang", sentiment.alias("sentiment")).agg(

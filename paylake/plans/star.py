@@ -8,21 +8,18 @@ per load, not once per report. Later loads rewrite the periods they change.
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
-import json
 import uuid
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from paylake.functions.aggregates import sum_if
 from paylake.operators.joins import apply_outcomes, join_dim, to_usd, validity_intervals
 from paylake.plans.domain import CURRENCIES, DEVICE_TYPES, Tables, pick
 from paylake.session import checkpoint_root
 from paylake.sources.changes import latest_per_key
-from paylake.sources.manifest import Manifest
+from paylake.sources.period_table import PeriodTable
 
 # --- fixed values ---------------------------------------------------------
 # Rates to USD as seeded by the reference (from_currency, rate).
@@ -185,52 +182,15 @@ def recorded(fact: DataFrame) -> DataFrame:
     return fact.withColumn("status", F.col("recorded_status")).select(*TX_COLUMNS)
 
 
-class FactTable:
-    """The written fact: a folder a period (month or day of the transaction), named by a manifest.
+class FactTable(PeriodTable):
+    """The written fact, by period of the transaction's day.
 
     ``merge`` takes what was loaded since a mark, finds the transactions that it changes and the
-    periods that hold them, rewrites those periods beside the old ones and swaps them in one
-    commit. Readers go on with the version they opened.
+    periods that hold them, rewrites those periods beside the old ones and swaps them in one commit.
     """
 
     def __init__(self, spark, root: str, grain: str = "month"):
-        self.spark, self.root, self.grain = spark, root.rstrip("/"), grain
-        self.manifest = Manifest(spark, root)
-
-    def _period(self) -> Column:
-        return F.date_format(F.trunc("transaction_date", "MM") if self.grain == "month" else F.col("transaction_date"), "yyyy-MM-dd")
-
-    def periods(self) -> dict[str, str]:
-        """Period -> folder, a number bounded by the days that the data span."""
-        return (self.manifest.read()[1] or {"periods": {}})["periods"]
-
-    def _write(self, fact: DataFrame) -> dict[str, str]:
-        name = f"data/{uuid.uuid4().hex}"
-        fact.withColumn("period", self._period()).hint("rebalance", "period").sortWithinPartitions("period", "transaction_date") \
-            .write.partitionBy("period").parquet(f"{self.root}/{name}")
-        found = (n for n in self.manifest.folders(f"{self.root}/{name}") if n.startswith("period="))
-        return {n[len("period="):]: f"{name}/{n}" for n in found}
-
-    def load(self, fact: DataFrame) -> None:
-        """Replace the whole table."""
-        seen, _ = self.manifest.read()
-        self.manifest.commit(seen, {"periods": self._write(fact), "schema": fact.schema.json()})
-
-    def read(self, since=None, until=None, only: list[str] | None = None) -> DataFrame:
-        """Rows of the days from ``since`` to ``until``; only folders of their periods are opened."""
-        _, state = self.manifest.read()
-        low = str(since)[:7 if self.grain == "month" else 10] if since else ""
-        keep = [f for p, f in sorted(state["periods"].items())
-                if p >= low and (not until or p <= str(until)[:10]) and (only is None or p in only)]
-        schema = T.StructType.fromJson(json.loads(state["schema"]))
-        if not keep:
-            return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in keep])
-        if since:
-            df = df.filter(F.col("transaction_date") >= F.lit(str(since)[:10]).cast("date"))
-        if until:
-            df = df.filter(F.col("transaction_date") <= F.lit(str(until)[:10]).cast("date"))
-        return df
+        super().__init__(spark, root, "transaction_date", grain)
 
     def merge(self, tx: DataFrame, refunds: DataFrame, disputes: DataFrame, rates: DataFrame, since, loaded: str = "loaded_at") -> list[str]:
         """Bring the fact up to date with the rows loaded after ``since``; returns the periods rewritten.
@@ -239,7 +199,7 @@ class FactTable:
         copy), of refunds and disputes those of changed transactions, of the fact one column of
         all periods and all columns of the changed ones.
         """
-        seen, state = self.manifest.read()
+        seen, state = self.state()
         new = lambda df: df.filter(F.col(loaded) > F.lit(since))
         ids = new(tx).select("transaction_sk").unionAll(new(refunds).select("transaction_sk")).unionAll(new(disputes).select("transaction_sk"))
         changed_rates = validity_intervals(rates).filter(F.col(loaded) > F.lit(since)).select(
@@ -252,7 +212,7 @@ class FactTable:
         scratch = f"{checkpoint_root(self.spark).rstrip('/')}/paylake-merge-{uuid.uuid4().hex}"
         ids.distinct().write.parquet(f"{scratch}/ids")
         ids = self.spark.read.parquet(f"{scratch}/ids")
-        old = self.read().select("transaction_sk", self._period().alias("period")).join(ids, "transaction_sk", "left_semi") \
+        old = self.read().select("transaction_sk", self.period().alias("period")).join(ids, "transaction_sk", "left_semi") \
             .select("period").distinct().collect()  # at most one a period
         touched = self.read(only=[r[0] for r in old])
         before = recorded(touched.join(ids, "transaction_sk", "left_semi"))
@@ -261,7 +221,7 @@ class FactTable:
         fresh = build_fact(staged, mine(refunds), mine(disputes), rates)
         fresh.write.parquet(f"{scratch}/fresh")
         fresh = self.spark.read.schema(fresh.schema).parquet(f"{scratch}/fresh")
-        rewritten = sorted({r[0] for r in old} | {r[0] for r in fresh.select(self._period()).distinct().collect()})
+        rewritten = sorted({r[0] for r in old} | {r[0] for r in fresh.select(self.period()).distinct().collect()})
         kept = self.read(only=rewritten).join(ids, "transaction_sk", "left_anti")
         written = self._write(kept.select(*fresh.columns).unionAll(fresh)) if rewritten else {}
         state["periods"] = {p: f for p, f in state["periods"].items() if p not in rewritten} | written
@@ -272,14 +232,7 @@ class FactTable:
 
 def stored_fact(t: Tables) -> FactTable:
     """The fact of these tables, written on first use in this session; the tables' files tell whether it is current."""
-    files = sorted(f for name in ("lineitem", "orders") for f in getattr(t, name).inputFiles())
-    stamps = []
-    for f in files:
-        p = t.spark._jvm.org.apache.hadoop.fs.Path(f)
-        status = p.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(p)
-        stamps.append((f, status.getLen(), status.getModificationTime()))
-    mark = hashlib.sha256(repr(stamps).encode()).hexdigest()[:16]
-    table = FactTable(t.spark, f"{checkpoint_root(t.spark).rstrip('/')}/paylake-star-{t.spark.sparkContext.applicationId}-{mark}")
+    table = FactTable(t.spark, f"{checkpoint_root(t.spark).rstrip('/')}/paylake-star-{t.stamp('lineitem', 'orders')}")
     if not table.periods():
         table.load(fact_transaction_all(t))
     return table

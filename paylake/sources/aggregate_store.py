@@ -20,11 +20,13 @@ KNOWN_BATCHES = 100  # a stream repeats its last batch only
 
 
 class AggregateStore:
-    """``keys`` and additive columns ``sums`` (counts, sums); columns ``lows`` and ``highs`` keep the least and greatest."""
+    """``keys`` and additive columns ``sums`` (counts, sums); columns ``lows`` and ``highs`` keep the
+    least and greatest. With ``by``, one of the keys, parts are sorted by it, so that a reader of
+    few of its values skips row groups."""
 
     def __init__(self, spark: SparkSession, root: str, keys: list[str], sums: list[str] = (), lows: list[str] = (),
-                 highs: list[str] = ()):
-        self.spark, self.root, self.keys = spark, root.rstrip("/"), list(keys)
+                 highs: list[str] = (), by: str | None = None):
+        self.spark, self.root, self.keys, self.by = spark, root.rstrip("/"), list(keys), by
         self.how = [*((c, F.sum) for c in sums), *((c, F.min) for c in lows), *((c, F.max) for c in highs)]
         self.manifest = Manifest(spark, root)
 
@@ -50,17 +52,23 @@ class AggregateStore:
 
     def _write(self, df: DataFrame) -> str:
         path = f"data/{uuid.uuid4().hex}"
-        df.hint("rebalance").write.parquet(f"{self.root}/{path}")
+        if self.by:
+            df.repartitionByRange(*self.keys).sortWithinPartitions(self.by).write.parquet(f"{self.root}/{path}")
+        else:
+            df.hint("rebalance").write.parquet(f"{self.root}/{path}")
         return path
 
     def _parts(self, state: dict, parts: list[dict]) -> DataFrame:
         return self.spark.read.schema(T.StructType.fromJson(json.loads(state["schema"]))).parquet(
             *[f"{self.root}/{p['path']}" for p in parts])
 
-    def read(self) -> DataFrame | None:
-        """The merged sums of all batches (None before the first)."""
+    def read(self, where=None) -> DataFrame | None:
+        """The merged sums of all batches (None before the first); ``where`` is a condition on the keys."""
         _, state = self.state()
-        return self._merge(self._parts(state, state["parts"])) if state["parts"] else None
+        if not state["parts"]:
+            return None
+        rows = self._parts(state, state["parts"])
+        return self._merge(rows if where is None else rows.filter(where))
 
     def compact(self, most: int = 8) -> bool:
         """Swap the parts for one once there are more than ``most``."""

@@ -17,15 +17,34 @@ PAYMENT_CSV_COLUMNS = [
     "unix_time", "merch_lat", "merch_long", "is_fraud",
 ]
 
+
+def _fields(kind: T.DataType, *names: str) -> list[T.StructField]:
+    return [T.StructField(n, kind) for n in names]
+
+
+# Fields that the document collections declare.
 CLICKSTREAM_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
-    T.StructField("event_type", T.StringType()),
-    T.StructField("session_id", T.StringType()),
+    *_fields(T.StringType(), "event_type", "session_id", "customer_id", "merchant_id", "page_url", "timestamp"),
+    T.StructField("device", T.StructType(_fields(T.StringType(), "type", "os", "browser"))),
+    T.StructField("geo", T.StructType(_fields(T.StringType(), "country", "city", "ip_hash"))),
+])
+FEATURES_SCHEMA = T.StructType([
     T.StructField("customer_id", T.StringType()),
-    T.StructField("timestamp", T.StringType()),
-    T.StructField("device", T.StructType([T.StructField("type", T.StringType()),
-                                          T.StructField("os", T.StringType()),
-                                          T.StructField("browser", T.StringType())])),
+    T.StructField("features", T.StructType([
+        *_fields(T.IntegerType(), "tx_count_1h", "tx_count_24h", "tx_count_7d"),
+        *_fields(T.DoubleType(), "tx_amount_sum_24h", "tx_amount_avg_30d"),
+        *_fields(T.IntegerType(), "distinct_merchants_24h", "distinct_countries_24h"),
+        *_fields(T.DoubleType(), "velocity_score", "risk_score", "chargeback_ratio_90d")])),
+    *_fields(T.StringType(), "updated_at", "model_version"),
+])
+ALERT_SCHEMA = T.StructType([
+    *_fields(T.StringType(), "transaction_id", "customer_id", "merchant_id"),
+    T.StructField("score", T.DoubleType()),
+    *_fields(T.StringType(), "decision", "model_version"),
+    T.StructField("features_snapshot", T.MapType(T.StringType(), T.DoubleType())),
+    T.StructField("reasons", T.ArrayType(T.StringType())),
+    T.StructField("created_at", T.StringType()),
 ])
 
 ENVELOPE_ITEM = "struct<order_key: bigint, line: int, amount: decimal(18,2)>"

@@ -72,3 +72,17 @@ def write_lake(df: DataFrame, path: str, date_col: str, compression: str = "snap
         .write.mode(mode).option("partitionOverwriteMode", "dynamic")
         .option("compression", compression).option("maxRecordsPerFile", max_records_per_file)
         .partitionBy("year", "month", "day").parquet(path))
+
+
+# P09 -----------------------------------------------------------------
+def write_skipping(df: DataFrame, path: str, by: list[str], bloom: dict[str, int] | None = None, row_group_rows: int = 1_000_000,
+                   row_group_bytes: int = 128 << 20) -> None:
+    """Write rows sorted by ``by`` over all files, so that a filter on its first columns skips files
+    and row groups by their statistics; equality on a column of ``bloom`` (column -> distinct
+    values expected) also by Bloom filters. Give ``by`` a last column that tells equal rows apart,
+    so that a frequent value is spread over files."""
+    w = df.repartitionByRange(*by).sortWithinPartitions(*by).write.option("parquet.block.size", row_group_bytes) \
+        .option("parquet.block.row.count.limit", row_group_rows)
+    for c, n in (bloom or {}).items():
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", n)
+    w.option("compression", "zstd").parquet(path)
