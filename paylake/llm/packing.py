@@ -153,7 +153,9 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     by_length = pieces.groupBy("length").count().collect()  # at most a row per length up to the capacity
     plan = plan_bins({r[0]: r[1] for r in by_length if r[0]}, capacity)
     salts = max(1, math.ceil(sum(r[1] for r in by_length) / ROWS_PER_WINDOW))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    # a number of the row, where there is one, spreads also pieces of one doc_id (or none)
+    numbered = "_row" in pieces.columns
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*(["_row"] if numbered else ["doc_id", "piece"])), F.lit(salts)))
     before = salted.groupBy("length", "_salt").count().withColumn(
         "_before", F.sum("count").over(W.partitionBy("length").orderBy("_salt")) - F.col("count")).drop("count")
     order = W.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
@@ -184,7 +186,8 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
     """All documents as pieces with their sequence and place: doc_id, piece, start, length,
     ids_crc32, sequence_id, offset. Rows that repeat are packed as often as they occur."""
-    pieces = Scratch(docs.sparkSession, "pack").save(cut_pieces(docs, capacity, end_id, vocabulary), "pieces")
+    pieces = Scratch(docs.sparkSession, "pack").save(
+        cut_pieces(docs, capacity, end_id, vocabulary).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     return best_fit(pieces, capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
