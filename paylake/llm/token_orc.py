@@ -29,7 +29,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary: str
     """Encode each whole text, append ``end_id``, write one ORC file per range of doc_id.
 
     Null text counts as empty; a null doc_id sorts first; rows with the same
-    doc_id are ordered by text. ``start_in_file`` counts the ids before a row in its file.
+    doc_id are ordered by a hash of the text and spread over files by it. ``start_in_file`` counts the ids before a row in its file.
     """
     ship(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -59,8 +59,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary: str
             [pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(n),
              pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "start_in_file", "n_tokens", "ids"])
 
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("raw"))
-    x.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "raw").mapInArrow(tidy(run), SCHEMA) \
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("raw"), F.xxhash64(raw_text()).alias("_h"))
+    x.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "raw").drop("_h").mapInArrow(tidy(run), SCHEMA) \
         .write.format("orc").option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id") \
         .option("orc.create.index", "true").option("orc.row.index.stride", str(INDEX_ROWS)) \
         .option("orc.stripe.size", str(STRIPE_BYTES)).save(path)
