@@ -23,27 +23,35 @@ LEVELS = 5  # ranges of 64 KiB, 1 MiB, 16 MiB, 256 MiB, 4 GiB; a root joins the
 RECORDS_PER_FILE = 1000
 
 
-def warc_records(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """file, offset, length, record (bytes) and page_id: ``pages`` (page_id, url, html) as WARC response records.
-
-    A file holds the pages of ``per_file`` consecutive ids in order of id, url
-    and html; pages without an id are dealt to files of their own by a hash of url and html.
-    Null url and html are empty. Rows that repeat make records that repeat.
-    """
+def _records(pages: DataFrame, per_file: int) -> DataFrame:
+    """file, length, record and page_id, with ``_order``, the place among the pages of one id."""
     url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     pid = F.col("page_id").cast("long")
+    same = F.concat(F.md5(url), F.md5(html))
     file = F.coalesce(F.concat(F.lit("pages-"), F.floor(pid / per_file).cast("string")),
                       F.concat(F.lit("no-id-"), F.hex(F.xxhash64(url, html))))
     head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(pid.cast("string"), F.lit("")),
                     F.lit(">\r\nWARC-Target-URI: "), F.regexp_replace(url, r"[\r\n]", " "), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "),
                     F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
-    rec = pages.select(pid.alias("page_id"), file.alias("file"), url.alias("_u"), html.alias("_h"),
+    rec = pages.select(pid.alias("page_id"), file.alias("file"), same.alias("_order"),
                        F.concat(head, html, F.lit("\r\n\r\n")).cast("binary").alias("record"))
-    rec = rec.withColumn("length", F.octet_length("record").cast("long"))
-    # a file is bounded by its number of ids, so is the window
-    order = W.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "_u", "_h").rowsBetween(W.unboundedPreceding, -1)
-    return rec.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long")) \
-        .select("file", "offset", "length", "record", "page_id")
+    return rec.withColumn("length", F.octet_length("record").cast("long"))
+
+
+def _placed(records: DataFrame) -> DataFrame:
+    """``records`` with their offsets; a file is bounded by its number of ids, so is the window."""
+    order = W.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "_order").rowsBetween(W.unboundedPreceding, -1)
+    return records.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long")).drop("_order")
+
+
+def warc_records(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
+    """file, offset, length, record (bytes) and page_id: ``pages`` (page_id, url, html) as WARC response records.
+
+    A file holds the pages of ``per_file`` consecutive ids in order of id and a 256-bit hash of
+    url and html; pages without an id are dealt to files of their own by a hash of url and html.
+    Null url and html are empty. Rows that repeat make records that repeat.
+    """
+    return _placed(_records(pages, per_file)).select("file", "offset", "length", "record", "page_id")
 
 
 @dataclass
@@ -62,12 +70,13 @@ def _joined(children: DataFrame, keys: list[str], place: str) -> DataFrame:
 
 
 def build(records: DataFrame, scratch: Scratch, name: str) -> Tree:
-    """The written tree of ``records`` (file, offset, length, record, and other columns, which are kept).
+    """The written tree of ``records`` (file, offset, length, record or its digest, and other columns, which are kept).
 
     An empty table has no roots. Records that share a file and offset count in order of their digests.
     """
-    own = [c for c in records.columns if c != "record"]
-    leaf = scratch.save(records.select(*own, F.sha2("record", 256).alias("digest")), f"{name}-records")
+    own = [c for c in records.columns if c not in ("record", "digest")]
+    digest = "digest" if "digest" in records.columns else F.sha2("record", 256).alias("digest")
+    leaf = scratch.save(records.select(*own, digest), f"{name}-records")
     levels, below = [], None
     for k in range(LEVELS):
         if below is None:
@@ -123,10 +132,14 @@ def damaged(records: DataFrame, every: int = 97) -> DataFrame:
 
 
 def audit_pages(pages: DataFrame) -> DataFrame:
-    """A row per page: page_id, file, offset, length, digest and status (``ok`` or what the audit of the damaged replica found)."""
+    """A row per page: page_id, file, offset, length, digest and status (``ok`` or what the audit of the damaged replica found).
+
+    Both replicas' records are hashed where the pages are read; only digests and lengths are shuffled."""
     s = Scratch(pages.sparkSession, "fixity")
-    records = warc_records(pages)
-    a, b = build(records, s, "a"), build(damaged(records), s, "b")
+    hashed = damaged(_records(pages, RECORDS_PER_FILE).withColumn("digest", F.sha2("record", 256))) \
+        .withColumn("replica", F.sha2("record", 256)).drop("record")
+    slim = s.save(_placed(hashed), "digests")
+    a, b = build(slim.drop("replica"), s, "a"), build(slim.drop("digest").withColumnRenamed("replica", "digest"), s, "b")
     found = audit(a, b).select("file", "offset", "status")
     out = a.records.join(found, ["file", "offset"], "left").select(
         "page_id", "file", "offset", "length", "digest", F.coalesce("status", F.lit("ok")).alias("status"))
