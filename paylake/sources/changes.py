@@ -37,25 +37,18 @@ def apply_changes(base: DataFrame, changes: DataFrame, keys, order_col: str,
                   op_col: str = "op", delete_value: str = "d") -> DataFrame:
     """Insert/update/delete log -> current state per key.
 
-    Only keys that appear in ``changes`` are re-resolved: base rows of other
-    keys pass through an anti-join untouched, so a change batch costs the
-    changed keys, not a re-aggregation of the whole table. For a changed key
-    the base row carries a null change order (nulls sort lowest inside
-    ``max(struct)``), so any change wins; the newest change decides, and a
-    delete removes the key.
+    The newest change of each key (ties: the greatest by the other columns) decides: it replaces
+    the key's row, adds one, or with a delete removes it; rows of other keys stay as they are.
+    ``base`` has one row a key, ``changes`` its columns, the change order and the operation. Both
+    are read once and meet in one join on the key, by which the changes are already laid out.
     """
     keys = _keys(keys)
     cols = list(base.columns)
-    changed = changes.select(*keys).distinct()
-    untouched = base.join(changed, keys, "left_anti")
-    touched = base.join(changed, keys, "left_semi")
-    if order_col not in touched.columns:
-        touched = touched.withColumn(order_col, F.lit(None).cast(changes.schema[order_col].dataType))
-    touched = touched.withColumn(op_col, F.lit("base"))
-    allr = touched.unionByName(changes.select(*touched.columns))
-    latest = latest_per_key(allr, keys, [order_col])
-    resolved = latest.filter(F.col(op_col) != delete_value).select(*cols)
-    return untouched.select(*cols).unionByName(resolved)
+    newest = latest_per_key(changes.select(*cols, *[c for c in (order_col, op_col) if c not in cols]), keys, [order_col])
+    new = newest.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in newest.columns if c not in keys])
+    both = base.join(new, keys, "full").filter(F.col(f"_new_{op_col}").isNull() | (F.col(f"_new_{op_col}") != delete_value))
+    changed = F.col(f"_new_{op_col}").isNotNull()
+    return both.select(*[F.col(c) if c in keys else F.when(changed, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in cols])
 
 
 # S08 -----------------------------------------------------------------
