@@ -41,7 +41,8 @@ SHARD_BYTES = 4 << 20  # of text sorted at once; a smaller shard needs less memo
 HOT = 20_000
 NO_ID = -(1 << 63)
 _BYTES: list[np.ndarray] = []
-ROW = "key long, hash long, doc long, place long, n int"
+ROW = "key long, hash long, hash2 long, doc long, place long, n int"
+NAMES = [c.split()[0] for c in ROW.split(", ")]
 
 
 def _byte_table() -> np.ndarray:
@@ -51,7 +52,8 @@ def _byte_table() -> np.ndarray:
 
 
 def stretches(raw: bytes, gram: int = GRAM):
-    """(key, hash, start, windows) of each stretch: the windows at start, start + 1, ... with one anchor."""
+    """(key, hash, hash2, start, windows) of each stretch: the windows at start, start + 1, ... with one anchor.
+    The two hashes are of different kinds, a polynomial and a sum of scrambled grams: 128 bits in all."""
     out = []
     span = LENGTH - gram + 1  # grams in a window
     for at in range(0, len(raw) - LENGTH + 1, CHUNK):
@@ -72,9 +74,13 @@ def stretches(raw: bytes, gram: int = GRAM):
         n = np.diff(np.append(first, len(anchor)))
         end = first + n + LENGTH - 1
         h = mix((total[end] - total[first]) * down[first] + n.astype(np.uint64))
-        out.append((grams[anchor[first]].view(np.int64), h.view(np.int64), first + at, n))
+        short = grams if gram == GRAM else mix((total[GRAM:] - total[:-GRAM]) * down[:len(b) - GRAM + 1])
+        sums = np.zeros(len(short) + 1, dtype=np.uint64)
+        np.cumsum(short, out=sums[1:])
+        h2 = mix(sums[end - GRAM + 1] - sums[first])
+        out.append((grams[anchor[first]].view(np.int64), h.view(np.int64), h2.view(np.int64), first + at, n))
     if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -93,31 +99,34 @@ def _gone(doc, place, n):
     order = np.lexsort((place, doc))
     doc, place, size = doc[order], place[order], n[order].astype(np.int64) + LENGTH - 1
     if not len(doc):
-        return [np.zeros(0, np.int64)] * 5
+        return [np.zeros(0, np.int64)] * 6
     other = np.concatenate([[False], doc[1:] != doc[:-1]])
     line = (np.cumsum(other) << 32) + place  # texts one after the other
     end = np.maximum.accumulate(line + size)
     new = np.concatenate([[True], line[1:] > end[:-1]]) | other
     last = np.append(np.flatnonzero(new)[1:] - 1, len(doc) - 1)
     doc, place = doc[new], place[new]
-    return [mix(doc.view(np.uint64)).view(np.int64), np.zeros(len(doc), np.int64), doc, place, line[new] - end[last]]
+    none = np.zeros(len(doc), np.int64)
+    return [mix(doc.view(np.uint64)).view(np.int64), none, none, doc, place, line[new] - end[last]]
 
 
 def _batch(cols):
-    kinds = [pa.int64()] * 4 + [pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                      ["key", "hash", "doc", "place", "n"])
+    kinds = [pa.int64()] * 5 + [pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], NAMES)
 
 
 def _distinct(rows):
     """Of equal stretches the first in document order, and the bytes of the others."""
-    key, h, doc, place, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+    key, h, h2, doc, place, n = (np.concatenate(x) for x in zip(*rows, strict=True))
     order = np.lexsort((place, doc, h, key))
-    key, h, doc, place, n = (x[order] for x in (key, h, doc, place, n))
-    again = np.concatenate([[False], (key[1:] == key[:-1]) & (h[1:] == h[:-1])])
+    one = (key[order[1:]] == key[order[:-1]]) & (h[order[1:]] == h[order[:-1]])
+    if (one & (h2[order[1:]] != h2[order[:-1]])).any():  # the first hash collides somewhere
+        order = np.lexsort((place, doc, h2, h, key))
+    key, h, h2, doc, place, n = (x[order] for x in (key, h, h2, doc, place, n))
+    again = np.concatenate([[False], (key[1:] == key[:-1]) & (h[1:] == h[:-1]) & (h2[1:] == h2[:-1])])
     keep = np.flatnonzero(~again)
     keep = keep[np.lexsort((place[keep], doc[keep]))]
-    yield _batch([x[keep] for x in (key, h, doc, place, n)])
+    yield _batch([x[keep] for x in (key, h, h2, doc, place, n)])
     if again.any():
         yield _batch(_gone(doc[again], place[again], n[again]))
 
@@ -126,9 +135,9 @@ def _emit(pieces, gram: int):
     """Rows of (doc, place, bytes), merged within about ``MERGE_ROWS`` stretches."""
     rows, held = [], 0
     for doc, base, raw in pieces:
-        key, h, start, n = stretches(raw, gram)
+        key, h, h2, start, n = stretches(raw, gram)
         if len(key):
-            rows.append((key, h, np.full(len(key), doc, np.int64), start + base, n))
+            rows.append((key, h, h2, np.full(len(key), doc, np.int64), start + base, n))
             held += len(key)
         if held > MERGE_ROWS:
             yield from _distinct(rows)
@@ -138,27 +147,28 @@ def _emit(pieces, gram: int):
 
 
 def _compare(batches):
-    """Of rows sorted by key, hash, doc and place: those that repeat an earlier stretch as bytes to remove,
+    """Of rows sorted by key, hashes, doc and place: those that repeat an earlier stretch as bytes to remove,
     and the first of each stretch where its key has several."""
     last = None  # the last class's first row, and whether its key has an earlier class
     shared = False
-    tail = None  # key and hash of the last row
+    tail = None  # key and hashes of the last row
     for b in batches:
-        n = b.column(4).to_numpy()
-        cols = [b.column(i).to_numpy() for i in range(5)]
+        n = b.column(5).to_numpy()
+        cols = [b.column(i).to_numpy() for i in range(6)]
         gone = n < 0
         if gone.any():
             yield _batch([c[gone] for c in cols])
             cols = [c[~gone] for c in cols]
         if not len(cols[0]):
             continue
-        key, h = cols[0], cols[1]
-        before = tail or (~int(key[0]), 0)
-        same_key = np.concatenate([[key[0] == before[0]], key[1:] == key[:-1]])
-        again = same_key & np.concatenate([[h[0] == before[1]], h[1:] == h[:-1]])
-        tail = int(key[-1]), int(h[-1])
+        key, h, h2 = cols[:3]
+        before = tail or (~int(key[0]), 0, 0)
+        again = np.concatenate([[key[0] == before[0]], key[1:] == key[:-1]])
+        for x, y in ((h, before[1]), (h2, before[2])):
+            again &= np.concatenate([[x[0] == y], x[1:] == x[:-1]])
+        tail = int(key[-1]), int(h[-1]), int(h2[-1])
         if again.any():
-            yield _batch(_gone(cols[2][again], cols[3][again], cols[4][again]))
+            yield _batch(_gone(cols[3][again], cols[4][again], cols[5][again]))
         first = [c[~again] for c in cols]
         if not len(first[0]):
             continue
@@ -176,7 +186,7 @@ def _compare(batches):
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", "hash", "doc", "place").mapInArrow(tidy(_compare), ROW)
+    return rows.repartition("key").sortWithinPartitions("key", "hash", "hash2", "doc", "place").mapInArrow(tidy(_compare), ROW)
 
 
 def _sort_shards(texts: DataFrame, shards: int, memory: int) -> DataFrame:

@@ -319,3 +319,20 @@ def test_stages_take_any_column_names(spark, sf):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns, name
         assert {tuple(r) for r in out.select(names).collect()} <= {tuple(names)}, name
+
+
+def test_stretches_are_equal_only_by_both_hashes():
+    """Rows of one key and first hash: those with another second hash stay, also where they alternate."""
+    import numpy as np
+
+    from paylake.llm import suffix_dedup as X
+    h2 = np.array([1, 2, 1, 2, 1, 3], dtype=np.int64)
+    one = np.ones(6, dtype=np.int64)
+    rows = [one, 5 * one, h2, np.arange(6, dtype=np.int64), 0 * one, one]
+    got = [b for b in X._distinct([tuple(rows)])]
+    kept = [r for b in got for r in b.to_pylist() if r["n"] > 0]
+    assert [(r["doc"], r["hash2"]) for r in kept] == [(0, 1), (1, 2), (5, 3)]
+    assert sorted(r["doc"] for b in got for r in b.to_pylist() if r["n"] < 0) == [2, 3, 4]
+    order = np.lexsort((rows[3], h2))
+    out = [r for b in X._compare([X._batch([c[order] for c in rows])]) for r in b.to_pylist()]
+    assert sorted(r["doc"] for r in out if r["n"] < 0) == [2, 3, 4] and sorted(r["doc"] for r in out if r["n"] > 0) == [0, 1, 5]
