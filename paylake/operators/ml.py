@@ -118,12 +118,12 @@ def training_set(fact: DataFrame, dim_customer: DataFrame, dim_merchant: DataFra
         "transaction_id", "customer_sk", "merchant_sk", "amount_usd", "device_type", "is_3d_secure",
         "fraud_score", F.when(F.col("is_high_fraud_risk") == 1, 1).otherwise(0).alias("label"),
         "transaction_date")
-    j = join_dim(f, dim_customer.select("customer_sk", "risk_tier", "country_is_high_risk"), "customer_sk")
-    j = join_dim(j, dim_merchant.select("merchant_sk", "mcc_category"), "merchant_sk")
     if cap is not None:
-        # exact hash-ordered cap without funnelling k rows per task into one
-        j = select_smallest(j, "transaction_id", seed, lambda n: F.lit(cap)).filter("_selected").drop("_selected")
-    return j
+        # exact hash-ordered cap without funnelling k rows per task into one; before the joins, which
+        # neither add nor drop rows, so that they see the rows that stay
+        f = select_smallest(f, "transaction_id", seed, lambda n: F.lit(cap)).filter("_selected").drop("_selected")
+    j = join_dim(f, dim_customer.select("customer_sk", "risk_tier", "country_is_high_risk"), "customer_sk")
+    return join_dim(j, dim_merchant.select("merchant_sk", "mcc_category"), "merchant_sk")
 
 
 # M05 -----------------------------------------------------------------

@@ -62,9 +62,13 @@ TX_COLUMNS = ["transaction_sk", "transaction_id", "customer_sk", "merchant_sk",
               "device_type", "is_3d_secure", "discount", "created_at"]
 
 
-def _with_customer(tx: DataFrame, orders: DataFrame) -> DataFrame:
+def _customers(tx: DataFrame, orders: DataFrame) -> DataFrame:
     o = orders.select(F.col("o_orderkey").alias("order_sk"), F.col("o_custkey").alias("customer_sk"))
-    return tx.join(o, "order_sk").withColumn("transaction_id", _tx_id()).select(*TX_COLUMNS)
+    return tx.join(o, "order_sk").withColumn("transaction_id", _tx_id())
+
+
+def _with_customer(tx: DataFrame, orders: DataFrame) -> DataFrame:
+    return _customers(tx, orders).select(*TX_COLUMNS)
 
 
 def recorded_transactions(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
@@ -148,13 +152,16 @@ FACT_COLUMNS = ["transaction_sk", "transaction_id", "customer_sk", "merchant_sk"
                 "dispute_lost", "transaction_date", "date_sk"]
 
 
-def build_fact(tx: DataFrame, refunds: DataFrame, disputes: DataFrame, rates: DataFrame) -> DataFrame:
+def build_fact(tx: DataFrame, refunds: DataFrame, disputes: DataFrame, rates: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """One row per transaction from staged (latest) rows: refund and dispute outcomes, as-of
     conversion, high-risk flag, date key; besides ``FACT_COLUMNS`` what a later load needs of
-    the transaction as it was recorded."""
+    the transaction as it was recorded. Where ``tx`` has no customer yet, ``orders`` give it, last,
+    so that the outcomes meet the transactions as the removal of copies has laid them out."""
     tx = tx.withColumn("transaction_date", F.col("created_at").cast("date")).withColumn("recorded_status", F.col("status"))
     tx = apply_outcomes(tx, refunds, disputes, key="transaction_sk")
     tx = to_usd(tx, rates, amount="amount")
+    if orders is not None:
+        tx = _customers(tx, orders)
     usd = F.col("amount_usd_converted")
     return tx.select(
         "transaction_sk", "transaction_id", "customer_sk", "merchant_sk", "currency_code", "amount",
@@ -169,7 +176,8 @@ def build_fact(tx: DataFrame, refunds: DataFrame, disputes: DataFrame, rates: Da
 
 
 def fact_transaction_all(t: Tables) -> DataFrame:
-    return build_fact(stg_transactions(t), latest_events(raw_refunds(t.lineitem)), latest_events(raw_disputes(t.lineitem)), stg_exchange_rates(t))
+    return build_fact(latest_transactions(_recorded(t.lineitem)), latest_events(raw_refunds(t.lineitem)),
+                      latest_events(raw_disputes(t.lineitem)), stg_exchange_rates(t), t.orders)
 
 
 def fact_transaction_full(t: Tables) -> DataFrame:
