@@ -95,7 +95,7 @@ class Tables:
         """This application and the state of the tables' files: the name of what is derived from them."""
         marks = []
         for f in sorted(f for n in names for f in getattr(self, n).inputFiles()):
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(f)
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.spark._jvm.java.net.URI(f))
             status = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(p)
             marks.append((f, status.getLen(), status.getModificationTime()))
         return f"{self.spark.sparkContext.applicationId}-{hashlib.sha256(repr(marks).encode()).hexdigest()[:16]}"

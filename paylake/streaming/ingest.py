@@ -142,21 +142,35 @@ def run_ingest(landing: DataFrame, out: str, scorer: Callable[[DataFrame], DataF
 
 def split_late(batch: DataFrame, batch_id: int, marks: str, event_time: str,
                delay_seconds: int) -> tuple[DataFrame, DataFrame]:
-    """(rows in time, late rows). ``marks`` holds the latest event time of
-    each batch; a replayed batch is judged by the batches before it, so the
+    """(rows in time, late rows). ``marks`` holds the latest event time up to
+    each of the last batches; a replayed batch is judged by the batches before it, so the
     split is the same. A row without a readable time is never late."""
     spark = batch.sparkSession
     ts = F.col(event_time).cast("string").try_cast("timestamp")
     mark = None
     if path_exists(spark, marks):
-        mark = spark.read.parquet(marks).filter(F.col("batch_id").cast("long") < batch_id).agg(F.max("mark")).first()[0]
-    write_batch(batch.agg(F.max(ts).alias("mark")), marks, batch_id)
+        before = spark.read.parquet(marks).select(F.col("batch_id").cast("long").alias("b"), "mark").filter(F.col("b") < batch_id)
+        last, mark = before.agg(F.max("b"), F.max("mark")).first()
+        if last is not None:  # a mark covers all batches up to its own; this batch may be repeated yet
+            prune_batches(spark, marks, last)
+    write_batch(batch.agg(F.max(ts).alias("mark")).select(F.greatest("mark", F.lit(mark).cast("timestamp")).alias("mark")), marks, batch_id)
     if mark is None:
         return batch, batch.filter(F.lit(False))
     late = F.coalesce(ts < F.lit(mark) - F.expr(f"INTERVAL {int(delay_seconds)} SECONDS"), F.lit(False))
     return batch.filter(~late), batch.filter(late)
 
 
+def prune_batches(spark: SparkSession, path: str, before: int) -> None:
+    """Drop the ``batch_id=`` folders under ``path`` of batches before a number."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(p) if fs.exists(p) else []:
+        name = status.getPath().getName()
+        if name.startswith("batch_id=") and name[9:].isdigit() and int(name[9:]) < before:
+            fs.delete(status.getPath(), True)
+
+
 def model_scorer(model, version: str) -> Callable[[DataFrame], DataFrame]:
     """The trained pipeline as the stream's scorer (it takes the raw payment inputs)."""
     from paylake.operators.ml import MODEL_FEATURES

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from paylake.sources.aggregate_store import AggregateStore
 from paylake.sources.sinks import to_dead_letter, write_batch
 from paylake.streaming import monitors as M
-from paylake.streaming.ingest import keyed_append, path_exists, split_late
+from paylake.streaming.ingest import keyed_append, path_exists, prune_batches, split_late
 
 DELAY_SECONDS = 600
 MARKS = "_event_time"
@@ -108,6 +108,8 @@ def run_sessions(stream: DataFrame, out: str, key: str, event_time: str, gap_sec
         both = merged.withColumn("open", ~done)
         # one pass writes both; a repeated batch replaces what it wrote
         write_batch(both, os.path.join(out, "sessions"), i, buckets="open")
+        # what earlier batches left open; the batch before is needed should this one be repeated
+        prune_batches(spark, os.path.join(out, "sessions", "open=true"), i - 1 if held is None else last_batch(spark, out, i))
     return run(stream, out, event_time, handle, delay_seconds=delay_seconds, **options)
 
 
@@ -116,14 +118,18 @@ def open_sessions(spark: SparkSession, out: str, before: int | None = None) -> D
     path = os.path.join(out, "sessions")
     if not path_exists(spark, path):
         return None
-    # every batch has a mark, also one that left no session open
-    last = spark.read.parquet(os.path.join(out, MARKS)).select(F.col("batch_id").cast("long").alias("b"))
-    last = (last if before is None else last.filter(F.col("b") < before)).agg(F.max("b")).first()[0]
+    last = last_batch(spark, out, before)
     if last is None:
         return None
     return spark.read.parquet(path).filter(F.col("open") & (F.col("batch_id").cast("long") == last)).drop("open", "batch_id")
 
 
+def last_batch(spark: SparkSession, out: str, before: int | None = None) -> int | None:
+    """The last batch (before ``before``): every one has a mark, also one that left no session open."""
+    ids = spark.read.parquet(os.path.join(out, MARKS)).select(F.col("batch_id").cast("long").alias("b"))
+    return (ids if before is None else ids.filter(F.col("b") < before)).agg(F.max("b")).first()[0]
+
+
 def sessions(spark: SparkSession, out: str, key: str, gap_seconds: int = 1800, flush: bool = False) -> DataFrame:
     """The closed sessions; with ``flush``, at the stream's end, also those still open."""
     rows = spark.read.parquet(os.path.join(out, "sessions")).filter(~F.col("open")).drop("open", "batch_id")
