@@ -25,6 +25,20 @@ def tokens(text: str = "text"):
     return F.filter(F.split(F.lower(F.col(text)), NOT_LETTERS), lambda t: t != "")
 
 
+def places(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, text_hash, term, positions), a row for each term of each text. A text's words are sorted by term and
+    place within its row, and a term's places are a stretch of them, so that no word is a row of its own."""
+    words = docs.filter(F.col(text).isNotNull()).select(key, F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
+    words = words.groupBy(key, "text_hash").agg(F.first("_text").alias("_text")).select(
+        key, "text_hash", F.sort_array(F.transform(tokens("_text"), lambda t, i: F.struct(t.alias("term"), i.alias("at")))).alias("_w"))
+    words = words.filter(F.size("_w") > 0).withColumn("_first", F.filter(
+        F.sequence(F.lit(0), F.size("_w") - 1), lambda i: (i == 0) | (F.get("_w", i)["term"] != F.get("_w", i - 1)["term"])))
+    upto = lambda j: F.coalesce(F.get("_first", j + 1), F.size("_w"))
+    terms = F.transform("_first", lambda i, j: F.struct(
+        F.get("_w", i)["term"].alias("term"), F.transform(F.slice("_w", i + 1, upto(j) - i), lambda w: w["at"]).alias("positions")))
+    return words.select(key, "text_hash", F.inline(terms))
+
+
 class TextIndex:
     def __init__(self, spark: SparkSession, root: str, key: str = "doc_id", buckets: int = 64):
         self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
@@ -38,8 +52,7 @@ class TextIndex:
         if str(batch_id) in state["batches"]:
             return
         name = f"data/part={uuid.uuid4().hex}"
-        places = docs.select(self.key, F.xxhash64(text).alias("text_hash"), F.posexplode(tokens(text)).alias("at", "term"))
-        postings = places.groupBy("term", self.key, "text_hash").agg(F.sort_array(F.collect_set("at")).alias("positions"))
+        postings = places(docs, self.key, text).select("term", self.key, "text_hash", "positions")
         bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(state["buckets"])).cast("int")
         # a term in a third of all documents is spread over files by AQE
         postings.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", self.key) \
@@ -69,12 +82,16 @@ class TextIndex:
     def phrase(self, words: list[str]) -> DataFrame:
         """(key, n_places): the documents that hold the words next to each other, in order."""
         words = [w.lower() for w in words]
-        wanted = self.spark.createDataFrame(list(enumerate(words)), "i int, term string")  # a row per word of the phrase
-        starts = self.postings(words).join(F.broadcast(wanted), "term") \
-            .select(self.key, "text_hash", "i", F.explode("positions").alias("at")) \
-            .select(self.key, "text_hash", "i", (F.col("at") - F.col("i")).alias("start"))
-        return starts.groupBy(self.key, "text_hash", "start").agg(F.countDistinct("i").alias("_n")).filter(F.col("_n") == len(words)) \
-            .groupBy(self.key).agg(F.count(F.lit(1)).alias("n_places"))
+        # a text's places of each word meet as arrays (equal for copies in several batches), not place by place
+        held = {w: f"_p{i}" for i, w in enumerate(dict.fromkeys(words))}
+        texts = self.postings(words).groupBy(self.key, "text_hash").agg(
+            *[F.max(F.when(F.col("term") == w, F.col("positions"))).alias(c) for w, c in held.items()])
+        starts = None
+        for i, w in enumerate(words):
+            mine = F.expr(f"transform({held[w]}, at -> at - {i})")
+            starts = mine if starts is None else F.array_intersect(starts, mine)
+        return texts.select(self.key, F.size(starts).cast("long").alias("_n")).filter(F.col("_n") > 0) \
+            .groupBy(self.key).agg(F.sum("_n").alias("n_places"))
 
     def document_counts(self, terms: list[str]) -> DataFrame:
         """(term, n_docs, n_places)."""

@@ -222,3 +222,16 @@ def test_sessions_over_batches_close_once_and_a_repeated_batch_changes_nothing(s
     assert got == [(1, 0, 75, 3), (1, 300, 330, 1), (2, 0, 30, 1), (2, 95, 130, 2), (2, 301, 331, 1)]
     dead = sorted(r.raw_data[:6] for r in K.dead_letters(spark, out).collect())
     assert dead == ['{"u":1', '{"u":9']  # 80 when 100 was seen before, 50 when 300 was
+
+
+def test_text_index_makes_no_row_of_a_word(spark):
+    """Positions are found within each text: nothing is counted, shuffled or spilled word by word."""
+    from paylake.sources.text_index import places
+    docs = spark.createDataFrame([(1, "b a b A c"), (1, "b a b A c"), (1, "c"), (2, None), (3, " - "), (None, "z")], "doc_id long, text string")
+    df = places(docs, "doc_id")
+    assert sorted((r.doc_id or -1, r.term, r.positions) for r in df.collect()) == [
+        (-1, "z", [0]), (1, "a", [1, 3]), (1, "b", [0, 2]), (1, "c", [0]), (1, "c", [4])]
+    assert "collect_set" not in plan(df) and "posexplode" not in plan(df)
+    index = TextIndex(spark, run_dir(spark, "test-index-words"), buckets=4)
+    index.add(spark.createDataFrame([(1, "no no no"), (1, "no no"), (2, "no")], "doc_id long, text string"), 0)
+    assert {r.doc_id: r.n_places for r in index.phrase(["no", "no"]).collect()} == {1: 3}
