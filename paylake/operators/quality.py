@@ -172,13 +172,13 @@ def validate(df: DataFrame) -> DataFrame:
     ``data_quality_status`` valid/rejected.
 
     Numbers are parsed once, in a projection of typed columns that the rules
-    read; the two joined message strings are produced once in their own
-    projection; everything after reads them (Catalyst does not inline a
-    non-trivial expression into several consumers)."""
+    read; the two joined message strings are produced once, by a generator of
+    one row: Catalyst pushes a filter on the status through projections, and
+    would put every rule into it once more, but not through a generator."""
     typed = typed_fields(df)
     x = df.withColumns({t: _num(F.col(c)) for c, t in typed.items()}) if typed else df
-    m = x.withColumns({"_schema_msg": messages_of(schema_rules(df)),
-                       "_rule_msg": messages_of(business_rules(df, typed))})
+    m = x.select("*", F.inline(F.array(F.struct(messages_of(schema_rules(df)).alias("_schema_msg"),
+                                                messages_of(business_rules(df, typed)).alias("_rule_msg")))))
     out = m.withColumns({
         "schema_errors": split_messages(F.col("_schema_msg")),
         "rule_errors": split_messages(F.col("_rule_msg")),

@@ -73,5 +73,21 @@ def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
     return root
 
 
+# Set where the session has Spark's default: they change how long a job takes and what it spills, not its rows.
+TUNED = {
+    "spark.sql.codegen.hugeMethodLimit": ("65535", BASE_CONF["spark.sql.codegen.hugeMethodLimit"]),
+    # a split of these tables holds seven million rows at the default, which a task sorts in memory
+    "spark.sql.files.maxPartitionBytes": (str(128 * 1024 * 1024), str(32 * 1024 * 1024)),
+}
+
+
+def tune(spark: SparkSession) -> None:
+    """Settings for a session that this library did not build."""
+    for key, (default, ours) in TUNED.items():
+        if spark.conf.get(key, default).lower() in (default, f"{default}b"):
+            spark.conf.set(key, ours)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

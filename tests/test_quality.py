@@ -87,3 +87,29 @@ def test_duplicates_and_gate(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "k string")
     assert [r.k for r in Q.duplicates(df, "k").collect()] == ["a"]
     assert Q.gate_row_count(df, 1, 2).first().passed is False
+
+
+def test_a_filter_on_the_status_has_each_rule_once(spark):
+    """Pushed through projections, the filter would hold every rule once more, and its parsing of numbers many times."""
+    from paylake.operators import quality as Q
+    from paylake.plans import domain as D
+    rejected = Q.split_valid(Q.validate(D.payments_landing(D.Tables(spark, "/root/testdata/sf0.001"))))[1]
+    plan = rejected._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Champ manquant ou null: merchant") == 1
+
+
+def test_tables_are_read_with_splits_that_tasks_can_sort(spark):
+    from paylake import session
+    before = {k: spark.conf.get(k, None) for k in session.TUNED}
+    try:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 20))
+        session.read_table(spark, "/root/testdata/sf0.001", "lineitem")
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b") == str(32 << 20)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(16 << 20))  # the caller's own choice stays
+        session.read_table(spark, "/root/testdata/sf0.001", "lineitem")
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b") == str(16 << 20)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
