@@ -232,3 +232,14 @@ def test_keyed_store_splits_full_buckets_and_loses_no_race(spark):
     assert store.insert(spark.range(0, 401).selectExpr("concat('k', id) k", "9 v"), 3).count() == 1
     with pytest.raises(LostRace):
         Manifest(spark, store.root).commit(1, {})
+
+
+def test_forest_reads_stored_rows_in_even_parts(spark):
+    """The split, weights and training read the stored payments, not lineitem and every rule once more each."""
+    from paylake.operators import ml as ML
+    from paylake.plans import domain as D
+    from paylake.plans import q_models as QM
+    rows = QM._payments_train(D.Tables(spark, "/root/testdata/sf0.001"))
+    assert all("paylake-payments" in f for f in rows.inputFiles()) and rows.count() == QM._labelled_payments(D.Tables(spark, "/root/testdata/sf0.001")).count()
+    assert ML.evenly(rows, "trans_num").rdd.getNumPartitions() % spark.sparkContext.defaultParallelism == 0
+    assert ML.forest_pipeline().getCacheNodeIds()
