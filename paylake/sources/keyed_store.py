@@ -2,9 +2,11 @@
 
 Rows lie in buckets of their key's hash. A batch adds one file to each bucket
 that it touches; ``compact`` turns a bucket's files into one, sorted by key.
-Each file has a Bloom filter of its keys (bitmaps built and probed with SQL
-functions), so a batch reads the stored keys only of files that may hold one of
-its own. Files and batches are named in a manifest: a batch that is written
+A batch much smaller than what its buckets hold reads the stored keys only of
+files that may hold one of its own: each file gets a Bloom filter of its keys
+(bitmaps built and probed with SQL functions) when the first such batch meets
+it. A larger batch is joined with the stored keys, which costs less than to
+build and probe filters. Files and batches are named in a manifest: a batch that is written
 again after a failure finds itself there and changes nothing. A null key equals
 no other: each batch stores one row with it.
 """
@@ -23,6 +25,7 @@ from paylake.sources.manifest import Manifest
 
 BITMAP = 32_768  # bits of one row of bitmap_construct_agg
 BITS_PER_KEY, PROBES = 24, 5
+FILTERS_PAY = 16  # keys stored in its buckets per row of a batch, from which on filters are asked first
 KNOWN_BATCHES = 100  # a stream repeats its last batch only
 
 
@@ -62,7 +65,7 @@ class KeyedStore:
         keyed = first_per_key(rows, self.key).withColumn("_hash", F.xxhash64(self.key)) \
             .withColumn("_bucket", F.pmod("_hash", F.lit(state["buckets"])).cast("int"))
         new = self._write(keyed, state["buckets"], batch)
-        held = self._may_hold(new, state)
+        held = self._to_read(new, state)
         if held:  # rewrite the buckets whose keys may be stored already, without those that are
             again = {f["bucket"] for f in held}
             mine = [f for f in new if f["bucket"] in again]
@@ -75,23 +78,43 @@ class KeyedStore:
         return self._rows(state, new)
 
     def _write(self, keyed: DataFrame, buckets: int, batch: str | None) -> list[dict]:
-        """One file per bucket, sorted by key, and the Bloom filters of all."""
-        name = uuid.uuid4().hex
-        data, bloom = f"data/{name}", f"bloom/{name}"
-        keyed.repartition("_bucket").sortWithinPartitions("_bucket", self.key) \
+        """One file per bucket, sorted by key; a large one in pieces."""
+        data = f"data/{uuid.uuid4().hex}"
+        keyed.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", self.key) \
             .write.partitionBy("_bucket").option("compression", "zstd").parquet(f"{self.root}/{data}")
         found = sorted(int(n.split("=")[1]) for n in self.manifest.folders(f"{self.root}/{data}") if n.startswith("_bucket="))
         if not found:
             return []
-        keys = self.spark.read.parquet(f"{self.root}/{data}").select("_bucket", "_hash")
-        count = dict(map(tuple, keys.groupBy("_bucket").count().collect()))  # a row per bucket
-        bits = max(BITMAP, 1 << (BITS_PER_KEY * max(count.values()) - 1).bit_length())
+        count = dict(map(tuple, self.spark.read.parquet(f"{self.root}/{data}").groupBy("_bucket").count().collect()))  # a row per bucket
+        return [{"bucket": b, "path": f"{data}/_bucket={b}", "bloom": None, "bits": 0, "rows": count[b], "batch": batch} for b in found]
+
+    def _filter(self, files: list[dict]) -> None:
+        """Write the Bloom filters of the files that have none yet."""
+        todo = [f for f in files if not f["bloom"]]
+        if not todo:
+            return
+        bloom, keys = f"bloom/{uuid.uuid4().hex}", None
+        bits = max(BITMAP, 1 << (BITS_PER_KEY * max(f["rows"] for f in todo) - 1).bit_length())
+        for data in sorted({f["path"].rsplit("/", 1)[0] for f in todo}):
+            own = [f["bucket"] for f in todo if f["path"].rsplit("/", 1)[0] == data]
+            part = self.spark.read.parquet(f"{self.root}/{data}").filter(F.col("_bucket").isin(own)) \
+                .select(F.concat(F.lit(f"{data}/_bucket="), F.col("_bucket").cast("string")).alias("path"), "_hash")
+            keys = part if keys is None else keys.unionAll(part)
         at = F.explode(F.array(*[_probe(i, F.lit(bits)) for i in range(PROBES)]))
-        keys.select("_bucket", at.alias("at")) \
-            .groupBy("_bucket", F.expr(f"at div {BITMAP}").alias("part")) \
+        keys.select("path", at.alias("at")) \
+            .groupBy("path", F.expr(f"at div {BITMAP}").alias("part")) \
             .agg(F.expr(f"bitmap_construct_agg(at % {BITMAP})").alias("bitmap")) \
             .hint("rebalance").write.parquet(f"{self.root}/{bloom}")
-        return [{"bucket": b, "path": f"{data}/_bucket={b}", "bloom": bloom, "bits": bits, "rows": count[b], "batch": batch} for b in found]
+        for f in todo:
+            f["bloom"], f["bits"] = bloom, bits
+
+    def _to_read(self, new: list[dict], state: dict) -> list[dict]:
+        """The stored files whose keys the batch is joined with."""
+        mine = {f["bucket"] for f in new}
+        files = [f for f in state["files"] if f["bucket"] in mine]
+        if sum(f["rows"] for f in files) > FILTERS_PAY * sum(f["rows"] for f in new):
+            return self._may_hold(new, state)
+        return files
 
     def _may_hold(self, new: list[dict], state: dict) -> list[dict]:
         """Stored files whose Bloom filter holds one of the new keys."""
@@ -99,13 +122,14 @@ class KeyedStore:
         files = [f for f in state["files"] if f["bucket"] in mine]
         if not files:
             return []
+        self._filter(files)
         spark = self.spark
         listed = spark.createDataFrame([(i, f["bucket"], f["bits"]) for i, f in enumerate(files)], "file int, bucket int, bits long")
         maps = None
         for path in sorted({f["bloom"] for f in files}):
-            own = spark.createDataFrame([(i, f["bucket"]) for i, f in enumerate(files) if f["bloom"] == path], "file int, _bucket int")
-            part = spark.read.parquet(f"{self.root}/{path}").filter(F.col("_bucket").isin([f["bucket"] for f in files if f["bloom"] == path])) \
-                .join(F.broadcast(own), "_bucket").select("file", "part", "bitmap")  # a row per file of the manifest
+            own = spark.createDataFrame([(i, f["path"]) for i, f in enumerate(files) if f["bloom"] == path], "file int, path string")
+            part = spark.read.parquet(f"{self.root}/{path}").filter(F.col("path").isin([f["path"] for f in files if f["bloom"] == path])) \
+                .join(F.broadcast(own), "path").select("file", "part", "bitmap")  # a row per file of the manifest
             maps = part if maps is None else maps.unionAll(part)
         keys = self._rows(state, list(mine.values()), columns=False).select("_hash").withColumn(
             "bucket", F.pmod("_hash", F.lit(state["buckets"])).cast("int"))
@@ -153,7 +177,7 @@ class KeyedStore:
     def vacuum(self) -> None:
         """Drop folders that the current version does not name (when no reader uses an older one)."""
         _, state = self.state()
-        live = {f["path"] for f in state["files"]} | {f["bloom"] for f in state["files"]}
+        live = {f["path"] for f in state["files"]} | {f["bloom"] for f in state["files"] if f["bloom"]}
         for kind in ("data", "bloom"):
             for name in self.manifest.folders(f"{self.root}/{kind}"):
                 if not any(p == f"{kind}/{name}" or p.startswith(f"{kind}/{name}/") for p in live):

@@ -243,3 +243,17 @@ def test_forest_reads_stored_rows_in_even_parts(spark):
     assert all("paylake-payments" in f for f in rows.inputFiles()) and rows.count() == QM._labelled_payments(D.Tables(spark, "/root/testdata/sf0.001")).count()
     assert ML.evenly(rows, "trans_num").rdd.getNumPartitions() % spark.sparkContext.defaultParallelism == 0
     assert ML.forest_pipeline().getCacheNodeIds()
+
+
+def test_keyed_store_joins_large_batches_without_filters(spark):
+    """A batch as large as the store meets the stored keys in a join; filters are built when a small batch comes."""
+    from paylake.sources.keyed_store import KeyedStore
+    store = KeyedStore(spark, os.path.join(I.run_dir(spark, "test-direct"), "t"), "k", buckets=4)
+    rows = lambda lo, hi: spark.range(lo, hi).selectExpr("concat('k', id) k")
+    store.insert(rows(0, 2000), 0)
+    assert store.insert(rows(1000, 3000), 1).count() == 1000
+    assert all(f["bloom"] is None for f in store.state()[1]["files"]) and not store.manifest.folders(f"{store.root}/bloom")
+    assert store.insert(rows(2990, 3010), 2).count() == 10 and store.read().count() == 3010
+    assert all(f["bloom"] for f in store.state()[1]["files"] if f["batch"] in ("0", "1"))
+    store.vacuum()
+    assert store.insert(rows(2990, 3020), 3).count() == 10 and store.read().distinct().count() == 3020
