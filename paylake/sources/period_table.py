@@ -35,17 +35,19 @@ class PeriodTable:
         """Period -> its folders; as many periods as the data span, and a folder a batch until ``compact``."""
         return self.state()[1]["periods"]
 
-    def _write(self, rows: DataFrame, *order) -> dict[str, list[str]]:
+    def _write(self, rows: DataFrame, *order, derive=None) -> dict[str, list[str]]:
         name = f"data/{uuid.uuid4().hex}"
-        rows.withColumn("period", self.period()).hint("rebalance", "period").sortWithinPartitions("period", self.date_col, *order) \
+        laid = rows.withColumn("period", self.period()).hint("rebalance", "period").sortWithinPartitions("period", self.date_col, *order)
+        (laid if derive is None else derive(laid)) \
             .write.partitionBy("period").parquet(f"{self.root}/{name}")
         found = (n for n in self.manifest.folders(f"{self.root}/{name}") if n.startswith("period="))
         return {n[len("period="):]: [f"{name}/{n}"] for n in found}
 
-    def load(self, rows: DataFrame) -> None:
-        """Replace the whole table."""
+    def load(self, rows: DataFrame, derive=None) -> None:
+        """Replace the whole table; ``derive`` adds columns that follow from a row's others, after rows are shuffled and sorted."""
         seen, state = self.state()
-        self.manifest.commit(seen, {**state, "periods": self._write(rows), "schema": rows.schema.json()})
+        schema = (rows if derive is None else derive(rows)).schema
+        self.manifest.commit(seen, {**state, "periods": self._write(rows, derive=derive), "schema": schema.json()})
 
     def append(self, rows: DataFrame, batch_id, *order) -> list[str]:
         """Add a batch's rows, sorted by day and then ``order``; a batch that is written again changes

@@ -72,3 +72,14 @@ def test_three_loads_of_the_tables(spark):
     full = S.fact_transaction_full(D.Tables(spark, SF))
     got = table.read().select(*S.FACT_COLUMNS)
     assert got.exceptAll(full).count() == full.exceptAll(got).count() == 0 and got.count() > 1000
+
+
+def test_the_fact_is_laid_out_before_columns_are_derived(spark):
+    """What follows from a row's other columns is neither shuffled nor sorted with it."""
+    from paylake.plans import star as S
+    t = S.Tables(spark, "/root/testdata/sf0.001")
+    joined = S.fact_transaction_all(t)
+    assert not {"transaction_id", "amount_usd", "revenue_usd", "date_sk", "is_high_fraud_risk"} & set(joined.columns)
+    stored = S.stored_fact(t).read()
+    assert set(S.FACT_COLUMNS) <= set(stored.columns) and "period" not in stored.columns
+    assert stored.select(*S.FACT_COLUMNS).exceptAll(S.fact_transaction_full(t)).count() == 0
