@@ -98,9 +98,11 @@ def _differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def audit(a: Tree, b: Tree) -> DataFrame:
     """The records at fault: file, offset, digest (of ``a``), replica_digest, status: ``corrupt``, ``missing`` in the replica or ``extra`` there.
 
-    Each level joins only the children of the nodes that differ above. Records that share file and offset are compared as sets.
+    Each level joins only the children of the nodes that differ above. The differing nodes of a level are written before the
+    next one reads them, for both trees, so that no plan holds more than a level. Records that share file and offset are compared as sets.
     """
-    bad = _differing(a.roots, b.roots, ["file"])
+    s = Scratch(a.records.sparkSession, "fixity-audit")
+    bad = s.save(_differing(a.roots, b.roots, ["file"]), "roots")
     for k in range(LEVELS - 1, -1, -1):
         up = "file" if k == LEVELS - 1 else ["file", "_up"]
 
@@ -108,7 +110,7 @@ def audit(a: Tree, b: Tree) -> DataFrame:
             x = t.levels[k].withColumn("_up", F.shiftright("node", FAN_BITS))
             return x.join(bad, up, "left_semi")
 
-        bad = _differing(below(a), below(b), ["file", "node"]).withColumnRenamed("node", "_up")
+        bad = s.save(_differing(below(a), below(b), ["file", "node"]).withColumnRenamed("node", "_up"), f"level{k}")
 
     def records(t: Tree, digest: str) -> DataFrame:
         x = t.records.select("file", "offset", F.shiftright("offset", RANGE_BITS).alias("_up"), "digest")

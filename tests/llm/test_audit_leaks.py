@@ -151,3 +151,10 @@ def test_fixity_awkward_rows(spark):
     got = fixity.audit_pages(pages).collect()
     assert len(got) == 6 and {r.file for r in got if r.page_id == 2} == {"pages-0"} and {r.file for r in got if r.page_id == -5} == {"pages--1"}
     assert fixity.audit_pages(pages.limit(0)).count() == 0
+
+
+def test_plan_of_an_audit_holds_one_level(spark, pages):
+    # the differing nodes of a level were planned anew for each tree of each level below: 521 shuffles
+    records = fixity.warc_records(pages)
+    plan = fixity.audit(tree(spark, records), tree(spark, fixity.damaged(records)))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") <= 3 and plan.count("Scan parquet") <= 4
