@@ -9,12 +9,17 @@ added tokens, and tokenizers that keep white space, are encoded whole.
 from __future__ import annotations
 
 import os
+import re
+import string
 import unicodedata
 
 import numpy as np
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 _ENCODERS: dict[str, "WordEncoder"] = {}
+# an apostrophe may belong to the letters behind it
+MARKS = string.punctuation.replace("'", "").encode()
+RUNS = re.compile(rb"[A-Za-z]+|[0-9]|[" + re.escape(MARKS) + rb"]+")
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -46,6 +51,11 @@ class _Words(dict):
         self.direct = all(self._direct(t) == self._whole(t) for t in tests)
         # and a last full stop or comma looked up alone where the tokenizer always parts it from a letter
         self.stops = all(self._whole(t + c) == self._whole(t) + self._whole(c) for t in ("word", "anblewh", "a", "xqz") for c in ".,")
+        # and runs of letters, digits and runs of marks, where it always parts those
+        marks = MARKS.decode()
+        tests = [f"{t}{c}" for t in ("word", "\u00e9cole", "7") for c in marks] + [f"word{c}{d}xqz" for c in marks for d in marks]
+        tests += ["2024", "a1", "1a", "x9y", "3.14", "(7)", "--a--b", "1,000.50%", "\u00e9&&&", "word***"]
+        self.parted = all(self._whole(t) == b"".join([self._whole(r.decode()) for r in self._runs(t.encode())]) for t in tests)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -55,6 +65,22 @@ class _Words(dict):
             text = text.encode().decode("latin-1").translate(self.alphabet)
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
 
+    def _plain(self, text: str) -> str:
+        return unicodedata.normalize("NFC", text.lower() if self.lower else text)
+
+    def _letters(self, text: str, plain: str) -> bool:
+        """Whether a text is letters, also for the model: lower-casing may bring marks that the tokenizer parts from letters."""
+        return text.isalpha() and plain.isalpha() and max(text + plain) < "\u0250"
+
+    def _runs(self, word: bytes) -> list[bytes]:
+        """The parts of a word that are encoded by themselves; of a word with other letters than a-z only the last marks are."""
+        if word.isascii():
+            runs = RUNS.findall(word)
+            return runs if sum(map(len, runs)) == len(word) else [word]
+        head = word.rstrip(MARKS)
+        text = head.decode("utf-8", "replace")
+        return [head, word[len(head):]] if len(head) < len(word) and self._letters(text, self._plain(text)) else [word]
+
     def turn_over(self) -> None:
         """Start anew, with the words met so far at hand until the next time."""
         self.old = dict(self)
@@ -74,10 +100,11 @@ class _Words(dict):
             return found[0].id.to_bytes(4, "little") if len(found) == 1 else b"".join([t.id.to_bytes(4, "little") for t in found])
         if self.stops and len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
             return self[word[:-1]] + self[word[-1:]]
+        if self.parted and len(runs := self._runs(word)) > 1:
+            return b"".join([self[r] for r in runs])
         text = word.decode("utf-8", "replace")
-        plain = unicodedata.normalize("NFC", text.lower() if self.lower else text)
-        # of what the model is given: lower-casing may bring marks that the tokenizer parts from letters
-        if self.direct and text.isalpha() and plain.isalpha() and max(text + plain) < "\u0250":
+        plain = self._plain(text)
+        if self.direct and self._letters(text, plain):
             return self._direct(plain)
         return self._whole(text)
 

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from paylake.llm import packing, token_orc
 from paylake.llm.common import Scratch
-from paylake.llm.word_tokens import encoder, vocabulary_path
+from paylake.llm.word_tokens import WordEncoder, encoder, vocabulary_path
 
 from .brute import best_fit_decreasing
 
@@ -57,6 +57,26 @@ def test_every_code_point_equals_the_library(tokenizer):
         assert encoder().encode([text.encode()])[0] == want, hex(points[at])
 
 
+def test_letters_digits_and_marks_are_looked_up_by_themselves(tokenizer, monkeypatch):
+    enc, rng = WordEncoder(vocabulary_path()), random.Random(9)
+    whole, asked = type(enc.cache)._whole, []
+    monkeypatch.setattr(type(enc.cache), "_whole", lambda self, text: asked.append(text) or whole(self, text))
+    # each of these words was given to the whole tokenizer
+    enc.encode([" ".join(f"w{'abcdefghij'[i % 10]}{i}&&& caf\u00e9{'abc'[i % 3] * (i % 40)}.*** (x{i},z)" for i in range(500)).encode()])
+    assert len(asked) < 30, asked[:40]
+    parts = ["don", "'s", "'", "7", "42", "&&&", ".", ",", "-", "(", ")", "_", "\u00e9", "\u00df", "\u0130", "\u0307", "\u03a3", "\u4e2d", "\u00b2",
+             "\u0338", "\x01", "\x7f", "\u00a0", "A", "Zz", "<", "=", ">", "\u1e9e", "\ud55c", "\u01c5", "\u2019"]
+    for _ in range(20000):
+        word = "".join(rng.choices(parts, k=rng.randint(1, 6)))
+        want = np.array(tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert enc.encode([word.encode()])[0] == want, ascii(word)
+    points = list(range(128, 0x2400))
+    for at in range(0, len(points), 4000):
+        text = " ".join(f"{chr(c)}.&& a{chr(c)}, =1{chr(c)}" for c in points[at:at + 4000])
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert enc.encode([text.encode()])[0] == want, hex(points[at])
+
+
 def expected_pieces(rows, tokenizer, end):
     for doc_id, text in rows:
         yield doc_id, [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
