@@ -431,24 +431,36 @@ def scored_transactions_from(lineitem: DataFrame) -> DataFrame:
     discount, so reports over it have an SQL oracle; the model-scored
     variant is ``operators.scoring.score_batch``.
     """
-    li = lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
-                           "l_extendedprice", "l_discount", "l_shipdate")
+    return scored_columns(scored_inputs(lineitem))
+
+
+def scored_inputs(lineitem: DataFrame) -> DataFrame:
+    """The scored transactions without the texts that follow from their keys (``scored_columns``)."""
     prob = (F.col("l_discount").cast("decimal(4,2)") * 10).cast("decimal(5,4)")
-    return li.select(
-        F.concat(F.lit("T"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("trans_num"),
+    return lineitem.select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
         (F.col("l_shipdate") - F.make_dt_interval(F.pmod(F.col("l_orderkey"), F.lit(3)).cast("int"))).alias("trans_date_trans_time"),
-        F.concat(F.lit("4"), F.lpad(F.col("l_partkey").cast("string"), 15, "0")).alias("cc_num"),
-        F.concat(F.lit("merchant_"), F.col("l_suppkey").cast("string")).alias("merchant"),
-        pick(PAYMENT_CATEGORIES, F.pmod(F.col("l_partkey"), F.lit(len(PAYMENT_CATEGORIES)))).alias("category"),
         _cents_to_units(F.col("l_extendedprice")).alias("amt"),
-        F.concat(F.lit("City"), F.pmod(F.col("l_suppkey"), F.lit(50)).cast("string")).alias("city"),
-        pick(["CA", "NY", "TX", "FL", "WA"], F.pmod(F.col("l_suppkey"), F.lit(5))).alias("state"),
         prob.alias("fraud_probability"),
         (prob >= F.lit(0.5)).alias("is_fraud_predicted"),
         (F.col("l_shipdate") + F.make_dt_interval(F.lit(0), (F.col("l_linenumber") * 3).cast("int"))).alias("ingested_at"),
     )
 
 
+def scored_columns(rows: DataFrame) -> DataFrame:
+    """The columns of the scored transactions, and those that their table is laid out by."""
+    return rows.select(
+        F.concat(F.lit("T"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("trans_num"),
+        "trans_date_trans_time",
+        F.concat(F.lit("4"), F.lpad(F.col("l_partkey").cast("string"), 15, "0")).alias("cc_num"),
+        F.concat(F.lit("merchant_"), F.col("l_suppkey").cast("string")).alias("merchant"),
+        pick(PAYMENT_CATEGORIES, F.pmod(F.col("l_partkey"), F.lit(len(PAYMENT_CATEGORIES)))).alias("category"),
+        "amt",
+        F.concat(F.lit("City"), F.pmod(F.col("l_suppkey"), F.lit(50)).cast("string")).alias("city"),
+        pick(["CA", "NY", "TX", "FL", "WA"], F.pmod(F.col("l_suppkey"), F.lit(5))).alias("state"),
+        "fraud_probability", "is_fraud_predicted", "ingested_at", *[c for c in ("ingest_day", "period") if c in rows.columns])
+
+
 SCORED_SQL = f"""scored_transactions AS (
   SELECT 'T' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS trans_num,
          l_shipdate - to_days(CAST(l_orderkey % 3 AS INTEGER)) AS trans_date_trans_time,

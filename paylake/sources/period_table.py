@@ -49,19 +49,19 @@ class PeriodTable:
         schema = (rows if derive is None else derive(rows)).schema
         self.manifest.commit(seen, {**state, "periods": self._write(rows, derive=derive), "schema": schema.json()})
 
-    def append(self, rows: DataFrame, batch_id, *order) -> list[str]:
+    def append(self, rows: DataFrame, batch_id, *order, derive=None) -> list[str]:
         """Add a batch's rows, sorted by day and then ``order``; a batch that is written again changes
-        nothing. Returns its folders."""
+        nothing. ``derive`` as in ``load``. Returns its folders."""
         seen, state = self.state()
         batch = str(batch_id)
         known = {b: f for b, f in state["batches"]}
         if batch in known:
             return known[batch]
-        new = self._write(rows, *order)
+        new = self._write(rows, *order, derive=derive)
         folders = [f for v in new.values() for f in v]
         for p, f in new.items():
             state["periods"][p] = state["periods"].get(p, []) + f
-        state["schema"] = state["schema"] or rows.schema.json()
+        state["schema"] = state["schema"] or (rows if derive is None else derive(rows)).schema.json()
         state["batches"] = [*state["batches"], [batch, folders]][-KNOWN_BATCHES:]
         self.manifest.commit(seen, state)
         return folders

@@ -23,9 +23,10 @@ class ScoredStore:
         self.sums = AggregateStore(spark, f"{root.rstrip('/')}/sums", [DAY, "transaction_date", "category", "is_fraud_predicted"],
                                    sums=["n", "amount", "n_amount"], by=DAY)
 
-    def add(self, scored: DataFrame, batch_id) -> None:
-        """Store a batch; one that is written again changes nothing."""
-        folders = self.rows.append(scored.withColumn(DAY, F.to_date("ingested_at")), batch_id, F.desc("is_fraud_predicted"))
+    def add(self, scored: DataFrame, batch_id, derive=None) -> None:
+        """Store a batch; one that is written again changes nothing. ``derive`` adds columns that follow
+        from a row's others, after rows are shuffled and sorted."""
+        folders = self.rows.append(scored.withColumn(DAY, F.to_date("ingested_at")), batch_id, F.desc("is_fraud_predicted"), derive=derive)
         # from what was written, so that sums and rows agree also after a failure between the two
         mine = self.rows.folders(folders)
         self.sums.add(mine.select(DAY, F.to_date("trans_date_trans_time").alias("transaction_date"), "category", "is_fraud_predicted",

@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,20 @@ def test_aggregate_store_adds_each_batch_once(spark):
     assert "EqualTo(k,1)" in plan(store.read(F.col("k") == 1)) and store.read(F.col("k") == 1).count() == 1
 
 
+def test_texts_of_scored_rows_are_added_after_the_layout(spark, monkeypatch):
+    # texts that follow from the keys went through the shuffle and sort by period
+    from paylake.plans import registry
+    laid, write = [], PeriodTable._write
+    monkeypatch.setattr(PeriodTable, "_write", lambda self, rows, *order, derive=None: laid.append(rows) or write(self, rows, *order, derive=derive))
+    t = D.Tables(spark, SF)
+    monkeypatch.setattr(D.Tables, "stamp", lambda self, *names: "test-" + uuid.uuid4().hex)
+    store = registry.stored_scored(t)
+    assert not [f.name for f in laid[0].schema if f.dataType.simpleString() == "string"]
+    want = D.scored_transactions(t)
+    assert store.rows.read().columns == [*want.columns, "ingest_day"]
+    assert sorted(map(str, store.rows.read().drop("ingest_day").collect())) == sorted(map(str, want.collect()))
+
+
 def test_reports_read_one_ingestion_day(spark):
     store = ScoredStore(spark, run_dir(spark, "test-scored"))
     store.add(D.scored_transactions(D.Tables(spark, SF)), "all")
