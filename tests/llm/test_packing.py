@@ -77,6 +77,27 @@ def test_letters_digits_and_marks_are_looked_up_by_themselves(tokenizer, monkeyp
         assert enc.encode([text.encode()])[0] == want, hex(points[at])
 
 
+def test_words_are_looked_up_once_for_some_megabytes(tokenizer, texts, monkeypatch):
+    from paylake.llm import word_tokens
+    enc, asked = WordEncoder(vocabulary_path()), []
+    words = enc.cache
+
+    class Asked(dict):
+        def __getitem__(self, word):
+            asked.append(word)
+            return words[word]
+
+    enc.cache = Asked()
+    odd = ["", " ", "A <|startoftext|> b", "\x1c a\x85b", "\t a \n\x0b\x0c\rb. ", "a\u0301 A\u0301", "caf\u00e9.\" caf\u00e9. &. '&", "\u00aa \u00b5 \u00df7"]
+    rows = [t.encode() for t in [*odd, *list(texts.values())[:40]] * 3] + [b"\xff\xfe a. \xc3", b"\x00 a\x00"]
+    want = [np.array(tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes() for t in rows]
+    assert enc.encode(rows) == want
+    assert len(asked) == len(set(asked))
+    monkeypatch.setattr(word_tokens, "TEXT_BYTES", 100)
+    assert WordEncoder(vocabulary_path(), cache_words=50).encode(rows) == want == list(word_tokens.encode_each(rows))
+    assert enc.encode([]) == []
+
+
 def expected_pieces(rows, tokenizer, end):
     for doc_id, text in rows:
         yield doc_id, [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
