@@ -17,6 +17,7 @@ from paylake.functions.predicates import coerce_features, lookback
 from paylake.functions.sampling import DEFAULT_BUCKETS, select_smallest, unit_hash
 from paylake.functions.scalar import degree_distance, hour_of_day, log_amount
 from paylake.operators.joins import join_dim
+from paylake.session import checkpoint_root
 
 # --- fixed values ---------------------------------------------------------
 # Model inputs of the payment model and its 6 engineered outputs, in order.
@@ -217,12 +218,28 @@ def cv_auc(pipeline, df: DataFrame, folds: int = CV_FOLDS, label: str = "label",
     """Cross-validated AUC on a ``fold`` column: one fit per fold on the
     other folds, AUC on the held-out fold. The fold fits are submitted from
     a thread pool so Spark interleaves their (many small) jobs; returns the
-    per-fold AUCs (mean = the CV score)."""
+    per-fold AUCs (mean = the CV score).
+
+    Leading stages that learn nothing run once, for all folds, and what they
+    give is checkpointed: a fold's passes read the vectors, and its jobs (five a
+    tree) carry no plan of how they came about."""
     from concurrent.futures import ThreadPoolExecutor
+    from itertools import takewhile
 
+    from pyspark.ml import Pipeline, Transformer
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
     ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
+    first = list(takewhile(lambda x: isinstance(x, Transformer), pipeline.getStages()))
+    rest = pipeline.getStages()[len(first):]
+    if first:
+        checkpoint_root(df.sparkSession)
+        for stage in first:
+            df = stage.transform(df)
+        if len(rest) == 1:  # the learner: its inputs are all that is read
+            read = [rest[0].getOrDefault(p) for p in ("featuresCol", "labelCol", "weightCol") if rest[0].hasParam(p) and rest[0].isDefined(p)]
+            df = df.select(*dict.fromkeys([*read, label, "fold"]))
+        df, pipeline = df.checkpoint(), Pipeline(stages=rest)
 
     def one(k: int) -> float:
         model = pipeline.fit(df.filter(F.col("fold") != k))

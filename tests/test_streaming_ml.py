@@ -257,3 +257,24 @@ def test_keyed_store_joins_large_batches_without_filters(spark):
     assert all(f["bloom"] for f in store.state()[1]["files"] if f["batch"] in ("0", "1"))
     store.vacuum()
     assert store.insert(rows(2990, 3020), 3).count() == 10 and store.read().distinct().count() == 3020
+
+
+def test_cv_auc_runs_the_stages_that_learn_nothing_once(spark):
+    from pyspark.ml import Pipeline, Transformer
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    runs = []
+
+    class Seen(Transformer):
+        def _transform(self, df):
+            runs.append(1)
+            return df.withColumn("x2", F.col("x") * 2)
+
+    df = spark.range(400).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 > 3).cast("int").alias("label"))
+    df = ML.fold_column(df, "id", folds=3)
+    learner = LogisticRegression(featuresCol="v", labelCol="label", maxIter=5)
+    before = [Seen(), VectorAssembler(inputCols=["x", "x2"], outputCol="v")]
+    aucs = ML.cv_auc(Pipeline(stages=[*before, learner]), df, folds=3)
+    assert len(runs) == 1 and len(aucs) == 3 and min(aucs) > 0.99
+    scaled = [VectorAssembler(inputCols=["x", "x2"], outputCol="u"), StandardScaler(inputCol="u", outputCol="v")]
+    assert ML.cv_auc(Pipeline(stages=[Seen(), *scaled, learner]), df, folds=3) == aucs and len(runs) == 2
