@@ -97,60 +97,111 @@ def run_ends(t: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return ends[np.searchsorted(ends, at)] - at + 1
 
 
+BLOCK = 1 << 16  # entries of a queue that are passed on at once
+
+
+def blocks(pos: np.ndarray, lcp: np.ndarray):
+    """Both in parts of ``BLOCK`` entries."""
+    for a in range(0, len(pos), BLOCK):
+        yield pos[a:a + BLOCK], lcp[a:a + BLOCK]
+
+
+def joined(parts: list):
+    """A queue's parts, small ones joined, in arrays of their own."""
+    held, n = [], 0
+    for k, p in enumerate(parts):
+        held.append(p)
+        n += len(p[0])
+        if n >= BLOCK or k == len(parts) - 1:
+            yield from blocks(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+            held, n = [], 0
+
+
+def range_least(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least of x[first] to x[last] for each pair of places, over two overlapping powers of two."""
+    if not len(first):
+        return x[:0]
+    level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+    top = int(level.max())
+    table = np.empty((top + 1, len(x)), x.dtype)
+    table[0] = x
+    for k in range(top):
+        n = len(x) - (2 << k) + 1
+        np.minimum(table[k, :n], table[k, 1 << k:n + (1 << k)], out=table[k + 1, :n])
+    row = level * np.int64(len(x))
+    flat = table.reshape(-1)
+    return np.minimum(flat[row + first], flat[row + last + 1 - (1 << level)])
+
+
 class Induction:
     """One induction over ``t`` (symbols 0 to k - 1, the last one 0 and unique) from sorted seeds."""
 
     def __init__(self, t: np.ndarray, k: int, stype: np.ndarray, memory: int, folder: str | None = None):
-        self.t, self.k, self.stype, self.memory, self.folder = t.astype(np.uint16), k, stype, memory, folder
+        kind = np.uint8 if k < 256 else np.uint16
+        self.t, self.k, self.stype, self.memory, self.folder = t.astype(kind), k, stype, memory, folder
         self.ends = np.append(np.flatnonzero(t[1:] != t[:-1]), len(t) - 1)
+        self.none = np.iinfo(kind).max
+
+    def _before(self, want_s: bool) -> np.ndarray:
+        """For each suffix the first symbol of its predecessor, where that is of the wanted type."""
+        wanted = self.stype[:-1] if want_s else ~self.stype[:-1]
+        return np.append(self.none, np.where(wanted, self.t[:-1], self.none)).astype(self.t.dtype)
 
-    def _pass(self, source, target: Store, want_s: bool, least: np.ndarray) -> None:
+    def _pass(self, source, target: Store, before: np.ndarray, least: np.ndarray, values: bool) -> None:
         """Push the predecessors of a part of the order into their queues."""
         pos, lcp = source
-        np.minimum(least, lcp.min(), out=self.rest)
-        j = pos - 1
-        ok = np.flatnonzero((j >= 0) & (self.stype[j] == want_s))
-        symbol = self.t[j[ok]]
+        symbol = before[pos]
+        at = np.flatnonzero(symbol != self.none)
+        symbol = symbol[at]
         order = np.argsort(symbol, kind="stable")
-        ok, symbol = ok[order], symbol[order]
-        cut = [0, *(np.flatnonzero(symbol[1:] != symbol[:-1]) + 1).tolist(), len(symbol)] if len(symbol) else [0]
-        for s, e in zip(cut[:-1], cut[1:], strict=True):
-            u, at = int(symbol[s]), ok[s:e]
-            starts = np.concatenate([[0], at + 1])
-            last = starts[-1] == len(lcp)
-            between = np.minimum.reduceat(lcp, starts[:-1] if last else starts)
-            self.rest[u] = NONE if last else between[-1]
-            between = between[:len(at)].copy()
-            between[0] = min(between[0], least[u])
-            target.queues[u].push(j[at], np.where(between == NONE, 0, between + 1))
-        least[:] = self.rest
-
-    def run(self, seeds: list[np.ndarray], seed_lcp: list[np.ndarray]):
-        """``seeds``: for each symbol its sorted seeds; yields (positions, lcp) of all suffixes in order, by queue."""
+        at, symbol = at[order], symbol[order]
+        cut = np.flatnonzero(symbol[1:] != symbol[:-1]) + 1
+        first, last = np.append(0, cut)[:len(symbol)], np.append(cut, len(symbol))[:len(symbol)]
+        used = symbol[first]
+        value = np.zeros(len(at), np.int32)
+        if values:
+            ahead = np.minimum.accumulate(lcp)
+            since = at.copy()  # the entry after the one with the same symbol before
+            since[1:] = at[:-1] + 1
+            since[first] = at[first]
+            value[:] = range_least(lcp, since, at)
+            value[first] = np.minimum(ahead[at[first]], least[used])
+            value += 1
+            np.minimum(least, ahead[-1], out=least)
+            behind = np.append(np.minimum.accumulate(lcp[::-1])[::-1], NONE)
+            least[used] = behind[at[last - 1] + 1]
+        pos = pos[at] - 1
+        for u, s, e in zip(used.tolist(), first.tolist(), last.tolist(), strict=True):
+            target.queues[u].push(pos[s:e], value[s:e])
+
+    def run(self, seeds: list[np.ndarray], seed_lcp: list[np.ndarray], values: bool = True):
+        """``seeds``: for each symbol its sorted seeds; yields (positions, lcp) of all suffixes in order, by queue.
+        Without ``values`` the order alone is right."""
         k, t = self.k, self.t
-        self.rest = np.zeros(k, dtype=np.int32)
         left, right = Store(k, self.memory, self.folder), Store(k, self.memory, self.folder)
         kept = Store(k, self.memory, self.folder)  # the L suffixes of each symbol, for the way down
         least = np.full(k, -1, dtype=np.int32)  # so that a queue's first entry has common prefix 0
         last_l = np.full(k, -1, dtype=np.int64)
+        before = self._before(False)
         for c in range(k):
             fresh = True
             while True:
                 parts = list(left.queues[c].take())
                 if not parts:
                     break
-                for pos, lcp in parts:
-                    lcp = lcp.copy()
+                for pos, lcp in joined(parts):
                     if fresh:
                         lcp[0], fresh = 0, False
                     kept.queues[c].push(pos, lcp)
                     last_l[c] = pos[-1]
-                    self._pass((pos, lcp), left, False, least)
+                    self._pass((pos, lcp), left, before, least, values)
             if len(seeds[c]):
                 lcp = seed_lcp[c].copy()
                 lcp[0] = 0 if fresh else self._meet(last_l[c], seeds[c][0])
-                self._pass((seeds[c], lcp), left, False, least)
+                for part in blocks(seeds[c], lcp):
+                    self._pass(part, left, before, least, values)
         least[:] = -1
+        before = self._before(True)
         out = []
         for c in range(k - 1, -1, -1):
             smaller, fresh, last_s = [], True, -1
@@ -160,13 +211,12 @@ class Induction:
                 parts = list(right.queues[c].take())
                 if not parts:
                     break
-                for pos, lcp in parts:
-                    lcp = lcp.copy()
+                for pos, lcp in joined(parts):
                     if fresh:
                         lcp[0], fresh = 0, False
                     last_s = int(pos[-1])
                     smaller.append((pos, lcp))
-                    self._pass((pos, lcp), right, True, least)
+                    self._pass((pos, lcp), right, before, least, values)
             s_pos, s_lcp = (np.concatenate([x[i] for x in smaller]) if smaller else np.zeros(0, np.int32) for i in (0, 1))
             held = list(kept.queues[c].take())
             l_pos, l_lcp = (np.concatenate([x[i] for x in held]) if held else np.zeros(0, np.int32) for i in (0, 1))
@@ -174,7 +224,8 @@ class Induction:
             if len(l_pos):
                 down = np.append(l_lcp[1:], 0)[::-1].astype(np.int32)
                 down[0] = self._meet(int(l_pos[-1]), last_s) if last_s >= 0 else 0
-                self._pass((l_pos[::-1], down), right, True, least)
+                for part in blocks(l_pos[::-1], down):
+                    self._pass(part, right, before, least, values)
             s_up = np.append(s_lcp[1:], 0)[::-1].astype(np.int32)[:len(s_pos)]
             if len(s_pos) and len(l_pos):
                 s_up[0] = self._meet(int(l_pos[-1]), int(s_pos[-1]))
@@ -195,25 +246,27 @@ def by_symbol(t: np.ndarray, k: int, pos: np.ndarray, lcp: np.ndarray):
 
 
 def sort_names(s: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a text over a large alphabet: the sorted prefix grows threefold each round
-    (twofold where three ranks don't fit into 63 bits)."""
+    """Order of the suffixes of a text over a large alphabet (names from 1): the sorted prefix grows threefold each
+    round (twofold where three ranks don't fit into 63 bits), for suffixes that are not told apart yet."""
     n, step = len(s), 1
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
-    while True:
-        base = int(rank.max()) + 2
-        key, parts = rank, 3 if base ** 3 < 1 << 63 else 2
+    rank = np.append(s, 0).astype(np.int64)  # from 1; 0 is the end
+    base = int(rank.max()) + 1
+    order = np.empty(n, dtype=np.int64)
+    place = at = np.arange(n)  # the suffixes still together, and their places in the order
+    while len(at):
+        key, parts = rank[at], 3 if base ** 3 < 1 << 63 else 2
         for k in range(1, parts):
-            ahead = np.zeros(n, dtype=np.int64)
-            ahead[:max(0, n - k * step)] = rank[k * step:] + 1
-            key = key * base + ahead
-        order = np.argsort(key)
-        key = key[order]
-        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        if new[-1] == n - 1:
-            return order
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = new
-        step *= parts
+            key = key * base + rank[np.minimum(at + k * step, n)]
+        by = np.argsort(key)
+        key, at = key[by], at[by]
+        order[place] = at
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(first, append=len(at))
+        rank[at] = np.repeat(place[first] + 1, size)
+        together = np.repeat(size > 1, size)
+        place, at = place[together], at[together]
+        base, step = n + 1, step * parts
+    return order
 
 
 class Prefixes:
@@ -232,10 +285,14 @@ class Prefixes:
     def common(self, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
         """Common prefix lengths, at most ``limit``."""
         out = np.zeros(len(a), dtype=np.int64)
+        room = self.n - np.maximum(a, b)
+        start_a, down_a, start_b, down_b = self.total[a], self.down[a], self.total[b], self.down[b]
         step = 1 << max(0, limit.bit_length() - 1)
         while step:
-            want = np.minimum(step, self.n - np.maximum(a, b) - out)
-            ok = (want == step) & (self.part(a + out, np.maximum(want, 0)) == self.part(b + out, np.maximum(want, 0)))
+            to = out + step
+            ok = to <= room
+            to = np.minimum(to, room)
+            ok &= (self.total[a + to] - start_a) * down_a == (self.total[b + to] - start_b) * down_b
             out += np.where(ok, step, 0)
             step >>= 1
         return np.minimum(out, limit)
@@ -263,11 +320,11 @@ def sort_suffixes(symbols: np.ndarray, limit: int, memory: int = 96 << 20, folde
     work = Induction(t, k, stype, memory, folder)
     # name the seeds' substrings (each up to the next seed): an induction from seeds in any order sorts them
     first = seeds[np.argsort(t[seeds], kind="stable")]
-    named = np.concatenate([p for p, _ in work.run(*by_symbol(t, k, first, np.zeros(len(first), np.int32)))])
+    named = np.concatenate([p for p, _ in work.run(*by_symbol(t, k, first, np.zeros(len(first), np.int32)), values=False)])
     is_seed = np.zeros(len(t), dtype=bool)
     is_seed[seeds] = True
     named = named[is_seed[named]]
-    which = np.searchsorted(seeds, named)
+    which = (np.cumsum(is_seed, dtype=np.int32) - 1)[named]
     length = np.append(np.diff(seeds) + 1, 1)[which]
     h = prefix.part(named, length)
     new = np.concatenate([[0], np.cumsum((h[1:] != h[:-1]) | (length[1:] != length[:-1]))])

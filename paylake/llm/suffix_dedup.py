@@ -51,37 +51,56 @@ def _byte_table() -> np.ndarray:
     return _BYTES[0]
 
 
-def stretches(raw: bytes, gram: int = GRAM):
-    """(key, hash, hash2, start, windows) of each stretch: the windows at start, start + 1, ... with one anchor.
+def _joined(pieces):
+    """Rows of (doc, place, bytes) cut to ``CHUNK`` windows each, as many at a time as hold that number of bytes;
+    rows of less than a window are left out."""
+    group, held = [], 0
+    for doc, base, raw in pieces:
+        for at in range(0, len(raw) - LENGTH + 1, CHUNK):
+            part = raw[at:at + CHUNK + LENGTH - 1]
+            if group and held + len(part) > CHUNK + LENGTH - 1:
+                yield group
+                group, held = [], 0
+            group.append((doc, base + at, part))
+            held += len(part)
+    if group:
+        yield group
+
+
+def stretches(group, gram: int = GRAM):
+    """(key, hash, hash2, doc, place, windows) of each stretch in the parts of a group: the windows at place,
+    place + 1, ... with one anchor.
     The two hashes are of different kinds, a polynomial and a sum of scrambled grams: 128 bits in all."""
-    out = []
     span = LENGTH - gram + 1  # grams in a window
-    for at in range(0, len(raw) - LENGTH + 1, CHUNK):
-        b = np.frombuffer(raw, np.uint8, count=min(CHUNK + LENGTH - 1, len(raw) - at), offset=at)
-        up, down = powers(CHUNK + LENGTH)
-        total = np.zeros(len(b) + 1, dtype=np.uint64)
-        np.cumsum(_byte_table()[b] * up[:len(b)], out=total[1:])
-        grams = mix((total[gram:] - total[:-gram]) * down[:len(b) - gram + 1])
-        low = (grams & ~np.uint64((1 << 20) - 1)) | np.arange(len(grams), dtype=np.uint64)
-        width = 1
-        while 2 * width <= span:
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        if span > width:
-            low = np.minimum(low[:len(low) - (span - width)], low[span - width:])
-        anchor = (low & np.uint64((1 << 20) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        n = np.diff(np.append(first, len(anchor)))
-        end = first + n + LENGTH - 1
-        h = mix((total[end] - total[first]) * down[first] + n.astype(np.uint64))
-        short = grams if gram == GRAM else mix((total[GRAM:] - total[:-GRAM]) * down[:len(b) - GRAM + 1])
-        sums = np.zeros(len(short) + 1, dtype=np.uint64)
-        np.cumsum(short, out=sums[1:])
-        h2 = mix(sums[end - GRAM + 1] - sums[first])
-        out.append((grams[anchor[first]].view(np.int64), h.view(np.int64), h2.view(np.int64), first + at, n))
-    if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    b = np.frombuffer(b"".join([raw for _, _, raw in group]), np.uint8)
+    size = np.array([len(raw) for _, _, raw in group], dtype=np.int64)
+    start, windows = np.cumsum(size) - size, size - LENGTH + 1
+    up, down = powers(CHUNK + LENGTH)
+    total = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum(_byte_table()[b] * up[:len(b)], out=total[1:])
+    grams = mix((total[gram:] - total[:-gram]) * down[:len(b) - gram + 1])
+    low = (grams & ~np.uint64((1 << 20) - 1)) | np.arange(len(grams), dtype=np.uint64)
+    width = 1
+    while 2 * width <= span:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    if span > width:
+        low = np.minimum(low[:len(low) - (span - width)], low[span - width:])
+    own = np.repeat(start - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())  # none over two parts
+    anchor = (low[own] & np.uint64((1 << 20) - 1)).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    n = np.diff(new, append=len(anchor))
+    first = own[new]
+    end = first + n + LENGTH - 1
+    h = mix((total[end] - total[first]) * down[first] + n.astype(np.uint64))
+    short = grams if gram == GRAM else mix((total[GRAM:] - total[:-GRAM]) * down[:len(b) - GRAM + 1])
+    sums = np.zeros(len(short) + 1, dtype=np.uint64)
+    np.cumsum(short, out=sums[1:])
+    h2 = mix(sums[end - GRAM + 1] - sums[first])
+    part = np.searchsorted(start, first, side="right") - 1
+    doc, base = (np.array([x[k] for x in group], dtype=np.int64) for k in (0, 1))
+    return (grams[anchor[new]].view(np.int64), h.view(np.int64), h2.view(np.int64), doc[part],
+            base[part] + first - start[part], n)
 
 
 def _merged(start: np.ndarray, length: np.ndarray):
@@ -134,11 +153,9 @@ def _distinct(rows):
 def _emit(pieces, gram: int):
     """Rows of (doc, place, bytes), merged within about ``MERGE_ROWS`` stretches."""
     rows, held = [], 0
-    for doc, base, raw in pieces:
-        key, h, h2, start, n = stretches(raw, gram)
-        if len(key):
-            rows.append((key, h, h2, np.full(len(key), doc, np.int64), start + base, n))
-            held += len(key)
+    for group in _joined(pieces):
+        rows.append(stretches(group, gram))
+        held += len(rows[-1][0])
         if held > MERGE_ROWS:
             yield from _distinct(rows)
             rows, held = [], 0

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from paylake.llm import cap_filters, minhash, suffix_dedup
+from paylake.llm import cap_filters, induced_sort, minhash, suffix_dedup
 from paylake.llm.common import Scratch, connected_components
 from paylake.llm.induced_sort import sort_suffixes
 
@@ -203,6 +203,52 @@ def test_induced_sort_against_plain_sort(seed, tmp_path):
     assert not list(tmp_path.iterdir())
 
 
+@pytest.mark.parametrize("block", [3, 1 << 16])
+@pytest.mark.parametrize("seed", range(4))
+def test_induced_sort_of_longer_texts(seed, block, monkeypatch):
+    monkeypatch.setattr(induced_sort, "BLOCK", block)
+    rng = random.Random(seed)
+    t = [rng.randrange(1, (3, 28, 300, 28)[seed]) for _ in range(4000)]
+    if seed == 3:
+        t = t[:500] * 3 + [1] * 60 + t[:900] + [27] * 300 + t[700:1500]
+    end = [*t, 0]
+    order = sorted(range(len(end)), key=lambda i: end[i:i + 1800])
+    pos, lcp = sort_suffixes(np.array(t), 2000)
+    assert pos.tolist() == order
+    for i in range(1, len(order), 7):
+        a, b = end[order[i - 1]:], end[order[i]:]
+        assert min(lcp[i], 2000) == min(next(k for k, (x, y) in enumerate(zip(a, b)) if x != y), 2000)
+
+
+def test_induced_sort_passes_whole_queues(monkeypatch):
+    """A queue's small parts are passed on together: the calls grow with the symbols, not with their square."""
+    calls, real = [], induced_sort.Induction._pass
+    monkeypatch.setattr(induced_sort.Induction, "_pass", lambda self, source, *a: (calls.append(len(source[0])), real(self, source, *a))[1])
+    rng = np.random.default_rng(1)
+    sort_suffixes(rng.integers(1, 101, 200_000), 100)
+    assert sum(calls) > 400_000 and len(calls) < 2 * 100 * 10
+
+
+@pytest.mark.parametrize("names", [4, 50_000, 3_000_000])
+def test_names_are_sorted_by_growing_prefixes(names):
+    rng = np.random.default_rng(names)
+    s = rng.integers(1, names, 300)
+    s = np.concatenate([s, s[:200], s[50:], np.full(40, 2), s[:200]])
+    assert induced_sort.sort_names(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_short_texts_are_scanned_together(monkeypatch):
+    """Many texts a call, with the rows that each text has on its own."""
+    rng = random.Random(3)
+    docs = [(i, 0, bytes(rng.choice(b"abc ") for _ in range(rng.choice([0, 99, 100, 130, 400, 900])))) for i in range(400)]
+    calls, real = [], suffix_dedup.stretches
+    monkeypatch.setattr(suffix_dedup, "stretches", lambda *a: (calls.append(1), real(*a))[1])
+    rows = lambda pieces: [r for b in suffix_dedup._emit(pieces, 24) for r in zip(*(c.to_pylist() for c in b.columns))]
+    together, n = rows(docs), len(calls)
+    alone = [r for d in docs for r in rows([d])]
+    assert n <= 2 and sorted(together) == sorted(alone) and {r[3] for r in alone} == {i for i, _, t in docs if len(t) >= 100}
+
+
 def repeated_docs():
     rng = random.Random(5)
     text = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
