@@ -274,25 +274,27 @@ class Prefixes:
 
     def __init__(self, t: np.ndarray):
         from paylake.llm.minhash import mix, powers
-        up, self.down = powers(len(t) + 1)
-        x = mix(t.astype(np.uint64) + np.uint64(0x51ED270B)) | np.uint64(1)
-        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[:len(t)], dtype=np.uint64)])
         self.n = len(t)
+        self.up = powers(self.n + 1)[0]
+        symbols = mix(np.arange(int(t.max()) + 1, dtype=np.uint64) + np.uint64(0x51ED270B)) | np.uint64(1)
+        self.total = np.zeros(self.n + 1, dtype=np.uint64)
+        np.cumsum(symbols[t] * self.up[:self.n], out=self.total[1:])
 
-    def part(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return (self.total[at + length] - self.total[at]) * self.down[at]
+    def equal(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether the substrings of a length at two places are equal."""
+        return (self.total[a + length] - self.total[a]) * self.up[b] == (self.total[b + length] - self.total[b]) * self.up[a]
 
     def common(self, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
         """Common prefix lengths, at most ``limit``."""
         out = np.zeros(len(a), dtype=np.int64)
         room = self.n - np.maximum(a, b)
-        start_a, down_a, start_b, down_b = self.total[a], self.down[a], self.total[b], self.down[b]
+        start_a, up_a, start_b, up_b = self.total[a], self.up[a], self.total[b], self.up[b]
         step = 1 << max(0, limit.bit_length() - 1)
         while step:
             to = out + step
             ok = to <= room
             to = np.minimum(to, room)
-            ok &= (self.total[a + to] - start_a) * down_a == (self.total[b + to] - start_b) * down_b
+            ok &= (self.total[a + to] - start_a) * up_b == (self.total[b + to] - start_b) * up_a
             out += np.where(ok, step, 0)
             step >>= 1
         return np.minimum(out, limit)
@@ -316,7 +318,6 @@ def sort_suffixes(symbols: np.ndarray, limit: int, memory: int = 96 << 20, folde
     seeds = np.flatnonzero(stype & ~np.concatenate([[True], stype[:-1]])).astype(np.int32)
     if not len(seeds):
         seeds = np.array([len(t) - 1], np.int32)
-    prefix = Prefixes(t)
     work = Induction(t, k, stype, memory, folder)
     # name the seeds' substrings (each up to the next seed): an induction from seeds in any order sorts them
     first = seeds[np.argsort(t[seeds], kind="stable")]
@@ -325,19 +326,25 @@ def sort_suffixes(symbols: np.ndarray, limit: int, memory: int = 96 << 20, folde
     is_seed[seeds] = True
     named = named[is_seed[named]]
     which = (np.cumsum(is_seed, dtype=np.int32) - 1)[named]
+    del first, is_seed
     length = np.append(np.diff(seeds) + 1, 1)[which]
-    h = prefix.part(named, length)
-    new = np.concatenate([[0], np.cumsum((h[1:] != h[:-1]) | (length[1:] != length[:-1]))])
-    names = np.empty(len(seeds), dtype=np.int64)
-    names[which] = new
-    if new[-1] == len(seeds) - 1:
+    alike = Prefixes(t).equal(named[:-1], named[1:], np.minimum(length[:-1], length[1:])) & (length[1:] == length[:-1])
+    names = np.empty(len(seeds), dtype=np.int32)
+    names[which] = np.append(0, np.cumsum(~alike)) + 1
+    distinct = not alike.any()
+    del which, length, alike
+    if distinct:
         order = named
     else:
-        order = seeds[sort_suffixes(names + 1, 0, memory, folder)[0][1:]]
+        del named
+        order = seeds[sort_suffixes(names, 0, memory, folder)[0][1:]]
+    del names
     lcp = np.zeros(len(order), dtype=np.int32)
     if limit:
-        lcp[1:] = prefix.common(order[:-1], order[1:], limit)
-    del prefix, named, names, which, length, h, new
+        prefix = Prefixes(t)  # anew: the sort of the names has the memory to itself
+        for i in range(1, len(order), BLOCK):
+            lcp[i:i + BLOCK] = prefix.common(order[i - 1:i + BLOCK - 1][:len(order) - i], order[i:i + BLOCK], limit)
+        del prefix
     parts = by_symbol(t, k, order, lcp)
     del order, lcp, t
     out = work.run(*parts)
