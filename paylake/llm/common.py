@@ -2,36 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import os
 import uuid
-import zipfile
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylake.session import checkpoint_root
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers (once a context)."""
-    sc = spark.sparkContext
-    if getattr(sc, "_paylake_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w") as z:
-        for d, _, names in os.walk(top):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(d, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    path = os.path.join(sc._temp_dir, "paylake_src.zip")
-    with open(path, "wb") as f:
-        f.write(buf.getvalue())
-    sc.addPyFile(path)
-    sc._paylake_shipped = True
+from paylake.session import checkpoint_root, ship
 
 
 def release() -> None:

@@ -26,8 +26,8 @@ VECTOR_FIELDS = ["amt", "log_amt", "city_pop", "distance_to_merchant", "hour_sin
 # Hyper-parameters: forest (100 trees, depth 15, min split 10), boosted trees
 # (100 rounds, depth 5, rate 0.1, row/column sampling 0.8), 5 folds, seed 42.
 FOREST_PARAMS = dict(numTrees=100, maxDepth=15, minInstancesPerNode=5)
-# How the forest is computed, not what: each row's node in each tree is kept from level to level, so that
-# no level sends all trees to all tasks and walks every row down them once more.
+# How the forest is computed where its rows are too different for cells (operators.forest), not what: each row's node
+# in each tree is kept from level to level, so that no level sends all trees to all tasks and walks every row down them once more.
 FOREST_RUN = dict(cacheNodeIds=True)
 BOOSTED_PARAMS = dict(maxIter=100, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8")
 CV_FOLDS = 5
@@ -177,11 +177,11 @@ def evenly(df: DataFrame, key: str) -> DataFrame:
 
 
 def forest_pipeline(features_col: str = "features", label: str = "label", weight: str | None = "weight"):
-    from pyspark.ml.classification import RandomForestClassifier
+    from paylake.operators.forest import CellForest
     kw = dict(FOREST_PARAMS, **FOREST_RUN, featuresCol=features_col, labelCol=label, seed=SEED)
     if weight:
         kw["weightCol"] = weight
-    return RandomForestClassifier(**kw)
+    return CellForest(**kw)
 
 
 def boosted_classifier(features_col: str = "features", label: str = "label", max_iter: int | None = None):
