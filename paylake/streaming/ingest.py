@@ -104,6 +104,10 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, scorer: Callable[[Da
     v = validate(batch).persist(StorageLevel.MEMORY_AND_DISK)
     valid, rejected = split_valid(v)
     scored = scorer(valid.drop(*DQ_COLS))
+    kept = [v]
+    if getattr(scorer, "costly", False):  # the store, the dead letters and the run log read the scores: a model is applied once
+        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(scored)
     # V06 on the model output: a null or out-of-range probability is not
     # stored as a prediction but sent to the dead-letter sink
     pmsg = rule_probability("fraud_probability")[0].message
@@ -124,7 +128,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, scorer: Callable[[Da
     run = log_run(v if late is None else v.select(key).unionAll(late.select(key)), failed, dag_id, f"batch_{batch_id}", dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
                   round(time.time() - started, 2))
     write_batch(run, os.path.join(out, "pipeline_runs"), batch_id)
-    v.unpersist()
+    for x in kept:
+        x.unpersist()
 
 
 def run_ingest(landing: DataFrame, out: str, scorer: Callable[[DataFrame], DataFrame] = amount_scorer,
@@ -175,7 +180,12 @@ def model_scorer(model, version: str) -> Callable[[DataFrame], DataFrame]:
     """The trained pipeline as the stream's scorer (it takes the raw payment inputs)."""
     from paylake.operators.ml import MODEL_FEATURES
     from paylake.operators.scoring import score_batch
-    return lambda df: score_batch(df, model, version, MODEL_FEATURES)
+
+    def score(df: DataFrame) -> DataFrame:
+        return score_batch(df, model, version, MODEL_FEATURES)
+
+    score.costly = True
+    return score
 
 
 # T02 -----------------------------------------------------------------

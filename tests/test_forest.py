@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from paylake.operators import forest as FO
@@ -85,3 +85,30 @@ def test_forest_is_walked_once_for_filters_on_its_score(spark):
     p = vector_to_array("probability")[1]
     plan = out.withColumn("p", p).filter(F.col("p") > 0.4).select("p", F.round("p", 2))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_model_is_applied_once_to_a_batch(spark):
+    """The keyed insert, the dead letters, the alerts and the run log read a batch's scores; the model gives them once."""
+    from paylake.streaming import ingest as I
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def probability(amt):
+        seen.add(1)
+        return float(amt) / 10000
+
+    class Scorer:
+        def transform(self, df):
+            return df.withColumn("probability", array_to_vector(F.array(F.lit(0.0), probability("amt"))))
+
+    rows = [(f"t{i}", "9999.5" if i % 8 == 0 else "20000.0" if i % 8 == 1 else "10.5", "4000000000000001", "m", "c") for i in range(64)]
+    batch = spark.createDataFrame([*rows, ("t99", "abc", "4000000000000001", "m", "c")], "trans_num string, amt string, cc_num string, merchant string, category string")
+    out = run_dir(spark, "once")
+    I.ingest_batch(batch, 0, out, I.model_scorer(Scorer(), "v1"))
+    assert seen.value == 64
+    assert I.read_store(spark, os.path.join(out, "transactions")).count() == 56
+    dead = spark.read.parquet(os.path.join(out, "dead_letter")).groupBy("error_type").count().collect()
+    assert {r.error_type: r["count"] for r in dead} == {"validation_error": 1, "prediction_error": 8}
+    assert spark.read.parquet(os.path.join(out, "alerts")).count() == 8
+    assert tuple(spark.read.parquet(os.path.join(out, "pipeline_runs")).select("records_processed", "records_failed").first()) == (65, 9)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
