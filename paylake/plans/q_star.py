@@ -66,10 +66,11 @@ def incremental_fact(s, d):
     upto = lambda k: [x.filter(F.col("loaded_at") <= k) for x in raw]
     table = S.FactTable(s, os.path.join(run_dir(s, "star-inc"), "fact"))
     tx, refunds, disputes, rates = upto(1)
-    table.load(S.joined_fact(S.latest_transactions(tx.select(*S.KEYED_COLUMNS)), S.latest_events(refunds), S.latest_events(disputes), rates)
-               .select(*S.LAID_COLUMNS), derive=S.derive_fact)
+    table.load_in_parts(S.joined_fact(S.latest_transactions(tx.select(*S.KEYED_COLUMNS)), S.latest_events(refunds), S.latest_events(disputes), rates)
+                        .select(*S.LAID_COLUMNS), derive=S.derive_fact)
     for k in (2, 3):
         table.merge(*upto(k), since=k - 1)
+        table.vacuum()  # no reader has opened the version before
     return table
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import re
@@ -95,6 +96,13 @@ def ship(spark: SparkSession) -> None:
     sc._paylake_shipped = True
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the files of finished shuffles deleted: Spark does so once the driver's collector finds that nothing
+    refers to them, which on a large heap may be after the job. For jobs that write step by step."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 # Set where the session has Spark's default: they change how long a job takes and what it spills, not its rows.
 TUNED = {
     "spark.sql.codegen.hugeMethodLimit": ("65535", BASE_CONF["spark.sql.codegen.hugeMethodLimit"]),

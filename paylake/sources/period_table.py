@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paylake.session import free_shuffles
 from paylake.sources.manifest import Manifest
 
+PART_ROWS = 20_000_000  # rows that are laid out at once where a table is written in parts; shuffled, some 80 bytes each
+NO_PERIOD = "__HIVE_DEFAULT_PARTITION__"  # the folder of rows without a day
 KNOWN_BATCHES = 100  # a stream repeats its last batch only
 
 
@@ -29,7 +32,10 @@ class PeriodTable:
         return seen, state or {"periods": {}, "batches": [], "schema": None}
 
     def period(self) -> Column:
-        return F.date_format(F.trunc(self.date_col, "MM") if self.grain == "month" else F.col(self.date_col), "yyyy-MM-dd")
+        return F.date_format(self._first_day(), "yyyy-MM-dd")
+
+    def _first_day(self) -> Column:
+        return F.trunc(self.date_col, "MM") if self.grain == "month" else F.col(self.date_col).cast("date")
 
     def periods(self) -> dict[str, list[str]]:
         """Period -> its folders; as many periods as the data span, and a folder a batch until ``compact``."""
@@ -37,12 +43,46 @@ class PeriodTable:
 
     def _write(self, rows: DataFrame, *order, derive=None) -> dict[str, list[str]]:
         name = f"data/{uuid.uuid4().hex}"
-        laid = rows.withColumn("period", self.period()).hint("rebalance", "period").sortWithinPartitions("period", self.date_col, *order)
+        # a day, not its text, goes through the shuffle; the folders are named alike
+        laid = rows.withColumn("period", self._first_day()).hint("rebalance", "period").sortWithinPartitions("period", self.date_col, *order)
         (laid if derive is None else derive(laid)) \
             .write.partitionBy("period").parquet(f"{self.root}/{name}")
         found = (n for n in self.manifest.folders(f"{self.root}/{name}") if n.startswith("period="))
         return {n[len("period="):]: [f"{name}/{n}"] for n in found}
 
+    def _parts(self, rows: dict[str, int]) -> list[list[str]]:
+        """Periods in runs of some ``PART_ROWS`` rows, from their rows."""
+        parts, n = [], 0
+        for p in sorted(rows):
+            if not parts or n + rows[p] > PART_ROWS:
+                parts, n = [*parts, []], 0
+            parts[-1].append(p)
+            n += rows[p]
+        return parts
+
+    def _count(self, rows: DataFrame) -> dict[str, int]:
+        return {p or NO_PERIOD: n for p, n in rows.groupBy(self.period().alias("period")).count().collect()}  # a row a period
+
+    def _of(self, rows: DataFrame, periods: list[str]) -> DataFrame:
+        """The rows of some periods."""
+        return rows.filter(F.coalesce(self.period(), F.lit(NO_PERIOD)).isin(periods))
+
+    def load_in_parts(self, rows: DataFrame, derive=None) -> None:
+        """``load`` for a table that should not stand on the disk three times, as it is joined, laid out and written: what
+        ``rows`` is made by has left its shuffles before rows are laid out, and they are, some periods at a time."""
+        scratch = f"{self.root}/scratch-{uuid.uuid4().hex}"
+        rows.write.parquet(scratch)
+        free_shuffles(self.spark)
+        made = self.spark.read.schema(rows.schema).parquet(scratch)
+        parts, written = self._parts(self._count(made)), {}
+        for part in parts:
+            written |= self._write(made if len(parts) == 1 else self._of(made, part), derive=derive)
+            free_shuffles(self.spark)
+        seen, state = self.state()
+        schema = (rows if derive is None else derive(rows)).schema
+        self.manifest.commit(seen, {**state, "periods": written, "schema": schema.json()})
+        self.manifest.delete(scratch)
+
     def load(self, rows: DataFrame, derive=None) -> None:
         """Replace the whole table; ``derive`` adds columns that follow from a row's others, after rows are shuffled and sorted."""
         seen, state = self.state()
@@ -80,6 +120,14 @@ class PeriodTable:
             self.manifest.commit(seen, state)
         return many
 
+    def vacuum(self) -> None:
+        """Drop folders that the current version does not name (when no reader uses an older one)."""
+        live = {f for v in self.periods().values() for f in v}
+        for name in self.manifest.folders(f"{self.root}/data"):
+            found = [f"data/{name}/{n}" for n in self.manifest.folders(f"{self.root}/data/{name}")]
+            for f in [f for f in found if f not in live] if live & set(found) else [f"data/{name}"]:
+                self.manifest.delete(f"{self.root}/{f}")
+
     def folders(self, paths: list[str]) -> DataFrame:
         """The rows of some folders of the table."""
         schema = T.StructType.fromJson(json.loads(self.state()[1]["schema"]))

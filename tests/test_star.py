@@ -114,3 +114,33 @@ def test_fact_of_days_is_the_fact_and_writes_nothing(spark, tmp_path):
     assert got.count() > 100 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert S._fact_table(t).periods()
     assert S.fact_of_days(t, "2001-04-01", "2001-06-30").select(*got.columns).exceptAll(got).count() == 0
+
+
+def test_loads_in_parts_leave_one_version_on_the_disk(spark, monkeypatch):
+    """Wide rows are shuffled some periods at a time; earlier versions and scratch tables are gone at the end."""
+    from paylake.session import checkpoint_root
+    from paylake.sources import period_table as P
+    monkeypatch.setattr(P, "PART_ROWS", 2500)
+    laid, write = [], S.FactTable._write
+    monkeypatch.setattr(S.FactTable, "_write", lambda self, rows, *order, derive=None: laid.append(write(self, rows, *order, derive=derive)) or laid[-1])
+    table = incremental_fact(spark, SF)
+    assert 6 <= len(laid) <= 12 and all(len(x) > 1 for x in laid)
+    rows = table.read().select(*S.FACT_COLUMNS)
+    full = S.fact_transaction_full(D.Tables(spark, SF))
+    assert sorted(map(str, rows.collect())) == sorted(map(str, full.collect()))
+    m = table.manifest
+    there = {f"data/{n}/{f}" for n in m.folders(f"{table.root}/data") for f in m.folders(f"{table.root}/data/{n}")}
+    assert there == {f for v in table.periods().values() for f in v}
+    assert not [n for n in m.folders(table.root) + m.folders(checkpoint_root(spark)) if n.startswith(("scratch-", "paylake-merge-"))]
+
+
+def test_rows_without_a_day_survive_a_merge(spark):
+    none = lambda sk, load: (*tx(sk, "2024-01-01", "5", load)[:-2], None, load)
+    txs = spark.createDataFrame([tx(21, "2024-01-05", "10", 1), none(22, 1), none(23, 1), none(23, 2), none(24, 2)], TX)
+    events, rates = spark.createDataFrame([], EVENT), spark.createDataFrame([rate("1.1", "2024-01-01", 1)], RATE)
+    table = S.FactTable(spark, os.path.join(run_dir(spark, "test-none"), "f"))
+    table.load_in_parts(S.joined_fact(S.latest_transactions(txs.filter("loaded_at = 1").select(*S.KEYED_COLUMNS)), S.latest_events(events), S.latest_events(events), rates)
+                        .select(*S.LAID_COLUMNS), derive=S.derive_fact)
+    table.merge(txs, events, events, rates, since=1)
+    table.vacuum()
+    assert sorted(r[0] for r in table.read().select("transaction_sk").collect()) == [21, 22, 23, 24]
